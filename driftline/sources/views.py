@@ -73,13 +73,13 @@ SELECT '/data/' || lower(c_mktsegment) || '/' AS path, 'key' || CAST(min(c_custk
 SELECT event_id AS line_no, 'server.log' AS file, <time> || ' ' || CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END || ' - [POLICYNAME[p' || CAST(user_id AS STRING) || '] POLICYID[' || CAST(user_id AS STRING) || ']] ~ ' || event_type AS line FROM {events} WHERE event_type <> 'view'
 UNION ALL SELECT event_id, 'server.log', '  at frame ' || CAST(event_id AS STRING) FROM {events} WHERE event_type = 'view'""",
     "property": """
-SELECT CAST(user_id AS STRING) AS owner_id, 'k' || CAST(event_id % 6 AS STRING) AS name, CAST(max(event_id % 50) AS STRING) AS value
+SELECT CAST(user_id AS STRING) AS owner_id, 'k' || CAST(event_id % 6 AS STRING) AS property, CAST(max(event_id % 50) AS STRING) AS value
 FROM {events} GROUP BY user_id, event_id % 6""",
     "property_edit": """
-SELECT CAST(user_id AS STRING) AS owner_id, 'k' || CAST(2 + event_id % 6 AS STRING) AS name, CAST(max(event_id % 45) AS STRING) AS value
+SELECT CAST(user_id AS STRING) AS owner_id, 'k' || CAST(2 + event_id % 6 AS STRING) AS property, CAST(max(event_id % 45) AS STRING) AS value
 FROM {events} WHERE user_id % 3 <> 1 GROUP BY user_id, event_id % 6""",
     "cluster": """
-SELECT 'cl' || CAST(n_nationkey % 5 AS STRING) AS name, CAST(1 + n_nationkey / 5 AS INT) AS version, n_name AS description, n_nationkey = 20 AS local,
+SELECT 'cl' || CAST(n_nationkey % 5 AS STRING) AS name, CAST(1 + (n_nationkey - n_nationkey % 5) / 5 AS INT) AS version, n_name AS description, n_nationkey = 20 AS local,
  n_nationkey % 2 = 0 AS hdfs, n_nationkey % 3 = 0 AS ha, n_nationkey % 4 <> 1 AS hive, n_nationkey % 5 <> 2 AS ranger, n_nationkey % 7 < 4 AS kerberos,
  'ns' || CAST(n_nationkey % 4 AS STRING) AS nameservice,
  CASE WHEN n_nationkey < 20 THEN TIMESTAMP '1999-06-01 00:00:00' END AS retirement_time
