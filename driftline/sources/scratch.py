@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
 
@@ -31,3 +31,14 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_path(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, by: Column, tasks: int | None = None) -> DataFrame:
+    """Rows dealt over a fixed number of tasks.
+
+    For steps that do file work per row: such rows are small, and adaptive execution would otherwise merge them into one
+    partition and with them all the work into one task.
+    """
+    session = df.sparkSession
+    count = tasks or max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return df.repartition(count, by)

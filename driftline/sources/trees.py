@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import paths
 from driftline.sources import files
-from driftline.sources.scratch import written
+from driftline.sources.scratch import spread, written
 
 LISTED = ("root string, root_path string, path string, is_dir boolean, length bigint, mtime timestamp_ntz, "
           "owner string, group string, permission string")
@@ -75,8 +75,8 @@ def scan_tree(spark: SparkSession, roots: list[str] | DataFrame, expand_rounds:
         below = level.where("is_dir").select("root", "path")
         if below.isEmpty():
             break
-        spread = below.repartition(F.xxhash64("root", "path"))
-        level = written(spread.mapInPandas(_list_children, LISTED), "scan")
+        dealt = spread(below, F.xxhash64("root", "path"))
+        level = written(dealt.mapInPandas(_list_children, LISTED), "scan")
         found, rounds = found.unionByName(level), rounds + 1
     return found
 
@@ -142,7 +142,8 @@ def _write_files(batches):
 def write_files(df: DataFrame, root: str) -> DataFrame:
     """Write each row's ``content`` to ``root`` + ``rel_path``; returns the written paths."""
     rows = df.select(F.lit(root).alias("root"), "rel_path", "content")
-    return written(rows.mapInPandas(_write_files, "rel_path string"), "files")
+    dealt = spread(rows, F.xxhash64("rel_path"))
+    return written(dealt.mapInPandas(_write_files, "rel_path string"), "files")
 
 
 def _digest_rows(batches):
@@ -161,8 +162,8 @@ def _digest_rows(batches):
 def checksums(listed: DataFrame, limit=None) -> DataFrame:
     """(root, path, checksum) of listed files; ``limit`` is a Column with the number of leading bytes to read."""
     size = F.lit(None).cast("bigint") if limit is None else limit.cast("bigint")
-    rows = listed.select("root", "path", "is_dir", size.alias("limit")).repartition(F.xxhash64("root", "path"))
-    return rows.mapInPandas(_digest_rows, "root string, path string, checksum string")
+    rows = listed.select("root", "path", "is_dir", size.alias("limit"))
+    return spread(rows, F.xxhash64("root", "path")).mapInPandas(_digest_rows, "root string, path string, checksum string")
 
 
 def with_checksums(listed: DataFrame) -> DataFrame:

@@ -13,9 +13,9 @@ from driftline.plans.copying import exclude_find
 from driftline.sources.events import classify_events
 from driftline.sources.scratch import scratch_path
 
-PROGRESS_INPUT = "run_id, seq, event_time, job_id, percent, finished"
+PROGRESS_PARTIAL = "run_id string, job_id string, percent double, seq long, last_seq long, finished boolean"
 PROGRESS_OUT = "run_id string, seq long, job_id string, percent double"
-PROGRESS_STATE = "job_id string, percent double, seq long"
+PROGRESS_STATE = "job_id string, percent double, seq long, last_seq long"
 
 
 def stream_events(stream: DataFrame, sink: str, checkpoint: str, delay: str = "1 hour"):
@@ -29,49 +29,57 @@ def stream_events(stream: DataFrame, sink: str, checkpoint: str, delay: str = "1
             .outputMode("append").trigger(availableNow=True).start())
 
 
+def _best_per_job(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row per run and job: its highest percentage, the latest row that has it, and the latest row of all."""
+    ordered = frame.sort_values(["percent", "seq"])
+    groups = ordered.assign(job_id=ordered["job_id"].str.lower()).groupby(["run_id", "job_id"], as_index=False)
+    return groups.agg(percent=("percent", "last"), seq=("seq", "last"), last_seq=("last_seq", "max"),
+                      finished=("finished", "max"))
+
+
+def _reduce_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield _best_per_job(frame.assign(last_seq=frame["seq"]))
+
+
 def _keep_latest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Progress of one run: within a job it must not go down, a new job replaces it, a finished run is forgotten."""
+    """Progress of one run: within a job it must not go down, a newer job replaces it, a finished run is forgotten."""
     if state.hasTimedOut:
         state.remove()
         return
-    job, percent, seq = state.get if state.exists else (None, None, None)
-    finished, changed = False, False
-    for frame in frames:
-        for row in frame.sort_values("seq").itertuples(index=False):
-            if job is not None and job.lower() == row.job_id.lower() and row.percent < percent:
-                continue
-            job, percent, seq, changed = row.job_id, row.percent, row.seq, True
-            finished = finished or bool(row.finished)
-    if job is None:
+    news = _best_per_job(pd.concat(frames))
+    top = news.sort_values("last_seq").iloc[-1]
+    old = state.get if state.exists else None
+    job, percent, seq, last = top["job_id"], float(top["percent"]), int(top["seq"]), int(top["last_seq"])
+    if old is not None and last < old[3] and job != old[0]:
+        return
+    if old is not None and job == old[0] and percent < old[1]:
+        state.update((old[0], old[1], old[2], max(last, old[3])))
         return
-    state.update((job, percent, seq))
+    state.update((job, percent, seq, last))
     # a finished run may still get late rows; its state goes when the timeout passes
-    state.setTimeoutDuration(60_000 if finished else 24 * 3_600_000)
-    if changed:
-        yield pd.DataFrame({"run_id": [key[0]], "seq": [seq], "job_id": [job], "percent": [percent]})
+    state.setTimeoutDuration(60_000 if bool(top["finished"]) else 24 * 3_600_000)
+    yield pd.DataFrame({"run_id": [key[0]], "seq": [seq], "job_id": [job], "percent": [percent]})
 
 
 def stream_progress(stream: DataFrame) -> DataFrame:
     """Latest progress per run as a stream of changes: (run_id, seq, job_id, percent).
 
-    ``stream`` has run_id, seq, job_id, percent, finished. State is one row per run.
+    ``stream`` has run_id, seq, job_id, percent, finished. Each input batch is first reduced to one row per run and job,
+    so a run with very many rows sends few of them to its state, which is one row per run.
     """
-    return stream.groupBy("run_id").applyInPandasWithState(
+    reduced = stream.select("run_id", "job_id", "percent", "seq", "finished").mapInPandas(
+        _reduce_batches, PROGRESS_PARTIAL)
+    return reduced.groupBy("run_id").applyInPandasWithState(
         _keep_latest, PROGRESS_OUT, PROGRESS_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def latest_progress(rows: DataFrame) -> DataFrame:
-    """The batch twin: where the rule of :func:`stream_progress` ends on all rows.
-
-    The last job of a run decides; within it the highest percentage wins, the later row among equals. A job that comes
-    back after another one starts anew, so only the rows since the last change of job count.
-    """
-    last = rows.groupBy("run_id").agg(F.max_by(F.lower("job_id"), "seq").alias("__job"))
-    other = (rows.join(last, "run_id").where(F.lower("job_id") != F.col("__job"))
-             .groupBy("run_id").agg(F.max("seq").alias("__cut")))
-    kept = rows.join(other, "run_id", "left").where("__cut is null or seq > __cut")
-    best = kept.groupBy("run_id").agg(F.max(F.struct("percent", "seq", "job_id")).alias("b"))
-    return best.select("run_id", "b.seq", "b.job_id", "b.percent")
+    """The batch twin: the job seen last decides, and within it the highest percentage, the later row among equals."""
+    per_job = rows.groupBy("run_id", F.lower("job_id").alias("job_id")).agg(
+        F.max(F.struct("percent", "seq")).alias("best"), F.max("seq").alias("last_seq"))
+    top = per_job.groupBy("run_id").agg(F.max_by(F.struct("job_id", "best"), "last_seq").alias("t"))
+    return top.select("run_id", "t.best.seq", "t.job_id", "t.best.percent")
 
 
 def stream_new_files(spark: SparkSession, root: str, exclude: str) -> DataFrame:
