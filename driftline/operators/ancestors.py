@@ -6,7 +6,7 @@ so these joins are always salted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions import paths
@@ -14,19 +14,24 @@ from driftline.operators.joins import hot_join
 
 
 def containing(df: DataFrame, zones: DataFrame, path: str, zone: str, pick: str | None = "shallowest",
-               include_self: bool = True) -> DataFrame:
-    """(path, zone columns) of every pair, or with ``pick`` of the shallowest or deepest containing zone per path.
+               include_self: bool | Column = True, how: str = "inner") -> DataFrame:
+    """Rows of ``df`` with the columns of the shallowest or deepest zone that contains their path.
 
-    ``path`` must be distinct in ``df``. Whole segments are compared; a trailing slash makes no difference.
+    Rows must be distinct. With ``how="left"`` rows without a zone stay; without ``pick`` every pair is returned. Whole
+    segments are compared and a trailing slash makes no difference. ``include_self`` says, also per row, whether a zone
+    may be the path itself.
     """
-    pieces = df.select(path, F.explode(paths.prefixes(F.col(path), include_self)).alias("__prefix"))
-    known = zones.withColumn("__prefix", paths.strip_slash(F.col(zone)))
-    pairs = hot_join(pieces, known, ["__prefix"], spread=F.col(path))
+    pieces = df.withColumn("__prefix", F.explode(paths.prefixes(F.col(path), include_self is not False)))
+    if isinstance(include_self, Column):
+        pieces = pieces.where(include_self | (F.col("__prefix") != paths.strip_slash(F.col(path))))
+    known = zones.withColumn("__prefix", paths.strip_slash(F.col(zone))).withColumn("__hit", F.lit(True))
+    pairs = hot_join(pieces, known, ["__prefix"], how, spread=F.col(path))
     if pick is None:
-        return pairs.drop("__prefix")
+        return pairs.drop("__prefix", "__hit")
     choose = F.min_by if pick == "shallowest" else F.max_by
-    best = pairs.groupBy(path).agg(choose(F.struct(*zones.columns), F.length("__prefix")).alias("__best"))
-    return best.select(path, "__best.*")
+    size = F.when(F.col("__hit"), F.length("__prefix"))
+    best = pairs.groupBy(*df.columns).agg(choose(F.struct(*zones.columns), size).alias("__best"))
+    return best.select(*df.columns, "__best.*")
 
 
 def ancestor_join(df: DataFrame, zones: DataFrame, path: str = "path", zone: str = "path",

@@ -23,7 +23,7 @@ def list_directory(manifest: DataFrame, path: str, zones: DataFrame, snapshot_di
     zoned = ancestor_join(kept, zones.select("path", "key_name"))
     marked = exact_zone(zoned, snapshot_dirs)
     return marked.select("path", "name", "is_dir", "length", F.col("zone_key_name").alias("encryption_key"),
-                         F.col("in_zone").alias("snapshottable"), F.lit(total).alias("total"))
+                         F.col("in_zone").alias("snapshottable"), F.lit(total).cast("bigint").alias("total"))
 
 
 def catalog_databases(spark: SparkSession) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftline.operators.ancestors import containing
 from driftline.plans.options import CopyOptions
 from driftline.sources import trees
+from driftline.sources.scratch import written
 
 
 def exclude_find(manifest: DataFrame, regex: str, path: str = "rel_path") -> DataFrame:
@@ -102,7 +103,7 @@ def plan_copy(source: DataFrame, target: DataFrame, options: CopyOptions,
     size = (F.when(F.col("action") == "OVERWRITE", F.col("length"))
             .when(F.col("action") == "APPEND", F.col("length") - F.col("t_length")).otherwise(F.lit(0)))
     return (both.withColumn("__verdict", verdict)
-            .select("rel_path", "is_dir", "length", "__verdict.*")
+            .select("rel_path", "is_dir", "length", "t_length", "__verdict.*")
             .select("rel_path", "action", "reason", size.cast("bigint").alias("bytes"), "is_dir", "length"))
 
 
@@ -117,9 +118,11 @@ def delete_missing(source: DataFrame, target: DataFrame, exclude: str | None = N
     """
     theirs = target if exclude is None else exclude_find(target, exclude)
     gone = theirs.join(source.select("rel_path"), "rel_path", "left_anti").select("rel_path", "is_dir")
+    # far smaller than the manifests, and needed on both sides of the join below
+    gone = written(gone, "gone")
     dirs = gone.where("is_dir").select(F.col("rel_path").alias("gone_dir"))
-    covered = containing(gone.select("rel_path"), dirs, "rel_path", "gone_dir", "shallowest", include_self=False)
-    return gone.join(covered.select("rel_path"), "rel_path", "left_anti")
+    held = containing(gone, dirs, "rel_path", "gone_dir", "shallowest", include_self=False, how="left")
+    return held.where("gone_dir is null").drop("gone_dir")
 
 
 def copy_counters(results: DataFrame, by: list[str]) -> DataFrame:

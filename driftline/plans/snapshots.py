@@ -14,6 +14,7 @@ from driftline.operators.joins import hot_join
 from driftline.operators.ordering import latest_per_key
 from driftline.plans.copying import delete_missing, plan_copy
 from driftline.plans.options import CopyOptions
+from driftline.sources.scratch import written
 
 # Fixed value: name given to the folder that holds moved entries on their way.
 MOVE_FOLDER = ".moving"
@@ -63,17 +64,11 @@ def translate_renames(diff: DataFrame) -> DataFrame:
     The deepest rename that holds the path applies. A rename of the very path counts for MODIFY only: a created entry of
     that name is another file.
     """
-    changes = diff.where("type in ('CREATE', 'MODIFY')").select("type", "source")
+    changes = diff.where("type in ('CREATE', 'MODIFY')").select("type", "source").distinct()
     renames = diff.where("type = 'RENAME'").select(F.col("source").alias("r_source"), F.col("target").alias("r_target"))
-
-    def moved(kind: str, include_self: bool) -> DataFrame:
-        part = changes.where(F.col("type") == kind)
-        best = containing(part.select("source"), renames, "source", "r_source", "deepest", include_self)
-        joined = part.join(best, "source", "left")
-        tail = F.col("source").substr(F.length("r_source") + 1, F.length("source"))
-        return joined.select("type", "source", F.coalesce(F.concat("r_target", tail), "source").alias("target"))
-
-    return moved("MODIFY", True).unionByName(moved("CREATE", False))
+    best = containing(changes, renames, "source", "r_source", "deepest", F.col("type") == "MODIFY", "left")
+    tail = F.col("source").substr(F.length("r_source") + 1, F.length("source"))
+    return best.select("type", "source", F.coalesce(F.concat("r_target", tail), "source").alias("target"))
 
 
 def expand_created(translated: DataFrame, renames: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -86,14 +81,14 @@ def expand_created(translated: DataFrame, renames: DataFrame, manifest: DataFram
     movers = renames.where("type = 'RENAME'").select(F.col("target").alias("moved")).distinct()
     entries = manifest.select("path")
     inside = containing(entries, tops, "path", "created", "deepest", include_self=False)
-    shadow = containing(inside.select("path"), movers, "path", "moved", "deepest")
-    kept = inside.join(shadow, "path", "left").where("moved is null or length(moved) <= length(created)")
-    return kept.select("path", "created")
+    shadowed = containing(inside, movers, "path", "moved", "deepest", how="left")
+    return shadowed.where("moved is null or length(moved) <= length(created)").select("path", "created")
 
 
 def copy_list_from_diff(diff: DataFrame, manifest: DataFrame) -> DataFrame:
     """Rows of the new tree to copy once renames and deletes are done: modified, created, and below created."""
-    translated = translate_renames(diff)
+    diff = written(diff, "diff")
+    translated = written(translate_renames(diff), "translated")
     below = expand_created(translated, diff, manifest).select("path")
     listed = translated.select(F.col("target").alias("path")).union(below).distinct()
     return manifest.join(listed, "path", "left_semi")
@@ -200,7 +195,7 @@ def plan_sync(source_from: DataFrame, source_to: DataFrame, target_from: DataFra
               options: CopyOptions) -> SyncPlan:
     """Incremental plan from snapshots when the target is unchanged, else a full comparison of the manifests."""
     if options.diff and sync_precheck(target_from, target_now, from_time, to_time):
-        diff = snapshot_diff(source_from, source_to)
+        diff = written(snapshot_diff(source_from, source_to), "diff")
         return SyncPlan("incremental", move_order(sync_ops(diff, target_root)),
                         copy_list_from_diff(diff, source_to), None)
     deletes = delete_missing(source, target) if options.delete_missing else None
