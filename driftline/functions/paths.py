@@ -11,7 +11,7 @@ CLUSTER_SCHEMES = ["file", "hdfs", "hftp", "hsftp", "webhdfs", "swebhdfs"]
 
 def strip_slash(path: Column) -> Column:
     """Drop trailing slashes; the root stays ``/``."""
-    return F.when(path.rlike("^/+$"), F.lit("/")).otherwise(F.regexp_replace(path, "/+$", ""))
+    return F.regexp_replace(path, "(?<=.)/+$", "")
 
 
 def add_slash(path: Column) -> Column:
@@ -20,13 +20,12 @@ def add_slash(path: Column) -> Column:
 
 def parent(path: Column) -> Column:
     """Directory holding ``path``; null for the root."""
-    clean = strip_slash(path)
-    above = F.regexp_extract(clean, "^(.*)/[^/]*$", 1)
-    return F.when(clean == "/", F.lit(None).cast("string")).when(above == "", F.lit("/")).otherwise(above)
+    inner = F.regexp_extract(path, "^(.*/)[^/]+/*$", 1)
+    return F.when(inner != "", strip_slash(inner))
 
 
 def name(path: Column) -> Column:
-    return F.regexp_extract(strip_slash(path), "([^/]*)$", 1)
+    return F.regexp_extract(path, "([^/]*)/*$", 1)
 
 
 def depth(path: Column) -> Column:
@@ -39,17 +38,18 @@ def prefixes(path: Column, include_self: bool = True) -> Column:
 
     ``/a/b`` gives ``[/, /a, /a/b]``. A path with no leading slash (``bucket/a``) starts at its first segment.
     """
-    clean = strip_slash(path)
-    parts = F.split(clean, "/")
-    count = F.size(parts) if include_self else F.size(parts) - 1
-    steps = F.transform(
-        F.sequence(F.lit(1), count),
-        lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
-    )
-    named = F.transform(steps, lambda p: F.when(p == "", F.lit("/")).otherwise(p))
-    if include_self:
-        return F.when(clean == "/", F.array(F.lit("/"))).otherwise(named)
-    return F.when((clean == "/") | (count < 1), F.array().cast("array<string>")).otherwise(named)
+
+    def joined(parts: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(1), F.size(parts)),
+                            lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+        if not include_self:
+            steps = F.filter(steps, lambda p: p != F.array_join(parts, "/"))
+        return F.array_distinct(F.transform(steps, lambda p: F.when(p == "", F.lit("/")).otherwise(p)))
+
+    # the split text is bound once, as the one element of an array: written out, it would be repeated at each use
+    root = F.lit("/")
+    found = F.get(F.transform(F.array(F.split(strip_slash(path), "/")), joined), 0)
+    return found if include_self else F.when(path == root, F.array().cast("array<string>")).otherwise(found)
 
 
 def is_proper_ancestor(above: Column, below: Column) -> Column:
@@ -58,14 +58,13 @@ def is_proper_ancestor(above: Column, below: Column) -> Column:
 
 
 def scheme(path: Column) -> Column:
-    """URI scheme in lower case, or null."""
-    found = F.lower(F.regexp_extract(path, "^([A-Za-z][A-Za-z0-9+.-]*):/", 1))
-    return F.when(found != "", found)
+    """URI scheme in lower case, empty for a bare path."""
+    return F.lower(F.regexp_extract(path, "^([A-Za-z][A-Za-z0-9+.-]*):/", 1))
 
 
 def is_cloud(path: Column) -> Column:
     """True for a URI whose scheme is not a cluster filesystem; a bare path is on the cluster."""
-    return F.coalesce(~scheme(path).isin(CLUSTER_SCHEMES), F.lit(False))
+    return F.coalesce(~scheme(path).isin([*CLUSTER_SCHEMES, ""]), F.lit(False))
 
 
 def uri_path(path: Column) -> Column:
@@ -73,16 +72,15 @@ def uri_path(path: Column) -> Column:
     return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
 
 
-def storage_path(path: Column) -> Column:
-    """Where a dataset lies, comparable by segments: host and path for a cloud URI, the path otherwise."""
-    cloud = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    return strip_slash(F.when(is_cloud(path), cloud).otherwise(
-        F.when(uri_path(path) == "", F.lit("/")).otherwise(uri_path(path))))
+def storage_place(path: Column) -> Column:
+    """Where a dataset lies, comparable by segments: ``/<scheme>/<host>/<path>`` on a cloud store, ``/cluster/<path>``."""
+    cloud = F.concat(F.lit("/"), scheme(path), F.lit("/"), F.regexp_replace(path, "^[^:]*:/*", ""))
+    return strip_slash(F.when(is_cloud(path), cloud).otherwise(F.concat(F.lit("/cluster"), uri_path(path))))
 
 
 def full_uri(endpoint: Column, dataset: Column) -> Column:
     """Dataset as a URI: cloud and already qualified datasets stay, bare paths get the cluster's endpoint."""
-    bare = scheme(dataset).isNull()
+    bare = scheme(dataset) == ""
     return F.when(bare, F.concat(strip_slash(endpoint), dataset)).otherwise(dataset)
 
 

@@ -65,17 +65,11 @@ def dataset_conflicts(candidates: DataFrame, existing: DataFrame, kind: str = "F
     if kind == "HIVE":
         return new.join(old, new["candidate"] == old["existing"])
 
-    def located(df: DataFrame, column: str, place: str) -> DataFrame:
-        # the scheme leads as one more segment, so equality of prefixes compares it too
-        store = F.when(paths.is_cloud(F.col(column)), paths.scheme(F.col(column))).otherwise(F.lit("cluster"))
-        where = paths.storage_path(F.col(column))
-        return df.withColumn(place, paths.strip_slash(
-            F.when(where.startswith("/"), F.concat(F.lit("/"), store, where))
-            .otherwise(F.concat(F.lit("/"), store, F.lit("/"), where))))
-
-    new, old = located(new, "candidate", "__new"), located(old, "existing", "__old")
-    # pieces carry every spelling of a place (s3://b/a and s3://b/a/), hence the distinct places first
-    inside = containing(new.select("__new").distinct(), old.select("__old").distinct(), "__new", "__old", None)
-    around = containing(old.select("__old").distinct(), new.select("__new").distinct(), "__old", "__new", None)
+    new = new.withColumn("__new", paths.storage_place(F.col("candidate")))
+    old = old.withColumn("__old", paths.storage_place(F.col("existing")))
+    # one place may be spelled in several ways (s3://b/a and s3://b/a/), hence the distinct places first
+    here, there = new.select("__new").distinct(), old.select("__old").distinct()
+    inside = containing(here, there, "__new", "__old", None)
+    around = containing(there, here, "__old", "__new", None)
     places = inside.select("__new", "__old").union(around.select("__new", "__old")).distinct()
-    return (places.join(new, "__new").join(old, "__old").select("candidate", "existing"))
+    return places.join(new, "__new").join(old, "__old").select("candidate", "existing")
