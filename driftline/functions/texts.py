@@ -18,11 +18,15 @@ MESSAGE_LIMIT, MESSAGE_KEPT, MESSAGE_MARK = 4000, 3899, " ..."
 
 def byte_text(size: Column) -> Column:
     """``1536`` to ``1.5K``; below 1024 the plain number of bytes with a B."""
-    text = F.concat(F.format_number(size.cast("double"), "0.0"), F.lit(BYTE_UNITS[0]))
+
+    def number(value: Column) -> Column:
+        return F.call_function("format_number", value, F.lit("0.0"))
+
+    text = F.concat(number(size.cast("double")), F.lit(BYTE_UNITS[0]))
     for power, unit in enumerate(BYTE_UNITS[1:], start=1):
         scaled = size / F.lit(float(1024 ** power))
         text = F.when(size >= 1024 ** power,
-                      F.concat(F.format_number(scaled, "0.0"), F.lit(unit))).otherwise(text)
+                      F.concat(number(scaled), F.lit(unit))).otherwise(text)
     return text
 
 

@@ -183,8 +183,8 @@ def mark_overlaps(instance: DataFrame) -> DataFrame:
     order = ["start_time", "id"]
     reach = running(ended, ["policy_id"], order, {"__reach": ("max", F.col("end_time"))}, inclusive=False)
     fresh = F.coalesce(F.col("start_time") >= F.col("__reach"), F.lit(True)).cast("bigint")
-    islands = running(reach.drop("__reach").withColumn("__fresh", fresh), ["policy_id"], order,
-                      {"__island": ("sum", F.col("__fresh"))}).drop("__fresh")
+    islands = running(reach.withColumn("__fresh", fresh), ["policy_id"], order,
+                      {"__island": ("sum", F.col("__fresh"))}).drop("__reach", "__fresh")
     folded = (islands.repartition("policy_id", "__island")
               .sortWithinPartitions("policy_id", "__island", *order)
               .mapInPandas(_fold_overlaps, "policy_id string, id string, start_time timestamp_ntz, "

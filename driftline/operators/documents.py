@@ -157,6 +157,9 @@ def apply_entity_transforms(entities: DataFrame, rules: list[dict]) -> DataFrame
         kind, _, attribute = lhs.rpartition(".")
         return (F.lit(True) if kind == "__entity" else F.col("type") == kind), attribute
 
+    def without(attribute: str) -> Column:
+        return F.map_filter("attributes", lambda k, _: k != attribute)
+
     for rule in rules:
         holds = F.lit(True)
         for lhs, text in rule["conditions"].items():
@@ -184,7 +187,7 @@ def apply_entity_transforms(entities: DataFrame, rules: list[dict]) -> DataFrame
             typed, attribute = scope(lhs)
             value = F.col("attributes")[attribute]
             if verb == "CLEAR":
-                changed = F.map_filter("attributes", lambda k, _, a=attribute: k != a)
+                changed = without(attribute)
             else:
                 if verb == "SET":
                     new = F.lit(argument)
@@ -196,8 +199,8 @@ def apply_entity_transforms(entities: DataFrame, rules: list[dict]) -> DataFrame
                 else:
                     raise ValueError(f"unknown action {text}")
                 put_one = F.create_map(F.lit(attribute), new)
-                rest = F.map_filter("attributes", lambda k, _, a=attribute: k != a)
-                changed = F.when(value.isNotNull() | F.lit(verb == "SET"), F.map_concat(rest, put_one)).otherwise(
+                changed = F.when(value.isNotNull() | F.lit(verb == "SET"),
+                                 F.map_concat(without(attribute), put_one)).otherwise(
                     F.col("attributes"))
             entities = entities.withColumn("attributes", F.when(holds & typed, changed).otherwise(
                 F.col("attributes")))

@@ -13,12 +13,16 @@ def hot_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner",
     """Join where one key of ``fact`` may be hot: each key is spread over ``salts`` partitions.
 
     ``dim`` is repeated once per salt, so each fact row still meets each matching row exactly once. ``spread`` picks the
-    salt of a fact row and should be unique per row; it defaults to the whole row. Valid for inner, left, left_semi
-    and left_anti.
+    salt of a fact row and should be unique per row; it defaults to the whole row. It is a value of the row, not a row
+    number, so that a task that runs again deals its rows the same way. Valid for inner, left, left_semi and left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
-    spread = F.xxhash64(*fact.columns) if spread is None else F.xxhash64(spread)
+    if spread is None:
+        # maps have no hash
+        spread = F.xxhash64(*[f.name for f in fact.schema if "map<" not in f.dataType.simpleString()])
+    else:
+        spread = F.xxhash64(spread)
     left = fact.withColumn("__salt", F.pmod(spread, F.lit(salts)).cast("int"))
     right = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "__salt"], how).drop("__salt")

@@ -145,9 +145,9 @@ def tracking_array(text: Column) -> Column:
     trimmed = F.trim(text)
     wrapped = F.when(trimmed.startswith("["), trimmed).otherwise(F.concat(F.lit("["), trimmed, F.lit("]")))
     parsed = F.from_json(F.when(trimmed != "", wrapped), TRACKING, {"mode": "PERMISSIVE"})
-    # unreadable text parses to an element without a job id
-    return F.when(F.forall(F.coalesce(parsed, F.array(F.lit(None).cast(METRIC))),
-                           lambda m: m.isNotNull() & m["jobId"].isNotNull()), parsed)
+    # unreadable text parses to an element without a job id; the parsed text is bound once, as an array's one element
+    return F.get(F.transform(F.array(parsed), lambda jobs: F.when(
+        F.forall(jobs, lambda m: m.isNotNull() & m["jobId"].isNotNull()), jobs)), 0)
 
 
 def decode_tracking(instance: DataFrame) -> DataFrame:
