@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from driftline.catalog.registry import NOW, query
+from driftline.functions.times import moment
 from driftline.operators import changes, clusters
 from driftline.sources import events
 from driftline.sources.scratch import scratch_path
@@ -121,7 +122,7 @@ SELECT id, CASE WHEN order_key % 4 = 1 AND status = 'RUNNING' THEN 'FAILED' ELSE
 def complete_runs(d):
     runs = d.policy_instance.withColumn("message", F.lit(""))
     updates = runs.where("status = 'RUNNING' and order_key % 4 = 1").select(
-        "id", F.lit("FAILED").alias("status"), F.lit(NOW).cast("timestamp_ntz").alias("end_time"),
+        "id", F.lit("FAILED").alias("status"), moment(NOW).alias("end_time"),
         F.repeat(F.lit("x"), F.lit(4100)).alias("message"))
     done = changes.apply_updates(runs, updates, ["id"])
     return done.select("id", "status", "end_time", F.length("message").alias("message_length"))
@@ -132,7 +133,7 @@ SELECT j.order_key, CASE WHEN j.status = 'SUBMITTED' AND i.status = 'KILLED' THE
 FROM job_step j LEFT JOIN policy_instance i ON i.order_key = j.order_key GROUP BY ALL""")
 def mark_open_jobs(d):
     killed = d.policy_instance.where("status = 'KILLED'").select("order_key", "status")
-    done = changes.apply_updates(d.job_step, killed, ["order_key"], only=F.col("status") == "SUBMITTED")
+    done = changes.apply_updates(d.job_step, killed, ["order_key"], only=F.col("status") == "SUBMITTED", hot=True)
     return done.groupBy("order_key", "status").agg(F.count("*").alias("jobs"))
 
 

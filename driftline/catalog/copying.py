@@ -382,7 +382,7 @@ held AS (SELECT DISTINCT CASE WHEN CAST(id AS INT) % 2 = 0 THEN source_dataset E
 
 
 @query("dataset_conflicts", "policy", CONFLICTS + """
-SELECT c.dataset AS candidate, h.dataset AS existing FROM cand c JOIN held h ON starts_with(c.dataset || '/', h.dataset || '/') OR starts_with(h.dataset || '/', c.dataset || '/')""")
+SELECT c.dataset, EXISTS (SELECT 1 FROM held h WHERE starts_with(c.dataset || '/', h.dataset || '/') OR starts_with(h.dataset || '/', c.dataset || '/')) AS conflict FROM cand c""")
 def dataset_conflicts(d):
     from driftline.operators.ancestors import dataset_conflicts as conflicts
 
@@ -395,12 +395,12 @@ def dataset_conflicts(d):
 
 
 @query("dataset_conflicts_hive", "policy", """
-SELECT DISTINCT a.tags AS candidate, a.tags AS existing FROM policy a JOIN policy b ON a.tags = b.tags AND a.type = 'HIVE' AND b.type = 'FS'""")
+SELECT DISTINCT tags AS dataset, tags IN (SELECT tags FROM policy WHERE type = 'FS' AND tags NOT LIKE 'tag1%') AS conflict FROM policy WHERE type = 'HIVE'""")
 def dataset_conflicts_hive(d):
     from driftline.operators.ancestors import dataset_conflicts as conflicts
 
     return conflicts(d.policy.where("type = 'HIVE'").select(F.col("tags").alias("dataset")),
-                     d.policy.where("type = 'FS'").select(F.col("tags").alias("dataset")), "HIVE")
+                     d.policy.where("type = 'FS' and tags not like 'tag1%'").select(F.col("tags").alias("dataset")), "HIVE")
 
 
 # ---- listings

@@ -125,9 +125,9 @@ WITH p AS (SELECT id, frequency, TIMESTAMP '2001-01-01 00:00:00' + INTERVAL 1 MI
 SELECT id, unnest(generate_series(s, e, INTERVAL 1 SECOND * frequency)) AS run_time FROM p WHERE s <= e""")
 def run_times(d):
     n = F.col("id").cast("int")
-    start = F.lit(datetime(2001, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), n % 30)
-    end = F.when(n % 4 == 0, F.lit(datetime(2001, 1, 1, 0, 20)).cast("timestamp_ntz"))
-    horizon = F.lit(datetime(2001, 1, 1, 0, 45)).cast("timestamp_ntz")
+    start = times.moment(datetime(2001, 1, 1)) + F.make_dt_interval(F.lit(0), F.lit(0), n % 30)
+    end = F.when(n % 4 == 0, times.moment(datetime(2001, 1, 1, 0, 20)))
+    horizon = times.moment(datetime(2001, 1, 1, 0, 45))
     return d.policy.select("id", F.explode(times.run_times(start, end, F.col("frequency"), horizon)).alias("run_time"))
 
 
@@ -135,5 +135,5 @@ def run_times(d):
 SELECT i.id, coalesce(i.end_time < TIMESTAMP '1998-06-01 00:00:00' + INTERVAL 1 SECOND * (p.frequency * 1000), false) AS last_run FROM policy_instance i JOIN policy p ON p.id = i.policy_id""")
 def last_run(d):
     runs = d.policy_instance.join(d.policy.select(F.col("id").alias("policy_id"), "frequency"), "policy_id")
-    now = F.lit(datetime(1998, 6, 1)).cast("timestamp_ntz")
+    now = times.moment(datetime(1998, 6, 1))
     return runs.select("id", times.is_last_run(F.col("end_time"), now, F.col("frequency") * 1000).alias("last_run"))

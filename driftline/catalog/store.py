@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from driftline.catalog.registry import NOW, query
+from driftline.functions.times import moment
 from driftline.operators import clusters, history, ordering, store
 
 DAY = datetime(2024, 1, 2)
@@ -161,8 +162,8 @@ def active_credential_policies(d):
 
 
 @query("same_source_target", "policy", """
-SELECT a.id AS wanted_id, b.id FROM policy a JOIN policy b ON a.source_dataset = b.source_dataset AND a.source_cluster = b.source_cluster AND a.target_cluster = b.target_cluster AND a.type = b.type
-WHERE b.retirement_time IS NULL AND a.retirement_time IS NOT NULL""")
+SELECT a.id AS wanted_id, count(*) AS policies FROM policy a JOIN policy b ON a.source_dataset = b.source_dataset AND a.source_cluster = b.source_cluster AND a.target_cluster = b.target_cluster AND a.type = b.type
+WHERE b.retirement_time IS NULL AND a.retirement_time IS NOT NULL GROUP BY a.id""")
 def same_source_target(d):
     return store.same_source_target(d.policy, d.policy.where("retirement_time is not null").withColumnRenamed("id", "wanted_id"))
 
@@ -243,7 +244,7 @@ def submitted(d):
     n = F.col("id").cast("int")
 
     def days(number):
-        return F.lit(NOW).cast("timestamp_ntz") + F.make_dt_interval(number.cast("int"))
+        return moment(NOW) + F.make_dt_interval(number.cast("int"))
 
     return d.policy.select(
         F.concat(F.lit("n"), "id").alias("id"), F.when(n % 11 != 0, F.concat(F.lit("new"), "id")).alias("name"), "type",
@@ -306,7 +307,7 @@ def encryption_compat(d):
 WITH asked AS (SELECT source_dataset AS dataset, min(name) AS except_name FROM policy GROUP BY source_dataset),
 fs AS (SELECT id, name, source_dataset AS dataset FROM policy WHERE type = 'FS' AND retirement_time IS NULL AND status NOT IN ('SUCCEEDED', 'FAILED')
  UNION SELECT id, name, target_dataset FROM policy WHERE type = 'FS' AND retirement_time IS NULL AND status NOT IN ('SUCCEEDED', 'FAILED'))
-SELECT f.dataset, count(*) AS policies FROM fs f JOIN asked a ON a.dataset = f.dataset AND f.name <> a.except_name GROUP BY f.dataset""")
+SELECT f.dataset, a.except_name, count(*) AS policies FROM fs f JOIN asked a ON a.dataset = f.dataset AND f.name <> a.except_name GROUP BY ALL""")
 def dataset_in_use(d):
     asked = d.policy.groupBy(F.col("source_dataset").alias("dataset")).agg(F.min("name").alias("except_name"))
     return store.dataset_in_use(d.policy, asked)

@@ -43,7 +43,8 @@ def progress_columns():
     n = F.col("event_id")
     return [F.col("user_id").cast("string").alias("run_id"), n.alias("seq"),
             F.concat(F.lit("Job"), F.floor(n / 400).cast("string")).alias("job_id"),
-            (n * 7 % 101).cast("double").alias("percent"), (n % 50 == 0).alias("finished")]
+            (n * 7 % 101).cast("double").alias("percent"), (n % 50 == 0).alias("finished"),
+            F.col("ts").cast("timestamp").alias("event_time")]
 
 
 PROGRESS_ORACLE = """

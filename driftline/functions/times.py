@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ AGE_UNITS_MS = {
 WEEK_DAYS = {"SUN": 1, "MON": 2, "TUE": 3, "WED": 4, "THU": 5, "FRI": 6, "SAT": 7}
 
 
+def moment(at: datetime) -> Column:
+    """A zone-free timestamp literal, whatever the session's or the machine's time zone."""
+    return F.expr(f"TIMESTAMP_NTZ '{at.replace(tzinfo=None).isoformat(sep=' ')}'")
+
+
 def age_ms(expression: Column) -> Column:
     """``days(3)`` to milliseconds; anything else is null."""
     unit = F.regexp_extract(expression, "^\\s*([a-z]+)\\(\\s*(\\d+)\\s*\\)\\s*$", 1)
@@ -79,7 +86,8 @@ def last_year(now: Column, month: int = 0, day: int = 0, hours: int = 0, minutes
 
 
 def parse_iso(text: Column) -> Column:
-    return F.try_to_timestamp(text, F.lit(ISO_FORMAT)).cast("timestamp_ntz")
+    """ISO text to a time; text of another form is null."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"), text.try_cast("timestamp_ntz"))
 
 
 def format_iso(time: Column) -> Column:

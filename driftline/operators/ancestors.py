@@ -55,21 +55,22 @@ def exact_zone(df: DataFrame, zones: DataFrame, path: str = "path", zone: str =
 
 def dataset_conflicts(candidates: DataFrame, existing: DataFrame, kind: str = "FS",
                       dataset: str = "dataset") -> DataFrame:
-    """(candidate, existing) pairs that cover each other.
+    """(dataset, conflict) for each candidate: is it covered by, or does it cover, an existing dataset.
 
     Databases conflict when equal. Paths conflict when equal, ancestor or descendant by whole segments, both on a cluster
-    or both on a cloud store with the same scheme.
+    or both on a cloud store with the same scheme. A candidate is looked up among the prefixes of all existing paths and
+    the other way round, so pairs are never listed.
     """
-    new = candidates.select(F.col(dataset).alias("candidate")).distinct()
-    old = existing.select(F.col(dataset).alias("existing")).distinct()
+    new = candidates.select(F.col(dataset).alias("dataset")).distinct()
+    old = existing.select(F.col(dataset).alias("dataset")).distinct()
     if kind == "HIVE":
-        return new.join(old, new["candidate"] == old["existing"])
+        hit = old.withColumn("__hit", F.lit(True))
+        return new.join(hit, "dataset", "left").select("dataset", F.coalesce("__hit", F.lit(False)).alias("conflict"))
 
-    new = new.withColumn("__new", paths.storage_place(F.col("candidate")))
-    old = old.withColumn("__old", paths.storage_place(F.col("existing")))
-    # one place may be spelled in several ways (s3://b/a and s3://b/a/), hence the distinct places first
-    here, there = new.select("__new").distinct(), old.select("__old").distinct()
-    inside = containing(here, there, "__new", "__old", None)
-    around = containing(there, here, "__old", "__new", None)
-    places = inside.select("__new", "__old").union(around.select("__new", "__old")).distinct()
-    return places.join(new, "__new").join(old, "__old").select("candidate", "existing")
+    new = new.withColumn("__place", paths.storage_place(F.col("dataset")))
+    held = old.select(paths.storage_place(F.col("dataset")).alias("__held")).distinct()
+    covers = held.select(F.explode(paths.prefixes(F.col("__held"))).alias("__place")).distinct().withColumn(
+        "__covers", F.lit(True))
+    covered = containing(new, held, "__place", "__held", "shallowest", how="left")
+    both = hot_join(covered, covers, ["__place"], "left", spread=F.col("dataset"))
+    return both.select("dataset", (F.col("__held").isNotNull() | F.col("__covers").isNotNull()).alias("conflict"))

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.texts import stored_message
+from driftline.functions.times import moment
 from driftline.operators.joins import hot_join
 from driftline.operators.ordering import latest_per_key, numbered, running
+from driftline.sources.scratch import written
 
 # Statuses that end a policy.
 COMPLETED = ["SUCCEEDED", "FAILED", "SUCCEEDEDWITHSKIPPED", "FAILEDWITHSKIPPED", "SUSPENDEDFORINTERVENTION"]
@@ -61,7 +63,7 @@ def retention_purge(policy: DataFrame, prop: DataFrame, instance: DataFrame, job
 
     Runs and jobs go with their parent whatever their own retirement time. Events stay.
     """
-    limit = F.lit(now - timedelta(days=days)).cast("timestamp_ntz")
+    limit = moment(now - timedelta(days=days))
     old = policy.where(F.col("retirement_time") < limit).select(F.col("id").alias("policy_id"))
     runs_gone = hot_join(instance, old, ["policy_id"], "left_semi", spread=F.col("id"))
     return {
@@ -74,21 +76,22 @@ def retention_purge(policy: DataFrame, prop: DataFrame, instance: DataFrame, job
 
 def purge_rows(df: DataFrame, before: datetime) -> DataFrame:
     """What is kept of a table when each row goes by its own retirement time."""
-    limit = F.lit(before).cast("timestamp_ntz")
+    limit = moment(before)
     return df.where(F.col("retirement_time").isNull() | (F.col("retirement_time") >= limit))
 
 
 def soft_delete(policy: DataFrame, instance: DataFrame, job: DataFrame, names: DataFrame, at: datetime,
                 status: str = "DELETED") -> dict[str, DataFrame]:
     """Retire the active policies of the given names with their active runs and jobs."""
-    moment = F.lit(at).cast("timestamp_ntz")
+    when = moment(at)
     hit = policy.join(names.select("name").distinct(), "name", "left_semi").where("retirement_time is null")
     ids = hit.select(F.col("id").alias("policy_id"), F.lit(True).alias("__hit"))
 
     def retire(df: DataFrame, marks: DataFrame, on: str, with_status: bool) -> DataFrame:
-        marked = hot_join(df, marks, [on], "left")
+        # a policy is one row, but may have very many runs and jobs
+        marked = df.join(marks, on, "left") if on == "id" else hot_join(df, marks, [on], "left")
         due = F.col("__hit").isNotNull() & F.col("retirement_time").isNull()
-        values = {"retirement_time": F.when(due, moment).otherwise(F.col("retirement_time"))}
+        values = {"retirement_time": F.when(due, when).otherwise(F.col("retirement_time"))}
         if with_status:
             values["status"] = F.when(due, F.lit(status)).otherwise(F.col("status"))
         return marked.withColumns(values).select(*df.columns)
@@ -103,17 +106,18 @@ def soft_delete(policy: DataFrame, instance: DataFrame, job: DataFrame, names: D
 
 
 def apply_updates(table: DataFrame, updates: DataFrame, keys: list[str], increment: list[str] | None = None,
-                  clear: list[str] | None = None, only: Column | None = None) -> DataFrame:
+                  clear: list[str] | None = None, only: Column | None = None, hot: bool = False) -> DataFrame:
     """Bulk update: non-null values of ``updates`` replace those of ``table`` (messages are cut to the stored length).
 
     Columns in ``increment`` go up by one, those in ``clear`` become null. ``only`` restricts the rows that may change,
-    as in "jobs that have not ended". ``updates`` has one row per key.
+    as in "jobs that have not ended". ``updates`` has one row per key; ``hot`` tells that ``table`` may have very many of
+    one key, as jobs of a run.
     """
     changed = [c for c in updates.columns if c not in keys]
     if unknown := set(changed) - set(table.columns):
         raise ValueError(f"no such columns: {sorted(unknown)}")
     new = updates.select(*keys, *[F.col(c).alias(f"__{c}") for c in changed], F.lit(True).alias("__hit"))
-    both = hot_join(table, new, keys, "left")
+    both = hot_join(table, new, keys, "left") if hot else table.join(new, keys, "left")
     hit = F.col("__hit").isNotNull()
     if only is not None:
         hit = hit & F.coalesce(only, F.lit(False))
@@ -139,7 +143,7 @@ def recover_interrupted(policy: DataFrame, instance: DataFrame, unresumed: DataF
 
     If the policy was deleted, the run takes its status and retirement; otherwise it is KILLED, ended and retired now.
     """
-    moment = F.lit(at).cast("timestamp_ntz")
+    when = moment(at)
     owners = policy.select(F.col("id").alias("policy_id"), F.col("status").alias("p_status"),
                            F.col("retirement_time").alias("p_retired"))
     open_runs = instance.join(unresumed.select("id").distinct(), "id", "left_semi")
@@ -147,8 +151,8 @@ def recover_interrupted(policy: DataFrame, instance: DataFrame, unresumed: DataF
     gone = F.col("p_status") == "DELETED"
     updates = closed.select(
         "id", F.when(gone, F.lit("DELETED")).otherwise(F.lit("KILLED")).alias("status"),
-        moment.alias("end_time"),
-        F.when(gone, F.col("p_retired")).otherwise(moment).alias("retirement_time"))
+        when.alias("end_time"),
+        F.when(gone, F.col("p_retired")).otherwise(when).alias("retirement_time"))
     return apply_updates(instance, updates, ["id"])
 
 
@@ -185,10 +189,10 @@ def mark_overlaps(instance: DataFrame) -> DataFrame:
     fresh = F.coalesce(F.col("start_time") >= F.col("__reach"), F.lit(True)).cast("bigint")
     islands = running(reach.withColumn("__fresh", fresh), ["policy_id"], order,
                       {"__island": ("sum", F.col("__fresh"))}).drop("__reach", "__fresh")
-    folded = (islands.repartition("policy_id", "__island")
-              .sortWithinPartitions("policy_id", "__island", *order)
-              .mapInPandas(_fold_overlaps, "policy_id string, id string, start_time timestamp_ntz, "
-                                           "end_time timestamp_ntz, blocked_by string"))
+    folded = written(
+        islands.repartition("policy_id", "__island").sortWithinPartitions("policy_id", "__island", *order)
+        .mapInPandas(_fold_overlaps, "policy_id string, id string, start_time timestamp_ntz, "
+                                     "end_time timestamp_ntz, blocked_by string"), "folded")
     # runs that have not ended: the first that no ended run blocks goes on, and everything after it is skipped.
     # Accepted runs do not overlap, so the latest one that started before decides.
     accepted = folded.where("blocked_by is null").select("policy_id", "id", "start_time", "end_time")
@@ -227,7 +231,7 @@ def apply_entity_changes(entity: DataFrame, edits: DataFrame, key: str, at: date
     """Active entities after edits: non-null fields replace, ``change_id`` goes up by one."""
     only = F.col("retirement_time").isNull() if "retirement_time" in entity.columns else None
     if at is not None and "last_modified_time" in entity.columns:
-        edits = edits.withColumn("last_modified_time", F.lit(at).cast("timestamp_ntz"))
+        edits = edits.withColumn("last_modified_time", moment(at))
     counted = ["change_id"] if "change_id" in entity.columns else []
     return apply_updates(entity, edits, [key], increment=counted, only=only)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions import paths
-from driftline.functions.times import format_iso
+from driftline.functions.times import format_iso, moment
 from driftline.operators.joins import hot_join
 from driftline.sources.access_policies import RESOURCE_OF
 
@@ -56,7 +56,7 @@ def rehome_policies(policies: DataFrame, mapping: DataFrame | tuple[str, str], k
 
 def describe_imports(policies: DataFrame, source: Column, at: datetime, user: str = "replication") -> DataFrame:
     """Put name, source and date into the description."""
-    when = format_iso(F.lit(at).cast("timestamp_ntz"))
+    when = format_iso(moment(at))
     text = F.concat(F.col("name"), F.lit(f" created by {user} while importing from "), source, F.lit(" on "), when)
     return policies.withColumn("description", text)
 
@@ -68,7 +68,7 @@ def deny_policies(datasets: DataFrame, kind: str, at: datetime, user: str = "rep
     for databases all tables and columns.
     """
     rows = datasets.where(F.col("service").isNotNull() & (F.col("service") != ""))
-    when = format_iso(F.lit(at).cast("timestamp_ntz"))
+    when = format_iso(moment(at))
     source, target = _clean(F.col("source_dataset")), _clean(F.col("target_dataset"))
 
     def resource(values: Column, recursive: bool) -> Column:

@@ -106,9 +106,9 @@ def list_credentials(credential: DataFrame, filter_by: str | None = None, order_
 def events_between(event: DataFrame, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Inclusive bounds; a bound that is not given does not restrict."""
     if start is not None:
-        event = event.where(F.col("event_time") >= F.lit(start).cast("timestamp_ntz"))
+        event = event.where(F.col("event_time") >= times.moment(start))
     if end is not None:
-        event = event.where(F.col("event_time") <= F.lit(end).cast("timestamp_ntz"))
+        event = event.where(F.col("event_time") <= times.moment(end))
     return event
 
 
@@ -192,10 +192,13 @@ def active_credential_policies(policy: DataFrame, prop: DataFrame, credentials:
 
 
 def same_source_target(policy: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Active policies with the source dataset, clusters and type of a wanted row (which has its own ``wanted_id``)."""
+    """(wanted_id, policies): how many active policies have a wanted row's source dataset, clusters and type.
+
+    Policies are counted per key first, so each wanted row meets one row however many policies share its key.
+    """
     keys = ["source_dataset", "source_cluster", "target_cluster", "type"]
-    return hot_join(active(policy).select("id", *keys), wanted.select("wanted_id", *keys), keys).select(
-        "wanted_id", "id")
+    counts = active(policy).groupBy(*keys).agg(F.count("*").alias("policies"))
+    return hot_join(wanted.select("wanted_id", *keys), counts, keys).select("wanted_id", "policies")
 
 
 def policies_for_type(policy: DataFrame, kind: str) -> DataFrame:
@@ -228,14 +231,19 @@ def policies_to_schedule(policy: DataFrame, scheduled: DataFrame, local: str) ->
 
 
 def dataset_in_use(policy: DataFrame, datasets: DataFrame) -> DataFrame:
-    """(dataset, policies) used as source or target by other running FS policies.
+    """(dataset, except_name, policies): how many other running FS policies use the dataset as source or target.
 
     ``datasets`` is (dataset, except_name): the policy of that name does not count.
     """
     fs = policies_for_type(policy, "FS").select(
         "id", "name", F.explode(F.array_distinct(F.array("source_dataset", "target_dataset"))).alias("dataset"))
-    used = hot_join(fs, datasets.select("dataset", "except_name"), ["dataset"])
-    return used.where("name <> except_name").groupBy("dataset").agg(F.count("*").alias("policies"))
+    per_name = fs.groupBy("dataset", "name").agg(F.count("*").alias("__own"))
+    totals = per_name.groupBy("dataset").agg(F.sum("__own").alias("__all"))
+    asked = hot_join(datasets.select("dataset", "except_name"), totals, ["dataset"])
+    own = per_name.withColumnRenamed("name", "except_name")
+    others = F.col("__all") - F.coalesce("__own", F.lit(0))
+    both = hot_join(asked, own, ["dataset", "except_name"], "left")
+    return both.select("dataset", "except_name", others.alias("policies")).where("policies > 0")
 
 
 POLICY_FIELDS = {
@@ -281,7 +289,7 @@ def validate_policies(new: DataFrame, policy: DataFrame, now: datetime, zones: D
     ``new`` has id, name, type, source_cluster, target_cluster, source_dataset, target_dataset, frequency, start_time,
     end_time, cloud_credential; ``zones`` are encryption zones (path, key_name).
     """
-    moment = F.lit(now).cast("timestamp_ntz")
+    moment = times.moment(now)
 
     def blank(column: str) -> Column:
         return F.col(column).isNull() | (F.trim(F.col(column)) == "")
@@ -313,8 +321,8 @@ def validate_policies(new: DataFrame, policy: DataFrame, now: datetime, zones: D
     def clash(kind: str) -> DataFrame:
         mine = new.where(F.col("type") == kind).select("id", F.col("target_dataset").alias("dataset"))
         theirs = policies_for_type(policy, kind).select(F.col("target_dataset").alias("dataset"))
-        hits = dataset_conflicts(mine, theirs, kind).select(F.col("candidate").alias("dataset")).distinct()
-        return mine.join(hits, "dataset", "left_semi").select("id", F.lit("target_in_replication").alias("rule"))
+        hits = dataset_conflicts(mine, theirs, kind).where("conflict").select("dataset")
+        return hot_join(mine, hits, ["dataset"], "left_semi").select("id", F.lit("target_in_replication").alias("rule"))
 
     for kind in ("FS", "HIVE"):
         report = report.unionByName(clash(kind))

@@ -41,12 +41,12 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
                                     F.when(renamed, F.lit("RENAME")), F.when(modified, F.lit("MODIFY"))))
     changed = both.where(F.size(kinds) > 0).withColumn("type", F.explode(kinds))
 
-    # one directory may hold a large part of all changes: joins on the parent are salted
+    # one directory may hold a large part of all changes: the join on the parent is salted. Only directories are parents.
     by_parent = changed.withColumn("__parent", F.when(F.col("type") == "CREATE", F.col("n_parent_id"))
                                    .when(F.col("type") == "DELETE", F.col("o_parent_id")))
-    parents = both.where("coalesce(o_is_dir, n_is_dir)").select(
-        F.col("file_id").alias("__parent"), F.col("o_path").alias("p_old"), F.col("n_path").alias("p_new"),
-        F.lit(True).alias("p_known"))
+    parents = (old.where("is_dir").select(F.col("file_id").alias("__parent"), F.col("path").alias("p_old"))
+               .join(new.where("is_dir").select(F.col("file_id").alias("__parent"), F.col("path").alias("p_new")),
+                     "__parent", "full_outer").withColumn("p_known", F.lit(True)))
     placed = hot_join(by_parent, parents, ["__parent"], "left", spread=F.col("file_id"))
     covered = (((F.col("type") == "CREATE") & F.col("p_old").isNull())
                | ((F.col("type") == "DELETE") & F.col("p_new").isNull())) & F.col("p_known")
@@ -163,7 +163,7 @@ def latest_snapshot(snapshots: DataFrame, prefix: Column) -> DataFrame:
 def evict_snapshots(snapshots: DataFrame, keep: int, max_age: str, now: datetime, prefix: str = "") -> DataFrame:
     """Snapshots to delete: older than ``max_age`` (as ``days(3)``) and not among the newest ``keep`` of their dataset."""
     ours = snapshots.where(F.col("name").startswith(prefix))
-    limit = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(
+    limit = times.moment(now) - F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), (times.age_ms(F.lit(max_age)) / 1000).cast("decimal(18,6)"))
     old = ours.where(F.col("mtime") < limit)
     if keep <= 0:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
+import re
 import time
 from collections.abc import Iterator
 
@@ -74,3 +76,35 @@ def remove(fs: pafs.FileSystem, path: str) -> bool:
     except FileNotFoundError:
         return False
     return True
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """``a{b,c}`` to ``ab`` and ``ac``."""
+    braces = re.search(r"\{([^{}]*)\}", pattern)
+    if not braces:
+        return [pattern]
+    head, tail = pattern[:braces.start()], pattern[braces.end():]
+    return [p for word in braces.group(1).split(",") for p in _alternatives(head + word + tail)]
+
+
+def expand(pattern: str) -> list[str]:
+    """Existing paths, as URIs like the pattern, that match it; only directories of its wild segments are listed."""
+    found: list[str] = []
+    for one in _alternatives(pattern):
+        wild = re.search(r"[*?\[]", one)
+        if not wild:
+            fs, path = open_root(one)
+            found += [one] if kind(fs, path).type != pafs.FileType.NotFound else []
+            continue
+        fixed, rest = one[:wild.start()].rsplit("/", 1)
+        segments = (rest + one[wild.start():]).split("/")
+        level = [fixed]
+        for segment in segments:
+            below = []
+            for place in level:
+                fs, path = open_root(place or "/")
+                entries = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+                below += [f"{place}/{e.base_name}" for e in entries if fnmatch.fnmatchcase(e.base_name, segment)]
+            level = below
+        found += level
+    return sorted(set(found))

@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.functions.times import moment
+
 LINE_ORDER = ["block", "nth"]
 
 
@@ -30,9 +32,9 @@ def read_logs(spark: SparkSession, folder: str, start: datetime, end: datetime,
     stamp = F.regexp_extract(stem, "\\.(\\d{4}-\\d{2}-\\d{2}-\\d{2})$", 1)
     current = F.lit(now.strftime("%Y-%m-%d-%H"))
     hour = F.when(stamp == "", current).otherwise(stamp)
-    opens = F.to_timestamp(hour, "yyyy-MM-dd-HH").cast("timestamp_ntz")
+    opens = F.to_timestamp_ntz(hour, F.lit("yyyy-MM-dd-HH"))
     closes = opens + F.expr("INTERVAL '1' HOUR")
-    low, high = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    low, high = moment(start), moment(end)
     overlaps = opens.between(low, high) | closes.between(low, high)
     lines = spark.read.text(folder).where(overlaps & F.col("_metadata.file_name").startswith(prefix))
     return lines.select(

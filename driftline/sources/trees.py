@@ -81,27 +81,31 @@ def scan_tree(spark: SparkSession, roots: list[str] | DataFrame, expand_rounds:
     return found
 
 
-def scan_globs(spark: SparkSession, patterns: list[str], recurse: bool = True) -> DataFrame:
-    """Roots matching Hadoop glob patterns, listed as by :func:`scan_tree`. A pattern without a match is an error."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    roots: list[str] = []
-    for pattern in patterns:
-        path = jvm.org.apache.hadoop.fs.Path(pattern)
-        matches = path.getFileSystem(conf).globStatus(path)
-        if matches is None or len(matches) == 0:
-            raise FileNotFoundError(f"no path matches {pattern}")
-        roots += [m.getPath().toString() for m in matches]
-    return scan_tree(spark, roots, None if recurse else 0)
+def _expand_roots(batches):
+    for batch in batches:
+        found = []
+        for pattern in batch["pattern"]:
+            matches = files.retried(lambda: files.expand(pattern))
+            if not matches:
+                raise FileNotFoundError(f"no path matches {pattern}")
+            found += matches
+        yield pd.DataFrame({"root": found})
 
 
-def scan_from_list(spark: SparkSession, list_path: str) -> DataFrame:
-    """As :func:`scan_globs` for the patterns in a text file, one per line; blank lines are left out.
+def scan_globs(spark: SparkSession, patterns: list[str] | DataFrame, expand_rounds: int | None = None) -> DataFrame:
+    """Roots matching glob patterns (``*``, ``?``, ``[ab]``, ``{a,b}``), listed as by :func:`scan_tree`.
 
-    The file names copy roots, not files, so it is short; it is expanded on the driver like any list of input paths.
+    ``patterns`` is a list, or a DataFrame with ``pattern``. A pattern that matches nothing is an error.
     """
-    lines = spark.read.text(list_path).select(F.trim("value").alias("v")).where("v <> ''")
-    return scan_globs(spark, [r["v"] for r in lines.toLocalIterator()])
+    wanted = spark.createDataFrame([(p,) for p in patterns], "pattern string") if isinstance(patterns, list) else patterns
+    dealt = spread(wanted.select("pattern").distinct(), F.xxhash64("pattern"))
+    return scan_tree(spark, written(dealt.mapInPandas(_expand_roots, "root string"), "roots"), expand_rounds)
+
+
+def scan_from_list(spark: SparkSession, list_path: str) -> DataFrame:
+    """As :func:`scan_globs` for the patterns in a text file, one per line; blank lines are left out."""
+    lines = spark.read.text(list_path).select(F.trim("value").alias("pattern")).where("pattern <> ''")
+    return scan_globs(spark, lines)
 
 
 def with_rel_path(listed: DataFrame, mode: str = "copy", target_exists: bool = True,

@@ -13,9 +13,11 @@ from driftline.plans.copying import exclude_find
 from driftline.sources.events import classify_events
 from driftline.sources.scratch import scratch_path
 
-PROGRESS_PARTIAL = "run_id string, job_id string, percent double, seq long, last_seq long, finished boolean"
+PROGRESS_PARTIAL = ("run_id string, job_id string, percent double, seq long, last_seq long, finished boolean, "
+                    "event_time timestamp")
 PROGRESS_OUT = "run_id string, seq long, job_id string, percent double"
 PROGRESS_STATE = "job_id string, percent double, seq long, last_seq long"
+KEEP_FINISHED_MS, KEEP_OPEN_MS = 60_000, 24 * 3_600_000
 
 
 def stream_events(stream: DataFrame, sink: str, checkpoint: str, delay: str = "1 hour"):
@@ -34,7 +36,7 @@ def _best_per_job(frame: pd.DataFrame) -> pd.DataFrame:
     ordered = frame.sort_values(["percent", "seq"])
     groups = ordered.assign(job_id=ordered["job_id"].str.lower()).groupby(["run_id", "job_id"], as_index=False)
     return groups.agg(percent=("percent", "last"), seq=("seq", "last"), last_seq=("last_seq", "max"),
-                      finished=("finished", "max"))
+                      finished=("finished", "max"), event_time=("event_time", "max"))
 
 
 def _reduce_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,29 +51,31 @@ def _keep_latest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState)
         return
     news = _best_per_job(pd.concat(frames))
     top = news.sort_values("last_seq").iloc[-1]
+    best = (top["job_id"], float(top["percent"]), int(top["seq"]), int(top["last_seq"]))
     old = state.get if state.exists else None
-    job, percent, seq, last = top["job_id"], float(top["percent"]), int(top["seq"]), int(top["last_seq"])
-    if old is not None and last < old[3] and job != old[0]:
-        return
-    if old is not None and job == old[0] and percent < old[1]:
-        state.update((old[0], old[1], old[2], max(last, old[3])))
-        return
-    state.update((job, percent, seq, last))
-    # a finished run may still get late rows; its state goes when the timeout passes
-    state.setTimeoutDuration(60_000 if bool(top["finished"]) else 24 * 3_600_000)
-    yield pd.DataFrame({"run_id": [key[0]], "seq": [seq], "job_id": [job], "percent": [percent]})
-
-
-def stream_progress(stream: DataFrame) -> DataFrame:
+    stale = old is not None and (
+        best[1] < old[1] if best[0] == old[0] else best[3] < old[3])
+    kept = (*old[:3], max(best[3], old[3])) if stale else best
+    state.update(kept)
+    # a finished run may still get late rows; its state goes when the watermark has passed it
+    keep = KEEP_FINISHED_MS if bool(top["finished"]) else KEEP_OPEN_MS
+    seen = int(news["event_time"].max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(seen + keep, state.getCurrentWatermarkMs() + 1))
+    if not stale:
+        yield pd.DataFrame({"run_id": [key[0]], "seq": [kept[2]], "job_id": [kept[0]], "percent": [kept[1]]})
+
+
+def stream_progress(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Latest progress per run as a stream of changes: (run_id, seq, job_id, percent).
 
-    ``stream`` has run_id, seq, job_id, percent, finished. Each input batch is first reduced to one row per run and job,
-    so a run with very many rows sends few of them to its state, which is one row per run.
+    ``stream`` has run_id, seq, job_id, percent, finished, event_time. Each input batch is first reduced to one row per
+    run and job, so a run with very many rows sends few of them to its state, which is one row per run. States go once the
+    watermark passes them.
     """
-    reduced = stream.select("run_id", "job_id", "percent", "seq", "finished").mapInPandas(
-        _reduce_batches, PROGRESS_PARTIAL)
+    rows = stream.select("run_id", "job_id", "percent", "seq", "finished", "event_time")
+    reduced = rows.mapInPandas(_reduce_batches, PROGRESS_PARTIAL).withWatermark("event_time", delay)
     return reduced.groupBy("run_id").applyInPandasWithState(
-        _keep_latest, PROGRESS_OUT, PROGRESS_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+        _keep_latest, PROGRESS_OUT, PROGRESS_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_progress(rows: DataFrame) -> DataFrame:
