@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftline.functions.texts import stored_message
 from driftline.functions.times import moment
 from driftline.operators.joins import hot_join
-from driftline.operators.ordering import latest_per_key, numbered, running
+from driftline.operators.ordering import fold, latest_per_key, numbered, placed, running
 from driftline.sources.scratch import written
 
 # Statuses that end a policy.
@@ -185,10 +185,10 @@ def mark_overlaps(instance: DataFrame) -> DataFrame:
     runs = instance.select("policy_id", "id", "start_time", "end_time")
     ended = runs.where("end_time is not null")
     order = ["start_time", "id"]
-    reach = running(ended, ["policy_id"], order, {"__reach": ("max", F.col("end_time"))}, inclusive=False)
+    rows = placed(ended, ["policy_id"], order)
+    reach = fold(rows, ["policy_id"], order, {"__reach": ("max", F.col("end_time"))}, inclusive=False)
     fresh = F.coalesce(F.col("start_time") >= F.col("__reach"), F.lit(True)).cast("bigint")
-    islands = running(reach.withColumn("__fresh", fresh), ["policy_id"], order,
-                      {"__island": ("sum", F.col("__fresh"))}).drop("__reach", "__fresh")
+    islands = fold(reach, ["policy_id"], order, {"__island": ("sum", fresh)}).drop("__reach", "__part")
     folded = written(
         islands.repartition("policy_id", "__island").sortWithinPartitions("policy_id", "__island", *order)
         .mapInPandas(_fold_overlaps, "policy_id string, id string, start_time timestamp_ntz, "

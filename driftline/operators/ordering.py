@@ -13,42 +13,54 @@ from driftline.sources.scratch import written
 FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]],
-            inclusive: bool = True) -> DataFrame:
-    """Running sum, max or min per ``keys`` in ``order`` without one task ever holding a whole key.
+def placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows range-partitioned by keys and order, written once so that partition numbers (``__part``) stay fixed."""
+    ranged = df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id())
+    return written(ranged, "placed")
 
-    ``values`` maps each new column to (fold, expression). The rows are range-partitioned by keys and order and written
-    once, so that partition numbers stay fixed; each partition folds its own rows, and what earlier partitions add to a
-    key is joined from a table with at most one row per partition. ``order`` must be unique within a key.
-    """
-    inputs = {f"__in_{new}": expr for new, (_, expr) in values.items()}
-    ranged = df.withColumns(inputs).repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id())
-    rows = written(ranged, "running")
 
+def fold(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]],
+         inclusive: bool = True) -> DataFrame:
+    """Running sum, max or min over rows of :func:`placed`; ``values`` maps each new column to (fold, expression).
+
+    Each partition folds its own rows, and what earlier partitions add to a key is joined from a table with at most one
+    row per partition. May be applied again to its own result.
+    """
+    given = rows.columns
+    rows = rows.withColumns({f"__in_{new}": expr for new, (_, expr) in values.items()})
     group = [*keys, "__part"]
     totals = rows.groupBy(*group).agg(
-        *[FOLDS[fold](f"__in_{new}").alias(f"__sum_{new}") for new, (fold, _) in values.items()])
+        *[FOLDS[how](f"__in_{new}").alias(f"__sum_{new}") for new, (how, _) in values.items()])
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
         *group,
         F.row_number().over(Window.partitionBy(*keys).orderBy("__part")).alias("__nth"),
-        *[FOLDS[fold](f"__sum_{new}").over(before).alias(f"__carry_{new}") for new, (fold, _) in values.items()],
+        *[FOLDS[how](f"__sum_{new}").over(before).alias(f"__carry_{new}") for new, (how, _) in values.items()],
     ).where("__nth > 1").drop("__nth")
 
     upto = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     local = rows.withColumns(
-        {f"__here_{new}": FOLDS[fold](f"__in_{new}").over(inside) for new, (fold, _) in values.items()})
+        {f"__here_{new}": FOLDS[how](f"__in_{new}").over(inside) for new, (how, _) in values.items()})
     # at most one key reaches into a partition from the left: the table has no more rows than there are partitions
     joined = local.join(F.broadcast(carry), group, "left")
 
-    def total(new: str, fold: str) -> Column:
+    def total(new: str, how: str) -> Column:
         here, carried = F.col(f"__here_{new}"), F.col(f"__carry_{new}")
-        if fold == "sum":
+        if how == "sum":
             return F.coalesce(here, F.lit(0)) + F.coalesce(carried, F.lit(0))
-        return F.greatest(here, carried) if fold == "max" else F.least(here, carried)
+        return F.greatest(here, carried) if how == "max" else F.least(here, carried)
+
+    return joined.select(*given, *[total(new, how).alias(new) for new, (how, _) in values.items()])
 
-    return joined.select(*df.columns, *[total(new, fold).alias(new) for new, (fold, _) in values.items()])
+
+def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]],
+            inclusive: bool = True) -> DataFrame:
+    """Running sum, max or min per ``keys`` in ``order`` without one task ever holding a whole key.
+
+    ``order`` must be unique within a key. See :func:`placed` and :func:`fold`.
+    """
+    return fold(placed(df, keys, order), keys, order, values, inclusive).drop("__part")
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], into: str) -> DataFrame:

@@ -13,6 +13,12 @@ PROGRESS = ("total bigint, completed bigint, exportTotal bigint, exportCompleted
 METRIC = f"struct<jobId:string,jobType:string,progress:struct<{PROGRESS.replace(' bigint', ':bigint').replace(' string', ':string').replace(' double', ':double').replace(', ', ',')}>>"
 TRACKING = f"array<{METRIC}>"
 
+# Fields of the JSON in a query log line.
+LOG_FIELDS = ("dumpType string, loadType string, estimatedNumTables bigint, estimatedNumEvents bigint, "
+              "actualNumTables bigint, actualNumEvents bigint, numTables bigint, numEvents bigint, "
+              "tablesDumpProgress string, eventsDumpProgress string, tablesLoadProgress string, "
+              "eventsLoadProgress string")
+
 # Share of the export in a run's percentage, and of the first phase in a bootstrap.
 EXPORT_SHARE, BOOTSTRAP_SHARE = 10.0, 0.9
 
@@ -49,26 +55,27 @@ def parse_query_log(lines: DataFrame) -> DataFrame:
     ``kind`` is BOOTSTRAP or INCREMENTAL on START and END lines. Lines of another form have no event.
     """
     pattern = r"^\w+\s+:\s+.*REPL::([A-Z_]+): (\{.*)$"
-    event = F.regexp_extract("line", pattern, 1)
-    text = F.regexp_extract("line", pattern, 2)
+    read = lines.select("run_id", "action", "seq", F.regexp_extract("line", pattern, 1).alias("word"),
+                        F.from_json(F.regexp_extract("line", pattern, 2), LOG_FIELDS).alias("j"))
+    event = F.col("word")
 
-    def number(*names: str) -> Column:
-        return F.coalesce(*[F.get_json_object(text, f"$.{n}").cast("bigint") for n in names], F.lit(0))
+    def number(name: str) -> Column:
+        return F.coalesce(F.col(f"j.{name}"), F.lit(0))
 
     export = F.col("action") == "EXPORT"
-    kind = F.when(export, F.get_json_object(text, "$.dumpType")).otherwise(F.get_json_object(text, "$.loadType"))
+    kind = F.when(export, F.col("j.dumpType")).otherwise(F.col("j.loadType"))
     tables = F.when(export, F.when(event == "START", number("estimatedNumTables")).otherwise(
         number("actualNumTables"))).otherwise(number("numTables"))
     events = F.when(export, F.when(event == "START", number("estimatedNumEvents")).otherwise(
         number("actualNumEvents"))).otherwise(number("numEvents"))
     counted = F.when(kind == "BOOTSTRAP", tables).otherwise(events)
-    pair = F.coalesce(*[F.when(event == name, F.get_json_object(text, f"$.{field}")) for name, field in (
+    pair = F.coalesce(*[F.when(event == name, F.col(f"j.{field}")) for name, field in (
         ("TABLE_DUMP", "tablesDumpProgress"), ("EVENT_DUMP", "eventsDumpProgress"),
         ("TABLE_LOAD", "tablesLoadProgress"), ("EVENT_LOAD", "eventsLoadProgress"))])
     done, total = progress_pair(pair)
     steps = event.isin("TABLE_DUMP", "EVENT_DUMP", "TABLE_LOAD", "EVENT_LOAD")
     ends = event.isin("START", "END")
-    return lines.select(
+    return read.select(
         "run_id", "action", "seq", F.when(event != "", event).alias("event"),
         F.when(ends, kind).alias("kind"),
         F.when(ends, counted).when(steps, total).alias("total"),
@@ -152,8 +159,8 @@ def tracking_array(text: Column) -> Column:
 
 def decode_tracking(instance: DataFrame) -> DataFrame:
     """(id, nth, job_id, job_type, progress fields) per tracked job; a run with blank text gives no rows."""
-    known = instance.where(F.trim("tracking_info") != "").select("id", tracking_array(F.col("tracking_info")).alias("m"))
-    rows = known.where("m is not null").select("id", F.posexplode("m").alias("nth", "m"))
+    # text that is blank or unreadable has no array, and nothing comes out of it
+    rows = instance.select("id", F.posexplode(tracking_array(F.col("tracking_info"))).alias("nth", "m"))
     return rows.select("id", "nth", F.col("m.jobId").alias("job_id"), F.col("m.jobType").alias("job_type"),
                        "m.progress.*")
 
@@ -172,10 +179,10 @@ def tracking_update(instance: DataFrame, updates: DataFrame) -> DataFrame:
     """
     new = updates.select("id", F.col("job_type").alias("__type"), F.col("metric").alias("__metric"))
     both = instance.join(new, "id", "left")
-    old = tracking_array(F.col("tracking_info"))
-    metric = F.from_json("__metric", METRIC)
-    joined = F.concat(F.slice(old, 1, 1), F.array(metric))
+    # named step by step: written as one expression, each use would read the text again
+    read = both.withColumns({"__old": F.when(F.col("__type") == "RECOVERY", tracking_array(F.col("tracking_info"))),
+                             "__new": F.from_json("__metric", METRIC)})
+    one, two = F.to_json("__new"), F.to_json(F.concat(F.slice("__old", 1, 1), F.array("__new")))
     text = (F.when(F.col("__metric").isNull(), F.col("tracking_info"))
-            .when((F.col("__type") == "RECOVERY") & old.isNotNull(), F.to_json(joined))
-            .otherwise(F.to_json(metric)))
-    return both.withColumn("tracking_info", text).drop("__type", "__metric")
+            .when(F.col("__old").isNotNull(), two).otherwise(one))
+    return read.withColumn("tracking_info", text).drop("__type", "__metric", "__old", "__new")
