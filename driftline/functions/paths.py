@@ -47,9 +47,8 @@ def prefixes(path: Column, include_self: bool = True) -> Column:
         return F.array_distinct(F.transform(steps, lambda p: F.when(p == "", F.lit("/")).otherwise(p)))
 
     # the split text is bound once, as the one element of an array: written out, it would be repeated at each use
-    root = F.lit("/")
     found = F.get(F.transform(F.array(F.split(strip_slash(path), "/")), joined), 0)
-    return found if include_self else F.when(path == root, F.array().cast("array<string>")).otherwise(found)
+    return found if include_self else F.when(path.rlike("^/+$"), F.array().cast("array<string>")).otherwise(found)
 
 
 def is_proper_ancestor(above: Column, below: Column) -> Column:
