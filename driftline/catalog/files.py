@@ -178,7 +178,7 @@ def list_directory_of_files(d):
 @query("read_logs", "log_line", """
 SELECT count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars, count(DISTINCT file) AS files
 FROM (SELECT line, strftime(ts, '%Y-%m-%d-%H') AS file, date_trunc('hour', ts) AS h FROM log_line JOIN events ON event_id = line_no)
-WHERE h + INTERVAL 1 HOUR BETWEEN TIMESTAMP '2024-01-02 05:30:00' AND TIMESTAMP '2024-01-03 07:10:00' OR h BETWEEN TIMESTAMP '2024-01-02 05:30:00' AND TIMESTAMP '2024-01-03 07:10:00'""")
+WHERE h + INTERVAL 1 HOUR >= TIMESTAMP '2024-01-02 05:30:00' AND h <= TIMESTAMP '2024-01-03 07:10:00'""")
 def read_logs(d):
     """Log lines written to one file per hour, every other one compressed, then read back for a range of time."""
     place = scratch_path(d.spark, "logs")

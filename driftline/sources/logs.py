@@ -35,7 +35,7 @@ def read_logs(spark: SparkSession, folder: str, start: datetime, end: datetime,
     opens = F.to_timestamp_ntz(hour, F.lit("yyyy-MM-dd-HH"))
     closes = opens + F.expr("INTERVAL '1' HOUR")
     low, high = moment(start), moment(end)
-    overlaps = opens.between(low, high) | closes.between(low, high)
+    overlaps = (opens <= high) & (closes >= low)
     lines = spark.read.text(folder).where(overlaps & F.col("_metadata.file_name").startswith(prefix))
     return lines.select(
         F.col("_metadata.file_name").alias("file"),
