@@ -35,11 +35,16 @@ def containing(df: DataFrame, zones: DataFrame, path: str, zone: str, pick: str
 
 
 def ancestor_join(df: DataFrame, zones: DataFrame, path: str = "path", zone: str = "path",
-                  pick: str = "shallowest", include_self: bool = True) -> DataFrame:
-    """Every row of ``df`` with the columns of the zone that contains its path, null where none does."""
+                  pick: str = "shallowest", include_self: bool = True, unique: bool = False) -> DataFrame:
+    """Every row of ``df`` with the columns of the zone that contains its path, null where none does.
+
+    With ``unique`` the paths are known to be distinct (and no column is a map), which saves joining back.
+    """
     if pick not in ("shallowest", "deepest"):
         raise ValueError(f"pick must be shallowest or deepest, not {pick}")
     renamed = zones.select(*[F.col(c).alias(f"zone_{c}") for c in zones.columns])
+    if unique:
+        return containing(df, renamed, path, f"zone_{zone}", pick, include_self, "left")
     distinct = df.select(path).where(F.col(path).isNotNull()).distinct()
     best = containing(distinct, renamed, path, f"zone_{zone}", pick, include_self)
     return hot_join(df, best, [path], "left")

@@ -20,7 +20,7 @@ def list_directory(manifest: DataFrame, path: str, zones: DataFrame, snapshot_di
     total = level.count()
     named = level.withColumn("name", paths.name(F.col("path"))).where(F.col("name").contains(name_filter))
     kept = named if cap == -1 else named.orderBy("name").limit(cap)
-    zoned = ancestor_join(kept, zones.select("path", "key_name"))
+    zoned = ancestor_join(kept, zones.select("path", "key_name"), unique=True)
     marked = exact_zone(zoned, snapshot_dirs)
     return marked.select("path", "name", "is_dir", "length", F.col("zone_key_name").alias("encryption_key"),
                          F.col("in_zone").alias("snapshottable"), F.lit(total).cast("bigint").alias("total"))

@@ -98,12 +98,16 @@ def sort_listing(manifest: DataFrame) -> DataFrame:
     return manifest.orderBy("rel_path")
 
 
-def balance_by_bytes(manifest: DataFrame, n: int) -> DataFrame:
-    """Adds ``part``: contiguous parts, in path order, of about total/n bytes each."""
-    total = manifest.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("total")).first()["total"]
+def balance_by_bytes(manifest: DataFrame, n: int, at_least: int = 0) -> DataFrame:
+    """Adds ``part``, from 0 to n-1: contiguous parts, in path order, of about total/n bytes each.
+
+    ``at_least`` is the size a file counts for at the least, so that many empty files do not all fall into one part.
+    """
+    weight = F.greatest(F.col("length"), F.lit(at_least).cast("bigint"))
+    total = manifest.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("total")).first()["total"]
     size = max(math.ceil(total / n), 1)
-    placed = running(manifest, [], ["rel_path"], {"__before": ("sum", F.col("length"))}, inclusive=False)
-    return placed.withColumn("part", F.floor(F.col("__before") / F.lit(size)).cast("bigint")).drop("__before")
+    before = running(manifest, [], ["rel_path"], {"__before": ("sum", weight)}, inclusive=False)
+    return before.withColumn("part", F.floor(F.col("__before") / F.lit(size)).cast("bigint")).drop("__before")
 
 
 # Chunk settings of a listing that copy tasks share.

@@ -23,6 +23,14 @@ MOVE_FOLDER = ".moving"
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(type, source, target) between two snapshots (file_id, parent_id, name, path, is_dir, checksum).
 
+    The result is written: it is small beside the snapshots, and all that follows reads it more than once.
+    """
+    return written(_compare(old, new), "diff")
+
+
+def _compare(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The change set, not yet computed.
+
     Entries are matched by file id; a rename is a change of (parent_id, name), so the children of a renamed directory are
     not listed. Only the top of a created or deleted subtree is listed. All source paths are in the names of the old
     snapshot, also for an entry created inside a directory that was renamed since.
@@ -87,7 +95,6 @@ def expand_created(translated: DataFrame, renames: DataFrame, manifest: DataFram
 
 def copy_list_from_diff(diff: DataFrame, manifest: DataFrame) -> DataFrame:
     """Rows of the new tree to copy once renames and deletes are done: modified, created, and below created."""
-    diff = written(diff, "diff")
     translated = written(translate_renames(diff), "translated")
     below = expand_created(translated, diff, manifest).select("path")
     listed = translated.select(F.col("target").alias("path")).union(below).distinct()
@@ -187,7 +194,7 @@ def sync_precheck(target_from: DataFrame, target_now: DataFrame, from_time: date
     """True if a diff can be used: the target is as it was at ``from`` and the snapshots are in time order."""
     if (from_time < to_time) if reverse else (from_time > to_time):
         raise ValueError("snapshots are in the wrong time order")
-    return snapshot_diff(target_from, target_now).isEmpty()
+    return _compare(target_from, target_now).isEmpty()
 
 
 def plan_sync(source_from: DataFrame, source_to: DataFrame, target_from: DataFrame, target_now: DataFrame,
@@ -195,7 +202,7 @@ def plan_sync(source_from: DataFrame, source_to: DataFrame, target_from: DataFra
               options: CopyOptions) -> SyncPlan:
     """Incremental plan from snapshots when the target is unchanged, else a full comparison of the manifests."""
     if options.diff and sync_precheck(target_from, target_now, from_time, to_time):
-        diff = written(snapshot_diff(source_from, source_to), "diff")
+        diff = snapshot_diff(source_from, source_to)
         return SyncPlan("incremental", move_order(sync_ops(diff, target_root)),
                         copy_list_from_diff(diff, source_to), None)
     deletes = delete_missing(source, target) if options.delete_missing else None

@@ -23,6 +23,11 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
         base = _local_folders.setdefault(context.applicationId, "")
         if not base:
             base = _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="driftline-")
+    if "://" not in base and not base.startswith("file:"):
+        # a bare path is on the default filesystem: spelled out, file work in tasks finds it there too
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        if not default.startswith("file:"):
+            base = default.rstrip("/") + base
     return f"{base.rstrip('/')}/driftline/{purpose}-{uuid.uuid4().hex}"
 
 
