@@ -115,6 +115,21 @@ def soft_delete_jobs(d):
     return deleted(d)["instance_job"].select("order_key", "status", "retirement_time")
 
 
+@query("retire_clusters", "cluster", """
+SELECT name, version, CASE WHEN name IN ('cl1', 'cl4') AND retirement_time IS NULL THEN TIMESTAMP '2001-09-01 00:00:00' ELSE retirement_time END AS retirement_time FROM cluster""")
+def retire_clusters(d):
+    rows = d.cluster
+    return changes.retire(rows, rows.where("name in ('cl1', 'cl4')"), ["name"], NOW).select("name", "version", "retirement_time")
+
+
+@query("update_pair_status", "cluster_pair", "SELECT cluster, paired_cluster, CASE WHEN cluster = 'cl0' THEN 'UNPAIRED' ELSE status END AS status FROM cluster_pair")
+def update_pair_status(d):
+    keys = ["cluster", "version", "paired_cluster", "paired_version"]
+    pairs = d.cluster_pair
+    updates = pairs.where("cluster = 'cl0'").select(*keys, F.lit("UNPAIRED").alias("status"))
+    return changes.apply_updates(pairs, updates, keys).select("cluster", "paired_cluster", "status")
+
+
 @query("complete_runs", "policy_instance", """
 SELECT id, CASE WHEN order_key % 4 = 1 AND status = 'RUNNING' THEN 'FAILED' ELSE status END AS status,
  CASE WHEN order_key % 4 = 1 AND status = 'RUNNING' THEN TIMESTAMP '2001-09-01 00:00:00' ELSE end_time END AS end_time,

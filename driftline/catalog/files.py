@@ -1,5 +1,6 @@
 """Jobs on real files: the documents are written as files below a scratch folder first."""
 
+import gzip
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from driftline.operators import listing
 from driftline.plans import copying, execute, snapshots
 from driftline.plans.options import CopyOptions
 from driftline.sources import logs, trees
-from driftline.sources.scratch import scratch_path
+from driftline.sources.files import make_parent, open_root
+from driftline.sources.scratch import scratch_path, written
 
 
 def contents(d):
@@ -176,51 +178,34 @@ def list_directory_of_files(d):
 
 
 @query("read_logs", "log_line", """
-SELECT count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars, count(DISTINCT file) AS files
-FROM (SELECT line, strftime(ts, '%Y-%m-%d-%H') AS file, date_trunc('hour', ts) AS h FROM log_line JOIN events ON event_id = line_no)
+SELECT count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars, count(DISTINCT h) AS hours
+FROM (SELECT line, date_trunc('hour', ts) AS h FROM log_line JOIN events ON event_id = line_no)
 WHERE h + INTERVAL 1 HOUR >= TIMESTAMP '2024-01-02 05:30:00' AND h <= TIMESTAMP '2024-01-03 07:10:00'""")
 def read_logs(d):
-    """Log lines written to one file per hour, every other one compressed, then read back for a range of time."""
+    """Log lines written to files by hour, every other hour compressed, then read back for a range of time."""
     place = scratch_path(d.spark, "logs")
     lines = d.log_line.join(d.table("events").select(F.col("event_id").alias("line_no"), "ts"), "line_no")
-    files = lines.select(F.date_format("ts", "yyyy-MM-dd-HH").alias("hour"), "line_no", "line")
-    rows = logs_to_files(files, place)
-    rows.count()
-    found = logs.read_logs(d.spark, place, datetime(2024, 1, 2, 5, 30), datetime(2024, 1, 3, 7, 10), datetime(2024, 3, 1), "server.log")
-    return found.agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"), F.countDistinct("file").alias("files"))
+    write_logs(lines.select(F.date_format("ts", "yyyy-MM-dd-HH").alias("hour"), "line_no", "line"), place)
+    found = logs.read_logs(d.spark, place, datetime(2024, 1, 2, 5, 30), datetime(2024, 1, 3, 7, 10), datetime(2024, 3, 1), "server")
+    hour = F.regexp_extract("file", r"log\.([0-9-]+)", 1)
+    return found.agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"), F.countDistinct(hour).alias("hours"))
 
 
-def logs_to_files(lines, place):
-    """One file per hour; a log of one hour is one file by its nature."""
-    import gzip
-
-    import pandas as pd
-
-    from driftline.sources import files
+def write_logs(lines, place):
+    """One file per hour and batch, as many hosts would write them, so that no task holds a whole hour."""
 
     def write(frames):
-        # rows come sorted by hour and line: a file ends where the hour changes
-        fs, base = files.open_root(place)
-        hour, buffer = None, []
-
-        def flush():
-            if hour is None:
-                return
-            data = ("\n".join(buffer) + "\n").encode()
-            name = f"{base}/server.log.{hour}"
-            if int(hour[-2:]) % 2:
-                name, data = name + ".gz", gzip.compress(data)
-            files.make_parent(fs, name)
-            with fs.open_output_stream(name, compression=None) as out:
-                out.write(data)
-
+        fs, base = open_root(place)
         for frame in frames:
-            for h, line in zip(frame["hour"], frame["line"]):
-                if h != hour:
-                    flush()
-                    hour, buffer = h, []
-                buffer.append(line)
-        flush()
-        yield pd.DataFrame({"done": [1]})
-
-    return lines.repartition("hour").sortWithinPartitions("hour", "line_no").mapInPandas(write, "done int")
+            for hour, part in frame.groupby("hour"):
+                data = ("\n".join(part.sort_values("line_no")["line"]) + "\n").encode()
+                # the first line number tells the files of an hour apart, also when a task runs again
+                name = f"{base}/server-{part['line_no'].min()}.log.{hour}"
+                if int(hour[-2:]) % 2:
+                    name, data = name + ".gz", gzip.compress(data)
+                make_parent(fs, name)
+                with fs.open_output_stream(name, compression=None) as out:
+                    out.write(data)
+            yield frame[["line_no"]]
+
+    written(lines.mapInPandas(write, "line_no bigint"), "log-lines")

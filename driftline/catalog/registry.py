@@ -1,4 +1,9 @@
-"""The named queries, each with the SQL that checks it where SQL can."""
+"""The named queries, each with the SQL that checks it.
+
+Every query runs over whole tables. Where the tables lack a state that an operator needs (which files the target misses,
+which policies are submitted anew, which runs are closed), a condition such as ``key % 5 = 0`` plays its part; it decides
+what a row is, not how many rows are worked on.
+"""
 
 from __future__ import annotations
 

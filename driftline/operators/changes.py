@@ -87,7 +87,7 @@ def soft_delete(policy: DataFrame, instance: DataFrame, job: DataFrame, names: D
     hit = policy.join(names.select("name").distinct(), "name", "left_semi").where("retirement_time is null")
     ids = hit.select(F.col("id").alias("policy_id"), F.lit(True).alias("__hit"))
 
-    def retire(df: DataFrame, marks: DataFrame, on: str, with_status: bool) -> DataFrame:
+    def close(df: DataFrame, marks: DataFrame, on: str, with_status: bool) -> DataFrame:
         # a policy is one row, but may have very many runs and jobs
         marked = df.join(marks, on, "left") if on == "id" else hot_join(df, marks, [on], "left")
         due = F.col("__hit").isNotNull() & F.col("retirement_time").isNull()
@@ -99,12 +99,20 @@ def soft_delete(policy: DataFrame, instance: DataFrame, job: DataFrame, names: D
     runs = hot_join(instance.where("retirement_time is null"), ids, ["policy_id"], "left_semi").select(
         "order_key", F.lit(True).alias("__hit"))
     return {
-        "policy": retire(policy, ids.withColumnRenamed("policy_id", "id"), "id", True),
-        "policy_instance": retire(instance, ids, "policy_id", False),
-        "instance_job": retire(job, runs, "order_key", False),
+        "policy": close(policy, ids.withColumnRenamed("policy_id", "id"), "id", True),
+        "policy_instance": close(instance, ids, "policy_id", False),
+        "instance_job": close(job, runs, "order_key", False),
     }
 
 
+def retire(df: DataFrame, wanted: DataFrame, keys: list[str], at: datetime) -> DataFrame:
+    """Retire the active rows of the wanted keys, as when a cluster is deleted."""
+    marks = wanted.select(*keys).distinct().withColumn("__hit", F.lit(True))
+    due = F.col("__hit").isNotNull() & F.col("retirement_time").isNull()
+    return df.join(marks, keys, "left").withColumn(
+        "retirement_time", F.when(due, moment(at)).otherwise(F.col("retirement_time"))).select(*df.columns)
+
+
 def apply_updates(table: DataFrame, updates: DataFrame, keys: list[str], increment: list[str] | None = None,
                   clear: list[str] | None = None, only: Column | None = None, hot: bool = False) -> DataFrame:
     """Bulk update: non-null values of ``updates`` replace those of ``table`` (messages are cut to the stored length).

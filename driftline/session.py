@@ -13,6 +13,8 @@ SETTINGS = {
     # copies write files, so a second attempt of a running task is never wanted
     "spark.speculation": "false",
     "spark.ui.enabled": "false",
+    # do not record the Python call site of every column expression
+    "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
 
