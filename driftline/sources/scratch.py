@@ -44,6 +44,10 @@ def spread(df: DataFrame, by: Column, tasks: int | None = None) -> DataFrame:
     For steps that do file work per row: such rows are small, and adaptive execution would otherwise merge them into one
     partition and with them all the work into one task.
     """
-    session = df.sparkSession
-    count = tasks or max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    return df.repartition(count, by)
+    context = df.sparkSession.sparkContext
+    if tasks is None:
+        tasks = context.defaultParallelism
+        if not context.master.startswith("local"):
+            # a cluster may still be growing, so its present cores are no measure
+            tasks = max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, by)
