@@ -359,11 +359,11 @@ def diff_properties_policy(d):
 
 @query("validate_pairs", "cluster cluster_pair", """
 WITH j AS (SELECT p.cluster, p.version, p.paired_cluster, p.paired_version, a.hdfs AS h1, b.hdfs AS h2, a.hdfs AND a.ha AS x1, b.hdfs AND b.ha AS x2, a.hive AS v1, b.hive AS v2,
- a.ranger AS r1, b.ranger AS r2, a.kerberos AS k1, b.kerberos AS k2, a.nameservice AS n1, b.nameservice AS n2 FROM cluster_pair p JOIN cluster a ON a.name = p.cluster AND a.version = p.version
+ a.acl_service AS r1, b.acl_service AS r2, a.kerberos AS k1, b.kerberos AS k2, a.nameservice AS n1, b.nameservice AS n2 FROM cluster_pair p JOIN cluster a ON a.name = p.cluster AND a.version = p.version
  JOIN cluster b ON b.name = p.paired_cluster AND b.version = p.paired_version)
 SELECT cluster, version, paired_cluster, paired_version, rule, severity FROM (
  SELECT *, 'hdfs' AS rule, 'warn' AS severity FROM j WHERE h1 <> h2 UNION ALL SELECT *, 'ha', 'warn' FROM j WHERE x1 <> x2 UNION ALL SELECT *, 'hive', 'warn' FROM j WHERE v1 <> v2
- UNION ALL SELECT *, 'ranger', 'warn' FROM j WHERE r1 <> r2 UNION ALL SELECT *, 'kerberos', 'error' FROM j WHERE k1 <> k2
+ UNION ALL SELECT *, 'acl_service', 'warn' FROM j WHERE r1 <> r2 UNION ALL SELECT *, 'kerberos', 'error' FROM j WHERE k1 <> k2
  UNION ALL SELECT *, 'same_nameservice', 'error' FROM j WHERE x1 AND x2 AND n1 = n2)""")
 def validate_pairs(d):
     return clusters.validate_pairs(d.cluster_pair, d.cluster)

@@ -52,10 +52,10 @@ def diff_properties(stored: DataFrame, incoming: DataFrame, keys: list[str], det
 def validate_pairs(pair: DataFrame, flags: DataFrame) -> DataFrame:
     """Compatibility of the two ends of each pair: one row per broken rule with its severity.
 
-    ``flags`` is (name, version, hdfs, ha, hive, ranger, kerberos, nameservice). A Kerberos mismatch and a nameservice
+    ``flags`` is (name, version, hdfs, ha, hive, acl_service, kerberos, nameservice). A Kerberos mismatch and a nameservice
     both highly available ends share are errors; the other rules only warn.
     """
-    names = ["hdfs", "ha", "hive", "ranger", "kerberos", "nameservice"]
+    names = ["hdfs", "ha", "hive", "acl_service", "kerberos", "nameservice"]
     left = flags.select(F.col("name").alias("cluster"), "version", *[F.col(c).alias(f"l_{c}") for c in names])
     right = flags.select(F.col("name").alias("paired_cluster"), F.col("version").alias("paired_version"),
                          *[F.col(c).alias(f"r_{c}") for c in names])
@@ -65,7 +65,7 @@ def validate_pairs(pair: DataFrame, flags: DataFrame) -> DataFrame:
         ("hdfs", "warn", F.col("l_hdfs") != F.col("r_hdfs")),
         ("ha", "warn", ha_l != ha_r),
         ("hive", "warn", F.col("l_hive") != F.col("r_hive")),
-        ("ranger", "warn", F.col("l_ranger") != F.col("r_ranger")),
+        ("acl_service", "warn", F.col("l_acl_service") != F.col("r_acl_service")),
         ("kerberos", "error", F.col("l_kerberos") != F.col("r_kerberos")),
         ("same_nameservice", "error", ha_l & ha_r & (F.col("l_nameservice") == F.col("r_nameservice"))),
     ]

@@ -80,7 +80,7 @@ SELECT CAST(user_id AS STRING) AS owner_id, 'k' || CAST(2 + event_id % 6 AS STRI
 FROM {events} WHERE user_id % 3 <> 1 GROUP BY user_id, event_id % 6""",
     "cluster": """
 SELECT 'cl' || CAST(n_nationkey % 5 AS STRING) AS name, CAST(1 + (n_nationkey - n_nationkey % 5) / 5 AS INT) AS version, n_name AS description, n_nationkey = 20 AS local,
- n_nationkey % 2 = 0 AS hdfs, n_nationkey % 3 = 0 AS ha, n_nationkey % 4 <> 1 AS hive, n_nationkey % 5 <> 2 AS ranger, n_nationkey % 7 < 4 AS kerberos,
+ n_nationkey % 2 = 0 AS hdfs, n_nationkey % 3 = 0 AS ha, n_nationkey % 4 <> 1 AS hive, n_nationkey % 5 <> 2 AS acl_service, n_nationkey % 7 < 4 AS kerberos,
  'ns' || CAST(n_nationkey % 4 AS STRING) AS nameservice,
  CASE WHEN n_nationkey < 20 THEN TIMESTAMP '1999-06-01 00:00:00' END AS retirement_time
 FROM {nation}""",
