@@ -1,17 +1,15 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A block is the distinct words of one batch of texts. All words of a block are laid out behind one another as symbols; an
-inverted index leads from each mergeable pair to the places where it stands. Merges are replayed over the whole block
-in rank order, and each merge touches only the two neighbours of the places it is applied to. Words that a task has met
-before are taken from a memo of bounded size, so a word is replayed once per task as a rule and no words are shuffled.
+Spark splits the texts; a task then works on a block, the distinct words of one Arrow batch. All words of a block are
+laid out behind one another as symbols; an inverted index leads from each mergeable pair to the places where it stands.
+Merges are replayed over the whole block in rank order, and each merge touches only the two neighbours of the places it
+is applied to. Words that the worker has met before come from a memo of bounded size, so no words are shuffled.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: words a task remembers; beyond it the memo starts anew, which costs time only
-MEMO_WORDS = 400_000
-#: characters of text replayed as one block; one longer text is a block of its own
-BLOCK_CHARS = 4_000_000
+#: words a worker remembers; beyond it the memo starts anew, which costs time only
+MEMO_WORDS = 1_000_000
+#: words of up to so many bytes are merged in step, longer ones through the inverted index
+STEPPED = 64
+#: the rank of a pair that joins to no token
+NONE = np.int64(1 << 62)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -32,140 +32,265 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """Token ids of each word.
-
-    In every word the pair of lowest rank is merged first, the leftmost of equal ones; a word that is a token itself is
-    that token.
-    """
-    found: list[list[int]] = [[]] * len(words)
-    open_words = []
-    for at, word in enumerate(words):
-        if (whole := ranks.get(word)) is not None:
-            found[at] = [whole]
-        elif word:
-            open_words.append(at)
-    symbols: list[bytes | None] = []
-    bounds = []
-    for at in open_words:
-        bounds.append(len(symbols))
-        symbols.extend(words[at][i:i + 1] for i in range(len(words[at])))
-        symbols.append(None)  # nothing merges across the end of a word
-    size = len(symbols)
-    after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-    index: dict[int, list[int]] = {}  # rank of the joined pair -> places of its left symbol
-    get = ranks.get
-    for i in range(size - 1):
-        left, right = symbols[i], symbols[i + 1]
-        if left is not None and right is not None and (rank := get(left + right)) is not None:
-            index.setdefault(rank, []).append(i)
-    queue = list(index)
-    heapq.heapify(queue)
-    tokens = {rank: token for token, rank in ranks.items()} if not isinstance(ranks, Vocabulary) else ranks.tokens
-    while queue:
-        rank = heapq.heappop(queue)
-        places = index.pop(rank, None)
-        if places is None:
-            continue
-        places.sort()
-        token = tokens[rank]
-        for n, i in enumerate(places):
-            left = symbols[i]
-            j = after[i] if left is not None else size
-            right = symbols[j] if j < size else None
-            if left is None or right is None or left + right != token:
-                continue  # a neighbour's merge has used one of the two
-            symbols[i], symbols[j] = token, None
-            k = after[j]
-            after[i] = k
-            if k < size:
-                before[k] = i
-            lower = False
-            if k < size and (right := symbols[k]) is not None and (new := get(token + right)) is not None:
-                if new not in index:
-                    heapq.heappush(queue, new)
-                index.setdefault(new, []).append(i)
-                lower |= new < rank
-            h = before[i]
-            if h >= 0 and (left := symbols[h]) is not None and (new := get(left + token)) is not None:
-                if new not in index:
-                    heapq.heappush(queue, new)
-                index.setdefault(new, []).append(h)
-                lower |= new < rank
-            if lower and n + 1 < len(places):
-                # a pair of lower rank has come up: it goes before the rest of this rank
-                index.setdefault(rank, []).extend(places[n + 1:])
-                heapq.heappush(queue, rank)
-                break
-    for start, at in zip(bounds, open_words):
-        ids, i = [], start
-        while symbols[i] is not None:
-            ids.append(ranks[symbols[i]])
-            i = after[i]
-        found[at] = ids
-    return found
-
-
-class Vocabulary(dict):
-    """Ranks by token; ``tokens`` leads back."""
+class Vocabulary:
+    """Ranks of tokens, and of each pair of tokens that joins to a token."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__(ranks)
-        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        self.ranks = ranks
+        tokens = [b""] * (max(ranks.values()) + 1)
+        self.pairs: dict[int, int] = {}
         for token, rank in ranks.items():
-            self.tokens[rank] = token
+            tokens[rank] = token
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << 32 | right] = rank
+        #: whether no merge can bring up a pair of lower rank than its own
+        self.rising = all(rank > max(pair >> 32, pair & 0xFFFFFFFF) for pair, rank in self.pairs.items())
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_pairs = np.array([[ranks.get(bytes([a, b]), NONE) for b in range(256)] for a in range(256)], np.int64)
+        keys = np.fromiter(self.pairs, np.int64, len(self.pairs))
+        order = np.argsort(keys)
+        self.pair_keys = keys[order]
+        self.pair_ranks = np.fromiter(self.pairs.values(), np.int64, len(self.pairs))[order]
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words behind one another, and the number of ids of each.
+
+        In every word the pair of lowest rank is merged first, the leftmost of equal ones; a word that is a token
+        itself is that token.
+        """
+        counts = np.ones(len(words), np.int64)
+        whole = [self.ranks.get(word, -1) for word in words]
+        ids = np.array(whole, np.int64)
+        rest = np.flatnonzero(ids < 0)
+        if not len(rest):
+            return ids, counts
+        sizes = np.array([len(words[i]) for i in rest], np.int64)
+        parts = []
+        for chosen, merge in ((sizes <= STEPPED, self._step), (sizes > STEPPED, self._merge)):
+            if chosen.any():
+                parts.append((rest[chosen], *merge([words[i] for i in rest[chosen]], sizes[chosen])))
+        for places, _, made in parts:
+            counts[places] = made
+        starts = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int64)
+        known = np.flatnonzero(ids >= 0)
+        out[starts[known]] = ids[known]
+        for places, flat, made in parts:
+            out[_spread(starts[places], made)] = flat
+        return out, counts
+
+    def _laid_out(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all words, -1 after each word; the rank of the pair at each place, else NONE; the words' ends."""
+        laid = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
+        ends = np.cumsum(sizes + 1) - 1
+        symbols = self.byte_ids[laid]
+        symbols[ends] = -1
+        ranks = np.full(len(laid), NONE)
+        ranks[:-1] = self.byte_pairs[laid[:-1], laid[1:]]
+        ranks[ends] = NONE
+        ranks[ends - 1] = NONE
+        return symbols, ranks, ends
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NONE where the pair joins to no token."""
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where((right >= 0) & (self.pair_keys[at] == keys), self.pair_ranks[at], NONE)
+
+    def _step(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Replay over many short words: each step applies to every word that is open its pair of lowest rank."""
+        symbols, ranks, ends = self._laid_out(words, sizes)
+        starts = ends - sizes
+        numbers = np.arange(len(words))
+        counts = np.zeros(len(words), np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(numbers):
+            lowest = np.minimum.reduceat(ranks, starts)
+            finished = lowest == NONE
+            if finished.any():
+                runs = np.diff(np.append(starts, len(symbols)))
+                over = np.repeat(finished, runs)
+                kept = symbols[over]
+                done.append((numbers[finished], kept[kept >= 0]))
+                counts[numbers[finished]] = runs[finished] - 1
+                symbols, ranks = symbols[~over], ranks[~over]
+                numbers, runs, lowest = numbers[~finished], runs[~finished], lowest[~finished]
+                starts = np.cumsum(runs) - runs
+                if not len(numbers):
+                    break
+            runs = np.diff(np.append(starts, len(symbols)))
+            hits = np.flatnonzero(ranks == np.repeat(lowest, runs))
+            word = np.searchsorted(starts, hits, side="right") - 1
+            first = np.ones(len(hits), bool)
+            first[1:] = word[1:] != word[:-1]
+            places = hits[first]
+            # the right one of the pair goes; every open word loses one symbol
+            symbols[places] = lowest
+            stay = np.ones(len(symbols), bool)
+            stay[places + 1] = False
+            symbols, ranks = symbols[stay], ranks[stay]
+            shift = np.arange(len(places))
+            places, starts = places - shift, starts - shift
+            ranks[places] = self._joined(symbols[places], symbols[places + 1])
+            inner = places > starts
+            left = places[inner] - 1
+            ranks[left] = self._joined(symbols[left], symbols[left + 1])
+        flat = np.empty(int(counts.sum()), np.int64)
+        offsets = np.cumsum(counts) - counts
+        for which, ids in done:
+            flat[_spread(offsets[which], counts[which])] = ids
+        return flat, counts
+
+    def _merge(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Replay over long words: an inverted index by rank, and links between the symbols that are left.
+
+        A symbol that was joined to its left neighbour becomes -2.
+        """
+        laid, ranks, ends = self._laid_out(words, sizes)
+        symbols = laid.tolist()
+        places_of_pairs = np.flatnonzero(ranks != NONE)
+        order = places_of_pairs[np.argsort(ranks[places_of_pairs], kind="stable")]
+        levels, cuts = np.unique(ranks[order], return_index=True)
+        index = {int(level): part.tolist() for level, part in zip(levels, np.split(order, cuts[1:]))}
+        queue = list(index)
+        heapq.heapify(queue)
+        size, pairs, rising = len(symbols), self.pairs.get, self.rising
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        after[-1] = size - 1  # the last symbol is an end of a word, which joins with nothing
+        while queue:
+            rank = heapq.heappop(queue)
+            places = index.pop(rank, None)
+            if places is None:
+                continue
+            places.sort()
+            for n, i in enumerate(places):
+                left = symbols[i]
+                j = after[i]
+                right = symbols[j]
+                if left < 0 or right < 0 or pairs(left << 32 | right) != rank:
+                    continue  # a neighbour's merge has used one of the two
+                symbols[i], symbols[j] = rank, -2
+                k, h = after[j], before[i]
+                after[i] = k
+                before[k] = i
+                lowest = rank + 1
+                right = symbols[k]
+                if right >= 0 and (new := pairs(rank << 32 | right)) is not None:
+                    if new in index:
+                        index[new].append(i)
+                    else:
+                        index[new] = [i]
+                        heapq.heappush(queue, new)
+                    lowest = new
+                if h >= 0 and (left := symbols[h]) >= 0 and (new := pairs(left << 32 | rank)) is not None:
+                    if new in index:
+                        index[new].append(h)
+                    else:
+                        index[new] = [h]
+                        heapq.heappush(queue, new)
+                    lowest = min(lowest, new)
+                if not rising and lowest < rank and n + 1 < len(places):
+                    # a pair of lower rank has come up: it goes before the rest of this rank
+                    index.setdefault(rank, []).extend(places[n + 1:])
+                    heapq.heappush(queue, rank)
+                    break
+        done = np.array(symbols, np.int64)
+        alive = np.concatenate([[0], np.cumsum(done >= 0)])
+        return done[done >= 0], alive[ends] - alive[ends - sizes]
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each row of ids."""
+        flat = np.asarray(ids.flatten(), np.int64)
+        if len(flat) and (flat.min() < 0 or flat.max() >= len(self.lengths) or not self.lengths[flat].all()):
+            raise ValueError("an id is not in the vocabulary")
+        lengths = self.lengths[flat]
+        data = self.bytes[_spread(self.starts[flat], lengths)]
+        places = np.concatenate([[0], np.cumsum(lengths)])
+        valid = np.asarray(ids.is_valid())
+        offsets = np.asarray(ids.offsets, np.int64)
+        sizes = np.where(valid, np.diff(offsets), 0)
+        cuts = places[np.concatenate([[0], np.cumsum(sizes)])]
+        made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+        return pa.compute.if_else(ids.is_valid(), made, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places ``start, start + 1, ...`` of each run, behind one another."""
+    total = np.cumsum(lengths)
+    return np.arange(int(total[-1]) if len(total) else 0) + np.repeat(starts - (total - lengths), lengths)
 
 
 class Encoder:
-    """Encodes texts block by block, with a bounded memo of words."""
+    """Turns words to ids, with a memo of words met before."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.vocabulary, self.pattern, self.memo = Vocabulary(ranks), regex.compile(pattern), {}
-
-    def block(self, texts: list[str]) -> list[np.ndarray]:
+        self.vocabulary, self.pattern = Vocabulary(ranks), regex.compile(pattern)
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.flat, self.used = np.empty(1 << 20, np.int32), 0
+        self.starts, self.counts = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Each word's place in the memo."""
+        if len(self.memo) + len(words) > MEMO_WORDS and self.memo:
+            self.forget()
+        memo, known = self.memo, len(self.memo)
+        fresh = [word for word in words if word not in memo]
+        if fresh:
+            ids, counts = self.vocabulary.replay([word.encode("utf-8", "surrogatepass") for word in fresh])
+            memo.update(zip(fresh, range(known, known + len(fresh))))
+            self.flat = _grown(self.flat, self.used + len(ids))
+            self.starts, self.counts = (_grown(a, known + len(fresh)) for a in (self.starts, self.counts))
+            self.flat[self.used:self.used + len(ids)] = ids
+            self.starts[known:known + len(fresh)] = self.used + np.cumsum(counts) - counts
+            self.counts[known:known + len(fresh)] = counts
+            self.used += len(ids)
+        return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+
+    def encode(self, words: pa.Array, offsets: np.ndarray) -> pa.ListArray:
+        """Ids of texts whose words are ``words[offsets[i]:offsets[i + 1]]``."""
+        if not len(words):
+            return pa.ListArray.from_arrays(pa.array(np.zeros(len(offsets), np.int32)), pa.array([], pa.int32()))
+        coded = words.dictionary_encode()
+        at = self.numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+        counts = self.counts[at]
+        flat = self.flat[_spread(self.starts[at], counts)]
+        ends = np.concatenate([[0], np.cumsum(counts)])[offsets]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+    def texts(self, texts: list[str]) -> pa.ListArray:
+        """Ids of whole texts, split here."""
         split = [self.pattern.findall(text) for text in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        memo = self.memo
-        fresh = list(set(chain.from_iterable(split)).difference(memo))
-        memo.update(zip(fresh, replay([word.encode("utf-8", "surrogatepass") for word in fresh], self.vocabulary)))
-        look = memo.__getitem__
-        return [np.fromiter(chain.from_iterable(map(look, words)), np.int32) for words in split]
-
-    def blocks(self, texts: list[str | None]) -> Iterator[list[np.ndarray]]:
-        """Ids of the texts, in order, a few texts at a time."""
-        part, size = [], 0
-        for text in texts:
-            part.append(text or "")
-            size += len(part[-1])
-            if size >= BLOCK_CHARS:
-                yield self.block(part)
-                part, size = [], 0
-        if part:
-            yield self.block(part)
-
-
-def id_arrays(parts: list[np.ndarray]) -> pa.Array:
-    lengths = np.fromiter((len(p) for p in parts), np.int32, len(parts))
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
-
-
-def _with_column(docs: DataFrame, name: str, kind: T.DataType, compute) -> DataFrame:
-    """``docs`` and one more column, made batch by batch by ``compute(batch)``, which yields runs of its rows."""
-    if name in docs.columns:
-        raise ValueError(f"there is a column {name} already")
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
+        return self.encode(pa.array([word for words in split for word in words], pa.string()),
+                           np.concatenate([[0], np.cumsum([len(words) for words in split])]).astype(np.int64))
 
-    def run(batches):
-        for batch in batches:
-            done = 0
-            for made in compute(batch):
-                rows = batch.slice(done, len(made))
-                done += len(made)
-                yield pa.RecordBatch.from_arrays([*rows.columns, made], [*rows.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+def _grown(array: np.ndarray, size: int) -> np.ndarray:
+    if size <= len(array):
+        return array
+    more = np.empty(max(size, 2 * len(array)), array.dtype)
+    more[:len(array)] = array
+    return more
+
+
+#: encoders of this worker process by vocabulary; tasks that follow one another share the memo
+_encoders: dict[int, Encoder] = {}
+
+
+def _encoder(shared) -> Encoder:
+    ranks, pattern = shared.value
+    key = hash((len(ranks), pattern, frozenset(ranks.items())))
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(ranks, pattern)
+    return _encoders[key]
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -173,36 +298,52 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
     Every match of ``pattern`` is encoded separately, without special tokens. A null or empty text has no ids. Repeated
     rows are encoded each on their own; other columns pass unchanged; a column named like ``ids`` is an error. ``ranks``
-    has a fixed size (the vocabulary) and is broadcast.
+    has a fixed size (the vocabulary, which holds all single bytes) and is broadcast.
+
+    The JVM splits the texts. Where a text holds characters that its Unicode tables do not know yet, the task splits it.
     """
+    if ids in docs.columns:
+        raise ValueError(f"there is a column {ids} already")
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    body = F.coalesce(F.col(text), F.lit(""))
+    odd = body.rlike(r"\p{Cn}")
+    # (?U): white space as Unicode has it
+    words = F.when(~odd, F.regexp_extract_all(body, F.lit("(?U)" + pattern), F.lit(0)))
+    split = docs.select("*", words.alias("__words"), F.when(odd, body).alias("__odd"))
 
-    def compute(batch, state=[]):
-        if not state:
-            state.append(Encoder(*shared.value))
-        for parts in state[0].blocks(batch.column(batch.schema.get_field_index(text)).to_pylist()):
-            yield id_arrays(parts)
+    def run(batches):
+        encoder = _encoder(shared)
+        for batch in batches:
+            rows = batch.num_rows
+            listed, rare = batch.column(rows and batch.num_columns - 2 or -2), batch.column(batch.num_columns - 1)
+            found = encoder.encode(listed.flatten(), _offsets(listed))
+            if rare.null_count < rows:
+                other = encoder.texts([t or "" for t in rare.to_pylist()])
+                found = pa.compute.if_else(rare.is_valid(), other, found)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], found], [*batch.schema.names[:-2], ids])
 
-    return _with_column(docs, ids, T.ArrayType(T.IntegerType(), False), compute)
+    return split.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
-def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``docs`` with the bytes that ``ids`` stand for; null ids give null, an unknown id is an error."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+def _offsets(rows: pa.ListArray) -> np.ndarray:
+    """Where each row starts in the flattened values; null rows are empty."""
+    sizes = np.where(np.asarray(rows.is_valid()), np.diff(np.asarray(rows.offsets, np.int64)), 0)
+    return np.concatenate([[0], np.cumsum(sizes)])
 
-    def compute(batch, state=[]):
-        if not state:
-            state.append(Vocabulary(shared.value).tokens)
-        look = state[0].__getitem__
-        column = batch.column(batch.schema.get_field_index(ids))
-        yield pa.array([None if row is None else b"".join(map(look, row)) for row in _rows(column)], pa.binary())
 
-    return _with_column(docs, out, T.BinaryType(), compute)
+def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``docs`` with the bytes that ``ids`` stand for; null ids give null, an unknown id is an error."""
+    if out in docs.columns:
+        raise ValueError(f"there is a column {out} already")
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, ""))
 
+    def run(batches):
+        vocabulary = Vocabulary(shared.value[0])
+        for batch in batches:
+            made = vocabulary.decode(batch.column(batch.schema.get_field_index(ids)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, out])
 
-def _rows(column: pa.Array) -> Iterator[list[int] | None]:
-    for scalar in column:
-        yield scalar.values.to_numpy(zero_copy_only=False).tolist() if scalar.is_valid else None
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[dict[bytes, int], str]:
@@ -214,7 +355,7 @@ def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[dict[bytes, int], st
 
 def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Per document the number of tokens and the SHA-256 of the ids (decimal, joined by a space) and decoded bytes."""
-    both = decode(encode(docs.select("doc_id", "text"), ranks, pattern), ranks)
+    both = decode(encode(docs.select("doc_id", "text"), ranks, pattern).drop("text"), ranks)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
