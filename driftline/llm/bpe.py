@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: words a worker remembers; beyond it the memo starts anew, which costs time only
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
+#: words or ids that are worked on at once
+PART = 400_000
 #: words of up to so many bytes are merged in step, longer ones through the inverted index
 STEPPED = 64
 #: the rank of a pair that joins to no token
@@ -314,17 +316,27 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     def run(batches):
         encoder = _encoder(shared)
         for batch in batches:
-            rows = batch.num_rows
-            listed, rare = batch.column(rows and batch.num_columns - 2 or -2), batch.column(batch.num_columns - 1)
-            found = encoder.encode(listed.flatten(), _offsets(listed))
-            if rare.null_count < rows:
-                other = encoder.texts([t or "" for t in rare.to_pylist()])
-                found = pa.compute.if_else(rare.is_valid(), other, found)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], found], [*batch.schema.names[:-2], ids])
+            for part in _parts(batch, batch.column(batch.num_columns - 2)):
+                listed, rare = part.column(part.num_columns - 2), part.column(part.num_columns - 1)
+                found = encoder.encode(listed.flatten(), _offsets(listed))
+                if rare.null_count < part.num_rows:
+                    other = encoder.texts([t or "" for t in rare.to_pylist()])
+                    found = pa.compute.if_else(rare.is_valid(), other, found)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], found], [*part.schema.names[:-2], ids])
 
     return split.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
+def _parts(batch: pa.RecordBatch, lists: pa.ListArray):
+    """The batch in slices of about ``PART`` list elements; one row is never cut."""
+    ends = _offsets(lists)[1:]
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PART, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _offsets(rows: pa.ListArray) -> np.ndarray:
     """Where each row starts in the flattened values; null rows are empty."""
     sizes = np.where(np.asarray(rows.is_valid()), np.diff(np.asarray(rows.offsets, np.int64)), 0)
@@ -340,8 +352,9 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str
     def run(batches):
         vocabulary = Vocabulary(shared.value[0])
         for batch in batches:
-            made = vocabulary.decode(batch.column(batch.schema.get_field_index(ids)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, out])
+            for part in _parts(batch, batch.column(batch.schema.get_field_index(ids))):
+                made = vocabulary.decode(part.column(part.schema.get_field_index(ids)))
+                yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
 
