@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-
-from driftline.llm import bpe
+from driftline.llm import bpe, language_id, licenses, secrets
 
 QUERIES = {
+    "op1_license_scan": licenses.query,
+    "op5_language_id": language_id.query,
     "op6_byte_level_bpe": bpe.query,
+    "op9_secret_scan": secrets.query,
+}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": licenses.ORACLE,
+    "op9_secret_scan": secrets.ORACLE,
 }
-ORACLES: dict[str, str] = {}
