@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from driftline.llm import bpe, language_id, licenses, secrets
+import corpus_pipeline
+from driftline.llm import bpe, decontaminate, jaccard, language_id, licenses, packing, secrets, tool_calls, vector_search
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_license_scan": licenses.query,
+    "op2_tool_calls": tool_calls.query,
+    "op3_benchmark_leaks": decontaminate.query,
     "op5_language_id": language_id.query,
     "op6_byte_level_bpe": bpe.query,
+    "op7_jaccard_join": jaccard.query,
+    "op8_token_packing": packing.query,
     "op9_secret_scan": secrets.query,
+    "op10_exact_top_k": vector_search.query,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.ORACLE,
     "op9_secret_scan": secrets.ORACLE,
+    "op10_exact_top_k": vector_search.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
