@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from driftline.llm import bpe, decontaminate, jaccard, language_id, licenses, packing, secrets, tool_calls, vector_search
+from driftline.llm import bpe, decontaminate, jaccard, language_id, licenses, packing, repeats, secrets, tool_calls, vector_search
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_license_scan": licenses.query,
     "op2_tool_calls": tool_calls.query,
     "op3_benchmark_leaks": decontaminate.query,
+    "op4_repeated_bytes": repeats.query,
     "op5_language_id": language_id.query,
     "op6_byte_level_bpe": bpe.query,
     "op7_jaccard_join": jaccard.query,
