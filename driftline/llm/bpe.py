@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.llm.names import every, fresh
+
 #: words a worker remembers; beyond it the memo starts anew, which costs time only
 MEMO_WORDS = 500_000
 #: words or ids that are worked on at once
@@ -299,19 +301,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     """``docs`` with the token ids of ``text`` as an array column ``ids``.
 
     Every match of ``pattern`` is encoded separately, without special tokens. A null or empty text has no ids. Repeated
-    rows are encoded each on their own; other columns pass unchanged; a column named like ``ids`` is an error. ``ranks``
+    rows are encoded each on their own; other columns pass unchanged; one named like ``ids`` is replaced. ``ranks``
     has a fixed size (the vocabulary, which holds all single bytes) and is broadcast.
 
     The JVM splits the texts. Where a text holds characters that its Unicode tables do not know yet, the task splits it.
     """
-    if ids in docs.columns:
-        raise ValueError(f"there is a column {ids} already")
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     body = F.coalesce(F.col(text), F.lit(""))
     odd = body.rlike(r"\p{Cn}")
     # (?U): white space as Unicode has it
     words = F.when(~odd, F.regexp_extract_all(body, F.lit("(?U)" + pattern), F.lit(0)))
-    split = docs.select("*", words.alias("__words"), F.when(odd, body).alias("__odd"))
+    kept = docs.select(*every(docs, ids))
+    names = [fresh(kept, name) for name in ("words", "odd")]
+    split = docs.select(*every(docs, ids), words.alias(names[0]), F.when(odd, body).alias(names[1]))
 
     def run(batches):
         encoder = _encoder(shared)
@@ -324,7 +326,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                     found = pa.compute.if_else(rare.is_valid(), other, found)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], found], [*part.schema.names[:-2], ids])
 
-    return split.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return split.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def _parts(batch: pa.RecordBatch, lists: pa.ListArray):
@@ -344,9 +346,11 @@ def _offsets(rows: pa.ListArray) -> np.ndarray:
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``docs`` with the bytes that ``ids`` stand for; null ids give null, an unknown id is an error."""
-    if out in docs.columns:
-        raise ValueError(f"there is a column {out} already")
+    """``docs`` with the bytes that ``ids`` stand for; null ids give null, an unknown id is an error.
+
+    A column named like ``out`` is replaced.
+    """
+    docs = docs.select(*every(docs, out))
     shared = docs.sparkSession.sparkContext.broadcast((ranks, ""))
 
     def run(batches):

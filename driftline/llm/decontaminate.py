@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import shingles
+from driftline.llm.names import every
 
 SIMILARITY = 0.8
 BITS, BYTE = 128, 8
@@ -177,4 +178,4 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without a benchmark item; the found ones go whole."""
     found = find(docs, spark.read.parquet(f"{folder}/benchmark.parquet"), ["doc_id"])
-    return docs.join(found.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").select(*every(docs))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm import shingles
 from driftline.llm.graph import components
+from driftline.llm.names import every
 from driftline.sources.scratch import written
 
 PERCENT = 80
@@ -201,6 +202,6 @@ def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each component, the one with the smallest id; rows without an id stay."""
     named = join(docs)
     others = named.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(others, "doc_id", "left_anti").select(*every(docs))
     # a row that is there twice is one document
     return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))

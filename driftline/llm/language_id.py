@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.llm.names import every, fresh
+
 DIMENSIONS = 512
 GRAM = 3
 SEED = 20240229
@@ -186,15 +188,22 @@ def predict(docs: DataFrame, prototypes: list[tuple[str, np.ndarray]], text: str
     """``docs`` with ``lang_pred`` and ``score``, the cosine with that language's prototype (0 where it is negative).
 
     ``und`` and 0 where the text is null, empty or without a letter, or where nothing was learned. Ties go to the
-    language that sorts first. Columns of these names, and ``__lang``, must not be there yet; the others pass unchanged.
+    language that sorts first. Columns of these names are replaced, the others pass unchanged.
     """
-    if taken := {"lang_pred", "score", "__lang"} & set(docs.columns):
-        raise ValueError(f"there is a column {sorted(taken)[0]} already")
+    name = fresh(docs, "guess")
+    kept = every(docs.select(*[c for name_, c in zip(docs.columns, every(docs)) if name_ not in ("lang_pred", "score")]))
+    return (docs.withColumn(name, guess(F.col(text), prototypes, dimensions, gram, seed))
+            .select(*kept, f"{name}.lang_pred", f"{name}.score"))
+
+
+def guess(text: Column, prototypes: list[tuple[str, np.ndarray]], dimensions: int = DIMENSIONS, gram: int = GRAM,
+          seed: int = SEED) -> Column:
+    """``predict`` as a column: a struct of ``lang_pred`` and ``score``."""
     names = [name for name, _ in prototypes]
     matrix = np.stack([v / (np.linalg.norm(v) or 1) for _, v in prototypes]) if prototypes else np.zeros((0, dimensions))
 
     @F.pandas_udf("lang_pred string, score double")
-    def guess(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def compared(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         profile = _profile(dimensions, gram, seed)
         for texts in parts:
             made, seen = profile.bundles(texts.tolist())
@@ -208,8 +217,7 @@ def predict(docs: DataFrame, prototypes: list[tuple[str, np.ndarray]], text: str
                 scores[seen] = np.clip(cosines[np.arange(len(best)), best], 0, 1)[seen]
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return (docs.withColumn("__lang", guess(F.col(text)))
-            .select(*[F.col(f"`{c}`") for c in docs.columns], "__lang.lang_pred", "__lang.score"))
+    return compared(text)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -224,11 +232,12 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: a text whose cosine with every language is below this is in none of them
-FOREIGN = 0.1
+FOREIGN = 0.02
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents in a learned language: rejects those without letters and those that resemble no prototype."""
     prototypes = train(docs.where(~held_out(F.col("doc_id"))))
-    kept = predict(docs, prototypes).where((F.col("lang_pred") != "und") & (F.col("score") >= FOREIGN))
-    return kept.select(*docs.columns)
+    name = fresh(docs, "guess")
+    guessed = docs.withColumn(name, guess(F.col("text"), prototypes))
+    return guessed.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= FOREIGN)).select(*every(docs))

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.llm.names import every, fresh
 from driftline.sources.scratch import scratch_path
 
 
@@ -142,13 +143,11 @@ def by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def locate(versions: DataFrame, ledger: Ledger, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every row of ``versions`` with ``spans``: null where its text holds nothing.
-
-    ``blob`` and ``spans`` must not be among its columns.
-    """
-    if taken := {"blob", "spans"} & set(versions.columns):
-        raise ValueError(f"there is a column {sorted(taken)[0]} already")
-    return versions.withColumn("blob", blob(F.col(text))).join(by_blob(ledger.findings(rules), rules), "blob", "left").drop("blob")
+    """Every row of ``versions`` with ``spans``: null where its text holds nothing; a column of that name is replaced."""
+    key = fresh(versions, "blob")
+    found = by_blob(ledger.findings(rules), rules).withColumnRenamed("blob", key)
+    marked = versions.select(*every(versions, "spans"), blob(F.col(text)).alias(key))
+    return marked.join(found, key, "left").drop(key)
 
 
 def joined(spans: Column) -> Column:
@@ -186,11 +185,12 @@ def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents; in those with findings the secrets are replaced and ``n_chars`` follows."""
     ledger = Ledger(spark, scratch_path(spark, "blob-ledger"))
     ledger.update(docs)
-    hit = ledger.findings().select("blob").distinct().withColumn("__hit", F.lit(True))
-    marked = docs.withColumn("__blob", blob(F.col("text"))).join(hit.withColumnRenamed("blob", "__blob"), "__blob", "left")
-    text = F.when(F.col("__hit"), redact(F.col("text"))).otherwise(F.col("text"))
-    changed = {"text": text, "n_chars": F.when(F.col("__hit"), F.length(text).cast("long")).otherwise(F.col("n_chars"))}
-    return marked.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    key, hit = fresh(docs, "blob"), fresh(docs, "hit")
+    found = ledger.findings().select(F.col("blob").alias(key)).distinct().withColumn(hit, F.lit(True))
+    marked = docs.withColumn(key, blob(F.col("text"))).join(found, key, "left")
+    text = F.when(F.col(hit), redact(F.col("text"))).otherwise(F.col("text"))
+    changed = {"text": text.alias("text"), "n_chars": F.when(F.col(hit), F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")}
+    return marked.select(*[changed.get(name, column) for name, column in zip(docs.columns, every(docs))])
 
 
 def _sql_rule(rule: Rule) -> str:
