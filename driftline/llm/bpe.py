@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.names import every, fresh
+from driftline.llm.names import every, fresh, mapped
 
 #: words a worker remembers; beyond it the memo starts anew, which costs time only
 MEMO_WORDS = 500_000
@@ -324,9 +324,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 if rare.null_count < part.num_rows:
                     other = encoder.texts([t or "" for t in rare.to_pylist()])
                     found = pa.compute.if_else(rare.is_valid(), other, found)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], found], [*part.schema.names[:-2], ids])
+                yield [*part.columns[:-2], found]
 
-    return split.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return mapped(split, run, [*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
 
 def _parts(batch: pa.RecordBatch, lists: pa.ListArray):
@@ -352,15 +352,15 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str
     """
     docs = docs.select(*every(docs, out))
     shared = docs.sparkSession.sparkContext.broadcast((ranks, ""))
+    place = docs.columns.index(ids)
 
     def run(batches):
         vocabulary = Vocabulary(shared.value[0])
         for batch in batches:
-            for part in _parts(batch, batch.column(batch.schema.get_field_index(ids))):
-                made = vocabulary.decode(part.column(part.schema.get_field_index(ids)))
-                yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, out])
+            for part in _parts(batch, batch.column(place)):
+                yield [*part.columns, vocabulary.decode(part.column(place))]
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
+    return mapped(docs, run, [*docs.schema.fields, T.StructField(out, T.BinaryType())])
 
 
 def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[dict[bytes, int], str]:
