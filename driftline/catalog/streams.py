@@ -16,12 +16,25 @@ def replay(d, table, columns):
     return (d.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(d.folder)).select(*columns)
 
 
+def replay_late(d, columns, repeated=False):
+    """The events as a stream of several batches, each with days from all over the time range; with ``repeated`` the rows
+    of some users come once more in a last batch."""
+    place, events = scratch_path(d.spark, "late"), d.table("events")
+    turn = F.dayofyear("ts") * 3 % 5
+    for n in (3, 1, 4, 0, 2):
+        events.where(turn == n).coalesce(1).write.mode("append").parquet(place)
+    if repeated:
+        events.where("user_id % 3 = 0").coalesce(1).write.mode("append").parquet(place)
+    files = d.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    return files.parquet(place).select(*columns)
+
+
 def event_stream(d):
     kind = F.col("event_type")
-    return replay(d, "events", [
+    return replay_late(d, [
         F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("event_time"),
         F.when(F.col("event_id") % 10 == 0, "policy").when(kind.isin("click", "signup"), "policy").otherwise("policyinstance").alias("entity_type"),
-        F.when(kind == "click", 2).when(kind == "signup", 7).when(kind == "purchase", 8).when(kind == "error", 11).otherwise(12).alias("event_code")])
+        F.when(kind == "click", 2).when(kind == "signup", 7).when(kind == "purchase", 8).when(kind == "error", 11).otherwise(12).alias("event_code")], repeated=True)
 
 
 EVENT_ORACLE = """
@@ -30,21 +43,33 @@ SELECT id, entity_type, event_code, CASE WHEN event_code = 11 THEN 'error' ELSE
 WHERE (entity_type = 'policy' AND event_code IN (2, 7)) OR (entity_type = 'policyinstance' AND event_code IN (8, 11, 12))"""
 
 
-@query("stream_events", "event", EVENT_ORACLE)
-def stream_events(d):
+def stored_events(d):
+    """Sink and rejects of the event stream, started twice: the second start finds nothing new and repeats nothing."""
     sink, checkpoint = streams.stream_paths(d.spark, "events")
-    # started twice: the second start finds nothing new and repeats nothing
+    rejects, stream = f"{sink}-rejects", event_stream(d)
     for _ in range(2):
-        streams.stream_events(event_stream(d), sink, checkpoint).awaitTermination()
-    return d.spark.read.parquet(sink).select("id", "entity_type", "event_code", "severity")
+        streams.stream_events(stream, sink, checkpoint, rejects).awaitTermination()
+    return d.spark.read.parquet(sink), d.spark.read.parquet(rejects)
+
+
+@query("stream_events", "event", EVENT_ORACLE)
+def stream_events(d):
+    return stored_events(d)[0].select("id", "entity_type", "event_code", "severity")
+
+
+@query("stream_event_rejects", "event", """
+WITH mixed AS (SELECT id, CAST(policy_id AS BIGINT) AS user_id, CASE WHEN id % 10 = 0 THEN 'policy' ELSE entity_type END AS entity_type, event_code FROM event),
+bad AS (SELECT * FROM mixed WHERE NOT ((entity_type = 'policy' AND event_code IN (2, 7)) OR (entity_type = 'policyinstance' AND event_code IN (8, 11, 12))))
+SELECT id, entity_type, event_code FROM bad UNION ALL SELECT id, entity_type, event_code FROM bad WHERE user_id % 3 = 0""")
+def stream_event_rejects(d):
+    return stored_events(d)[1].select("id", "entity_type", "event_code")
 
 
 def progress_columns():
     n = F.col("event_id")
     return [F.col("user_id").cast("string").alias("run_id"), n.alias("seq"),
             F.concat(F.lit("Job"), F.floor(n / 400).cast("string")).alias("job_id"),
-            (n * 7 % 101).cast("double").alias("percent"), (n % 50 == 0).alias("finished"),
-            F.col("ts").cast("timestamp").alias("event_time")]
+            (n * 7 % 101).cast("double").alias("percent")]
 
 
 PROGRESS_ORACLE = """
@@ -56,15 +81,14 @@ SELECT r.run_id, arg_max(r.seq, (r.percent, r.seq)) AS seq, r.job_id, max(r.perc
 @query("stream_progress", "", PROGRESS_ORACLE)
 def stream_progress(d):
     sink, checkpoint = streams.stream_paths(d.spark, "progress")
-    changes = streams.stream_progress(replay(d, "events", progress_columns()))
+    changes = streams.stream_progress(replay_late(d, progress_columns()))
 
     def keep(batch, number):
         batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     (changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
-    latest = d.spark.read.parquet(sink).groupBy("run_id").agg(F.max_by(F.struct("seq", "job_id", "percent"), "batch").alias("b"))
-    return latest.select("run_id", "b.*")
+    return streams.top_progress(d.spark.read.parquet(sink))
 
 
 @query("latest_progress", "", PROGRESS_ORACLE)

@@ -1,91 +1,70 @@
-"""The parts of replication that run continuously."""
+"""The parts of replication that run continuously.
 
-from __future__ import annotations
+No stream has a watermark: events and progress may arrive at any time after they happened, and a row that comes late counts
+as much as one that comes in time.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftline.plans.copying import exclude_find
 from driftline.sources.events import classify_events
 from driftline.sources.scratch import scratch_path
 
-PROGRESS_PARTIAL = ("run_id string, job_id string, percent double, seq long, last_seq long, finished boolean, "
-                    "event_time timestamp")
-PROGRESS_OUT = "run_id string, seq long, job_id string, percent double"
-PROGRESS_STATE = "job_id string, percent double, seq long, last_seq long"
-KEEP_FINISHED_MS, KEEP_OPEN_MS = 60_000, 24 * 3_600_000
-
 
-def stream_events(stream: DataFrame, sink: str, checkpoint: str, delay: str = "1 hour"):
-    """Append events with their severity and name, each id once within the delay; illegal ones are left out.
+def stream_events(stream: DataFrame, sink: str, checkpoint: str, rejects: str):
+    """Append events with their severity and name to ``sink``, each id once, however late it comes.
 
-    ``stream`` has id, event_time, event_code, entity_type. The file sink and the checkpoint make a replay harmless.
+    ``stream`` has id, event_time, event_code, entity_type. Events that their kind of entity may not raise, and those without
+    an id, go to ``rejects``. A batch writes only its own folders and leaves out ids that earlier batches have written on
+    the same day, so a batch that runs again writes the same, and only the days of a batch are read for it.
     """
-    once = stream.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["id"])
-    ready = classify_events(once).where("legal").drop("legal")
-    return (ready.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
-
-
-def _best_per_job(frame: pd.DataFrame) -> pd.DataFrame:
-    """One row per run and job: its highest percentage, the latest row that has it, and the latest row of all."""
-    ordered = frame.sort_values(["percent", "seq"])
-    groups = ordered.assign(job_id=ordered["job_id"].str.lower()).groupby(["run_id", "job_id"], as_index=False)
-    return groups.agg(percent=("percent", "last"), seq=("seq", "last"), last_seq=("last_seq", "max"),
-                      finished=("finished", "max"), event_time=("event_time", "max"))
-
-
-def _reduce_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        yield _best_per_job(frame.assign(last_seq=frame["seq"]))
-
-
-def _keep_latest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Progress of one run: within a job it must not go down, a newer job replaces it, a finished run is forgotten."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    news = _best_per_job(pd.concat(frames))
-    top = news.sort_values("last_seq").iloc[-1]
-    best = (top["job_id"], float(top["percent"]), int(top["seq"]), int(top["last_seq"]))
-    old = state.get if state.exists else None
-    stale = old is not None and (
-        best[1] < old[1] if best[0] == old[0] else best[3] < old[3])
-    kept = (*old[:3], max(best[3], old[3])) if stale else best
-    state.update(kept)
-    # a finished run may still get late rows; its state goes when the watermark has passed it
-    keep = KEEP_FINISHED_MS if bool(top["finished"]) else KEEP_OPEN_MS
-    seen = int(news["event_time"].max().timestamp() * 1000)
-    state.setTimeoutTimestamp(max(seen + keep, state.getCurrentWatermarkMs() + 1))
-    if not stale:
-        yield pd.DataFrame({"run_id": [key[0]], "seq": [kept[2]], "job_id": [kept[0]], "percent": [kept[1]]})
-
-
-def stream_progress(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Latest progress per run as a stream of changes: (run_id, seq, job_id, percent).
-
-    ``stream`` has run_id, seq, job_id, percent, finished, event_time. Each input batch is first reduced to one row per
-    run and job, so a run with very many rows sends few of them to its state, which is one row per run. States go once the
-    watermark passes them.
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        ready = classify_events(batch).withColumn("day", F.to_date("event_time"))
+        good = F.col("legal") & F.col("id").isNotNull()
+        ready.where(~good).drop("legal", "day").write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        fresh = ready.where(good).drop("legal").dropDuplicates(["id"])
+        if number > 0:
+            known = spark.read.schema("id long, day date, batch long").parquet(sink).where(F.col("batch") < number)
+            fresh = fresh.join(known.select("day", "id"), ["day", "id"], "left_anti")
+        fresh.write.mode("overwrite").partitionBy("day").parquet(f"{sink}/batch={number}")
+
+    return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def stream_progress(stream: DataFrame) -> DataFrame:
+    """Progress per run and job as a stream of changes: (run_id, job_id, percent, seq, last_seq).
+
+    ``stream`` has run_id, seq, job_id, percent. The state is one small row per run and job, reduced before it is shuffled,
+    and is kept: a late row meets the state it would have met in time. ``percent`` never falls; ``seq`` is the latest row that has
+    it and ``last_seq`` the latest of all. :func:`top_progress` gives the run's progress from the changes.
     """
-    rows = stream.select("run_id", "job_id", "percent", "seq", "finished", "event_time")
-    reduced = rows.mapInPandas(_reduce_batches, PROGRESS_PARTIAL).withWatermark("event_time", delay)
-    return reduced.groupBy("run_id").applyInPandasWithState(
-        _keep_latest, PROGRESS_OUT, PROGRESS_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return (stream.groupBy("run_id", F.lower("job_id").alias("job_id"))
+            .agg(F.max(F.struct("percent", "seq")).alias("best"), F.max("seq").alias("last_seq"))
+            .select("run_id", "job_id", "best.percent", "best.seq", "last_seq"))
 
 
-def latest_progress(rows: DataFrame) -> DataFrame:
-    """The batch twin: the job seen last decides, and within it the highest percentage, the later row among equals."""
-    per_job = rows.groupBy("run_id", F.lower("job_id").alias("job_id")).agg(
-        F.max(F.struct("percent", "seq")).alias("best"), F.max("seq").alias("last_seq"))
+def top_progress(changes: DataFrame) -> DataFrame:
+    """(run_id, seq, job_id, percent) from the changes of :func:`stream_progress`, in any order, old ones included.
+
+    The job seen last decides, and within it the highest percentage, the later row among equals.
+    """
+    per_job = changes.groupBy("run_id", "job_id").agg(
+        F.max(F.struct("percent", "seq")).alias("best"), F.max("last_seq").alias("last_seq"))
     top = per_job.groupBy("run_id").agg(F.max_by(F.struct("job_id", "best"), "last_seq").alias("t"))
     return top.select("run_id", "t.best.seq", "t.job_id", "t.best.percent")
 
 
+def latest_progress(rows: DataFrame) -> DataFrame:
+    """The batch twin: the same of all rows at once."""
+    return top_progress(stream_progress(rows))
+
+
 def stream_new_files(spark: SparkSession, root: str, exclude: str) -> DataFrame:
     """New files below a root as a stream of (path, length, mtime), without excluded paths. Contents are not read."""
     schema = "path string, modificationTime timestamp, length long, content binary"
@@ -94,40 +73,30 @@ def stream_new_files(spark: SparkSession, root: str, exclude: str) -> DataFrame:
     return exclude_find(found, exclude, "path")
 
 
-def merge_last_status(known: DataFrame, finished: DataFrame) -> DataFrame:
-    """(policy_id, last_status, end_time, id): known rows with newer finished runs put in."""
-    newest = finished.where("end_time is not null").groupBy("policy_id").agg(
-        F.max(F.struct("end_time", "id", F.col("status").alias("last_status"))).alias("b")).select(
-        "policy_id", "b.last_status", "b.end_time", "b.id")
-    both = known.unionByName(newest)
-    return both.groupBy("policy_id").agg(F.max(F.struct("end_time", "id", "last_status")).alias("b")).select(
+def newest_status(rows: DataFrame) -> DataFrame:
+    """(policy_id, last_status, end_time, id): the newest row of each policy."""
+    return rows.groupBy("policy_id").agg(F.max(F.struct("end_time", "id", "last_status")).alias("b")).select(
         "policy_id", "b.last_status", "b.end_time", "b.id")
 
 
 def stream_last_status(stream: DataFrame, table: str, checkpoint: str):
-    """Keep a table of the last finished run per policy: each batch merges into a new version of it.
+    """Keep the last finished run of each policy.
 
-    Versions lie at ``table/v=<batch>``. A batch that is run again reads the version before it and writes the same
-    result, so a replay changes nothing.
+    A batch writes the newest run of the policies it has seen, and nothing else, to ``table/v=<batch>``; one that runs again
+    writes the same. :func:`last_status_table` reads the newest of all.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        schema = "policy_id string, last_status string, end_time timestamp_ntz, id string"
-        if number > 0:
-            known = spark.read.schema(schema).parquet(f"{table}/v={number - 1}")
-        else:
-            known = spark.createDataFrame([], schema)
-        merge_last_status(known, batch).write.mode("overwrite").parquet(f"{table}/v={number}")
+    def append(batch: DataFrame, number: int) -> None:
+        ended = batch.where("end_time is not null").withColumnRenamed("status", "last_status")
+        newest_status(ended).write.mode("overwrite").parquet(f"{table}/v={number}")
 
-    return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def last_status_table(spark: SparkSession, table: str) -> DataFrame:
-    """The newest version written by :func:`stream_last_status`."""
-    rows = spark.read.parquet(table)
-    return rows.where(F.col("v") == rows.agg(F.max("v")).first()[0]).drop("v")
+    """The newest finished run per policy of what :func:`stream_last_status` has written."""
+    return newest_status(spark.read.parquet(table))
 
 
 def stream_paths(spark: SparkSession, purpose: str) -> tuple[str, str]:

@@ -2,13 +2,11 @@
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
-
 from driftline.plans.copying import DEFAULT_EXCLUDE
 from driftline.streaming import streams
 
 T0 = datetime(2024, 1, 1)
-PROGRESS = "run_id string, seq long, job_id string, percent double, finished boolean, event_time timestamp"
+PROGRESS = "run_id string, seq long, job_id string, percent double"
 
 
 def add(spark, folder, rows, schema):
@@ -17,50 +15,52 @@ def add(spark, folder, rows, schema):
 
 def test_events_once(spark, tmp_path):
     schema = "id long, event_time timestamp, event_code int, entity_type string"
-    source, sink, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    source, sink, mark, bad = (str(tmp_path / n) for n in ("in", "out", "mark", "bad"))
     rows = [(i, T0 + timedelta(seconds=i), 2, "policy") for i in range(5)]
 
     def run():
         stream = spark.readStream.schema(schema).parquet(source)
-        streams.stream_events(stream, sink, mark).awaitTermination()
-        return sorted(r["id"] for r in spark.read.parquet(sink).collect())
+        streams.stream_events(stream, sink, mark, bad).awaitTermination()
+        return (sorted(r["id"] for r in spark.read.parquet(sink).collect()),
+                sorted(str(r["id"]) for r in spark.read.parquet(bad).collect()))
 
     add(spark, source, rows + rows[:2], schema)
-    assert run() == list(range(5))
-    # the same rows again in another file, one new and one illegal
-    add(spark, source, rows + [(9, T0 + timedelta(seconds=9), 11, "policyinstance"), (10, T0, 8, "policy")], schema)
-    assert run() == [0, 1, 2, 3, 4, 9] == run()
+    assert run() == (list(range(5)), [])
+    # the same rows again in another file, one new, one illegal and one without an id
+    add(spark, source, rows + [(9, T0 + timedelta(seconds=9), 11, "policyinstance"), (10, T0, 8, "policy"), (None, T0, 2, "policy")], schema)
+    assert run() == ([0, 1, 2, 3, 4, 9], ["10", "None"]) == run()
+    # events that come hours and days late, one of them for the second time
+    add(spark, source, [(20, T0 - timedelta(hours=4), 2, "policy"), (21, T0 - timedelta(days=40), 2, "policy"), (3, T0 + timedelta(seconds=3), 2, "policy")], schema)
+    assert run() == ([0, 1, 2, 3, 4, 9, 20, 21], ["10", "None"])
 
 
-def test_progress_never_falls(spark, tmp_path):
-    source, mark = str(tmp_path / "in"), str(tmp_path / "mark")
-    emitted = []
+def test_progress_equals_its_batch_twin(spark, tmp_path):
+    source, sink, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
 
     def run():
         stream = streams.stream_progress(spark.readStream.schema(PROGRESS).parquet(source))
 
-        def keep(batch, _):
-            emitted.extend(tuple(r) for r in batch.select("run_id", "job_id", "percent").collect())
+        def keep(batch, number):
+            batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
         (stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", mark)
          .trigger(availableNow=True).start().awaitTermination())
-        seen = emitted.copy()
-        emitted.clear()
-        return sorted(seen)
-
-    def row(run_id, seq, job, percent, finished=False):
-        return (run_id, seq, job, percent, finished, T0 + timedelta(seconds=seq))
-
-    add(spark, source, [row("a", 1, "J1", 10.0), row("a", 2, "j1", 40.0), row("b", 3, "k", 5.0)], PROGRESS)
-    assert run() == [("a", "j1", 40.0), ("b", "k", 5.0)]
-    # a lower figure of the same job is not emitted; a new job starts below
-    add(spark, source, [row("a", 4, "j1", 30.0), row("b", 5, "k2", 1.0)], PROGRESS)
-    assert run() == [("b", "k2", 1.0)]
-    add(spark, source, [row("a", 6, "j1", 40.0), row("b", 7, "k2", 100.0, True), row("b", 2, "k", 90.0)], PROGRESS)
-    assert run() == [("a", "j1", 40.0), ("b", "k2", 100.0)]
-    every = spark.read.schema(PROGRESS).parquet(source)
-    assert sorted(tuple(r) for r in streams.latest_progress(every).select("run_id", "job_id", "percent").collect()) == [
-        ("a", "j1", 40.0), ("b", "k2", 100.0)]
+        found = sorted(tuple(r) for r in streams.top_progress(spark.read.parquet(sink)).collect())
+        assert found == sorted(tuple(r) for r in streams.latest_progress(spark.read.schema(PROGRESS).parquet(source)).collect())
+        return found
+
+    add(spark, source, [("a", 1, "J1", 10.0), ("a", 2, "j1", 40.0), ("b", 3, "k", 5.0)], PROGRESS)
+    assert run() == [("a", 2, "j1", 40.0), ("b", 3, "k", 5.0)]
+    # a lower figure of the same job changes nothing; a new job starts below
+    add(spark, source, [("a", 4, "j1", 30.0), ("b", 5, "k2", 1.0)], PROGRESS)
+    assert run() == [("a", 2, "j1", 40.0), ("b", 5, "k2", 1.0)]
+    add(spark, source, [("a", 6, "j1", 40.0), ("b", 7, "k2", 100.0), ("b", 2, "k", 90.0)], PROGRESS)
+    assert run() == [("a", 6, "j1", 40.0), ("b", 7, "k2", 100.0)]
+    # long after: a late row of the finished job, a late higher figure, and the old job that goes on after all
+    add(spark, source, [("b", 6, "k2", 20.0), ("a", 5, "j1", 60.0)], PROGRESS)
+    assert run() == [("a", 5, "j1", 60.0), ("b", 7, "k2", 100.0)]
+    add(spark, source, [("b", 9, "K", 10.0)], PROGRESS)
+    assert run() == [("a", 5, "j1", 60.0), ("b", 2, "k", 90.0)]
 
 
 def test_new_files(spark, tmp_path):
@@ -96,9 +96,10 @@ def test_last_status(spark, tmp_path):
     assert run() == {"p": "SUCCESS", "q": "FAILED"} == run()
 
 
-def test_merge_is_repeatable(spark):
-    known = spark.createDataFrame([("p", "SUCCESS", T0, "2")], "policy_id string, last_status string, end_time timestamp_ntz, id string")
-    batch = spark.createDataFrame([("p", "3", "FAILED", T0 + timedelta(1))], "policy_id string, id string, status string, end_time timestamp_ntz")
-    once = streams.merge_last_status(known, batch)
-    twice = streams.merge_last_status(once, batch)
-    assert once.collect() == twice.collect() and once.select(F.first("last_status")).first()[0] == "FAILED"
+def test_newest_status_takes_repeated_rows(spark):
+    schema = "policy_id string, id string, last_status string, end_time timestamp_ntz"
+    rows = spark.createDataFrame([("p", "2", "SUCCESS", T0), ("p", "3", "FAILED", T0 + timedelta(1)), ("q", "1", "KILLED", T0)], schema)
+    once = streams.newest_status(rows)
+    both = streams.newest_status(once.unionByName(rows).unionByName(once))
+    assert sorted(once.collect()) == sorted(both.collect())
+    assert [r["last_status"] for r in both.orderBy("policy_id").collect()] == ["FAILED", "KILLED"]
