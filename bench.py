@@ -18,7 +18,7 @@ from driftline.session import local_session  # noqa: E402
 
 HEADLINE = [
     "plan_copy", "delete_missing", "copy_counters", "attributes_to_fix", "snapshot_diff", "translate_renames",
-    "copy_list_from_diff", "balance_by_bytes", "chunk_round_robin", "merge_manifest", "ancestor_join",
+    "copy_list_from_diff", "balance_by_bytes", "merge_manifest", "ancestor_join",
     "dataset_conflicts", "list_policies", "list_instances", "events_by_policy_name", "events_result", "policy_view",
     "validate_policies", "final_status", "recent_runs", "fold_properties", "diff_properties", "incremental_load",
     "retention_purge", "complete_runs", "mark_overlaps", "assemble_log_records", "search_logs", "copy_progress",

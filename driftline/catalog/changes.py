@@ -133,13 +133,15 @@ def update_pair_status(d):
 @query("complete_runs", "policy_instance", """
 SELECT id, CASE WHEN order_key % 4 = 1 AND status = 'RUNNING' THEN 'FAILED' ELSE status END AS status,
  CASE WHEN order_key % 4 = 1 AND status = 'RUNNING' THEN TIMESTAMP '2001-09-01 00:00:00' ELSE end_time END AS end_time,
- CASE WHEN order_key % 4 = 1 AND status = 'RUNNING' THEN 3903 ELSE 0 END AS message_length FROM policy_instance""")
+ CASE WHEN order_key % 4 = 1 AND status = 'RUNNING' THEN 4100 ELSE 0 END AS message_length FROM policy_instance""")
 def complete_runs(d):
     runs = d.policy_instance.withColumn("message", F.lit(""))
     updates = runs.where("status = 'RUNNING' and order_key % 4 = 1").select(
         "id", F.lit("FAILED").alias("status"), moment(NOW).alias("end_time"),
-        F.repeat(F.lit("x"), F.lit(4100)).alias("message"))
-    done = changes.apply_updates(runs, updates, ["id"])
+        F.repeat(F.lit("x"), F.lit(4100)).alias("message"), F.lit(2).alias("nth"))
+    # an earlier update of the same runs, of which nothing is left
+    earlier = updates.withColumns({"status": F.lit("KILLED"), "message": F.lit("y"), "nth": F.lit(1)})
+    done = changes.apply_updates(runs, updates.unionByName(earlier), ["id"], order="nth")
     return done.select("id", "status", "end_time", F.length("message").alias("message_length"))
 
 

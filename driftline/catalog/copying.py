@@ -177,24 +177,6 @@ def balance_by_bytes(d):
     return ordering.balance_by_bytes(d.source_manifest.select("rel_path", "length"), 7)
 
 
-@query("chunk_round_robin", "source_manifest", """
-WITH n AS (SELECT count(*) AS r FROM source_manifest),
-a AS (SELECT r, CASE WHEN ceil(r / (6 * 17)) < 5 THEN 2 ELSE 17 END AS ratio FROM n),
-b AS (SELECT r, CAST(ceil(r / (ratio * 6)) AS BIGINT) AS per FROM a),
-c AS (SELECT per, CAST(ceil(r / per) AS BIGINT) AS chunks FROM b),
-e AS (SELECT per, chunks, greatest(chunks // 16, 1) AS sets FROM c),
-f AS (SELECT rel_path, row_number() OVER (ORDER BY rel_path) - 1 AS i, per, chunks, sets FROM source_manifest, e),
-g AS (SELECT rel_path, i, per, chunks, sets, least(i // (16 * per), sets - 1) AS s FROM f)
-SELECT rel_path, CAST(s * 16 + (i - s * 16 * per) % (CASE WHEN s = sets - 1 THEN chunks - 16 * (sets - 1) ELSE 16 END) AS BIGINT) AS chunk FROM g""")
-def chunk_round_robin(d):
-    return ordering.chunk_round_robin(d.source_manifest.select("rel_path"), 6)
-
-
-@query("shuffle_listing", "source_manifest", "SELECT rel_path, length FROM source_manifest")
-def shuffle_listing(d):
-    return ordering.shuffle_listing(d.source_manifest.select("rel_path", "length"), 7)
-
-
 # ---- snapshots
 
 DIFF_CTE = """

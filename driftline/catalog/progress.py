@@ -192,14 +192,19 @@ def tracking_rejects(d):
 
 
 @query("tracking_update", "", TRACKED + """
-, changed AS (SELECT t.id, m, CASE WHEN CAST(t.id AS INT) % 4 = 1 THEN 'MAIN' WHEN CAST(t.id AS INT) % 4 = 3 THEN 'RECOVERY' END AS kind FROM tracked t)
+, changed AS (SELECT t.id, m, CASE WHEN CAST(t.id AS INT) % 4 = 1 THEN 'MAIN' WHEN CAST(t.id AS INT) % 4 = 2 THEN 'BOTH' WHEN CAST(t.id AS INT) % 4 = 3 THEN 'RECOVERY' END AS kind FROM tracked t)
 SELECT d.id, CAST(d.nth AS INT) AS nth, d.job_id, d.job_type FROM decoded d JOIN changed c ON c.id = d.id AND (c.kind IS NULL OR (c.kind = 'RECOVERY' AND d.nth = 0))
-UNION ALL SELECT id, CASE WHEN kind = 'RECOVERY' AND m BETWEEN 2 AND 8 THEN 1 ELSE 0 END, 'new' || id, kind FROM changed WHERE kind IS NOT NULL""")
+UNION ALL SELECT id, CASE WHEN kind = 'RECOVERY' AND m BETWEEN 2 AND 8 THEN 1 ELSE 0 END, 'new' || id, kind FROM changed WHERE kind IN ('MAIN', 'RECOVERY')
+UNION ALL SELECT id, 0, 'new' || id, 'MAIN' FROM changed WHERE kind = 'BOTH' UNION ALL SELECT id, 1, 'rec' || id, 'RECOVERY' FROM changed WHERE kind = 'BOTH'""")
 def tracking_update(d):
     rows = tracked(d)
     n = F.col("id").cast("int") % 4
     name = F.concat(F.lit("new"), "id")
-    updates = rows.where(n.isin(1, 3)).select(
-        "id", F.when(n == 1, "MAIN").otherwise("RECOVERY").alias("job_type"),
-        F.when(n == 1, metric(name, "MAIN", F.lit(1), F.lit(5))).otherwise(metric(name, "RECOVERY", F.lit(1), F.lit(5))).alias("metric"))
+    updates = rows.where(n.isin(1, 2, 3)).select(
+        "id", F.when(n == 3, "RECOVERY").otherwise("MAIN").alias("job_type"),
+        F.when(n == 3, metric(name, "RECOVERY", F.lit(1), F.lit(5))).otherwise(metric(name, "MAIN", F.lit(1), F.lit(5))).alias("metric"))
+    second = rows.where(n == 2).select("id", F.lit("RECOVERY").alias("job_type"),
+                                       metric(F.concat(F.lit("rec"), "id"), "RECOVERY", F.lit(1), F.lit(5)).alias("metric"))
+    # every update comes twice, and some runs have one of each kind
+    updates = updates.unionByName(second).unionByName(updates)
     return progress.decode_tracking(progress.tracking_update(rows, updates)).select("id", "nth", "job_id", "job_type")

@@ -56,7 +56,7 @@ def progress_pair(text: Column) -> tuple[Column, Column]:
     return done, total
 
 
-def stored_message(message: Column) -> Column:
-    """Messages over the limit are cut and marked."""
+def short_message(message: Column) -> Column:
+    """The message as a fixed-width column of a relational store takes it: over the limit it is cut and marked."""
     cut = F.concat(F.substring(message, 1, MESSAGE_KEPT), F.lit(MESSAGE_MARK))
     return F.when(F.length(message) > MESSAGE_LIMIT, cut).otherwise(message)

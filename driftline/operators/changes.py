@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.texts import stored_message
 from driftline.functions.times import moment
 from driftline.operators.joins import hot_join
 from driftline.operators.ordering import fold, latest_per_key, numbered, placed, running
@@ -113,26 +112,46 @@ def retire(df: DataFrame, wanted: DataFrame, keys: list[str], at: datetime) -> D
         "retirement_time", F.when(due, moment(at)).otherwise(F.col("retirement_time"))).select(*df.columns)
 
 
-def apply_updates(table: DataFrame, updates: DataFrame, keys: list[str], increment: list[str] | None = None,
-                  clear: list[str] | None = None, only: Column | None = None, hot: bool = False) -> DataFrame:
-    """Bulk update: non-null values of ``updates`` replace those of ``table`` (messages are cut to the stored length).
+def folded_updates(updates: DataFrame, keys: list[str], columns: list[str], order: str | None = None) -> DataFrame:
+    """One row per key; see :func:`apply_updates`."""
+    if order is not None:
+        # among equal orders the greatest value, so that the result does not depend on how rows are dealt
+        last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c))).alias(c) for c in columns]
+        return updates.groupBy(*keys).agg(*last or [F.lit(True).alias("__any")])
+    same = updates.groupBy(*keys).agg(
+        *[F.min(c).alias(c) for c in columns], *[F.max(c).alias(f"__max_{c}") for c in columns], F.count("*").alias("__n"))
+    clash = F.lit(False)
+    for c in columns:
+        clash = clash | (F.col(c) != F.col(f"__max_{c}"))
+    name = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    stop = F.raise_error(F.concat(F.lit("updates contradict each other for "), name)).cast("boolean")
+    # the count is read so that the check is not optimised away
+    return same.where(F.when(F.coalesce(clash, F.lit(False)), stop).otherwise(F.col("__n") > 0)).select(*keys, *columns)
+
 
-    Columns in ``increment`` go up by one, those in ``clear`` become null. ``only`` restricts the rows that may change,
-    as in "jobs that have not ended". ``updates`` has one row per key; ``hot`` tells that ``table`` may have very many of
-    one key, as jobs of a run.
+def apply_updates(table: DataFrame, updates: DataFrame, keys: list[str], increment: list[str] | None = None,
+                  clear: list[str] | None = None, only: Column | None = None, hot: bool = False,
+                  order: str | None = None) -> DataFrame:
+    """Bulk update: non-null values of ``updates`` replace those of ``table``.
+
+    Columns in ``increment`` go up by one, those in ``clear`` become null, once per row however many updates its key has.
+    ``only`` restricts the rows that may change, as in "jobs that have not ended". Several updates of a key are folded to
+    one: per column the last value in ``order`` that is not null. Without an ``order``, updates of one key that differ in a
+    column are an error, since nothing says which is right. ``hot`` tells that ``table`` may have very many rows of one
+    key, as jobs of a run.
     """
-    changed = [c for c in updates.columns if c not in keys]
+    changed = [c for c in updates.columns if c not in keys and c != order]
     if unknown := set(changed) - set(table.columns):
         raise ValueError(f"no such columns: {sorted(unknown)}")
-    new = updates.select(*keys, *[F.col(c).alias(f"__{c}") for c in changed], F.lit(True).alias("__hit"))
+    new = folded_updates(updates, keys, changed, order).select(
+        *keys, *[F.col(c).alias(f"__{c}") for c in changed], F.lit(True).alias("__hit"))
     both = hot_join(table, new, keys, "left") if hot else table.join(new, keys, "left")
     hit = F.col("__hit").isNotNull()
     if only is not None:
         hit = hit & F.coalesce(only, F.lit(False))
     values = {}
     for c in changed:
-        value = stored_message(F.col("__message")) if c == "message" else F.col(f"__{c}")
-        values[c] = F.when(hit & F.col(f"__{c}").isNotNull(), value).otherwise(F.col(c))
+        values[c] = F.when(hit & F.col(f"__{c}").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c))
     for c in increment or []:
         values[c] = F.when(hit, F.col(c) + 1).otherwise(F.col(c))
     for c in clear or []:

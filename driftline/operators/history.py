@@ -9,7 +9,7 @@ from driftline.operators.ordering import latest_per_key
 
 # Run statuses a user may run again.
 RERUNNABLE = ["FAILED", "KILLED", "FAILED_ADMIN"]
-RUNS_DEFAULT, RUNS_MAX = 3, 10
+RUNS_DEFAULT = 3
 
 
 def status_recent(instance: DataFrame, n: int = 2) -> DataFrame:
@@ -49,17 +49,18 @@ def final_status(instance: DataFrame) -> DataFrame:
     return two.select("policy_id", verdict.alias("final_status"))
 
 
-def recent_runs(instance: DataFrame, k: int = RUNS_DEFAULT) -> DataFrame:
-    """(policy_id, runs): the latest runs of each policy, newest first, as an array of at most 10."""
-    kept = recent_run_rows(instance, k)
+def recent_runs(instance: DataFrame, k: int = RUNS_DEFAULT, most: int | None = None) -> DataFrame:
+    """(policy_id, runs): the latest ``k`` runs of each policy, newest first, as an array."""
+    kept = recent_run_rows(instance, k, most)
     return kept.groupBy("policy_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "id", "status", "start_time", "end_time"))),
                     lambda r: r.dropFields("rank")).alias("runs"))
 
 
-def recent_run_rows(instance: DataFrame, k: int = RUNS_DEFAULT) -> DataFrame:
-    """The same as rows with ``rank``."""
-    k = min(max(k, 1), RUNS_MAX)
+def recent_run_rows(instance: DataFrame, k: int = RUNS_DEFAULT, most: int | None = None) -> DataFrame:
+    """The same as rows with ``rank``. More than ``most``, the caller's own limit if there is one, is an error."""
+    if k < 1 or (most is not None and k > most):
+        raise ValueError(f"cannot show {k} runs of a policy" + (f"; at most {most}" if most is not None else ""))
     return latest_per_key(instance, ["policy_id"], [F.desc("start_time"), F.asc("id")], k, rank="rank")
 
 

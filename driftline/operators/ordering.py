@@ -78,8 +78,11 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int =
 
 
 def page(df: DataFrame, order_by: str, sort: str = "ASC", offset: int = 0, n: int = 10,
-         tie: list[str] | None = None, allowed: list[str] | None = None, cap: int = 1000) -> DataFrame:
-    """One page of a listing; ties are broken by unique columns so that pages never overlap."""
+         tie: list[str] | None = None, allowed: list[str] | None = None, cap: int | None = None) -> DataFrame:
+    """One page of a listing; ties are broken by unique columns so that pages never overlap.
+
+    ``cap`` is the caller's limit of rows per page, if there is one; more is an error.
+    """
     if allowed is not None and order_by not in allowed:
         raise ValueError(f"cannot order by {order_by}; use one of {allowed}")
     word = sort.upper()
@@ -89,9 +92,12 @@ def page(df: DataFrame, order_by: str, sort: str = "ASC", offset: int = 0, n: in
     return df.orderBy(first, *(tie or [])).offset(max(offset, 0)).limit(page_size(n, cap))
 
 
-def page_size(n: int | None, cap: int = 1000, default: int = 10) -> int:
-    """Rows per page: the default for none or a non-positive number, never more than the cap."""
-    return min(n if n is not None and n > 0 else default, cap)
+def page_size(n: int | None, cap: int | None = None, default: int = 10) -> int:
+    """Rows per page: the default for none or a non-positive number; more than the cap is an error."""
+    size = n if n is not None and n > 0 else default
+    if cap is not None and size > cap:
+        raise ValueError(f"a page of {size} rows is over the limit of {cap}")
+    return size
 
 
 def sort_listing(manifest: DataFrame) -> DataFrame:
@@ -108,45 +114,3 @@ def balance_by_bytes(manifest: DataFrame, n: int, at_least: int = 0) -> DataFram
     size = max(math.ceil(total / n), 1)
     before = running(manifest, [], ["rel_path"], {"__before": ("sum", weight)}, inclusive=False)
     return before.withColumn("part", F.floor(F.col("__before") / F.lit(size)).cast("bigint")).drop("__before")
-
-
-# Chunk settings of a listing that copy tasks share.
-CHUNKS_IDEAL, CHUNKS_MAX, CHUNK_MIN_ROWS, CHUNK_RATIO, CHUNKS_OPEN = 100, 400, 5, 2, 16
-
-
-def split_ratio(maps: int, rows: int, ideal: int = CHUNKS_IDEAL, min_rows: int = CHUNK_MIN_ROWS,
-                ratio: int = CHUNK_RATIO) -> int:
-    """Chunks per copy task. Settings that are not positive fall back to the defaults."""
-    ideal = ideal if ideal > 0 else CHUNKS_IDEAL
-    min_rows = min_rows if min_rows > 0 else CHUNK_MIN_ROWS
-    ratio = ratio if ratio > 0 else CHUNK_RATIO
-    if maps == 1:
-        return 1
-    if maps > ideal:
-        return ratio
-    pickups = math.ceil(ideal / maps)
-    return ratio if math.ceil(rows / (maps * pickups)) < min_rows else pickups
-
-
-def chunk_round_robin(manifest: DataFrame, maps: int, ratio: int | None = None,
-                      most: int = CHUNKS_MAX) -> DataFrame:
-    """Adds ``chunk``: rows dealt in path order over sets of open chunks; the last set takes the odd chunks."""
-    rows = manifest.count()
-    ratio = split_ratio(maps, rows) if ratio is None else ratio
-    if ratio * maps > most:
-        raise ValueError(f"{ratio} chunks for each of {maps} tasks is more than {most}")
-    per_chunk = max(math.ceil(rows / (ratio * maps)), 1)
-    chunks = max(math.ceil(rows / per_chunk), 1)
-    sets = max(chunks // CHUNKS_OPEN, 1)
-    nth = F.col("__nth") - 1
-    chunk_set = F.least(F.floor(nth / F.lit(CHUNKS_OPEN * per_chunk)), F.lit(sets - 1))
-    in_set = F.when(chunk_set == sets - 1, chunks - CHUNKS_OPEN * (sets - 1)).otherwise(CHUNKS_OPEN)
-    dealt = chunk_set * CHUNKS_OPEN + (nth - chunk_set * (CHUNKS_OPEN * per_chunk)) % in_set
-    return numbered(manifest, [], ["rel_path"], "__nth").withColumn("chunk", dealt.cast("bigint")).drop("__nth")
-
-
-def shuffle_listing(manifest: DataFrame, seed: int, partitions: int | None = None) -> DataFrame:
-    """Spread neighbours of the listing over partitions and order each by a seeded hash of the path."""
-    spread = F.xxhash64(F.col("rel_path"), F.lit(seed))
-    mixed = manifest.repartition(partitions, spread) if partitions else manifest.repartition(spread)
-    return mixed.sortWithinPartitions(spread, "rel_path")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.texts import progress_pair
+from driftline.operators.changes import folded_updates
 
 PROGRESS = ("total bigint, completed bigint, exportTotal bigint, exportCompleted bigint, importTotal bigint, "
             "importCompleted bigint, failed bigint, killed bigint, filesCopied bigint, dirCopied bigint, "
@@ -171,18 +172,30 @@ def tracking_rejects(instance: DataFrame) -> DataFrame:
     return filled.where(tracking_array(F.col("tracking_info")).isNull()).select("id", "tracking_info")
 
 
-def tracking_update(instance: DataFrame, updates: DataFrame) -> DataFrame:
+def tracking_update(instance: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
     """Runs with new progress in their tracking text: updates are (id, job_type, metric as JSON text).
 
     MAIN replaces everything. RECOVERY becomes the second element, in place of an earlier one; with no text yet it stands
-    alone.
+    alone. A run may have several updates: they apply in ``order``, so a RECOVERY before the last MAIN is gone with what it
+    belonged to. Without an order MAIN goes first, and updates of one kind that differ are an error.
     """
-    new = updates.select("id", F.col("job_type").alias("__type"), F.col("metric").alias("__metric"))
+    if order is None:
+        one = folded_updates(updates.select("id", "job_type", "metric"), ["id", "job_type"], ["metric"]).withColumn("__order", F.lit(0))
+    else:
+        one = updates.select("id", "job_type", "metric", F.col(order).alias("__order"))
+
+    def last(kind: str) -> Column:
+        return F.max(F.when(F.col("job_type") == kind, F.struct("__order", "metric")))
+
+    new = one.groupBy("id").agg(last("MAIN").alias("__main"), last("RECOVERY").alias("__recovery"))
+    stands = F.col("__main").isNull() | (F.col("__recovery.__order") >= F.col("__main.__order"))
     both = instance.join(new, "id", "left")
     # named step by step: written as one expression, each use would read the text again
-    read = both.withColumns({"__old": F.when(F.col("__type") == "RECOVERY", tracking_array(F.col("tracking_info"))),
-                             "__new": F.from_json("__metric", METRIC)})
-    one, two = F.to_json("__new"), F.to_json(F.concat(F.slice("__old", 1, 1), F.array("__new")))
-    text = (F.when(F.col("__metric").isNull(), F.col("tracking_info"))
-            .when(F.col("__old").isNotNull(), two).otherwise(one))
-    return read.withColumn("tracking_info", text).drop("__type", "__metric", "__old", "__new")
+    read = both.withColumns({
+        "__old": F.when(F.col("__main").isNull() & F.col("__recovery").isNotNull(), tracking_array(F.col("tracking_info"))),
+        "__first": F.from_json("__main.metric", METRIC),
+        "__second": F.when(stands, F.from_json("__recovery.metric", METRIC))})
+    head = F.when(F.col("__main").isNotNull(), F.array("__first")).otherwise(F.slice("__old", 1, 1))
+    text = (F.when(F.col("__second").isNull(), F.coalesce(F.to_json("__first"), F.col("tracking_info")))
+            .when(head.isNotNull(), F.to_json(F.concat(head, F.array("__second")))).otherwise(F.to_json("__second")))
+    return read.withColumn("tracking_info", text).drop("__main", "__recovery", "__old", "__first", "__second")

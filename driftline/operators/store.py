@@ -45,9 +45,9 @@ def policies_filtered(policy: DataFrame, filter_by: str | None) -> DataFrame:
 
 
 def list_policies(policy: DataFrame, filter_by: str | None = None, order_by: str = "name", sort: str = "ASC",
-                  offset: int = 0, n: int = 10) -> DataFrame:
+                  offset: int = 0, n: int = 10, cap: int | None = None) -> DataFrame:
     return page(policies_filtered(policy, filter_by), order_by, sort, offset, n, ["id"],
-                [*POLICY_FILTERS.values(), "frequency", "id"])
+                [*POLICY_FILTERS.values(), "frequency", "id"], cap)
 
 
 def instances_filtered(policy: DataFrame, instance: DataFrame, filters: str | None = None,
@@ -72,22 +72,22 @@ def instances_filtered(policy: DataFrame, instance: DataFrame, filters: str | No
 
 def list_instances(policy: DataFrame, instance: DataFrame, filters: str | None = None, order_by: str = "startTime",
                    sort: str = "DESC", offset: int = 0, n: int = 10, retired: bool = False,
-                   policy_name: str | None = None) -> DataFrame:
+                   policy_name: str | None = None, cap: int | None = None) -> DataFrame:
     """Runs with their policy. ``policy_name`` overrides a name in the filters. Runs are ordered by their own columns."""
     if policy_name is not None:
         filters = ",".join([f for f in (filters or "").split(",") if f] + [f"name:{policy_name}"])
     if order_by.lower() not in RUN_ORDER:
         raise ValueError(f"cannot order runs by {order_by}; use one of {sorted(RUN_ORDER)}")
     found = instances_filtered(policy, instance, filters, retired)
-    return page(found, RUN_ORDER[order_by.lower()], sort, offset, n, ["id"])
+    return page(found, RUN_ORDER[order_by.lower()], sort, offset, n, ["id"], cap=cap)
 
 
 def list_clusters(cluster: DataFrame, order_by: str = "name", sort: str = "ASC", offset: int = 0, n: int = 10,
-                  pair: DataFrame | None = None, prop: DataFrame | None = None) -> DataFrame:
+                  pair: DataFrame | None = None, prop: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """Active clusters, on demand with ``peers`` (sorted names) and ``properties`` (a map)."""
     from driftline.operators.clusters import fold_properties, pairs_of
 
-    found = page(active(cluster), order_by, sort, offset, n, ["name", "version"])
+    found = page(active(cluster), order_by, sort, offset, n, ["name", "version"], cap=cap)
     if pair is not None:
         peers = pairs_of(pair).groupBy("name", "version").agg(F.sort_array(F.collect_set("peer")).alias("peers"))
         found = found.join(peers, ["name", "version"], "left")
@@ -97,10 +97,11 @@ def list_clusters(cluster: DataFrame, order_by: str = "name", sort: str = "ASC",
 
 
 def list_credentials(credential: DataFrame, filter_by: str | None = None, order_by: str = "name", sort: str = "ASC",
-                     offset: int = 0, n: int = 10) -> DataFrame:
+                     offset: int = 0, n: int = 10, cap: int | None = None) -> DataFrame:
     """Credentials without any secret; they never retire."""
     found = filtered(credential, filter_by, by_columns(CREDENTIAL_FILTERS))
-    return page(found, order_by, sort, offset, n, ["id"], [*CREDENTIAL_FILTERS.values(), "creation_time", "id"])
+    return page(found, order_by, sort, offset, n, ["id"], [*CREDENTIAL_FILTERS.values(), "creation_time", "id"],
+                cap)
 
 
 def events_between(event: DataFrame, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
@@ -143,12 +144,12 @@ def events_filtered(event: DataFrame, policy: DataFrame, by: dict[str, object] |
 
 def events_query(event: DataFrame, policy: DataFrame, by: dict[str, object] | None = None,
                  start: datetime | None = None, end: datetime | None = None, order_by: str = "eventTimeStamp",
-                 sort: str = "DESC", offset: int = 0, n: int = 10) -> DataFrame:
+                 sort: str = "DESC", offset: int = 0, n: int = 10, cap: int | None = None) -> DataFrame:
     """One page of events."""
     if order_by.lower() not in EVENT_ORDER:
         raise ValueError(f"cannot order events by {order_by}; use one of {sorted(EVENT_ORDER)}")
     found = events_filtered(event, policy, by, start, end)
-    return page(found, EVENT_ORDER[order_by.lower()], sort, offset, n, ["id"])
+    return page(found, EVENT_ORDER[order_by.lower()], sort, offset, n, ["id"], cap=cap)
 
 
 def total_results(found: DataFrame) -> DataFrame:

@@ -87,36 +87,13 @@ def test_balance_of_empty_files(spark):
     assert [r["part"] for r in ordering.balance_by_bytes(df, 4).collect()] == [0, 0]
 
 
-@pytest.mark.parametrize("maps, rows, ratio", [(1, 10 ** 9, 1), (11_000_000, 10, 2), (30, 700, 4), (30, 200, 2)])
-def test_split_ratio(maps, rows, ratio):
-    assert ordering.split_ratio(maps, rows) == ratio
-    assert ordering.split_ratio(maps, rows, -1, -50, -7) == ratio
-
-
-def test_split_ratio_settings():
-    assert ordering.split_ratio(3, 200, ideal=30, min_rows=10, ratio=53) == 53
-
-
-def test_chunks(spark):
-    df = spark.range(3000).select(F.format_string("/f%05d", "id").alias("rel_path"))
-    sizes = [r["count"] for r in ordering.chunk_round_robin(df, 20).groupBy("chunk").count().collect()]
-    assert sum(sizes) == 3000 and max(sizes) - min(sizes) <= 30 and len(sizes) == 100
-    with pytest.raises(ValueError):
-        ordering.chunk_round_robin(df, 300)
-
-
-def test_shuffle_listing_is_repeatable(spark):
-    df = spark.range(500).select(F.format_string("/f%05d", "id").alias("rel_path"))
-    first = [r[0] for r in ordering.shuffle_listing(df, 3, 4).collect()]
-    assert first == [r[0] for r in ordering.shuffle_listing(df, 3, 4).collect()] and first != sorted(first)
-    assert first != [r[0] for r in ordering.shuffle_listing(df, 4, 4).collect()]
-
-
 def test_pages_do_not_overlap(spark):
     df = spark.range(50).select("id", (F.col("id") % 3).alias("g"))
     seen = [r["id"] for k in range(0, 50, 7) for r in ordering.page(df, "g", "ASC", k, 7, ["id"]).collect()]
     assert sorted(seen) == list(range(50))
-    assert ordering.page_size(None) == 10 and ordering.page_size(5000) == 1000 and ordering.page_size(-1) == 10
+    assert ordering.page_size(None) == 10 and ordering.page_size(5000) == 5000 and ordering.page_size(-1) == 10
+    with pytest.raises(ValueError):
+        ordering.page(df, "g", n=5000, cap=1000)
     with pytest.raises(ValueError):
         ordering.page(df, "g", "up")
     with pytest.raises(ValueError):

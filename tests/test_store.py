@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from driftline.functions import texts
 from driftline.operators import changes, clusters, filters, history, store
 
 T0 = datetime(2020, 1, 1)
@@ -34,10 +35,12 @@ def test_rerunnable(spark):
     assert [r["id"] for r in found.collect()] == ["a@0"]
 
 
-def test_recent_runs_is_capped(spark):
+def test_recent_runs(spark):
     df = runs(spark, {"a": ["SUCCESS"] * 15})
     assert [r["id"] for r in history.recent_runs(df).first()["runs"]] == ["a@14", "a@13", "a@12"]
-    assert len(history.recent_runs(df, 50).first()["runs"]) == 10
+    assert len(history.recent_runs(df, 50).first()["runs"]) == 15
+    with pytest.raises(ValueError):
+        history.recent_runs(df, 50, most=10)
 
 
 def test_filters(spark):
@@ -107,14 +110,12 @@ def test_retention(spark, retired, expected):
     assert kept["property"].count() == expected[0]
 
 
-def test_message_is_cut(spark):
+def test_update_of_one_row(spark):
     table = spark.createDataFrame([(1, "old", 1), (2, "old", 1)], "id int, message string, run_count int")
     updates = spark.createDataFrame([(1, "y" * 4001)], "id int, message string")
     rows = {r["id"]: r for r in changes.apply_updates(table, updates, ["id"], increment=["run_count"]).collect()}
-    assert rows[1]["message"] == "y" * 3899 + " ..." and rows[1]["run_count"] == 2
+    assert rows[1]["message"] == "y" * 4001 and rows[1]["run_count"] == 2
     assert (rows[2]["message"], rows[2]["run_count"]) == ("old", 1)
-    short = spark.createDataFrame([(1, "y" * 4000)], "id int, message string")
-    assert len(changes.apply_updates(table, short, ["id"]).where("id = 1").first()["message"]) == 4000
     with pytest.raises(ValueError):
         changes.apply_updates(table, table.withColumn("x", F.lit(1)), ["id"])
 
@@ -162,3 +163,22 @@ def test_next_retry(spark):
     policy = spark.createDataFrame([("a", 3, 60)], "id string, retry_attempts int, retry_delay int")
     found = {r["run_count"]: r["retry_at"] for r in changes.next_retry(failed, policy).collect()}
     assert found == {1: T0 + timedelta(seconds=60), 2: T0 + timedelta(seconds=120), 3: None}
+
+
+def test_updates_are_folded_to_one_per_key(spark):
+    table = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "id long, v string, n int")
+    updates = spark.createDataFrame([(1, "x", 1), (1, None, 3), (1, "y", 2), (1, "y", 2)], "id long, v string, at int")
+    done = changes.apply_updates(table, updates, ["id"], increment=["n"], order="at")
+    assert sorted(map(tuple, done.collect())) == [(1, "y", 1), (2, "b", 0)]
+    same = changes.apply_updates(table, updates.where("v = 'y' OR v IS NULL").drop("at"), ["id"])
+    assert sorted(map(tuple, same.collect())) == [(1, "y", 0), (2, "b", 0)]
+    with pytest.raises(Exception, match="contradict"):
+        changes.apply_updates(table, updates.drop("at"), ["id"]).collect()
+
+
+def test_messages_are_kept_whole(spark):
+    table = spark.createDataFrame([(1, "")], "id long, message string")
+    done = changes.apply_updates(table, spark.createDataFrame([(1, "x" * 9000)], "id long, message string"), ["id"])
+    assert len(done.first()["message"]) == 9000
+    assert done.select(texts.short_message(F.col("message"))).first()[0] == "x" * 3899 + " ..."
+    assert done.select(texts.short_message(F.substring("message", 1, 4000))).first()[0] == "x" * 4000

@@ -38,7 +38,7 @@ def test_options():
     assert CopyOptions(sync=True, diff=True, from_snapshot=" ").problems() == ["diff_needs_two_snapshots"]
     assert CopyOptions(sync=True, diff=True, reverse_diff=True, **good).problems() == ["diff_with_reverse_diff"]
     assert cluster_preset().preserve == {"BLOCKSIZE", "PERMISSION", "USER", "GROUP"}
-    assert cloud_preset().balance == "chunks"
+    assert cloud_preset().sync and not cloud_preset().preserve
     with pytest.raises(ValueError):
         cluster_preset(atomic=True)
 
