@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.catalog.registry import query
 from driftline.operators import listing
+from driftline.operators.logs import assemble_log_records
 from driftline.plans import copying, execute, snapshots
 from driftline.plans.options import CopyOptions
 from driftline.sources import logs, trees
@@ -187,7 +188,7 @@ def read_logs(d):
     lines = d.log_line.join(d.table("events").select(F.col("event_id").alias("line_no"), "ts"), "line_no")
     write_logs(lines.select(F.date_format("ts", "yyyy-MM-dd-HH").alias("hour"), "line_no", "line"), place)
     found = logs.read_logs(d.spark, place, datetime(2024, 1, 2, 5, 30), datetime(2024, 1, 3, 7, 10), datetime(2024, 3, 1), "server")
-    hour = F.regexp_extract("file", r"log\.([0-9-]+)", 1)
+    hour = F.regexp_extract("name", r"log\.([0-9-]+)", 1)
     return found.agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"), F.countDistinct(hour).alias("hours"))
 
 
@@ -209,3 +210,26 @@ def write_logs(lines, place):
             yield frame[["line_no"]]
 
     written(lines.mapInPandas(write, "line_no bigint"), "log-lines")
+
+
+@query("log_records_of_hosts", "log_line", r"""
+WITH marked AS (SELECT line_no, line, line_no // 3 % 2 AS host, CASE WHEN regexp_matches(line, '^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}\s+\w+\s+') THEN 1 ELSE 0 END AS starts FROM log_line),
+counted AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY host ORDER BY line_no) AS BIGINT) AS record FROM marked)
+SELECT CAST(host AS VARCHAR) AS host, record, string_agg(line, chr(10) ORDER BY line_no) AS text FROM counted WHERE record > 0 GROUP BY host, record""")
+def log_records_of_hosts(d):
+    """Whole records from two folders with files of one name, each read in many splits."""
+    place = scratch_path(d.spark, "hosts")
+    host = F.floor(F.col("line_no") / 3) % 2
+    files = d.log_line.groupBy(host.alias("host")).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("rows"))
+    text = F.concat(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n"))
+    trees.write_files(files.select(F.concat(F.lit("/h"), F.col("host").cast("string"), F.lit("/server.log")).alias("rel_path"), text.alias("content")), place)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = d.spark.conf.get(key)
+    try:
+        d.spark.conf.set(key, "4096")  # the lines are placed while the records are put together
+        now = datetime(2024, 3, 1)
+        lines = logs.read_logs(d.spark, f"{place}/*", datetime(2024, 2, 29), now, now, "server")
+        records = assemble_log_records(lines, logs.LINE_ORDER)
+    finally:
+        d.spark.conf.set(key, before)
+    return records.select(F.regexp_extract("file", "/h([01])/", 1).alias("host"), "record", "text")

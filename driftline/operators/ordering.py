@@ -58,9 +58,16 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
             inclusive: bool = True) -> DataFrame:
     """Running sum, max or min per ``keys`` in ``order`` without one task ever holding a whole key.
 
-    ``order`` must be unique within a key. See :func:`placed` and :func:`fold`.
+    ``order`` must be unique within a key, and both must be the same whenever ``df`` is read. Only keys, order and values
+    are placed and written (:func:`placed`, :func:`fold`); what comes out is joined back to the whole rows.
     """
-    return fold(placed(df, keys, order), keys, order, values, inclusive).drop("__part")
+    on = [*keys, *order]
+    narrow = df.select(*on, *[expr.alias(f"__value_{new}") for new, (_, expr) in values.items()])
+    folded = fold(placed(narrow, keys, order), keys, order,
+                  {new: (how, F.col(f"__value_{new}")) for new, (how, _) in values.items()}, inclusive)
+    found = folded.select(*[F.col(c).alias(f"__on_{c}") for c in on], *values)
+    same = [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on]
+    return df.join(found, same).drop(*[f"__on_{c}" for c in on])
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], into: str) -> DataFrame:

@@ -22,7 +22,9 @@ def time_range(start: datetime | None, end: datetime | None, now: datetime,
 
 def read_logs(spark: SparkSession, folder: str, start: datetime, end: datetime, now: datetime,
               prefix: str = "") -> DataFrame:
-    """Lines of the log files that overlap [start, end], plain or gzip: (file, block, nth, line).
+    """Lines of the log files that overlap [start, end], plain or gzip: (file, name, block, nth, line).
+
+    ``file`` is the whole path, since hosts may have files of one name; ``name`` is for display.
 
     A file carries its hour at the end of its name; the current file has none. The file filter is on file metadata, so
     files outside the range are never opened. ``block`` and ``nth`` order the lines of a file.
@@ -38,7 +40,8 @@ def read_logs(spark: SparkSession, folder: str, start: datetime, end: datetime,
     overlaps = (opens <= high) & (closes >= low)
     lines = spark.read.text(folder).where(overlaps & F.col("_metadata.file_name").startswith(prefix))
     return lines.select(
-        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_name").alias("name"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("nth"),
         F.col("value").alias("line"),

@@ -70,7 +70,7 @@ def test_files_are_pruned_by_name(spark, folder):
     lines = log_files.read_logs(spark, folder, datetime(2017, 4, 24, 5, 10), datetime(2017, 4, 24, 5, 50), NOW, "app-")
     assert [r["line"].split("~ ")[1] for r in lines.collect()] == ["five"]
     lines = log_files.read_logs(spark, folder, datetime(2017, 4, 24, 5, 10), datetime(2017, 4, 24, 6, 30), NOW, "app-")
-    assert {r["file"] for r in lines.collect()} == {f"app-h1.log.{DAY}-05", f"app-h1.log.{DAY}-06.gz"}
+    assert {r["name"] for r in lines.collect()} == {f"app-h1.log.{DAY}-05", f"app-h1.log.{DAY}-06.gz"}
     # whether only these were opened: the scan's own count of files
     scan = lines._jdf.queryExecution().executedPlan().toString()
     assert "file_name" in scan
@@ -86,7 +86,9 @@ def test_time_range_defaults():
 
 def test_unknown_search_key():
     with pytest.raises(ValueError):
-        logs.search_pattern({"policyname": "x", "host": "y"})
+        logs.mentions(F.col("message"), {"policyname": "x", "host": "y"})
+    with pytest.raises(ValueError):
+        logs.mentions(F.col("message"), {})
 
 
 def line(event, **fields):
@@ -176,3 +178,16 @@ def test_copy_progress(spark):
     assert (j["progress"], j["total"], j["completed"], j["time_taken"], j["files_copied"]) == (75.0, 2, 1, 160, 0)
     assert (k["progress"], k["completed"], k["failed"], k["killed"], k["time_taken"]) == (100.0, 3, 1, 1, 30)
     assert (k["files_copied"], k["dirs_copied"], k["bytes_copied"]) == (2, 1, 7)
+
+
+def test_search_values_are_no_patterns(spark):
+    rows = spark.createDataFrame([("POLICYNAME[a.b]",), ("POLICYNAME[a-b]",), ("POLICYNAME[p(1]",)], "message string")
+    assert [r[0] for r in rows.where(logs.mentions(F.col("message"), {"policyname": "a.b"})).collect()] == ["POLICYNAME[a.b]"]
+    assert rows.where(logs.mentions(F.col("message"), {"policyname": "p(1"})).count() == 1
+
+
+def test_long_records_come_in_parts(spark):
+    lines = [("f", n, entry("05:00:00", "p", "start") if n in (2, 9) else f"line {n}") for n in range(12)]
+    records = logs.assemble_log_records(spark.createDataFrame(lines, "file string, nth int, line string"), ["nth"], part_lines=3)
+    rows = sorted((r["record"], r["part"], r["first"] is not None, r["text"].count("\n") + 1) for r in records.collect())
+    assert rows == [(1, 0, True, 3), (1, 1, False, 3), (1, 2, False, 1), (2, 0, True, 3)]
