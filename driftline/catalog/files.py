@@ -233,3 +233,59 @@ def log_records_of_hosts(d):
     finally:
         d.spark.conf.set(key, before)
     return records.select(F.regexp_extract("file", "/h([01])/", 1).alias("host"), "record", "text")
+
+
+@query("execute_attributes", "", """
+SELECT '/' || source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS rel_path,
+ CASE doc_id % 3 WHEN 0 THEN 'rw-r-----' WHEN 1 THEN 'rwxr-xr-x' ELSE 'rw-rw-r--' END AS permission, TIMESTAMP '2020-02-03 04:05:06' AS mtime, 0 AS left_to_fix FROM documents
+UNION ALL SELECT DISTINCT '/' || source || '/' || lang, 'rwxr-x--x', TIMESTAMP '2020-02-03 04:05:06', 0 FROM documents
+UNION ALL SELECT DISTINCT '/' || source, 'rwxr-x--x', TIMESTAMP '2020-02-03 04:05:06', 0 FROM documents""")
+def execute_attributes(d):
+    """Attributes given to the source tree, copied with it, and nothing left to fix after the copy."""
+    src, dst = source_tree(d), target_tree(d)
+    number = F.regexp_extract("rel_path", "([0-9]+)[.]txt$", 1).try_cast("bigint") % 3
+    wanted = listed(d, src).withColumns({
+        "permission": F.when(F.col("is_dir"), "rwxr-x--x").when(number == 0, "rw-r-----").when(number == 1, "rwxr-xr-x").otherwise("rw-rw-r--"),
+        "mtime": F.lit(datetime(2020, 2, 3, 4, 5, 6)).cast("timestamp_ntz"),
+        "attributes": F.array(F.lit("PERMISSION"), F.lit("TIMES"))})
+    execute.execute_attributes(wanted, src)
+    options = CopyOptions(sync=True, preserve=frozenset({"BLOCKSIZE", "PERMISSION", "USER", "GROUP", "TIMES"}))
+    ours, theirs = trees.with_checksums(listed(d, src)), trees.with_checksums(listed(d, dst))
+    execute.execute_copy(execute.with_attributes(copying.plan_copy(ours, theirs, options), ours), src, dst, options)
+    # what the copy skipped keeps its own attributes until they are fixed
+    fixes = copying.attributes_to_fix(ours, written(listed(d, dst), "copied"), sorted(options.preserve))
+    execute.execute_attributes(execute.with_attributes(fixes, ours), dst)
+    theirs = written(listed(d, dst), "fixed")
+    left = copying.attributes_to_fix(ours, theirs, sorted(options.preserve - {"TIMES"})).count()
+    found = ours.select("rel_path").join(theirs, "rel_path")
+    return found.select("rel_path", "permission", "mtime", F.lit(left).alias("left_to_fix"))
+
+
+@query("execute_sync", "", """
+SELECT step, CAST(0 AS BIGINT) AS differences FROM (VALUES ('forward'), ('back')) AS t(step)""")
+def execute_sync(d):
+    """The tree of the old snapshot taken to the new one and back again, each time by its difference alone."""
+    old, new, dst = (scratch_path(d.spark, name) for name in ("old", "new", "synced"))
+    docs, number = d.table("documents"), F.col("doc_id").cast("string")
+    at = lambda folder, name: F.concat(F.lit("/"), folder, F.lit("/"), name, F.lit(".txt"))
+    before = docs.select(at(F.col("source"), number).alias("rel_path"), F.col("text").alias("content"))
+    home = F.when(F.col("doc_id") % 14 == 3, "src0").when(F.col("source") == "src3", "src3_moved").otherwise(F.col("source"))
+    text = F.when(F.col("doc_id") % 10 == 1, F.concat(F.lit("m"), "text")).otherwise(F.col("text"))
+    after = docs.where("doc_id % 6 <> 0").select(at(home, number).alias("rel_path"), text.alias("content")).unionByName(
+        docs.where("doc_id % 15 = 2").select(at(F.lit("src1"), F.concat(F.lit("new"), number)).alias("rel_path"), F.col("text").alias("content")))
+    for rows, root in ((before, old), (after, new), (before, dst)):
+        trees.write_files(rows, root)
+    manifests = [written(trees.with_checksums(listed(d, root)), "manifest") for root in (old, new)]
+    snapshots_of = [d.snapshot_old, d.snapshot_new]
+    times, steps = [datetime(2024, 1, 1), datetime(2024, 1, 2)], []
+    for step, a, b in (("forward", 0, 1), ("back", 1, 0)):
+        options = CopyOptions(sync=True, diff=a < b, reverse_diff=a > b, from_snapshot="a", to_snapshot="b")
+        plan = snapshots.plan_sync(snapshots_of[a], snapshots_of[b], snapshots_of[a], snapshots_of[a], times[a], times[b], dst,
+                                   manifests[b], manifests[a], options)
+        assert plan.kind == "incremental"
+        execute.execute_sync(plan, (old, new)[b], dst, options, manifests[b])
+        differences = execute.verify_copy(manifests[b], trees.with_checksums(listed(d, dst)))
+        # a folder that has lost all its files stays, as snapshots list folders only with what is in them
+        differences = differences.where("problem <> 'missing_on_source' OR rel_path LIKE '%.txt'")
+        steps.append(differences.agg(F.lit(step).alias("step"), F.count("*").alias("differences")))
+    return steps[0].unionByName(steps[1])

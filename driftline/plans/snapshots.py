@@ -20,8 +20,14 @@ from driftline.sources.scratch import written
 MOVE_FOLDER = ".moving"
 
 
+# attributes whose change is a modification, where both snapshots have them
+ATTRIBUTES = ["owner", "group", "permission", "acl", "xattrs"]
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(type, source, target) between two snapshots (file_id, parent_id, name, path, is_dir, checksum).
+    """(type, source, target) between two snapshots (file_id, parent_id, name, path, is_dir, checksum, attributes).
+
+    A file or directory is modified if its content is, or any of ATTRIBUTES that both snapshots have.
 
     The result is written: it is small beside the snapshots, and all that follows reads it more than once.
     """
@@ -35,19 +41,28 @@ def _compare(old: DataFrame, new: DataFrame) -> DataFrame:
     not listed. Only the top of a created or deleted subtree is listed. All source paths are in the names of the old
     snapshot, also for an entry created inside a directory that was renamed since.
     """
-    ours = old.select("file_id", *[F.col(c).alias(f"o_{c}") for c in ("parent_id", "name", "path", "is_dir",
-                                                                       "checksum")])
-    theirs = new.select("file_id", *[F.col(c).alias(f"n_{c}") for c in ("parent_id", "name", "path", "is_dir",
-                                                                         "checksum")])
+    kinds = dict(new.dtypes)
+    shared = [c for c in ATTRIBUTES if c in old.columns and c in new.columns]
+    wide = ["parent_id", "name", "path", "is_dir", "checksum", *shared]
+
+    def compared(c: str, side: str) -> Column:
+        # maps cannot be compared directly: as sorted entries they can
+        return (F.sort_array(F.map_entries(c)) if kinds[c].startswith("map") else F.col(c)).alias(f"{side}_{c}")
+
+    ours = old.select("file_id", *[compared(c, "o") for c in wide])
+    theirs = new.select("file_id", *[compared(c, "n") for c in wide])
     both = ours.join(theirs, "file_id", "full_outer")
     created, deleted = F.col("o_path").isNull(), F.col("n_path").isNull()
     kept = ~created & ~deleted
     renamed = kept & ((F.col("o_parent_id") != F.col("n_parent_id")) | (F.col("o_name") != F.col("n_name")))
-    modified = kept & ~F.col("o_checksum").eqNullSafe(F.col("n_checksum"))
+    same = F.lit(True)
+    for c in ("checksum", *shared):
+        same = same & F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}"))
+    modified = kept & ~same
 
-    kinds = F.array_compact(F.array(F.when(created, F.lit("CREATE")), F.when(deleted, F.lit("DELETE")),
+    found = F.array_compact(F.array(F.when(created, F.lit("CREATE")), F.when(deleted, F.lit("DELETE")),
                                     F.when(renamed, F.lit("RENAME")), F.when(modified, F.lit("MODIFY"))))
-    changed = both.where(F.size(kinds) > 0).withColumn("type", F.explode(kinds))
+    changed = both.where(F.size(found) > 0).withColumn("type", F.explode(found))
 
     # one directory may hold a large part of all changes: the join on the parent is salted. Only directories are parents.
     by_parent = changed.withColumn("__parent", F.when(F.col("type") == "CREATE", F.col("n_parent_id"))
@@ -181,7 +196,11 @@ def evict_snapshots(snapshots: DataFrame, keep: int, max_age: str, now: datetime
 
 @dataclass
 class SyncPlan:
-    """What :func:`plan_sync` found: ``kind`` is incremental or full."""
+    """What :func:`plan_sync` found; ``kind`` is incremental or full.
+
+    ``moves`` are as :func:`move_order` gives them, ``copies`` as :func:`plan_copy` does, ``deletes`` as
+    :func:`delete_missing`; moves come first and deletes last. An incremental plan deletes by moves, a full one has none.
+    """
 
     kind: str
     moves: DataFrame | None
@@ -197,13 +216,26 @@ def sync_precheck(target_from: DataFrame, target_now: DataFrame, from_time: date
     return _compare(target_from, target_now).isEmpty()
 
 
+def plan_of_changes(changed: DataFrame, source: DataFrame) -> DataFrame:
+    """The rows of a copy list (``path``, ``is_dir``) as a copy plan; lengths come from the source manifest."""
+    rows = changed.select(F.col("path").alias("rel_path"), "is_dir").join(source.select("rel_path", "length"), "rel_path", "left")
+    return rows.select("rel_path", F.when(F.col("is_dir"), "MKDIR").otherwise("OVERWRITE").alias("action"),
+                       F.lit("changed").alias("reason"),
+                       F.when(F.col("is_dir"), F.lit(0)).otherwise(F.col("length")).cast("bigint").alias("bytes"), "is_dir", "length")
+
+
 def plan_sync(source_from: DataFrame, source_to: DataFrame, target_from: DataFrame, target_now: DataFrame,
               from_time: datetime, to_time: datetime, target_root: str, source: DataFrame, target: DataFrame,
               options: CopyOptions) -> SyncPlan:
-    """Incremental plan from snapshots when the target is unchanged, else a full comparison of the manifests."""
-    if options.diff and sync_precheck(target_from, target_now, from_time, to_time):
+    """Incremental plan from snapshots when the target is unchanged, else a full comparison of the manifests.
+
+    With ``diff`` the target goes on from an earlier to a later snapshot, with ``reverse_diff`` back from a later to an earlier
+    one; both start where the target is. The difference names every path as it is on the target now, so its renames and
+    deletes apply as they are, either way. ``source`` is the manifest of the tree at ``to``.
+    """
+    if (options.diff or options.reverse_diff) and sync_precheck(target_from, target_now, from_time, to_time, options.reverse_diff):
         diff = snapshot_diff(source_from, source_to)
         return SyncPlan("incremental", move_order(sync_ops(diff, target_root)),
-                        copy_list_from_diff(diff, source_to), None)
+                        plan_of_changes(copy_list_from_diff(diff, source_to), source), None)
     deletes = delete_missing(source, target) if options.delete_missing else None
     return SyncPlan("full", None, plan_copy(source, target, options), deletes)

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import os
 import re
+import stat
 import time
 from collections.abc import Iterator
 
 import pyarrow.fs as pafs
 
 CHUNK = 1 << 20
-ATTEMPTS = 3
+RETRIES = 3
 FIRST_WAIT_SECONDS = 2.0
 
 
@@ -22,15 +24,15 @@ def open_root(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def retried(action, attempts: int = ATTEMPTS, wait: float = FIRST_WAIT_SECONDS):
+def retried(action, retries: int = RETRIES, wait: float = FIRST_WAIT_SECONDS):
     """Run ``action``, trying again after an I/O error with doubling waits. A missing file is not retried."""
-    for attempt in range(attempts + 1):
+    for attempt in range(retries + 1):
         try:
             return action()
         except FileNotFoundError:
             raise
         except OSError:
-            if attempt == attempts:
+            if attempt == retries:
                 raise
             time.sleep(wait * 2 ** attempt)
 
@@ -60,6 +62,61 @@ def kind(fs: pafs.FileSystem, path: str) -> pafs.FileInfo:
     return fs.get_file_info([path])[0]
 
 
+# Fixed value: the extended attribute in which a local disk keeps a file's access list.
+ACL_NAME = "system.posix_acl_access"
+
+
+def attributes(fs: pafs.FileSystem, path: str) -> dict:
+    """Owner, group, permission, times, block size, replication, access list and extended attributes of a local file.
+
+    Arrow's other filesystems tell none of these; all values are None there. Raises FileNotFoundError for a file that has
+    vanished.
+    """
+    names = ("owner", "group", "permission", "atime_ns", "block_size", "replication", "acl", "xattrs")
+    if not isinstance(fs, pafs.LocalFileSystem):
+        return dict.fromkeys(names)
+    facts = os.stat(path)
+    try:
+        held = {name: os.getxattr(path, name).hex() for name in os.listxattr(path)}
+    except OSError:  # a disk without extended attributes
+        held = {}
+    return dict(zip(names, (str(facts.st_uid), str(facts.st_gid), stat.filemode(facts.st_mode)[1:], facts.st_atime_ns,
+                            facts.st_blksize, 1, held.pop(ACL_NAME, None), held)))
+
+
+def mode(permission: str) -> int:
+    """``rwxr-x--T`` to the mode bits."""
+    bits = 0
+    for place, char in enumerate(permission):
+        if char in "rwxst":
+            bits |= 1 << 8 - place
+        if char in "sStT":
+            bits |= (stat.S_ISUID, stat.S_ISGID, stat.S_ISVTX)[place // 3]
+    return bits
+
+
+def set_attributes(path: str, wanted: list[str], row: dict) -> None:
+    """Give a local file or directory the named attributes of ``row``; times go last, since the others touch them."""
+    if "USER" in wanted or "GROUP" in wanted:
+        os.chown(path, int(row["owner"]) if "USER" in wanted else -1, int(row["group"]) if "GROUP" in wanted else -1)
+    if "XATTR" in wanted:
+        ours = {name: bytes.fromhex(value) for name, value in dict(row["xattrs"] or {}).items()}
+        for name in os.listxattr(path):
+            if name != ACL_NAME and name not in ours:
+                os.removexattr(path, name)
+        for name, value in ours.items():
+            os.setxattr(path, name, value)
+    if "PERMISSION" in wanted or "ACL" in wanted and row.get("permission"):
+        os.chmod(path, mode(row["permission"]))
+    if "ACL" in wanted:
+        if row["acl"]:
+            os.setxattr(path, ACL_NAME, bytes.fromhex(row["acl"]))
+        elif ACL_NAME in os.listxattr(path):
+            os.removexattr(path, ACL_NAME)
+    if "TIMES" in wanted:
+        os.utime(path, ns=(int(row["atime_ns"]), int(row["mtime_ns"])))
+
+
 def make_parent(fs: pafs.FileSystem, path: str) -> None:
     above = path.rsplit("/", 1)[0]
     if above:

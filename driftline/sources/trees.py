@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import stat
-
 import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -15,25 +12,29 @@ from driftline.sources import files
 from driftline.sources.scratch import spread, written
 
 LISTED = ("root string, root_path string, path string, is_dir boolean, length bigint, mtime timestamp_ntz, "
-          "owner string, group string, permission string")
+          "atime timestamp_ntz, owner string, group string, permission string, block_size bigint, replication int, "
+          "acl string, xattrs map<string,string>")
+_COLUMNS = [part.split()[0] for part in LISTED.split(", ")]
 _BATCH = 5000
 
 
-def _row(fs: pafs.FileSystem, root: str, root_path: str, info: pafs.FileInfo) -> dict:
+def _row(fs: pafs.FileSystem, root: str, root_path: str, info: pafs.FileInfo) -> dict | None:
+    """None for a file that has vanished since it was listed."""
     is_dir = info.type == pafs.FileType.Directory
-    row = {"root": root, "root_path": root_path, "path": info.path, "is_dir": is_dir, "length": 0 if is_dir else info.size,
-           "mtime": pd.Timestamp(info.mtime_ns or 0, unit="ns").floor("us"),
-           "owner": None, "group": None, "permission": None}
-    if isinstance(fs, pafs.LocalFileSystem):
-        facts = os.stat(info.path)
-        row |= {"owner": str(facts.st_uid), "group": str(facts.st_gid),
-                "permission": stat.filemode(facts.st_mode)[1:]}
-    return row
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["root", "root_path", "path", "is_dir", "length", "mtime", "owner", "group",
-                                       "permission"])
+    try:
+        known = files.retried(lambda: files.attributes(fs, info.path))
+    except FileNotFoundError:
+        return None
+    seen = known.pop("atime_ns")
+    return {"root": root, "root_path": root_path, "path": info.path, "is_dir": is_dir, "length": 0 if is_dir else info.size,
+            "mtime": pd.Timestamp(info.mtime_ns or 0, unit="ns").floor("us"),
+            "atime": pd.Timestamp(seen, unit="ns").floor("us") if seen is not None else None, **known}
+
+
+def _frame(rows: list[dict | None]) -> pd.DataFrame:
+    made = pd.DataFrame([r for r in rows if r], columns=_COLUMNS)
+    made["atime"] = pd.to_datetime(made["atime"])
+    return made
 
 
 def _list_children(batches):

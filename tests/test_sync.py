@@ -300,7 +300,7 @@ def test_retry_waits_and_gives_up():
         raise OSError("busy")
 
     with pytest.raises(OSError):
-        files.retried(broken, attempts=2, wait=0.001)
+        files.retried(broken, retries=2, wait=0.001)
     assert len(calls) == 3
 
 
