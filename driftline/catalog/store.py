@@ -289,7 +289,7 @@ WITH p AS (SELECT id, source_dataset, CASE WHEN CAST(id AS INT) % 3 = 0 THEN sou
  CASE WHEN CAST(id AS INT) % 2 = 0 THEN 'AWS_SSEKMS' END AS cloud_encryption, CAST(id AS INT) % 10 = 3 AS enable_snapshot,
  CASE WHEN contains(source_dataset, 'machinery') THEN '/plain' ELSE '' END || source_dataset AS src FROM policy),
 z AS (SELECT id, starts_with(target_dataset, 's3:') AS ct, cloud_encryption, enable_snapshot, (SELECT min_by(key_name, length(path)) FROM zones WHERE starts_with(src || '/', path)) AS source_key,
- (SELECT min_by(key_name, length(path)) FROM zones WHERE starts_with(CASE WHEN starts_with(target_dataset, 's3://b') THEN target_dataset[7:] ELSE target_dataset END || '/', path)) AS target_key FROM p),
+ (SELECT min_by(key_name, length(path)) FROM zones WHERE starts_with(target_dataset || '/', path)) AS target_key FROM p),
 t AS (SELECT *, source_key IS NOT NULL AS s_on, CASE WHEN ct THEN cloud_encryption IS NOT NULL ELSE target_key IS NOT NULL END AS t_on FROM z)
 SELECT id, source_key, target_key, s_on OR t_on AS encrypt, CASE WHEN s_on AND enable_snapshot THEN 'encrypted_source_snapshottable' WHEN s_on AND NOT t_on THEN 'target_not_encrypted' END AS problem FROM t""")
 def encryption_compat(d):
@@ -303,6 +303,24 @@ def encryption_compat(d):
     return store.encryption_compat(rows, d.zones)
 
 
+@query("encryption_of_clusters", "policy zones", """
+WITH z AS (SELECT path, cluster, key_name || '-' || cluster AS key_name FROM zones, (VALUES ('cl0'), ('cl2'), ('cl3')) AS c(cluster)),
+p AS (SELECT id, source_dataset, CASE WHEN CAST(id AS INT) % 3 = 0 THEN source_dataset || '/copy' WHEN CAST(id AS INT) % 4 = 1 THEN 's3://b' || source_dataset ELSE target_dataset END AS target_dataset, source_cluster, target_cluster FROM policy),
+k AS (SELECT id, starts_with(target_dataset, 's3:') AS cloud, (SELECT min_by(key_name, length(path)) FROM z WHERE cluster = source_cluster AND starts_with(source_dataset || '/', path)) AS source_key,
+ (SELECT min_by(key_name, length(path)) FROM z WHERE cluster = target_cluster AND starts_with(target_dataset || '/', path)) AS target_key FROM p)
+SELECT id, source_key, target_key, source_key IS NOT NULL OR (NOT cloud AND target_key IS NOT NULL) AS encrypt,
+ CASE WHEN source_key IS NOT NULL AND (cloud OR target_key IS NULL) THEN 'target_not_encrypted' END AS problem FROM k""")
+def encryption_of_clusters(d):
+    """Zones of one path on three of five clusters, each with a key of its own."""
+    zones = d.zones.withColumn("cluster", F.explode(F.array(F.lit("cl0"), F.lit("cl2"), F.lit("cl3"))))
+    zones = zones.withColumn("key_name", F.concat("key_name", F.lit("-"), "cluster"))
+    n = F.col("id").cast("int")
+    target = (F.when(n % 3 == 0, F.concat("source_dataset", F.lit("/copy")))
+              .when(n % 4 == 1, F.concat(F.lit("s3://b"), "source_dataset")).otherwise(F.col("target_dataset")))
+    rows = d.policy.select("id", "source_dataset", target.alias("target_dataset"), "source_cluster", "target_cluster")
+    return store.encryption_compat(rows, zones)
+
+
 @query("dataset_in_use", "policy", """
 WITH asked AS (SELECT source_dataset AS dataset, min(name) AS except_name FROM policy GROUP BY source_dataset),
 fs AS (SELECT id, name, source_dataset AS dataset FROM policy WHERE type = 'FS' AND retirement_time IS NULL AND status NOT IN ('SUCCEEDED', 'FAILED')

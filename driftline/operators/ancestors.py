@@ -13,21 +13,23 @@ from driftline.functions import paths
 from driftline.operators.joins import hot_join
 
 
-def containing(df: DataFrame, zones: DataFrame, path: str, zone: str, pick: str | None = "shallowest",
-               include_self: bool | Column = True, how: str = "inner") -> DataFrame:
+def containing(df: DataFrame, zones: DataFrame, path: str, zone: str, pick: str = "shallowest",
+               include_self: bool | Column = True, how: str = "inner", by: tuple[str, str] | None = None) -> DataFrame:
     """Rows of ``df`` with the columns of the shallowest or deepest zone that contains their path.
 
-    Rows must be distinct. With ``how="left"`` rows without a zone stay; without ``pick`` every pair is returned. Whole
-    segments are compared and a trailing slash makes no difference. ``include_self`` says, also per row, whether a zone
-    may be the path itself.
+    Rows must be distinct. With ``how="left"`` rows without a zone stay. Whole segments are compared and a trailing slash
+    makes no difference. ``include_self`` says, also per row, whether a zone may be the path itself. ``by`` names a column of
+    ``df`` and one of ``zones`` that must be equal, too, as the cluster that both are on.
     """
     pieces = df.withColumn("__prefix", F.explode(paths.prefixes(F.col(path), include_self is not False)))
     if isinstance(include_self, Column):
         pieces = pieces.where(include_self | (F.col("__prefix") != paths.strip_slash(F.col(path))))
     known = zones.withColumn("__prefix", paths.strip_slash(F.col(zone))).withColumn("__hit", F.lit(True))
-    pairs = hot_join(pieces, known, ["__prefix"], how, spread=F.col(path))
-    if pick is None:
-        return pairs.drop("__prefix", "__hit")
+    on = ["__prefix"]
+    if by is not None:
+        on.append("__by")
+        pieces, known = pieces.withColumn("__by", F.col(by[0])), known.withColumn("__by", F.col(by[1]))
+    pairs = hot_join(pieces, known, on, how, spread=F.col(path))
     choose = F.min_by if pick == "shallowest" else F.max_by
     size = F.when(F.col("__hit"), F.length("__prefix"))
     best = pairs.groupBy(*df.columns).agg(choose(F.struct(*zones.columns), size).alias("__best"))
@@ -35,19 +37,23 @@ def containing(df: DataFrame, zones: DataFrame, path: str, zone: str, pick: str
 
 
 def ancestor_join(df: DataFrame, zones: DataFrame, path: str = "path", zone: str = "path",
-                  pick: str = "shallowest", include_self: bool = True, unique: bool = False) -> DataFrame:
+                  pick: str = "shallowest", include_self: bool = True, unique: bool = False,
+                  by: tuple[str, str] | None = None) -> DataFrame:
     """Every row of ``df`` with the columns of the zone that contains its path, null where none does.
 
-    With ``unique`` the paths are known to be distinct (and no column is a map), which saves joining back.
+    With ``unique`` the paths are known to be distinct (and no column is a map), which saves joining back. ``by`` is as in
+    :func:`containing`; a row whose column is null has no zone.
     """
     if pick not in ("shallowest", "deepest"):
         raise ValueError(f"pick must be shallowest or deepest, not {pick}")
     renamed = zones.select(*[F.col(c).alias(f"zone_{c}") for c in zones.columns])
+    same = None if by is None else (by[0], f"zone_{by[1]}")
     if unique:
-        return containing(df, renamed, path, f"zone_{zone}", pick, include_self, "left")
-    distinct = df.select(path).where(F.col(path).isNotNull()).distinct()
-    best = containing(distinct, renamed, path, f"zone_{zone}", pick, include_self)
-    return hot_join(df, best, [path], "left")
+        return containing(df, renamed, path, f"zone_{zone}", pick, include_self, "left", same)
+    on = [path] if by is None else [path, by[0]]
+    distinct = df.select(*on).where(F.col(path).isNotNull()).distinct()
+    best = containing(distinct, renamed, path, f"zone_{zone}", pick, include_self, by=same)
+    return hot_join(df, best, on, "left")
 
 
 def exact_zone(df: DataFrame, zones: DataFrame, path: str = "path", zone: str = "path") -> DataFrame:

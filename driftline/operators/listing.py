@@ -10,12 +10,15 @@ from driftline.operators.ancestors import ancestor_join, exact_zone
 
 
 def list_directory(manifest: DataFrame, path: str, zones: DataFrame, snapshot_dirs: DataFrame,
-                   name_filter: str = "", cap: int = -1) -> DataFrame:
+                   name_filter: str = "", cap: int = -1, cluster: str | None = None) -> DataFrame:
     """One level below ``path``: (path, name, is_dir, length, encryption_key, snapshottable, total).
 
     ``cap`` limits the rows in name order, -1 is no limit. ``total`` counts all entries before the filter. The zone of an
-    entry is its shallowest containing zone.
+    entry is its shallowest containing zone. ``cluster`` is the one that is listed: of zones and snapshottable directories with
+    a ``cluster`` only its own count.
     """
+    if cluster is not None:
+        zones, snapshot_dirs = (t.where(F.col("cluster") == cluster) if "cluster" in t.columns else t for t in (zones, snapshot_dirs))
     level = manifest.where(paths.parent(F.col("path")) == F.lit(path.rstrip("/") or "/"))
     total = level.count()
     named = level.withColumn("name", paths.name(F.col("path"))).where(F.col("name").contains(name_filter))

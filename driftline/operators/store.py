@@ -341,13 +341,16 @@ def encryption_compat(policy: DataFrame, zones: DataFrame) -> DataFrame:
 
     A source inside a zone needs an encrypted target: a zone, or on a cloud store an encryption algorithm
     (``cloud_encryption``, if the column is there). A source inside a zone may not be made snapshottable
-    (``enable_snapshot``). A target in a zone turns encryption on for the policy.
+    (``enable_snapshot``). A target in a zone turns encryption on for the policy. Zones with a ``cluster`` hold on that cluster
+    only, which is then the policy's source or target cluster; a dataset on a cloud store lies in no zone.
     """
-    keys = zones.select("path", "key_name")
-    first = ancestor_join(policy.withColumn("__place", paths.uri_path(F.col("source_dataset"))), keys, "__place")
-    first = first.withColumnRenamed("zone_key_name", "source_key").drop("zone_path", "__place")
-    both = ancestor_join(first.withColumn("__place", paths.uri_path(F.col("target_dataset"))), keys, "__place")
-    both = both.withColumnRenamed("zone_key_name", "target_key").drop("zone_path", "__place")
+    both = policy
+    for side in ("source", "target"):
+        dataset = F.col(f"{side}_dataset")
+        placed = both.withColumn("__place", F.when(~paths.is_cloud(dataset), paths.uri_path(dataset)))
+        by = (f"{side}_cluster", "cluster") if "cluster" in zones.columns else None
+        both = ancestor_join(placed, zones.select("path", "key_name", *(["cluster"] if by else [])), "__place", by=by)
+        both = both.withColumnRenamed("zone_key_name", f"{side}_key").drop("zone_path", "zone_cluster", "__place")
     for column, kind in (("cloud_encryption", "string"), ("enable_snapshot", "boolean")):
         if column not in both.columns:
             both = both.withColumn(column, F.lit(None).cast(kind))
