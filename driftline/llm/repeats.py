@@ -5,7 +5,7 @@ A byte goes when a string of LENGTH bytes that covers it starts anywhere else to
 1. Sparse suffixes. Every window of LENGTH bytes has an anchor, the place of the smallest hash of 8 bytes among the first
    REACH places of the window (the last of equal ones). Equal windows have their anchors at the same place within, so it
    is enough to compare windows of suffixes that start at anchors. Neighbouring windows share their anchor: about one
-   place in a hundred is one.
+   place in 128 is one.
 2. Duplicate detection. A window that starts at most REACH - 1 bytes before its anchor covers the CORE bytes from the
    anchor on. Only anchors whose core stands elsewhere, too, take part in the sort.
 3. Merge sort. Each task sorts its suffixes to runs, in which equal ones are one, and front-codes them: the length of the
@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.llm.bitmaps import bitmap, marked
 from driftline.llm.shingles import mix
 from driftline.sources.scratch import written
 
-LENGTH, REACH = 400, 200
+LENGTH, REACH = 400, 256
 CORE = LENGTH - REACH + 1
 #: bytes that are hashed at once
 BLOCK = 2_000_000
@@ -341,19 +342,29 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("hash"), body.cast("binary").alias("data"))
 
 
+def _packed(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A segment as one number: both its ends are less than REACH, that is 256, places before its anchor."""
+    return x << 16 | x - first << 8 | x - last
+
+
+def _unpacked(at: int) -> tuple[int, int, int]:
+    x = at >> 16
+    return x, x - (at >> 8 & 255), x - (at & 255)
+
+
 def _cores(rows: DataFrame) -> DataFrame:
-    """``(core, doc_id, hash, anchor, first, last)`` of every segment of every document."""
+    """``(core, doc_id, hash, at)`` of every segment of every document."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for number, x, first, last, core in segments(texts):
-                at = pa.array(number)
+                owner = pa.array(number)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(core.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(x), pa.array(first), pa.array(last)],
-                    ["core", "doc_id", "hash", "anchor", "first", "last"])
+                    [pa.array(core.view(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(_packed(x, first, last))],
+                    ["core", "doc_id", "hash", "at"])
 
-    return rows.mapInArrow(run, "core long, doc_id long, hash long, anchor long, first long, last long")
+    return rows.mapInArrow(run, "core long, doc_id long, hash long, at long")
 
 
 def _splitters(rows: DataFrame, total: int, parts: int) -> list[bytes]:
@@ -391,8 +402,7 @@ def _runs(joined: DataFrame, splitters: list[bytes]) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 doc, key, data = (batch.column(i)[row].as_py() for i in range(3))
-                for found in batch.column(3)[row].as_py():
-                    x, first, last = found["anchor"], found["first"], found["last"]
+                for x, first, last in map(_unpacked, batch.column(3)[row].as_py()):
                     suffix = (data[x:last + LENGTH], data[first:x])
                     if suffix in kept:
                         kept[suffix].append((doc, key, x))
@@ -425,8 +435,7 @@ def _hot_parts(joined: DataFrame) -> DataFrame:
             for row in range(batch.num_rows):
                 doc, key, data = (batch.column(i)[row].as_py() for i in range(3))
                 out = []
-                for found in batch.column(3)[row].as_py():
-                    x, first, last = found["anchor"], found["first"], found["last"]
+                for x, first, last in map(_unpacked, batch.column(3)[row].as_py()):
                     hashes = Hashes(np.frombuffer(data[first:last + LENGTH], np.uint8))
                     for j in range((x - last) // STEP, (x - first) // STEP + 1):
                         a, b = max(first, x - j * STEP - STEP + 1), min(last, x - j * STEP)
@@ -474,16 +483,17 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: i
     rows = _keyed(docs, text, doc_id)
     cores = written(_cores(rows), "cores")
     often = cores.groupBy("core").agg(F.count("*").alias("often")).where("often > 1")
-    found = F.struct("anchor", "first", "last")
     twice = (cores.join(often, "core").groupBy("doc_id", "hash")
-             .agg(F.collect_set(F.when(F.col("often") <= hot, found)).alias("segments"),
-                  F.collect_set(F.when(F.col("often") > hot, found)).alias("hot")))
+             .agg(F.collect_set(F.when(F.col("often") <= hot, F.col("at"))).alias("segments"),
+                  F.collect_set(F.when(F.col("often") > hot, F.col("at"))).alias("hot")))
     twice = written(twice, "twice")
     totals = twice.agg(F.count("*").alias("docs"), F.sum(F.size("segments")).alias("cold"), F.sum(F.size("hot")).alias("hot")).head()
     # about this many bytes in all, from the mean length of a suffix
     parts = max(1, (totals["cold"] or 0) * (LENGTH + REACH // 2) // RANGE_BYTES)
     chosen = twice.withColumnRenamed("doc_id", "__id").withColumnRenamed("hash", "__hash")
-    joined = rows.join(chosen, (F.col("hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    # most texts share nothing and are left out before the shuffle
+    some = marked(rows, bitmap(twice, F.col("doc_id"), F.col("hash")), "some", F.col("doc_id"), F.col("hash")).where("some")
+    joined = some.join(chosen, (F.col("hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     splitters = _splitters(rows, rows.count() if parts > 1 else 0, parts)
     out = _merge(_runs(joined.where(F.size("segments") > 0).select("doc_id", "hash", "data", "segments"), splitters))
     if totals["hot"]:
@@ -504,10 +514,14 @@ def removed_spans(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int = HOT) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_bytes``, the ``spans`` that go, and ``kept``, the bytes that stay."""
-    starts = written(repeated(docs, text, doc_id, hot), "repeats").groupBy("doc_id", "hash").agg(
+    found = written(repeated(docs, text, doc_id, hot), "repeats")
+    starts = found.groupBy(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).agg(
         F.collect_list(F.struct("first", "last")).alias("starts"))
-    starts = starts.withColumnRenamed("doc_id", "__id").withColumnRenamed("hash", "__hash")
-    rows = _keyed(docs, text, doc_id).join(starts, (F.col("hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    every = marked(_keyed(docs, text, doc_id), bitmap(found, F.col("doc_id"), F.col("hash")), "some", F.col("doc_id"), F.col("hash"))
+    # documents that keep all their bytes need no partner and are not shuffled
+    whole = every.where("not some").select("doc_id", "data", F.lit(None).cast("array<struct<first: bigint, last: bigint>>").alias("starts"))
+    cut_up = every.where("some").join(starts, (F.col("hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    rows = whole.union(cut_up.select("doc_id", "data", "starts"))
 
     def cut(batches):
         for batch in batches:
