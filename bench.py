@@ -23,7 +23,7 @@ HEADLINE = [
     "validate_policies", "final_status", "recent_runs", "fold_properties", "diff_properties", "incremental_load",
     "retention_purge", "complete_runs", "mark_overlaps", "assemble_log_records", "search_logs", "copy_progress",
     "hive_run_progress", "decode_tracking", "tracking_update", "rehome_policies", "apply_entity_transforms",
-    "changed_entities",
+    "changed_entities", "scan_tree", "stream_events", "stream_progress", "stream_last_status",
 ]
 
 

@@ -12,7 +12,7 @@ from driftline.sources.scratch import scratch_path
 
 
 @query("next_versions", "policy_version policy", """
-WITH fresh AS (SELECT name, id FROM policy WHERE CAST(id AS INT) % 2 = 0 UNION ALL SELECT name, id || 'b' FROM policy WHERE CAST(id AS INT) % 6 = 0 UNION ALL SELECT 'new' || id, id || 'c' FROM policy WHERE CAST(id AS INT) % 5 = 0),
+WITH fresh AS (SELECT CASE WHEN CAST(id AS INT) % 2 = 0 THEN name ELSE 'group' || CAST(CAST(id AS INT) % 7 AS VARCHAR) END AS name, id FROM policy UNION ALL SELECT name, id || 'b' FROM policy WHERE CAST(id AS INT) % 6 = 0 UNION ALL SELECT 'new' || id, id || 'c' FROM policy WHERE CAST(id AS INT) % 5 = 0),
 counted AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS nth FROM fresh),
 latest AS (SELECT name, max(version) AS v, arg_max(status NOT IN ('SUCCEEDED', 'FAILED') AND retirement_time IS NULL, version) AS busy FROM policy_version GROUP BY name)
 SELECT c.name, c.id, coalesce(busy, false) OR nth > 1 AS conflict, CASE WHEN NOT (coalesce(busy, false) OR nth > 1) THEN CAST(coalesce(v, 0) + nth AS INT) END AS version
@@ -20,7 +20,8 @@ FROM counted c LEFT JOIN latest l ON l.name = c.name""")
 def next_versions(d):
     n = F.col("id").cast("int")
     rows = d.policy.select("name", "id")
-    new = (rows.where(n % 2 == 0)
+    group = F.concat(F.lit("group"), (n % 7).cast("string"))
+    new = (rows.withColumn("name", F.when(n % 2 == 0, F.col("name")).otherwise(group))
            .unionByName(rows.where(n % 6 == 0).withColumn("id", F.concat("id", F.lit("b"))))
            .unionByName(rows.where(n % 5 == 0).select(F.concat(F.lit("new"), "id").alias("name"),
                                                       F.concat("id", F.lit("c")).alias("id"))))
@@ -40,7 +41,7 @@ def incremental_export_bootstrap(d):
 
 
 LOADED = """
-WITH base AS (SELECT c_custkey AS key, 'base' AS kind, c_acctbal AS amount FROM customer WHERE c_custkey % 2 = 0),
+WITH base AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE -c_custkey END AS key, 'base' AS kind, c_acctbal AS amount FROM customer),
 last AS (SELECT key, max(change_id) AS id FROM change WHERE change_id > 300 GROUP BY key),
 final AS (SELECT c.key, c.op, c.kind, c.amount FROM change c JOIN last l ON l.key = c.key AND l.id = c.change_id)
 SELECT coalesce(f.key, b.key) AS key, CASE WHEN f.key IS NOT NULL THEN f.kind ELSE b.kind END AS kind, CASE WHEN f.key IS NOT NULL THEN f.amount ELSE b.amount END AS amount
@@ -48,8 +49,10 @@ FROM base b FULL JOIN final f ON f.key = b.key WHERE f.key IS NULL OR f.op <> 'D
 
 
 def base(d):
-    return d.table("customer").where("c_custkey % 2 = 0").select(
-        F.col("c_custkey").alias("key"), F.lit("base").alias("kind"), F.col("c_acctbal").alias("amount"))
+    # odd customers go by another key: changes of theirs find no row
+    return d.table("customer").select(
+        F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("key"),
+        F.lit("base").alias("kind"), F.col("c_acctbal").alias("amount"))
 
 
 @query("incremental_load", "change", LOADED)

@@ -303,6 +303,24 @@ def encryption_compat(d):
     return store.encryption_compat(rows, d.zones)
 
 
+@query("cluster_rules", "policy cluster cluster_pair", """
+WITH c AS (SELECT name, arg_max(local, version) AS local, arg_max(hdfs, version) AS hdfs FROM cluster WHERE retirement_time IS NULL GROUP BY name),
+pr AS (SELECT cluster AS a, paired_cluster AS b FROM cluster_pair WHERE status = 'PAIRED' UNION SELECT paired_cluster, cluster FROM cluster_pair WHERE status = 'PAIRED'),
+n AS (SELECT id, type, CASE WHEN CAST(id AS INT) % 11 = 0 THEN 'nowhere' WHEN CAST(id AS INT) % 11 = 1 THEN NULL ELSE source_cluster END AS s, CASE WHEN CAST(id AS INT) % 13 = 0 THEN 'nowhere' ELSE target_cluster END AS t FROM policy),
+j AS (SELECT n.*, x.name IS NOT NULL AS sk, y.name IS NOT NULL AS tk, x.local AS sl, y.local AS tl, x.hdfs AS sh, y.hdfs AS th, EXISTS (SELECT 1 FROM pr WHERE a = s AND b = t) AS paired
+ FROM n LEFT JOIN c x ON x.name = s LEFT JOIN c y ON y.name = t)
+SELECT id, 'unknown_source_cluster' AS rule FROM j WHERE s IS NOT NULL AND NOT sk UNION ALL SELECT id, 'unknown_target_cluster' FROM j WHERE NOT tk
+UNION ALL SELECT id, 'source_without_hdfs' FROM j WHERE type = 'FS' AND NOT sh UNION ALL SELECT id, 'target_without_hdfs' FROM j WHERE type = 'FS' AND NOT th
+UNION ALL SELECT id, 'clusters_not_paired' FROM j WHERE sk AND tk AND s <> t AND NOT paired
+UNION ALL SELECT id, 'no_local_cluster' FROM j WHERE NOT coalesce(sl, false) AND NOT coalesce(tl, false)""")
+def cluster_rules(d):
+    n = F.col("id").cast("int")
+    source = F.when(n % 11 == 0, "nowhere").when(n % 11 != 1, F.col("source_cluster"))
+    target = F.when(n % 13 == 0, "nowhere").otherwise(F.col("target_cluster"))
+    new = d.policy.select("id", "type", source.alias("source_cluster"), target.alias("target_cluster"))
+    return store.cluster_rules(new, d.cluster, d.cluster_pair)
+
+
 @query("encryption_of_clusters", "policy zones", """
 WITH z AS (SELECT path, cluster, key_name || '-' || cluster AS key_name FROM zones, (VALUES ('cl0'), ('cl2'), ('cl3')) AS c(cluster)),
 p AS (SELECT id, source_dataset, CASE WHEN CAST(id AS INT) % 3 = 0 THEN source_dataset || '/copy' WHEN CAST(id AS INT) % 4 = 1 THEN 's3://b' || source_dataset ELSE target_dataset END AS target_dataset, source_cluster, target_cluster FROM policy),

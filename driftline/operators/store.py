@@ -283,9 +283,46 @@ def policy_view(policy: DataFrame, fields: list[str], instance: DataFrame | None
     return view
 
 
+def with_default_target(new: DataFrame) -> DataFrame:
+    """Submitted policies whose empty target dataset has become the path of the source."""
+    given = F.when(F.trim("target_dataset") != "", F.col("target_dataset"))
+    return new.withColumn("target_dataset", F.coalesce(given, paths.uri_path(F.col("source_dataset"))))
+
+
+def cluster_rules(new: DataFrame, cluster: DataFrame, pair: DataFrame) -> DataFrame:
+    """(id, rule) for each rule about clusters that a submitted policy breaks.
+
+    Named clusters must exist (their newest active version counts); two different ones must be paired, and one of those
+    named must be the local one. A file policy needs HDFS on the clusters it names.
+    """
+    from driftline.operators.clusters import pairs_of
+
+    known = newest_version(active(cluster), ["name"]).select("name", "local", "hdfs")
+    paired = pairs_of(pair).where("status = 'PAIRED'").select(
+        F.col("name").alias("source_cluster"), F.col("peer").alias("target_cluster"), F.lit(True).alias("paired")).distinct()
+    both = new.select("id", "type", "source_cluster", "target_cluster")
+    for side in ("source", "target"):
+        facts = known.select(F.col("name").alias(f"{side}_cluster"), F.lit(True).alias(f"{side}_known"),
+                             F.col("local").alias(f"{side}_local"), F.col("hdfs").alias(f"{side}_hdfs"))
+        both = both.join(facts, f"{side}_cluster", "left")
+    both = both.join(paired, ["source_cluster", "target_cluster"], "left")
+    tests = {}
+    for side in ("source", "target"):
+        named = F.col(f"{side}_cluster").isNotNull()
+        tests[f"unknown_{side}_cluster"] = named & F.col(f"{side}_known").isNull()
+        tests[f"{side}_without_hdfs"] = (F.col("type") == "FS") & ~F.col(f"{side}_hdfs")
+    two = F.col("source_known") & F.col("target_known") & (F.col("source_cluster") != F.col("target_cluster"))
+    tests["clusters_not_paired"] = two & F.col("paired").isNull()
+    local = F.coalesce("source_local", F.lit(False)) | F.coalesce("target_local", F.lit(False))
+    tests["no_local_cluster"] = F.coalesce("source_cluster", "target_cluster").isNotNull() & ~local
+    broken = F.array_compact(F.array(*[F.when(test, F.lit(rule)) for rule, test in tests.items()]))
+    return both.select("id", F.explode(broken).alias("rule"))
+
+
 def validate_policies(new: DataFrame, policy: DataFrame, now: datetime, zones: DataFrame | None = None,
-                      min_frequency: int = 60) -> DataFrame:
-    """(id, rule) for each rule a submitted policy breaks.
+                      min_frequency: int = 60, cluster: DataFrame | None = None,
+                      pair: DataFrame | None = None) -> DataFrame:
+    """(id, rule) for each rule a submitted policy breaks; with ``cluster`` and ``pair`` also :func:`cluster_rules`.
 
     ``new`` has id, name, type, source_cluster, target_cluster, source_dataset, target_dataset, frequency, start_time,
     end_time, cloud_credential; ``zones`` are encryption zones (path, key_name).
@@ -330,6 +367,8 @@ def validate_policies(new: DataFrame, policy: DataFrame, now: datetime, zones: D
     wanted = new.withColumnRenamed("id", "wanted_id")
     same = same_source_target(policy, wanted).select(F.col("wanted_id").alias("id")).distinct()
     report = report.unionByName(same.withColumn("rule", F.lit("source_on_same_target")))
+    if cluster is not None and pair is not None:
+        report = report.unionByName(cluster_rules(new, cluster, pair))
     if zones is not None:
         report = report.unionByName(encryption_compat(new, zones).where("problem is not null")
                                     .select("id", F.col("problem").alias("rule")))
