@@ -15,6 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from driftline.catalog import QUERIES  # noqa: E402
 from driftline.session import local_session  # noqa: E402
+from driftline.sources.scratch import clear_scratch  # noqa: E402
 
 HEADLINE = [
     "plan_copy", "delete_missing", "copy_counters", "attributes_to_fix", "snapshot_diff", "translate_renames",
@@ -41,6 +42,7 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
                       "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
+    clear_scratch(spark)
     spark.stop()
 
 

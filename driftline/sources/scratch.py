@@ -28,7 +28,13 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
         default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
         if not default.startswith("file:"):
             base = default.rstrip("/") + base
-    return f"{base.rstrip('/')}/driftline/{purpose}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/driftline/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; to be called once its results are stored elsewhere."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "any")).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
