@@ -17,15 +17,14 @@ def components(links: DataFrame) -> DataFrame:
     back to their node; rows with a null end are no links.
     """
     both = links.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
-    edges = written(both.union(both.select("b", "a")).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    # each node is its own neighbour, so its label is among those it sees
+    ends = both.union(both.select("b", "a"))
+    edges = written(ends.union(ends.select("a", F.col("a").alias("b"))).distinct(), "edges")
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), "labels")
     while True:
-        near = (edges.join(labels.select(F.col("node").alias("b"), "component"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("component").alias("__near")))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("__old"), F.least("component", "__near").alias("__new"))
+        near = (edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node"))
+                .agg(F.min("component").alias("__new"), F.max(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("__old")))
         above = labels.select(F.col("node").alias("__new"), F.col("component").alias("__jump"))
-        after = written(lower.join(above, "__new", "left").select(
-            "node", "__old", F.least("__new", F.coalesce("__jump", "__new")).alias("component")), "labels")
-        if after.where("component <> __old").isEmpty():
-            return after.select("node", "component")
-        labels = after.select("node", "component")
+        labels = written(near.join(above, "__new").select("node", "__old", F.least("__new", "__jump").alias("component")), "labels")
+        if labels.where("component <> __old").isEmpty():
+            return labels.select("node", "component")

@@ -7,10 +7,14 @@ it shares prefix tokens under all of them:
 - order A puts the tokens of a fixed part of the hash range first, of those the ones that stand in a single class, then
   the others by how often they stand. Most documents have enough tokens of their own to fill the prefix: they are done.
 - orders B and C are by two other hashes.
-
-Candidates of order A are listed, those without common prefix tokens under B and C fall, and the rest is verified on the
-whole sets. Where many sets share prefix tokens they are not paired with one another at first, but with one of them, the
-pivot of the token; sets that this brings into one component need no further links, only what is left is paired.
+- order D, for the sets that are still open, counts all of their tokens: first those that no other component has, then the
+  others by how often they stand.
+
+Candidates that have no common prefix tokens under one of the orders fall, the rest is verified on the whole sets. Where
+many sets share prefix tokens they are not paired with one another at first, but with one of them, the pivot of the token;
+sets that this brings into one component need no further links, and only sets of different components that share a
+prefix token stay open. What is left at the end is paired. A pair must pass the positional filter: its first common token
+stands early enough in both for the overlap that the sizes call for.
 """
 
 from __future__ import annotations
@@ -21,16 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.llm import shingles
+from driftline.llm.bitmaps import bitmap, marked
 from driftline.llm.graph import components
 from driftline.llm.names import every
 from driftline.sources.scratch import written
 
 PERCENT = 80
 #: share of the hash range whose tokens order A puts first
-FIRST = 0.35
-#: remaining pairs per posting up to which they are listed instead of chosen by another round of pivots
-LISTED = 4
-ROUNDS = 6
+FIRST = 0.3
 
 
 def prefix_length(n: np.ndarray | int):
@@ -60,7 +62,7 @@ def sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     """Per document ``doc_id, sig, n, t, tokens``: the name and size of its set, how many tokens lie in the first part
     of the hash range, and those tokens (with the next ones, where they are fewer than the prefix). ``sig`` is null for an empty set."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    limit = np.uint64(int(FIRST * 2 ** 64))
+    limit = np.uint64(min(int(FIRST * 2 ** 64), 2 ** 64 - 1))
 
     def run(batches):
         for batch in batches:
@@ -85,7 +87,11 @@ def sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
 
 def prefixes(named: DataFrame) -> DataFrame:
-    """Order A's prefix tokens that two classes share: ``(token, sig, n)``, only of classes that have any."""
+    """Order A's prefix tokens that two classes share: ``(token, sig, n, pos, own)``, only of classes that have any.
+
+    ``pos`` is the token's place in the ordered set, or 0 where only a lower bound is at hand; ``own`` is the share of the
+    counted tokens that no other class has.
+    """
     rows = named.where("sig IS NOT NULL").select("sig", F.explode("tokens").alias("token"))
     shared = (rows.groupBy("token").agg(F.min("sig").alias("a"), F.max("sig").alias("b"), F.count("*").alias("often"))
               .where("a <> b").select("token", "often"))
@@ -96,10 +102,12 @@ def prefixes(named: DataFrame) -> DataFrame:
                .withColumn("p", F.expr(f"n - ({PERCENT} * n + 99) div 100 + 1")))
     counts = posts.groupBy("sig").agg(F.count("*").alias("s")).join(classes, "sig")
     # room: what the tokens of a single class leave of the prefix; where t < p the whole list is the prefix
-    room = counts.withColumn("room", F.expr("CASE WHEN t < p THEN s ELSE p - (t - s) END")).where("room > 0")
+    room = counts.withColumns({"room": F.expr("CASE WHEN t < p THEN s ELSE p - (t - s) END"),
+                               "before": F.expr("CASE WHEN t < p THEN NULL ELSE t - s END"),
+                               "own": F.expr("(greatest(t, p) - s) / greatest(t, p)")}).where("room > 0")
     rarest = Window.partitionBy("sig").orderBy("often", "token")
-    return (posts.join(room.select("sig", "n", "room"), "sig").withColumn("nth", F.row_number().over(rarest))
-            .where("nth <= room").select("token", "sig", "n"))
+    return (posts.join(room.select("sig", "n", "room", "before", "own"), "sig").withColumn("nth", F.row_number().over(rarest))
+            .where("nth <= room").select("token", "sig", "n", F.expr("coalesce(before + nth - 1, 0)").alias("pos"), "own"))
 
 
 def members(docs: DataFrame, named: DataFrame, posts: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -108,7 +116,9 @@ def members(docs: DataFrame, named: DataFrame, posts: DataFrame, text: str = "te
     # any one document of a class has its set
     chosen = named.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
+    # most texts have no part in this and are left out before the shuffle
+    some = marked(texts, bitmap(chosen, F.col("__id")), "some", F.col("doc_id")).where("some")
+    rows = some.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
 
     def run(batches):
         for batch in batches:
@@ -132,44 +142,68 @@ def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
             .where(100 * common >= PERCENT * (F.col("x_n") + F.col("y_n") - common)).select("x", "y"))
 
 
-def _may_match(n: str, m: str) -> str:
-    """The length filter."""
-    return f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})"
+#: the length filter; and the positional one: what is left of each set from the common token on must hold the overlap
+MAY_MATCH = (f"100 * least(xn, yn) >= {PERCENT} * greatest(xn, yn) AND "
+             f"({100 + PERCENT}) * least(xn - xp, yn - yp) >= {PERCENT} * (xn + yn)")
+
+
+def opened(posts: DataFrame, comps: DataFrame | None) -> DataFrame | None:
+    """The postings, with ``comp``, of tokens that sets of more than one component share; None if there are none."""
+    labelled = posts.withColumn("comp", F.col("sig")) if comps is None else posts.join(
+        comps.withColumnRenamed("node", "sig"), "sig", "left").select(*posts.columns, F.coalesce("component", "sig").alias("comp"))
+    mixed = labelled.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
+    left = written(labelled.join(mixed.select("token"), "token", "left_semi"), "open-prefixes")
+    return None if left.isEmpty() else left
+
+
+def whole_prefixes(open_posts: DataFrame, whole: DataFrame) -> DataFrame:
+    """Order D's prefix tokens of the open sets that two components share, as ``prefixes`` gives them.
+
+    Sets that are still to be linked share an open token, so all of them are here, and tokens that only one
+    component has cannot be in common with a set that is still to be linked.
+    """
+    sets_ = open_posts.select("sig", "comp").distinct().join(whole.select("sig", "n", "tokens"), "sig")
+    rows = sets_.select("sig", "comp", F.explode("tokens").alias("token"))
+    shared = (rows.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("often"))
+              .where("a <> b").select("token", "often"))
+    posts = written(rows.select("sig", "token").join(shared, "token"), "whole-tokens")
+    sizes = whole.select("sig", "n")
+    counts = posts.groupBy("sig").agg(F.count("*").alias("s")).join(sizes, "sig").withColumns({
+        "room": F.expr(f"s - ({PERCENT} * n + 99) div 100 + 1"), "own": F.expr("(n - s) / n")}).where("room > 0")
+    rarest = Window.partitionBy("sig").orderBy("often", "token")
+    return (posts.join(counts, "sig").withColumn("nth", F.row_number().over(rarest))
+            .where("nth <= room").select("token", "sig", "n", F.expr("n - s + nth - 1").alias("pos"), "own"))
+
+
+def _side(posts: DataFrame, one: str) -> list:
+    return [F.col(c).alias(f"{one}{to}") for c, to in (("sig", ""), ("n", "n"), ("pos", "p"), ("comp", "c"))]
+
+
+def _paired(pairs: DataFrame) -> DataFrame:
+    return pairs.where(f"xc <> yc AND {MAY_MATCH}").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def links(posts: DataFrame, whole: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between classes, enough of them to connect every two classes that are similar."""
-    found = None
-    posts = written(posts, "prefixes")
-    whole = written(whole, "sets")
-    comps = None
-    for turn in range(ROUNDS):
-        labelled = posts.withColumn("comp", F.col("sig")) if comps is None else posts.join(
-            comps.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", F.coalesce("component", "sig").alias("comp"))
-        # what is left to compare: tokens of more than one component
-        parts = labelled.groupBy("token", "comp").agg(F.count("*").alias("k"))
-        mixed = parts.groupBy("token").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same")).where("all * all > same")
-        left = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).head()[0] or 0
-        if not left:
-            break
-        labelled = written(labelled.join(mixed.select("token"), "token", "left_semi"), "open-prefixes")
-        x = labelled.select("token", F.col("sig").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-        if turn == ROUNDS - 1 or left <= LISTED * labelled.count():
-            y = labelled.select("token", F.col("sig").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
-            pairs = x.join(y, "token").where("x < y AND xc <> yc AND " + _may_match("xn", "yn"))
-            made = verified(pairs.select("x", "y").distinct(), whole)
-            found = made if found is None else found.union(made)
+    posts, whole = written(posts, "prefixes"), written(whole, "sets")
+    found, comps = posts.select(F.col("sig").alias("x"), F.col("sig").alias("y")).limit(0), None
+    for turn in ("A", "D", "all"):
+        left = opened(posts, comps)
+        if left is not None and turn == "D":
+            posts = written(whole_prefixes(left, whole), "prefixes")
+            left = opened(posts, comps)
+        if left is None:
             break
-        # another pivot each round; every set of the token that is in another component is compared with it
-        by = F.xxhash64("sig", F.lit(turn))
-        pivot = labelled.groupBy("token").agg(F.min(F.struct(by.alias("h"), F.col("sig").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))).alias("p"))
-        pairs = (x.join(pivot.select("token", "p.y", "p.yn", "p.yc"), "token").where("xc <> yc AND " + _may_match("xn", "yn"))
-                 .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        made = written(verified(pairs, whole), "links")
-        found = made if found is None else found.union(made)
-        comps = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    if found is None:
-        return posts.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0)
+        x = left.select("token", *_side(left, "x"))
+        if turn == "all":
+            pairs = _paired(x.join(left.select("token", *_side(left, "y")), "token").where("x < y"))
+        else:
+            # the set with the least of its own: copies that were changed apart all resemble it
+            best = F.min(F.struct("own", F.xxhash64("sig").alias("h"), *_side(left, "y"))).alias("p")
+            pivot = left.groupBy("token").agg(best).select("token", "p.y", "p.yn", "p.yp", "p.yc")
+            pairs = _paired(x.join(pivot, "token"))
+        found = found.union(written(verified(pairs, whole), "links"))
+        comps = components(found.select(F.col("x").alias("a"), F.col("y").alias("b"))) if turn != "all" else None
     return found.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 

@@ -6,8 +6,9 @@ from collections import Counter
 
 import pytest
 from cases import documents, plain, prose
+from pyspark.sql import functions as F
 
-from driftline.llm import decontaminate, graph, jaccard, shingles
+from driftline.llm import bitmaps, decontaminate, graph, jaccard, shingles
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -73,9 +74,9 @@ def near_copies():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("listed", [0, 4, 10 ** 9])
-def test_jaccard_join_against_brute_force(spark, monkeypatch, listed):
-    monkeypatch.setattr(jaccard, "LISTED", listed)  # 0: pivots in every round but the last
+@pytest.mark.parametrize("first", [0.05, 0.3, 1.0])
+def test_jaccard_join_against_brute_force(spark, monkeypatch, first):
+    monkeypatch.setattr(jaccard, "FIRST", first)
     texts = near_copies()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == components_of(texts)
@@ -100,6 +101,16 @@ def test_near_duplicate_stage(spark):
     assert jaccard.stage(spark, documents(spark, empty=True), "").count() == 0
 
 
+def test_bitmap_lets_every_partner_through(spark):
+    rows = spark.range(2000).selectExpr("IF(id = 7, NULL, id) AS k", "id AS place")
+    keys = rows.where("k % 10 = 3 OR k IS NULL")
+    found = bitmaps.marked(rows, bitmaps.bitmap(keys, F.col("k")), "some", F.col("k"))
+    assert found.columns == ["k", "place", "some"] and found.count() == 2000
+    assert found.where("some AND (k % 10 = 3 OR k IS NULL)").count() == 201
+    assert found.where("some").count() < 210
+    assert bitmaps.marked(rows, bitmaps.bitmap(keys.limit(0), F.col("k")), "some", F.col("k")).where("some").count() == 0
+
+
 def test_components(spark):
     make = random.Random(4)
     links = [(make.randrange(300), make.randrange(300)) for _ in range(180)] + [(5, 5), (None, 3), (7, None)] + [(1000 + i, 1001 + i) for i in range(70)]
