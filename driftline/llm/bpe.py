@@ -23,7 +23,7 @@ from driftline.llm.names import every, fresh, mapped
 #: words a worker remembers; beyond it the memo starts anew, which costs time only
 MEMO_WORDS = 500_000
 #: words or ids that are worked on at once
-PART = 400_000
+PART = 250_000
 #: words of up to so many bytes are merged in step, longer ones through the inverted index
 STEPPED = 64
 #: the rank of a pair that joins to no token
@@ -306,14 +306,27 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
     The JVM splits the texts. Where a text holds characters that its Unicode tables do not know yet, the task splits it.
     """
+    kept = docs.select(*every(docs, ids))
+    return mapped(*_encoding(docs, kept, ranks, pattern, text, False), [*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+
+
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str], text: str = "text",
+                      ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the rows, with only the columns ``keep`` of ``docs``."""
+    kept = docs.select(*keep)
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.BinaryType())]
+    return mapped(*_encoding(docs, kept, ranks, pattern, text, True), [*kept.schema.fields, *fields])
+
+
+def _encoding(docs: DataFrame, kept: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, decoded: bool):
+    """The columns of ``kept`` with the split texts, and the function that makes ids (and bytes) of these."""
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     body = F.coalesce(F.col(text), F.lit(""))
     odd = body.rlike(r"\p{Cn}")
     # (?U): white space as Unicode has it
     words = F.when(~odd, F.regexp_extract_all(body, F.lit("(?U)" + pattern), F.lit(0)))
-    kept = docs.select(*every(docs, ids))
     names = [fresh(kept, name) for name in ("words", "odd")]
-    split = docs.select(*every(docs, ids), words.alias(names[0]), F.when(odd, body).alias(names[1]))
+    split = docs.select(*every(kept), words.alias(names[0]), F.when(odd, body).alias(names[1]))
 
     def run(batches):
         encoder = _encoder(shared)
@@ -324,9 +337,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 if rare.null_count < part.num_rows:
                     other = encoder.texts([t or "" for t in rare.to_pylist()])
                     found = pa.compute.if_else(rare.is_valid(), other, found)
-                yield [*part.columns[:-2], found]
+                yield [*part.columns[:-2], found, *([encoder.vocabulary.decode(found)] if decoded else [])]
 
-    return mapped(split, run, [*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    return split, run
 
 
 def _parts(batch: pa.RecordBatch, lists: pa.ListArray):
@@ -372,7 +385,7 @@ def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[dict[bytes, int], st
 
 def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Per document the number of tokens and the SHA-256 of the ids (decimal, joined by a space) and decoded bytes."""
-    both = decode(encode(docs.select("doc_id", "text"), ranks, pattern).drop("text"), ranks)
+    both = encode_and_decode(docs, ranks, pattern, ["doc_id"])
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
