@@ -164,6 +164,32 @@ def test_decontamination_against_brute_force(spark):
     assert len(want) > 15
 
 
+def test_decontamination_finds_parts_in_any_order(spark):
+    make = random.Random(6)
+    items = [(n, prose(800 + n, make.randint(20, 60))) for n in range(8)]
+    docs = []
+    for n in range(48):
+        words, around = items[n % 8][1].split(), prose(900 + n, 60).split()
+        half, kind = len(words) // 2, n // 8
+        # halves swapped, thirds turned round, words put in between, the item said twice, halves apart, all of it at the end
+        piece = [words[half:] + words[:half], words[2 * half // 3:] + words[:2 * half // 3], words[:half] + ["zz"] + words[half:],
+                 words + words, words[:half] + around[:20] + words[half:], words[half:] + words[:half]][kind]
+        docs.append((n, " ".join((around[:30] if kind < 5 else around) + piece + (around[30:] if kind < 5 else []))))
+    got = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).collect()
+    want = leaks(docs, items)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    assert len(got) == len(want) and {n // 8 for n, _ in want} >= {0, 1, 2, 3, 5}
+
+
+def test_decontamination_finds_short_items_inside_documents(spark):
+    items = [(1, "two words"), (2, "Four short words here"), (3, "alone"), (4, "two words"), (5, prose(11, 20))]
+    docs = [(1, prose(12, 30) + " two WORDS " + prose(13, 30) + " two words"), (2, "so four short words here"), (3, "words two four short"),
+            (4, "alone"), (5, "Four short"), (6, prose(11, 20) + " alone"), (7, "")]
+    got = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).collect()
+    assert sorted((r.doc_id, r.item_id, r.start_word, r.n_words, r.similarity) for r in got) == [
+        (1, 1, 30, 2, 1.0), (1, 4, 30, 2, 1.0), (2, 2, 1, 4, 1.0), (4, 3, 0, 1, 1.0), (6, 3, 20, 1, 1.0), (6, 5, 0, 20, 1.0)]
+
+
 def test_decontamination_of_awkward_documents(spark):
     items = spark.createDataFrame([(1, prose(2, 40))], "item_id long, text string")
     docs = documents(spark)
