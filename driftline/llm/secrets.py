@@ -22,7 +22,10 @@ from driftline.sources.scratch import scratch_path
 
 @dataclass(frozen=True)
 class Rule:
-    """Leftmost, non-overlapping matches of ``pattern``; those whose ``group`` is shorter than ``least`` are dropped."""
+    """Leftmost, non-overlapping matches of ``pattern``; those whose ``group`` is shorter than ``least`` are dropped.
+
+    The secret is the group; it ends where the match ends.
+    """
 
     kind: str
     pattern: str
@@ -56,6 +59,22 @@ MORE = (
 )
 RULES = BASE + MORE
 
+_IS, _VALUE = r"""["']?\x20*[:=]\x20*["']?""", "[A-Za-z0-9+/_.=-]{6,}+"
+_BEGIN, _END = (f"-----{edge} [A-Z ]*PRIVATE KEY-----" for edge in ("BEGIN", "END"))
+#: what may stand between the lines of a key: ends of lines, written out too, and marks of quotations
+_GAP = r"""(?:\s|\\[nr]|[>"',#|*])*+"""
+#: lines of a key that has no end: its headers, long runs of base64, and one shorter run that is alone on its line
+_LINES = (rf"(?:{_GAP}(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:(?:{_GAP}[A-Za-z0-9+/]{{24,}}+={{0,2}}+)++"
+          r"(?:[>\s]*\n[>\x20]*[A-Za-z0-9+/]{1,23}+={0,2}+(?=[\x20\t\r]*(?:\n|\z)))?+)?+")
+#: what the stage takes out, all of it: keys with their lines, and assigned values also where a shorter value or a value that
+#: is itself a keyword stands before them
+REDACTED = (
+    Rule("assign", f"{KEYWORD}{_IS}({_VALUE}(?:(?<={KEYWORD}){_IS}{_VALUE})*+)", 2, 6),
+    *BASE[1:],
+    Rule("private_key", f"{_BEGIN}(?:[^-]*+(?:-{{1,4}}+[^-]++)*+{_END}|{_LINES})"),
+    *MORE[1:],
+)
+
 
 def blob(text: Column) -> Column:
     """The address of a text; a null text has that of the empty one."""
@@ -75,10 +94,10 @@ def _matches(text: Column, rule: Rule) -> Column:
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Findings ``(blob, version, kind, start, end)`` of rows ``(blob, text, todo)``.
+    """Findings ``(blob, version, kind, start, end, secret)`` of rows ``(blob, text, todo)``.
 
-    ``todo`` lists the rule versions to apply. Places count code points, the end is exclusive. Rows without findings
-    give none.
+    ``todo`` lists the rule versions to apply. Places count code points, the end is exclusive; the secret itself starts at
+    ``secret``. Rows without findings give none.
     """
     found = [F.when(F.array_contains("todo", rule.version) & F.col("text").rlike(rule.pattern),
                     F.struct(F.lit(rule.version).alias("version"), F.lit(rule.kind).alias("kind"),
@@ -89,7 +108,7 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     # one group is the matches of one rule in one text
     before = "sum(m.gap + coalesce(m.own, 0)) OVER (PARTITION BY blob, version ORDER BY place)"
     ends = rows.withColumn("end", F.expr(before)).where("m.own IS NOT NULL AND m.part >= least")
-    return ends.selectExpr("blob", "version", "kind", "`end` - m.own AS start", "`end`")
+    return ends.selectExpr("blob", "version", "kind", "`end` - m.own AS start", "`end`", "`end` - m.part AS secret")
 
 
 class Ledger:
@@ -109,7 +128,7 @@ class Ledger:
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """What the given rules have found so far, each finding once even if a scan was written twice."""
-        every = self._read("findings", "blob string, version string, kind string, start long, `end` long")
+        every = self._read("findings", "blob string, version string, kind string, start long, `end` long, secret long")
         return every.where(F.col("version").isin([rule.version for rule in rules])).distinct()
 
     def update(self, versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
@@ -169,27 +188,39 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
 
 
-def redact(text: Column, mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> Column:
-    """The text with its secrets replaced; of an assignment only the value goes."""
-    for rule in rules:
-        if rule.group:
-            head, _, value = rule.pattern.rpartition("(")
-            pattern = f"({head}){value.rstrip(')').rstrip('+')}{{{rule.least},}}"
-            text = F.regexp_replace(text, pattern, "$1" + mark.replace("$", r"\$"))
-        else:
-            text = F.regexp_replace(text, rule.pattern, mark.replace("$", r"\$"))
-    return text
+def covered(findings: DataFrame) -> DataFrame:
+    """``(blob, spans)``: the places of all secrets of a blob, those that overlap or touch as one, by start."""
+    rows = findings.select("blob", F.coalesce("secret", "start").alias("start"), "end")
+    reached = "max(`end`) OVER (PARTITION BY blob ORDER BY start, `end` ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    island = "sum(opens) OVER (PARTITION BY blob ORDER BY start, `end` ROWS UNBOUNDED PRECEDING)"
+    opened = rows.withColumn("opens", F.expr(f"IF(start <= {reached}, 0, 1)"))
+    merged = opened.withColumn("island", F.expr(island)).groupBy("blob", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return merged.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """The text with ``mark`` in the place of each of the ``spans``, at least one, which are ascending and apart."""
+    before = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+    kept = lambda start, end: F.substr(text, (start + 1).cast("int"), (end - start).cast("int"))
+    pieces = F.transform(spans, lambda s, i: F.concat(kept(before(i), s["start"]), F.lit(mark)))
+    return F.concat(F.array_join(pieces, ""), F.substr(text, (F.element_at(spans, -1)["end"] + 1).cast("int")))
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All documents; in those with findings the secrets are replaced and ``n_chars`` follows."""
+    """All documents; in those with findings the secrets are replaced and ``n_chars`` follows.
+
+    Of an assignment only the value goes. All rules look at the text as it came, and what any of them finds goes.
+    """
     ledger = Ledger(spark, scratch_path(spark, "blob-ledger"))
-    ledger.update(docs)
-    key, hit = fresh(docs, "blob"), fresh(docs, "hit")
-    found = ledger.findings().select(F.col("blob").alias(key)).distinct().withColumn(hit, F.lit(True))
+    ledger.update(docs, rules=REDACTED)
+    key, hit, new = fresh(docs, "blob"), fresh(docs, "hit"), fresh(docs, "new_text")
+    found = covered(ledger.findings(REDACTED)).select(F.col("blob").alias(key), F.col("spans").alias(hit))
     marked = docs.withColumn(key, blob(F.col("text"))).join(found, key, "left")
-    text = F.when(F.col(hit), redact(F.col("text"))).otherwise(F.col("text"))
-    changed = {"text": text.alias("text"), "n_chars": F.when(F.col(hit), F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")}
+    some = F.col(hit).isNotNull()
+    # a column of its own: beside a new column ``text`` the pieces would be cut from that one
+    marked = marked.withColumn(new, F.when(some, redact(F.col("text"), F.col(hit))).otherwise(F.col("text")))
+    changed = {"text": F.col(new).alias("text"),
+               "n_chars": F.when(some, F.length(new).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")}
     return marked.select(*[changed.get(name, column) for name, column in zip(docs.columns, every(docs))])
 
 

@@ -95,3 +95,34 @@ def test_stage_redacts_and_keeps_every_row(spark):
     before = {r.doc_id: r.text for r in docs.collect()}
     assert all(texts[i][0] == before[i] for i in before if i not in (None, 11, 13))  # 11 is one long run of hex digits
     assert secrets.stage(spark, documents(spark, empty=True), "").count() == 0
+
+
+def redacted(spark, texts):
+    docs = spark.createDataFrame([(n, t, len(t)) for n, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    rows = sorted(secrets.stage(spark, docs, "").collect())
+    assert all(r.n_chars == len(r.text) for r in rows)
+    return [r.text for r in rows]
+
+
+def test_stage_takes_out_whole_keys(spark):
+    lines = ["MIIEowIBAAKCAQEA" + c * 48 for c in "abcdefgh"]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join([*lines, "Q2hlY2s="])
+    texts = [f"a \U0001f600\n{head}\n{body}\n{end}\nb", f"a {head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{body}\n{end} b",
+             f"a {head}\n{body}\nplain words", f'"{head}' + "\\n".join(["", *lines, "Q2g="]) + f'\\n{end}\\n" b', f"> {head}\n> " + body.replace("\n", "\n> ") + f"\n> {end}",
+             f"{head}\n{body}\n{end}\nbetween\n{head}\n{body}\n{end}", f"the line {head} opens a key, plain words follow", f"{head}\nhello\n",
+             f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{body}", " ".join([head, *lines, end]), (head + "\n") * 300]
+    assert redacted(spark, texts) == [
+        "a \U0001f600\n[secret]\nb", "a [secret] b", "a [secret]\nplain words", '"[secret]\\n" b', "> [secret]", "[secret]\nbetween\n[secret]",
+        "the line [secret] opens a key, plain words follow", "[secret]\nhello\n", "[secret]", "[secret]", "[secret]\n" * 300]
+
+
+def test_stage_takes_out_all_that_any_rule_finds(spark):
+    long, value = "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef" * 2
+    texts = [f"token: Bearer {long}", f"x Bearer token={value}{long}, y", f"secret={value[:20]}:{value} z", "secret:token:abcdefg", "secret:token:secret:abcdefg",
+             "token=secret: abcdefg password='abcdefg'", f"AKIA{'A' * 16} {value}", "\u00e9\U0001f600 token=abcdef \u00e9\U0001f600 passwd: abcdefg \U0001f600", "token=abcdef " * 300, "token=abc",
+             "secret:" * 3000 + "abcdefg"]
+    assert redacted(spark, texts) == [
+        "token: [secret]", "x Bearer token=[secret], y", "secret=[secret]:[secret] z", "secret:token:[secret]", "secret:token:[secret]",
+        "token=[secret] password='[secret]'", "[secret] [secret]", "\u00e9\U0001f600 token=[secret] \u00e9\U0001f600 passwd: [secret] \U0001f600", "token=[secret] " * 300, "token=abc",
+        "secret:[secret]"]
