@@ -288,7 +288,8 @@ SELECT 'incremental' AS kind, 'copy' AS step, target AS path FROM moved
 UNION ALL SELECT 'incremental', lower(type), '/dr' || source FROM diff WHERE type IN ('RENAME', 'DELETE')""")
 def plan_sync_incremental(d):
     plan = _plan(d, d.snapshot_old)
-    copies = plan.copies.select(F.lit(plan.kind).alias("kind"), F.lit("copy").alias("step"), "path")
+    copies = plan.copies.select(F.lit(plan.kind).alias("kind"), F.lit("copy").alias("step"),
+                                F.col("rel_path").alias("path"))
     return copies.unionByName(plan.moves.select(F.lit(plan.kind).alias("kind"), F.lower("type").alias("step"),
                                                 F.col("source").alias("path")))
 

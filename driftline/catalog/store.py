@@ -97,7 +97,7 @@ def events_by_event_name(d):
 
 
 @query("events_by_entity_type", "event", EVENTS + """
-WHERE entity_type = 'policy' AND event_time BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00' ORDER BY event_time DESC NULLS LAST, id LIMIT 1000""")
+WHERE entity_type = 'policy' AND event_time BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00' ORDER BY event_time DESC NULLS LAST, id LIMIT 5000""")
 def events_by_entity_type(d):
     return store.events_query(d.event, d.policy, {"entity_type": "policy"}, DAY, datetime(2024, 1, 20), n=5000).select(*EVENT_COLUMNS)
 
