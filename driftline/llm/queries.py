@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from driftline.llm import bpe, decontaminate, jaccard, language_id, licenses, packing, repeats, secrets, tool_calls, vector_search
+from driftline.llm import bpe, decontaminate, jaccard, language_id, licenses, merge_rounds, packing, repeats, secrets, tool_calls, vector_search
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_token_packing": packing.query,
     "op9_secret_scan": secrets.query,
     "op10_exact_top_k": vector_search.query,
+    "op13_merge_rounds_bpe": merge_rounds.query,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.ORACLE,
