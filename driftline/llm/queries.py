@@ -3,7 +3,20 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from driftline.llm import bpe, decontaminate, jaccard, language_id, licenses, merge_rounds, packing, repeats, secrets, tool_calls, vector_search
+from driftline.llm import (
+    bpe,
+    decontaminate,
+    jaccard,
+    language_id,
+    licenses,
+    merge_rounds,
+    packing,
+    periodic,
+    repeats,
+    secrets,
+    tool_calls,
+    vector_search,
+)
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +30,7 @@ QUERIES = {
     "op8_token_packing": packing.query,
     "op9_secret_scan": secrets.query,
     "op10_exact_top_k": vector_search.query,
+    "op11_periodic_runs": periodic.query,
     "op13_merge_rounds_bpe": merge_rounds.query,
 }
 ORACLES: dict[str, str] = {
