@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from driftline.llm import (
+    alignment,
     bpe,
     decontaminate,
     jaccard,
@@ -31,6 +32,7 @@ QUERIES = {
     "op9_secret_scan": secrets.query,
     "op10_exact_top_k": vector_search.query,
     "op11_periodic_runs": periodic.query,
+    "op12_token_alignment": alignment.query,
     "op13_merge_rounds_bpe": merge_rounds.query,
 }
 ORACLES: dict[str, str] = {
