@@ -18,14 +18,17 @@ def replay(d, table, columns):
 
 def replay_late(d, columns, repeated=False):
     """The events as a stream of several batches, each with days from all over the time range; with ``repeated`` the rows
-    of some users come once more in a last batch."""
+    of some users come once more in the last batches, under a later day."""
     place, events = scratch_path(d.spark, "late"), d.table("events")
     turn = F.dayofyear("ts") * 3 % 5
-    for n in (3, 1, 4, 0, 2):
-        events.where(turn == n).coalesce(1).write.mode("append").parquet(place)
+    turns = [events.where(turn == n) for n in (3, 1, 4, 0, 2)]
     if repeated:
-        events.where("user_id % 3 = 0").coalesce(1).write.mode("append").parquet(place)
-    files = d.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+        turns.append(events.where("user_id % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 40 DAYS")))
+    # a turn is as many files as a shuffle has parts, and so is a batch
+    parts = int(d.spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows in turns:
+        rows.repartition(parts, "event_id").write.mode("append").parquet(place)
+    files = d.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", parts)
     return files.parquet(place).select(*columns)
 
 
@@ -38,8 +41,8 @@ def event_stream(d):
 
 
 EVENT_ORACLE = """
-WITH mixed AS (SELECT id, CASE WHEN id % 10 = 0 THEN 'policy' ELSE entity_type END AS entity_type, event_code FROM event)
-SELECT id, entity_type, event_code, CASE WHEN event_code = 11 THEN 'error' ELSE 'info' END AS severity FROM mixed
+WITH mixed AS (SELECT id, event_time, CASE WHEN id % 10 = 0 THEN 'policy' ELSE entity_type END AS entity_type, event_code FROM event)
+SELECT id, event_time, entity_type, event_code, CASE WHEN event_code = 11 THEN 'error' ELSE 'info' END AS severity FROM mixed
 WHERE (entity_type = 'policy' AND event_code IN (2, 7)) OR (entity_type = 'policyinstance' AND event_code IN (8, 11, 12))"""
 
 
@@ -49,12 +52,12 @@ def stored_events(d):
     rejects, stream = f"{sink}-rejects", event_stream(d)
     for _ in range(2):
         streams.stream_events(stream, sink, checkpoint, rejects).awaitTermination()
-    return d.spark.read.parquet(sink), d.spark.read.parquet(rejects)
+    return streams.event_table(d.spark, sink), d.spark.read.parquet(rejects)
 
 
 @query("stream_events", "event", EVENT_ORACLE)
 def stream_events(d):
-    return stored_events(d)[0].select("id", "entity_type", "event_code", "severity")
+    return stored_events(d)[0].select("id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "entity_type", "event_code", "severity")
 
 
 @query("stream_event_rejects", "event", """

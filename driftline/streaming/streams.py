@@ -12,29 +12,87 @@ from pyspark.sql import functions as F
 from driftline.plans.copying import exclude_find
 from driftline.sources.events import classify_events
 from driftline.sources.scratch import scratch_path
+from driftline.streaming.batch_table import BatchTable
 
 
-def stream_events(stream: DataFrame, sink: str, checkpoint: str, rejects: str):
-    """Append events with their severity and name to ``sink``, each id once, however late it comes.
+#: Fixed value: the state store that keeps its rows on disk, for states that grow with the number of ids.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Running:
+    """Stream queries that belong together."""
+
+    def __init__(self, *queries):
+        self.queries = queries
+
+    def awaitTermination(self) -> None:  # noqa: N802, as the queries have it
+        for query in self.queries:
+            query.awaitTermination()
+
+    def stop(self) -> None:
+        for query in self.queries:
+            query.stop()
+
+
+def _started(spark: SparkSession, writer):
+    """The query of ``writer``, with its state in RocksDB unless the session names another store."""
+    names = {"spark.sql.streaming.stateStore.providerClass": ROCKS,
+             "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    own = {k: v for k, v in names.items() if spark.conf.get(k, None) is None or "HDFSBacked" in spark.conf.get(k)}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        return writer.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def first_of_each(events: DataFrame) -> DataFrame:
+    """Of a stream with ``id``: the state of each id a batch has met, as the row that came first and ``fresh``.
+
+    The state is kept by id alone, for ever: an id that comes again after any time, under any date, is known. Of several
+    rows in one batch the earliest stands. ``fresh`` tells that the batch met the id for the first time. Batches are told
+    apart by their time, which is stored with a batch before it runs, so one that runs again gives the same rows.
+    """
+    wide = sorted((c for c in events.columns if c != "id"), key=lambda c: c != "event_time")
+    # the planner puts the batch's time here, not the time at which a task runs
+    arrived = events.withColumn("arrived", F.current_timestamp())
+    kept = arrived.groupBy("id").agg(F.min(F.struct("arrived", *wide)).alias("first"), F.max("arrived").alias("last"))
+    return kept.select("id", *[F.col(f"first.{c}").alias(c) for c in wide], (F.col("first.arrived") == F.col("last")).alias("fresh"))
+
+
+def stream_events(stream: DataFrame, sink: str, checkpoint: str, rejects: str) -> Running:
+    """Append events with their severity and name to ``sink``, each id once, however late or under whatever day it comes.
 
     ``stream`` has id, event_time, event_code, entity_type. Events that their kind of entity may not raise, and those without
-    an id, go to ``rejects``. A batch writes only its own folders and leaves out ids that earlier batches have written on
-    the same day, so a batch that runs again writes the same, and only the days of a batch are read for it.
+    an id, go to ``rejects``. Which ids are stored is the keyed state of the query (:func:`first_of_each`), on disk in
+    RocksDB: a batch reads its own rows and the states of its own ids, never what earlier batches have written.
+    :func:`event_table` reads the sink.
     """
+    spark = stream.sparkSession
+    ready = classify_events(stream)
+    good = F.col("legal") & F.col("id").isNotNull()
+
+    def store(batch: DataFrame, number: int) -> None:
+        fresh = batch.where("fresh").drop("fresh").withColumn("day", F.to_date("event_time"))
+        event_sink(batch.sparkSession, sink).append(fresh, number)
+
+    stored = (first_of_each(ready.where(good).drop("legal")).writeStream.outputMode("update").foreachBatch(store)
+              .option("checkpointLocation", f"{checkpoint}/events").trigger(availableNow=True))
+    refused = (ready.where(~good).drop("legal").writeStream.format("parquet").option("path", rejects)
+               .option("checkpointLocation", f"{checkpoint}/rejects").trigger(availableNow=True))
+    return Running(_started(spark, stored), refused.start())
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        ready = classify_events(batch).withColumn("day", F.to_date("event_time"))
-        good = F.col("legal") & F.col("id").isNotNull()
-        ready.where(~good).drop("legal", "day").write.mode("overwrite").parquet(f"{rejects}/batch={number}")
-        fresh = ready.where(good).drop("legal").dropDuplicates(["id"])
-        if number > 0:
-            known = spark.read.schema("id long, day date, batch long").parquet(sink).where(F.col("batch") < number)
-            fresh = fresh.join(known.select("day", "id"), ["day", "id"], "left_anti")
-        fresh.write.mode("overwrite").partitionBy("day").parquet(f"{sink}/batch={number}")
-
-    return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+
+def event_sink(spark: SparkSession, sink: str) -> BatchTable:
+    return BatchTable(spark, sink, by=["day"])
+
+
+def event_table(spark: SparkSession, sink: str) -> DataFrame:
+    """The events that :func:`stream_events` has stored, partitioned by ``day``."""
+    return event_sink(spark, sink).read()
 
 
 def stream_progress(stream: DataFrame) -> DataFrame:
@@ -82,21 +140,25 @@ def newest_status(rows: DataFrame) -> DataFrame:
 def stream_last_status(stream: DataFrame, table: str, checkpoint: str):
     """Keep the last finished run of each policy.
 
-    A batch writes the newest run of the policies it has seen, and nothing else, to ``table/v=<batch>``; one that runs again
-    writes the same. :func:`last_status_table` reads the newest of all.
+    A batch adds the newest run of the policies it has seen, and nothing else; batches are merged level by level
+    (:class:`BatchTable`), so the table stays about as large as the number of policies. :func:`last_status_table` reads it.
     """
 
     def append(batch: DataFrame, number: int) -> None:
         ended = batch.where("end_time is not null").withColumnRenamed("status", "last_status")
-        newest_status(ended).write.mode("overwrite").parquet(f"{table}/v={number}")
+        status_sink(batch.sparkSession, table).append(newest_status(ended), number)
 
     return (stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def status_sink(spark: SparkSession, table: str) -> BatchTable:
+    return BatchTable(spark, table, merge=newest_status)
+
+
 def last_status_table(spark: SparkSession, table: str) -> DataFrame:
     """The newest finished run per policy of what :func:`stream_last_status` has written."""
-    return newest_status(spark.read.parquet(table))
+    return status_sink(spark, table).read()
 
 
 def stream_paths(spark: SparkSession, purpose: str) -> tuple[str, str]:

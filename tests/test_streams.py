@@ -2,8 +2,12 @@
 
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
 from driftline.plans.copying import DEFAULT_EXCLUDE
 from driftline.streaming import streams
+from driftline.streaming.batch_table import BatchTable
 
 T0 = datetime(2024, 1, 1)
 PROGRESS = "run_id string, seq long, job_id string, percent double"
@@ -21,7 +25,7 @@ def test_events_once(spark, tmp_path):
     def run():
         stream = spark.readStream.schema(schema).parquet(source)
         streams.stream_events(stream, sink, mark, bad).awaitTermination()
-        return (sorted(r["id"] for r in spark.read.parquet(sink).collect()),
+        return (sorted(r["id"] for r in streams.event_table(spark, sink).collect()),
                 sorted(str(r["id"]) for r in spark.read.parquet(bad).collect()))
 
     add(spark, source, rows + rows[:2], schema)
@@ -30,10 +34,83 @@ def test_events_once(spark, tmp_path):
     add(spark, source, rows + [(9, T0 + timedelta(seconds=9), 11, "policyinstance"), (10, T0, 8, "policy"), (None, T0, 2, "policy")], schema)
     assert run() == ([0, 1, 2, 3, 4, 9], ["10", "None"]) == run()
     # events that come hours and days late, one of them for the second time
-    add(spark, source, [(20, T0 - timedelta(hours=4), 2, "policy"), (21, T0 - timedelta(days=40), 2, "policy"), (3, T0 + timedelta(seconds=3), 2, "policy")], schema)
+    # one of them under another day than it had
+    add(spark, source, [(4, T0 + timedelta(days=3), 2, "policy"), (20, T0 - timedelta(hours=4), 2, "policy"), (21, T0 - timedelta(days=40), 2, "policy"), (3, T0 + timedelta(seconds=3), 2, "policy")], schema)
     assert run() == ([0, 1, 2, 3, 4, 9, 20, 21], ["10", "None"])
 
 
+def test_many_batches_of_events(spark, tmp_path):
+    """Fifty batches, each with ids of earlier ones under other days: what is read for a batch does not grow, and neither
+    does the number of folders."""
+    schema = "id long, event_time timestamp, event_code int, entity_type string"
+    source, sink, mark, bad = (str(tmp_path / n) for n in ("in", "out", "mark", "bad"))
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        expected = {}
+        for n in range(50):
+            rows = [(n * 10 + i, T0 + timedelta(days=n, seconds=i), 2, "policy") for i in range(10)]
+            rows += [(max(n - 7, 0) * 10 + i, T0 + timedelta(days=n + 100), 3, "policy") for i in range(3)]
+            add(spark, source, rows, schema)
+            for i, at, code, _ in sorted(rows):
+                expected.setdefault(i, (at, code))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        running = streams.stream_events(stream, sink, mark, bad)
+        running.awaitTermination()
+        batches = [p for p in running.queries[0].recentProgress if p["numInputRows"]]
+        assert len(batches) == 50 and {p["numInputRows"] for p in batches} == {13}
+        assert {p["stateOperators"][0]["numRowsUpdated"] for p in batches} <= {10, 13}
+        found = [(r["id"], (r["event_time"], r["event_code"])) for r in streams.event_table(spark, sink).collect()]
+        assert len(found) == len(expected) and dict(found) == expected
+        assert len(list((tmp_path / "out" / "data").iterdir())) < 40
+        # another sink behind the same state stays empty of ids that are known, so nothing of the old one was read
+        add(spark, source, [(0, T0, 2, "policy"), (777, T0, 2, "policy")], schema)
+        streams.stream_events(stream, str(tmp_path / "other"), mark, bad).awaitTermination()
+        assert [r["id"] for r in streams.event_table(spark, str(tmp_path / "other")).collect()] == [777]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_a_batch_that_runs_again_gives_the_same_rows(spark, tmp_path):
+    """The last batch is taken back from the log of done batches, so the next start runs it once more."""
+    schema = "id long, event_time timestamp, event_code int, entity_type string"
+    source, mark, bad = (str(tmp_path / n) for n in ("in", "mark", "bad"))
+
+    def run(sink):
+        streams.stream_events(spark.readStream.schema(schema).parquet(source), sink, mark, bad).awaitTermination()
+        return sorted(tuple(r) for r in streams.event_table(spark, sink).collect())
+
+    add(spark, source, [(1, T0, 2, "policy")], schema)
+    run(str(tmp_path / "first"))
+    add(spark, source, [(i, T0 + timedelta(days=j), 2 + j % 2, "policy") for i in range(1, 20) for j in (3, 1, 2)], schema)
+    once = run(str(tmp_path / "second"))
+    assert len(once) == 18 and {r[1:3] for r in once} == {(T0 + timedelta(days=1), 3)}
+    (tmp_path / "mark" / "events" / "commits" / "1").unlink()
+    (tmp_path / "mark" / "events" / "commits" / ".1.crc").unlink(missing_ok=True)
+    assert run(str(tmp_path / "third")) == once
+
+
+def test_batch_table(spark, tmp_path):
+    """Merged level by level, right between any two states, for a reader of an earlier state as well."""
+    table = BatchTable(spark, str(tmp_path / "t"), lambda rows: rows.groupBy("k").agg(F.max("v").alias("v")), fan=3, grace=6)
+    expected, sizes = {}, []
+    for n in range(30):
+        rows = [(n % 4, n), (9, 100 - n)]
+        before = table.read() if n else None
+        table.append(spark.createDataFrame(rows, "k long, v long").coalesce(1), n)
+        if n:  # the reader from before the batch still finds its files
+            assert dict(before.collect()) == expected
+        for k, v in rows:
+            expected[k] = max(v, expected.get(k, v))
+        assert dict(table.read().collect()) == expected
+        sizes.append(len(table.state()["folders"]))
+    assert max(sizes) <= 8
+    assert len(list((tmp_path / "t" / "data").iterdir())) <= 20
+    table.append(spark.createDataFrame([(1, 10**6)], "k long, v long"), 29)  # a batch that runs again
+    assert dict(table.read().collect()) == expected
+    with pytest.raises(RuntimeError, match="another writer"):
+        table._publish(table.state())
+
+
 def test_progress_equals_its_batch_twin(spark, tmp_path):
     source, sink, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
 
