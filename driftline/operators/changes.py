@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.times import moment
 from driftline.operators.joins import hot_join
-from driftline.operators.ordering import fold, latest_per_key, numbered, placed, running
+from driftline.operators.ordering import fold, latest_per_key, numbered, placed
+from driftline.operators.pointers import reached
 from driftline.sources.scratch import written
 
 # Statuses that end a policy.
@@ -183,60 +183,57 @@ def recover_interrupted(policy: DataFrame, instance: DataFrame, unresumed: DataF
     return apply_updates(instance, updates, ["id"])
 
 
-def _fold_overlaps(batches):
-    """Rows arrive sorted by policy, island and start: a run is skipped while the last run that ran is still going."""
-    last = (None, None)
-    busy_until, running_id = None, None
-    for batch in batches:
-        blockers = []
-        for policy, island, run, start, end in zip(batch["policy_id"], batch["__island"], batch["id"],
-                                                   batch["start_time"], batch["end_time"]):
-            if (policy, island) != last:
-                last, busy_until, running_id = (policy, island), None, None
-            if busy_until is not None and start < busy_until:
-                blockers.append(running_id)
-            else:
-                blockers.append(None)
-                busy_until, running_id = end, run
-        yield pd.DataFrame({"policy_id": batch["policy_id"], "id": batch["id"], "start_time": batch["start_time"],
-                            "end_time": batch["end_time"], "blocked_by": pd.Series(blockers, dtype="object")})
+def accepted_runs(runs: DataFrame) -> DataFrame:
+    """The rows (``__row``) of ended runs that run, when a run is skipped while one that runs is still going.
+
+    ``runs`` are written, with ``__row`` unique. After a run that runs, the next one that does is the first that starts at
+    or after its end. Starts and ends laid out in one order give each run that successor by counting starts. A run that
+    starts when all earlier ones have ended runs whatever came before; from these heads the successors are followed by
+    pointer doubling, so a stretch of overlapping runs is spread over all tasks however long it is.
+    """
+    starts = runs.select("policy_id", F.col("start_time").alias("__at"), F.lit(1).alias("__kind"), "id", "__row", "end_time")
+    ends = runs.select("policy_id", F.col("end_time").alias("__at"), F.lit(0).alias("__kind"), "id", "__row",
+                       F.lit(None).cast(runs.schema["end_time"].dataType).alias("end_time"))
+    order = ["__at", "__kind", "id", "__row"]
+    line = fold(placed(starts.union(ends), ["policy_id"], order), ["policy_id"], order, {
+        "__before": ("sum", F.col("__kind").cast("bigint")), "__reach": ("max", F.col("end_time"))}, inclusive=False)
+    after = line.where("__kind = 0").select("__row", (F.col("__before") + 1).alias("__after"))
+    numbers = line.where("__kind = 1").select(
+        "__row", "policy_id", (F.col("__before") + 1).alias("__rank"),
+        F.coalesce(F.col("__at") >= F.col("__reach"), F.lit(True)).alias("__head"))
+    # a run that ends when it starts, or before, is followed by the next one
+    nodes = written(numbers.join(after, "__row").withColumn("__next", F.greatest(F.col("__rank") + 1, "__after")), "runs")
+    heads = nodes.where("__head").select(F.col("__row").alias("node"))
+    others = nodes.where("not __head").select("policy_id", F.col("__rank").alias("__next"), F.col("__row").alias("next"))
+    pointers = nodes.select("policy_id", "__next", F.col("__row").alias("node")).join(others, ["policy_id", "__next"])
+    return reached(heads, pointers).select(F.col("node").alias("__row"))
 
 
 def mark_overlaps(instance: DataFrame) -> DataFrame:
     """Adds ``blocked_by`` and ``overlap_status``: SKIPPED for a run that starts while an earlier one is still going.
 
-    Runs that are skipped block nothing. A run without an end is still going and blocks all later ones. A policy's history
-    falls apart into islands, stretches in which runs overlap; each is folded on its own, streaming, so that a policy with
-    many runs is spread over tasks.
+    Runs that are skipped block nothing. A run without an end is still going and blocks all later ones; one without a start
+    neither blocks nor is blocked. Runs that start together count in the order of their ids. No task holds the runs of a
+    policy, nor those of a stretch in which runs overlap (:func:`accepted_runs`).
     """
-    runs = instance.select("policy_id", "id", "start_time", "end_time")
-    ended = runs.where("end_time is not null")
-    order = ["start_time", "id"]
-    rows = placed(ended, ["policy_id"], order)
-    reach = fold(rows, ["policy_id"], order, {"__reach": ("max", F.col("end_time"))}, inclusive=False)
-    fresh = F.coalesce(F.col("start_time") >= F.col("__reach"), F.lit(True)).cast("bigint")
-    islands = fold(reach, ["policy_id"], order, {"__island": ("sum", fresh)}).drop("__reach", "__part")
-    folded = written(
-        islands.repartition("policy_id", "__island").sortWithinPartitions("policy_id", "__island", *order)
-        .mapInPandas(_fold_overlaps, "policy_id string, id string, start_time timestamp_ntz, "
-                                     "end_time timestamp_ntz, blocked_by string"), "folded")
-    # runs that have not ended: the first that no ended run blocks goes on, and everything after it is skipped.
-    # Accepted runs do not overlap, so the latest one that started before decides.
-    accepted = folded.where("blocked_by is null").select("policy_id", "id", "start_time", "end_time")
-    endless = runs.where("end_time is null")
-    timeline = accepted.withColumn("__done", F.lit(1)).unionByName(endless.withColumn("__done", F.lit(0)))
-    before = running(timeline, ["policy_id"], order, {
-        "__busy": ("max", F.when(F.col("__done") == 1, F.struct("end_time", "id")))}, inclusive=False)
-    busy = F.col("__busy.end_time") > F.col("start_time")
-    stop = (before.where((F.col("__done") == 0) & ~F.coalesce(busy, F.lit(False))).groupBy("policy_id")
+    columns = ["policy_id", "id", "start_time", "end_time"]
+    runs = written(instance.select(*columns, F.monotonically_increasing_id().alias("__row")), "instance")
+    started = runs.where("start_time is not null")
+    accepted = accepted_runs(started.where("end_time is not null")).withColumn("__runs", F.lit(True))
+    order = ["start_time", "id", "__row"]
+    timeline = placed(started.join(accepted, "__row", "left"), ["policy_id"], order)
+    # accepted runs do not overlap, so the one that ends last among those before decides
+    before = written(fold(timeline, ["policy_id"], order, {
+        "__busy": ("max", F.when(F.col("__runs"), F.struct("end_time", "id")))}, inclusive=False), "busy")
+    busy = F.coalesce(F.col("__busy.end_time") > F.col("start_time"), F.lit(False))
+    # runs that have not ended: the first that no ended run blocks goes on, and everything after it is skipped
+    stop = (before.where(F.col("end_time").isNull() & ~busy).groupBy("policy_id")
             .agg(F.min(F.struct("start_time", "id")).alias("__stop")))
-    waiting = before.where("__done = 0").select(
-        "policy_id", "id", "start_time", "end_time", F.when(busy, F.col("__busy.id")).alias("blocked_by"))
-    everything = folded.unionByName(waiting)
-    both = hot_join(everything, stop, ["policy_id"], "left", spread=F.col("id"))
+    both = hot_join(before, stop, ["policy_id"], "left", spread=F.col("__row"))
     late = F.coalesce(F.struct("start_time", "id") > F.col("__stop"), F.lit(False))
-    blocked = F.when(late, F.col("__stop.id")).otherwise(F.col("blocked_by"))
-    return both.select("policy_id", "id", "start_time", "end_time", blocked.alias("blocked_by")).withColumn(
+    blocked = F.when(late, F.col("__stop.id")).when(F.col("__runs").isNull() & busy, F.col("__busy.id"))
+    unstarted = runs.where("start_time is null").select(*columns, F.lit(None).cast(runs.schema["id"].dataType).alias("blocked_by"))
+    return both.select(*columns, blocked.alias("blocked_by")).union(unstarted).withColumn(
         "overlap_status", F.when(F.col("blocked_by").isNotNull(), "SKIPPED").otherwise("RUN"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import texts
 from driftline.operators import changes, clusters, filters, history, store
+from driftline.operators.pointers import reached
 
 T0 = datetime(2020, 1, 1)
 RUN = "policy_id string, id string, status string, start_time timestamp_ntz, end_time timestamp_ntz, retirement_time timestamp_ntz"
@@ -158,6 +159,30 @@ def test_mark_overlaps(spark, seed, open_share):
     assert found == greedy(rows)
 
 
+def test_one_island_of_overlapping_runs(spark):
+    """A policy whose runs overlap without a gap, with a chain of some hundred runs that run; a run given twice; one
+    without a start; ends before starts."""
+    rng, at, rows = random.Random(9), 0, []
+    for i in range(1500):
+        at += rng.randint(0, 2)
+        rows.append(("hot", f"r{i:04d}", T0 + timedelta(minutes=at), T0 + timedelta(minutes=at + rng.randint(-1, 9))))
+    schema = "policy_id string, id string, start_time timestamp_ntz, end_time timestamp_ntz"
+    more = [rows[700], ("hot", "none", None, T0 + timedelta(days=9)), ("hot", "never", None, None)]
+    found = changes.mark_overlaps(spark.createDataFrame(rows + more, schema)).collect()
+    assert len(found) == len(rows) + 3
+    assert {r["id"]: r["blocked_by"] for r in found if r["id"] != "r0700"} == {
+        **{k: v for k, v in greedy(rows).items() if k != "r0700"}, "none": None, "never": None}
+    assert "MapInPandas" not in changes.mark_overlaps(spark.createDataFrame(rows, schema))._jdf.queryExecution().toString()
+    assert changes.mark_overlaps(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_pointer_doubling(spark):
+    links = [(n, n + 1) for n in range(100) if n not in (40, 70)] + [(200, 201)]
+    heads = spark.createDataFrame([(0,), (41,), (300,)], "node long")
+    found = [r[0] for r in reached(heads, spark.createDataFrame(links, "node long, next long")).collect()]
+    assert sorted(found) == [*range(41), *range(41, 71), 300]
+
+
 def test_next_retry(spark):
     failed = spark.createDataFrame([("a", 1, T0, "x"), ("a", 2, T0, "y"), ("a", 3, T0, "z")], "policy_id string, run_count int, end_time timestamp_ntz, id string")
     policy = spark.createDataFrame([("a", 3, 60)], "id string, retry_attempts int, retry_delay int")
