@@ -1,11 +1,14 @@
 """Path expressions, ancestor joins and dataset conflicts."""
 
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import paths
 from driftline.operators.ancestors import ancestor_join, containing, dataset_conflicts
+from driftline.operators.ordered import cuts_of, range_of
 
 EXISTING = ["/user/A/1/2", "/user/A/1/2_1", "/user/B", "/dataset1", "s3://user/A/", "s3://user/"]
 CONFLICT = ["/", "/user", "/user/A", "/user/B", "/user/A/1/2/3", "/user/A/1/2", "s3://user/A/", "s3://user/", "s3://user"]
@@ -57,6 +60,48 @@ def test_containing_against_brute_force(spark):
             assert {r["p"]: r["z"] for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("pick", ["shallowest", "deepest"])
+def test_containing_by_group_and_by_row(spark, pick):
+    """Names that sort before and after a slash, the root, trailing slashes, groups, rows that may not be their own zone."""
+    rng = random.Random(pick)
+    names = ["a", "a-", "a!", "a b", "a\x01", "ab", "A", "é"]
+    every = ["/" + "/".join(rng.choice(names) for _ in range(rng.randint(0, 4))) for _ in range(1200)] + ["x/a", "x", ""]
+    zones = sorted({(p.rstrip("/") + rng.choice(["", "/", "///"]), rng.choice(["c1", "c2", "c 1", None])) for p in every[:150]}, key=repr)
+    rows = [(n, p, rng.choice(["c1", "c2", "c 1", "c3", None]), rng.random() < 0.5) for n, p in enumerate([*every[150:], None])]
+    df = spark.createDataFrame(rows, "id int, p string, c string, own boolean")
+    held = spark.createDataFrame([(p, c) for p, c in zones], "z string, k string")
+    found = containing(df, held, "p", "z", pick, F.col("own"), "left", ("c", "k")).collect()
+    assert len(found) == len(rows)
+    choose = min if pick == "shallowest" else max
+    for r in found:
+        p = None if r["p"] is None else r["p"].rstrip("/")
+        hits = {z.rstrip("/") for z, k in zones if k is not None and k == r["c"] and p is not None
+                and (p.startswith(z.rstrip("/") + "/") or (r["own"] and p == z.rstrip("/")))}
+        assert (r["z"] and r["z"].rstrip("/")) == (choose(hits, key=len) if hits else None)
+        assert (r["k"] is None) == (r["z"] is None)
+    inner = containing(df, held, "p", "z", pick, F.col("own"), "inner", ("c", "k")).collect()
+    assert sorted(map(repr, inner)) == sorted(repr(r) for r in found if r["z"] is not None)
+
+
+def test_one_exchange_of_each_side(spark):
+    """The large side is shuffled once, and no path of it is repeated for its prefixes."""
+    df = spark.range(5000).select(F.concat(F.lit("/d"), F.col("id") % 50, F.lit("/f"), "id").alias("p"))
+    found = containing(df, spark.createDataFrame([("/d1",), ("/d2/f2",)], "z string"), "p", "z")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Window [last(__event"):].split("+- Union", 1)[0] if "Window [last(__event" in plan else plan
+    assert final.count("Exchange hashpartitioning(__range") == 1 and "Generate" not in plan
+    assert found.count() == 101
+
+
+def test_cuts(spark):
+    df = spark.createDataFrame([(f"{n:05d}",) for n in range(3000)], "o string")
+    cuts = cuts_of(df, 16)
+    assert 8 <= len(cuts) <= 16
+    parts = df.select(range_of(F.col("o"), cuts).alias("r"), "o").collect()
+    assert all(r["r"] == sum(c <= r["o"] for c in cuts) for r in parts)
+    assert max(Counter(r["r"] for r in parts).values()) < 600
+
+
 def test_ancestor_join_keeps_repeated_rows(spark):
     df = spark.createDataFrame([(1, "/a/b"), (2, "/a/b"), (3, "/c"), (4, None)], "id int, path string")
     zones = spark.createDataFrame([("/", "root"), ("/a/", "k")], "path string, key string")
