@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,25 +19,89 @@ from pyspark.sql import functions as F
 
 from driftline.sources.scratch import written
 
+#: half of a surrogate pair: JSON can escape one, but no UTF-8 text can hold it
+LONE = re.compile("[\ud800-\udfff]")
 KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
 
+#: arguments nested deeper than this are no valid arguments
+DEEPEST = 100
+
+
 def canonical(value) -> str:
-    """Canonical JSON text of a parsed value; whole floats are written as integers."""
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{canonical(str(k))}:{canonical(value[k])}" for k in sorted(value)) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(canonical, value)) + "]"
-    if isinstance(value, float) and math.isfinite(value) and value.is_integer() and abs(value) < 2 ** 53:
-        value = int(value)
-    return json.dumps(value, ensure_ascii=False, allow_nan=False)
+    """Canonical JSON text of a parsed value of any depth; whole floats are written as integers.
+
+    Numbers beyond the range of doubles, which parse to infinity, become null, and halves of surrogate pairs, which no
+    UTF-8 text can hold, become escapes: so the text is always valid JSON and UTF-8.
+    """
+    out: list[str] = []
+    todo = [value]  # values still to be written, the next one last; a tuple is text that is ready
+    while todo:
+        one = todo.pop()
+        if isinstance(one, tuple):
+            out.append(one[0])
+        elif isinstance(one, dict):
+            todo.append(("}",))
+            for n, key in enumerate(sorted(one, reverse=True), 1):
+                todo += [one[key], ((",", "")[n == len(one)] + _text(str(key)) + ":",)]
+            out.append("{")
+        elif isinstance(one, list):
+            todo.append(("]",))
+            for n, item in enumerate(reversed(one), 1):
+                todo += [item, ("",) if n == len(one) else (",",)]
+            out.append("[")
+        elif isinstance(one, str):
+            out.append(_text(one))
+        elif isinstance(one, float) and not math.isfinite(one):
+            out.append("null")
+        elif isinstance(one, float) and one.is_integer() and abs(one) < 2 ** 53:
+            out.append(str(int(one)))
+        elif isinstance(one, int) and not isinstance(one, bool):
+            out.append(_digits(one))
+        else:
+            out.append(json.dumps(one))
+    return "".join(out)
+
+
+def _text(value: str) -> str:
+    return LONE.sub(lambda half: f"\\u{ord(half[0]):04x}", json.dumps(value, ensure_ascii=False))
+
+
+def _digits(value: int) -> str:
+    """A whole number of any length: long ones are cut in halves, since the language limits what it turns to text."""
+    if abs(value) < 10 ** 4000:
+        return str(value)
+    if value < 0:
+        return "-" + _digits(-value)
+    half = int(value.bit_length() * 0.30103) // 2
+    high, low = divmod(value, 10 ** half)
+    return _digits(high) + _digits(low).rjust(half, "0")
+
+
+def _bad_numbers_and_depth(value) -> tuple[bool, int]:
+    """Whether a number is beyond the range of doubles, and how deep lists and objects are nested."""
+    found, deepest, todo = False, 0, [(value, 1)]
+    while todo:
+        one, depth = todo.pop()
+        if isinstance(one, (dict, list)):
+            deepest = max(deepest, depth)
+            todo += [(item, depth + 1) for item in (one.values() if isinstance(one, dict) else one)]
+        elif isinstance(one, float) and not math.isfinite(one):
+            found = True
+    return found, deepest
+
+
+def _is_kind(value, kind: str) -> bool:
+    return isinstance(value, KINDS[kind]) and not (isinstance(value, bool) and kind in ("integer", "number"))
 
 
 def violations(value, schema: dict, at: str = "$") -> Iterator[str]:
-    """What of ``value`` breaks ``schema``: type, enum, bounds, lengths, required, properties and items."""
+    """What of ``value`` breaks ``schema``: type (one or a list of them), enum, bounds, lengths, required, properties and
+    items."""
     kind = schema.get("type")
-    if kind and (not isinstance(value, KINDS[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
-        yield f"{at}: not {kind}"
+    kinds = [kind] if isinstance(kind, str) else kind or []
+    if kinds and not any(_is_kind(value, k) for k in kinds):
+        yield f"{at}: not {' or '.join(kinds)}"
         return
     if "enum" in schema and value not in schema["enum"]:
         yield f"{at}: not one of the values"
@@ -67,6 +132,36 @@ def _strict(text: str):
     return json.loads(text, parse_constant=refuse)
 
 
+def checked(text: str | None, schema: dict) -> tuple[object, list[str]]:
+    """The parsed arguments, None where they cannot be parsed, and what is wrong with them."""
+    try:
+        value = _strict(text)
+    except RecursionError:
+        return None, ["nested too deep"]
+    except (TypeError, ValueError):
+        return None, ["no JSON"]
+    endless, depth = _bad_numbers_and_depth(value)
+    if depth > DEEPEST:
+        return value, ["nested too deep"]
+    # a number that no double holds fits no type and no bounds
+    return value, [*(["number out of range"] if endless else []), *violations(value, schema),
+                   *(["not Unicode"] if LONE.search(_texts_of(value)) else [])]
+
+
+def _texts_of(value) -> str:
+    """All texts of a value behind one another."""
+    found, todo = [], [value]
+    while todo:
+        one = todo.pop()
+        if isinstance(one, dict):
+            todo += [*one, *one.values()]
+        elif isinstance(one, list):
+            todo += one
+        elif isinstance(one, str):
+            found.append(one)
+    return "".join(found)
+
+
 def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     """``calls`` with ``content`` and ``n_results`` of the results that bear their identifier, and ``n_calls``.
 
@@ -111,8 +206,10 @@ def format_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) -
     ``calls``: ``conv_id, nth, call_id, after, name, arguments`` (JSON text); ``results``: ``call_id, nth, content``;
     ``tools``: schema by tool name, a fixed list. Gives ``conv_id, nth, call_id, depth, linked, valid, problems, json``; within a
     conversation, ``(depth, nth, call_id)`` is a topological order. ``problems`` names what is wrong: an unknown tool, arguments that are
-    null, no JSON or against the schema, an identifier that is null, shared or in a cycle, a result that is missing.
-    Other columns of the inputs are left out. Empty tables give no rows.
+    null, no JSON, against the schema, nested too deep (``DEEPEST``, or what the parser takes), numbers beyond the range of
+    doubles (null in ``json``) or halves of surrogate pairs (escaped there); an identifier that is null, shared or in a
+    cycle; a result that is missing. Arguments and results of any length are taken whole, a row at a time. Other columns of
+    the inputs are left out. Empty tables give no rows.
     """
     rows = calls.select("conv_id", "nth", "call_id", "after", "name", "arguments")
     linked = link(rows, results.select("call_id", "nth", "content"))
@@ -124,14 +221,11 @@ def format_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) -
                   n_results: pd.Series, n_calls: pd.Series, depth: pd.Series) -> pd.DataFrame:
         out = []
         for id_, above, tool, raw, said, answers, times, level in zip(call_id, after, name, arguments, content, n_results, n_calls, depth):
-            bad, value = [], None
+            bad = []
             if tool not in tools:
                 bad.append("unknown tool")
-            try:
-                value = _strict(raw)
-                bad += violations(value, tools.get(tool, {}))
-            except (TypeError, ValueError, RecursionError):
-                bad.append("no JSON")
+            value, wrong = checked(raw, tools.get(tool, {}))
+            bad += [LONE.sub("?", problem) for problem in wrong]
             if id_ is None:
                 bad.append("no identifier")
             elif math.isnan(level):

@@ -49,6 +49,33 @@ def test_a_long_chain_and_empty_tables(spark):
     assert run(spark, [], []) == {}
 
 
+def test_rows_that_a_parser_or_writer_chokes_on(spark):
+    """All legal JSON text that a model can write: each gets a problem and a defined JSON, and no job ends."""
+    deep, deeper = "[" * 90 + "]" * 90, "[" * 3000 + "]" * 3000
+    bad = ['{"a":1e999}', '{"a":1,"b":["\\ud800"]}', '{"a":1,"c":' + deep + "}", '{"a":1,"b":' + "[" * 200 + "]" * 200 + "}",
+           deeper, "[" * 100_000, '{"a":' + "9" * 5000 + "}", '{"a":' + "9" * 9_000 + "}", '{"\\udfff":1,"a":1}', "", "null", "-1e400", '{"a":-1e400}']
+    got = run(spark, [(1, n, f"c{n}", None, "add", text) for n, text in enumerate(bad)], [(f"c{n}", 1, "r") for n in range(len(bad))])
+    assert len(got) == len(bad)
+    said = [got[1, n].problems for n in range(len(bad))]
+    assert said[0] == "number out of range; $.a: not integer" and '"arguments":{"a":null}' in got[1, 0].json
+    assert "not Unicode" in said[1] and '"b":["\\ud800"]' in got[1, 1].json
+    assert "not one of the values" in said[2] and deep in got[1, 2].json
+    assert said[3] == "nested too deep" and "[" * 200 in got[1, 3].json
+    assert said[4] == "nested too deep" and said[5] in ("nested too deep", "no JSON")
+    assert "$.?: unknown" in said[8] and '"\\udfff":1' in got[1, 8].json
+    assert said[9] == "no JSON" and said[10] == "$: not object" and said[11] == "number out of range; $: not object"
+    for row in got.values():
+        json.loads(row.json) if row.nth not in (4, 6, 7) else None
+        row.json.encode()
+
+
+def test_schemas_with_several_types():
+    schema = {"type": ["integer", "null"], "minimum": 2}
+    told = [list(tool_calls.violations(v, schema)) for v in (3, None, 1, "x", True, 2.5)]
+    assert told == [[], [], ["$: out of bounds"], *[["$: not integer or null"]] * 3]
+    assert list(tool_calls.violations("x", {"type": []})) == []
+
+
 def test_canonical():
     assert tool_calls.canonical({"b": [1.0, 1.5, None, True], "a": "\u00e9\"\n\u2028", "": {}}) == '{"":{},"a":"é\\"\\n\u2028","b":[1,1.5,null,true]}'
 
