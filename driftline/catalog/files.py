@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftline.catalog.registry import query
 from driftline.operators import listing
 from driftline.operators.logs import assemble_log_records
-from driftline.plans import copying, execute, snapshots
+from driftline.plans import copying, execute, ranges, snapshots
 from driftline.plans.options import CopyOptions
 from driftline.sources import logs, trees
 from driftline.sources.files import make_parent, open_root
@@ -158,6 +158,24 @@ def execute_copy_atomic(d):
     return listed(d, dst).select("rel_path", "is_dir", "length")
 
 
+@query("execute_copy_ranges", "", """
+WITH f AS (SELECT CAST(strlen(text) AS BIGINT) AS length FROM documents),
+r AS (SELECT length, unnest(range((length + 999) // 1000)) AS nth FROM f WHERE length > 1000)
+SELECT 'OVERWRITE' AS action, (SELECT count(*) FROM f) AS files, CAST(0 AS BIGINT) AS differences,
+ CAST((SELECT sum(length) FROM f WHERE length <= 1000) + (SELECT sum(least(1000, length - 1000 * nth)) FROM r WHERE nth % 2 = 1) AS BIGINT) AS bytes""")
+def execute_copy_ranges(d):
+    """A copy that broke off when it had every other range of its large files, and goes on."""
+    src, dst = source_tree(d), scratch_path(d.spark, "ranges")
+    ours = trees.with_checksums(listed(d, src)).withColumn("block_size", F.lit(128))
+    plan = copying.plan_copy(ours, ours.limit(0), CopyOptions(overwrite=True))
+    large = written(plan.where("action = 'OVERWRITE' AND length > 1000").select("rel_path", "length"), "large")
+    ranges.copy_ranges(ranges.ranges_of(large, 1000).where("nth % 2 = 0"), src, dst, 1000)
+    done = execute.execute_copy(plan, src, dst, CopyOptions(overwrite=True), range_bytes=1000)
+    left = execute.verify_copy(ours, trees.with_checksums(listed(d, dst))).count()
+    return done.where("action <> 'MKDIR'").groupBy("action").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes")).withColumn(
+        "differences", F.lit(left).cast("bigint"))
+
+
 @query("execute_moves", "snapshot_new", "SELECT path FROM snapshot_new WHERE NOT is_dir AND file_id < 1000000")
 def execute_moves(d):
     root = scratch_path(d.spark, "moves")

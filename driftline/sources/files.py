@@ -17,6 +17,10 @@ RETRIES = 3
 FIRST_WAIT_SECONDS = 2.0
 
 
+class ReadFailure(OSError):
+    """The source could not be read; the one failure of a copy that may be ignored."""
+
+
 def open_root(uri: str) -> tuple[pafs.FileSystem, str]:
     """Filesystem and plain path of a URI; Hadoop's one-slash ``file:/x`` is accepted."""
     if uri.startswith("file:"):

@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.plans import copying, execute, snapshots
+from driftline.plans import copying, execute, ranges, snapshots
 from driftline.plans.options import CopyOptions, cloud_preset, cluster_preset
 from driftline.sources import files, trees
+from driftline.sources.scratch import spread, written
 
 MANIFEST = "rel_path string, is_dir boolean, length long, block_size int, checksum string"
 SNAPSHOT = "file_id long, parent_id long, name string, path string, is_dir boolean, checksum string"
@@ -248,6 +249,61 @@ def test_unreadable_source(spark, tmp_path):
         execute.execute_copy(plan, src, dst, CopyOptions(sync=True), 2)
 
 
+def large_file(tmp_path, size=100_000):
+    src, dst = tmp_path / "src", tmp_path / "dst"
+    src.mkdir(), dst.mkdir()
+    data = random.Random(size).randbytes(size)
+    (src / "big").write_bytes(data), (src / "small").write_bytes(b"x")
+    return src, dst, data
+
+
+@pytest.mark.parametrize("in_place", [True, False])
+def test_a_large_file_goes_on_after_a_broken_copy(spark, tmp_path, in_place):
+    src, dst, data = large_file(tmp_path)
+    large = written(spark.createDataFrame([("/big", len(data))], "rel_path string, length long"), "large")
+    parts = ranges.ranges_of(large, 1000)
+    assert parts.count() == 100
+    first = ranges.copy_ranges(parts.where("nth < 40"), str(src), str(dst), 1000, in_place=in_place)
+    assert first.agg(F.sum("bytes")).first()[0] == 40_000
+    # a range that an executor was lost over is written again
+    again = ranges.copy_ranges(parts.where("nth BETWEEN 30 AND 49"), str(src), str(dst), 1000, in_place=in_place)
+    assert again.agg(F.sum("bytes")).first()[0] == 10_000
+    done = ranges.copy_large(large, str(src), str(dst), 1000, in_place=in_place).collect()
+    assert [tuple(r) for r in done] == [("/big", "OVERWRITE", 100_000, 50_000, None)]
+    assert (dst / "big").read_bytes() == data and list((dst / ranges.RANGE_FOLDER).iterdir()) == []
+    # the task that puts it in place may run again
+    assert ranges.Places(str(src), str(dst), 1000, in_place).parts("/big")[2].done() == {}
+
+
+def test_ranges_are_spread_over_tasks(spark, tmp_path):
+    src, dst, data = large_file(tmp_path)
+    large = spark.createDataFrame([("/big", len(data))], "rel_path string, length long")
+    dealt = spread(ranges.ranges_of(large, 1000), F.xxhash64("rel_path", "nth"))
+    assert dealt.select(F.spark_partition_id()).distinct().count() >= 4
+
+
+def test_a_source_that_changes_between_ranges(spark, tmp_path):
+    src, dst, data = large_file(tmp_path)
+    large = written(spark.createDataFrame([("/big", len(data))], "rel_path string, length long"), "large")
+    ranges.copy_ranges(ranges.ranges_of(large, 1000).where("nth < 99"), str(src), str(dst), 1000)
+    (src / "big").write_bytes(data[::-1])
+    done = ranges.copy_large(large, str(src), str(dst), 1000).first()
+    assert done["bytes"] == 100_000 and (dst / "big").read_bytes() == data[::-1]
+    (src / "big").write_bytes(data[:50_000])
+    with pytest.raises(Exception, match="ends before byte"):
+        ranges.copy_large(large, str(src), str(dst), 1000)
+    failed = ranges.copy_large(large, str(src), str(dst), 1000, ignore_failures=True).first()
+    assert failed["action"] == "FAIL" and (dst / "big").read_bytes() == data[::-1]
+
+
+def test_large_and_small_files_in_one_copy(spark, tmp_path):
+    src, dst, data = large_file(tmp_path)
+    plan = spark.createDataFrame([("/big", "OVERWRITE", len(data)), ("/small", "OVERWRITE", 1)], "rel_path string, action string, length long")
+    done = execute.execute_copy(plan, str(src), str(dst), CopyOptions(overwrite=True), range_bytes=30_000)
+    assert {r["rel_path"]: (r["action"], r["bytes"]) for r in done.collect()} == {"/big": ("OVERWRITE", 100_000), "/small": ("OVERWRITE", 1)}
+    assert (dst / "big").read_bytes() == data and sorted(p.name for p in dst.iterdir()) == ["big", "small"]
+
+
 def test_atomic_copy_needs_a_new_target(spark, tmp_path):
     src, dst = str(tmp_path / "src"), str(tmp_path / "dst")
     write(spark, src, {"/a/b": "x"})
