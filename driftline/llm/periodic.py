@@ -26,13 +26,13 @@ from pyspark.sql.window import Window
 
 from driftline.llm.bitmaps import bitmap, marked
 from driftline.llm.names import every, fresh, mapped
-from driftline.llm.ragged import lengths, offsets, slices, spread
+from driftline.llm.ragged import lengths, offsets, packed, slices, spread
 from driftline.sources.scratch import written
 
 #: words of a tile between its overlaps; longer documents have several tiles
 CORE = 1 << 15
-#: bytes of text, or words of tiles, that are worked on at once
-PART = 1 << 22
+#: bytes of text that are worked on at once, and eight times the words of tiles
+PART = 1 << 20
 #: pairs of places that are compared at once
 PAIRS = 1 << 20
 #: a run has at least so many periods, and so many words
@@ -44,16 +44,18 @@ _GAPS = np.zeros(256, bool)
 _GAPS[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def cut_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of rows of text (a string array): their codes, equal for equal words, the number of words of each row,
-    and each word's bytes as start and end in the array's data. Null rows have no words."""
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of rows of text (a string array) behind one another, and the offsets of the rows."""
     texts = texts.cast(pa.large_string())
     ends = np.asarray(pa.Array.from_buffers(pa.int64(), len(texts) + 1, [None, texts.buffers()[1]], offset=texts.offset))
-    if texts.buffers()[2] is None or ends[-1] == ends[0]:
-        none = np.zeros(0, np.int64)
-        return none, np.zeros(len(texts), np.int64), none, none
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0]:ends[-1]]
-    rows = ends - ends[0]
+    data = texts.buffers()[2]
+    if data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]], ends - ends[0]
+
+
+def _words_in(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of rows of bytes start, how long they are, and which bytes belong to words."""
     inside = ~_GAPS[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -61,15 +63,18 @@ def cut_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     at = rows[:-1][np.diff(rows) > 0]
     first[at] = inside[at]
     starts = np.flatnonzero(first)
-    letters = np.cumsum(inside)
-    upto = np.append(letters[starts[1:]] - 1, letters[-1]) if len(starts) else np.zeros(0, np.int64)
-    sizes = np.diff(np.concatenate([[0], upto]))
+    sizes = np.add.reduceat(inside, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+    return starts, sizes, inside
+
+
+def cut_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of rows of text (a string array) as codes, equal for equal words, and the number of words of each row.
+    Null rows have no words."""
+    data, rows = _bytes_of(texts)
+    starts, sizes, inside = _words_in(data, rows)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [
         None, pa.py_buffer(offsets(sizes)), pa.py_buffer(data[inside])])
-    codes = np.asarray(words.dictionary_encode().indices, np.int64)
-    counts = np.diff(np.searchsorted(starts, rows))
-    counts[~np.asarray(texts.is_valid())] = 0
-    return codes, counts, starts + ends[0], starts + sizes + ends[0]
+    return np.asarray(words.dictionary_encode().indices, np.int64), np.diff(np.searchsorted(starts, rows))
 
 
 def tiles_of(n: int, core: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -207,7 +212,7 @@ def _fragments(codes: np.ndarray, tiles: np.ndarray) -> np.ndarray:
 
 def _pieces(batch: pa.RecordBatch, core: int) -> Iterator[list[pa.Array]]:
     """Of a batch (id, text hash, text): fragments of documents with one tile, and the tiles of the others."""
-    codes, counts, _, _ = cut_words(batch.column(2))
+    codes, counts = cut_words(batch.column(2))
     places = offsets(counts)
     one = np.flatnonzero((counts >= LEAST) & (counts <= core))
     if len(one):
@@ -267,7 +272,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", core: int = C
 
     def solve_tiles(batches):
         for batch in batches:
-            for part in slices(batch, lengths(batch.column(8)), PART):
+            for part in slices(batch, lengths(batch.column(8)), PART // 8):
                 yield _solved(part)
 
     pieces = written(mapped(source, cut, [*keys, *_PIECES]), "pieces")
@@ -323,22 +328,32 @@ def collapse(docs: DataFrame, runs: str = "runs", text: str = "text", out: str =
 
     def run(batches):
         for batch in batches:
-            for n in range(batch.num_rows):
-                one = batch.slice(n, 1)
-                yield [*one.columns, pa.array([_collapsed(one.column(place), one.column(where)[0].as_py())], pa.string())]
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(place)), 0)
+            for part in slices(batch, np.asarray(sizes, np.int64), PART):
+                yield [*part.columns, _collapsed(part.column(place), part.column(where))]
 
     return plain.union(mapped(docs.where(F.col(runs).isNotNull()), run, [*docs.schema.fields, T.StructField(out, T.StringType())]))
 
 
-def _collapsed(text: pa.Array, runs: list[dict]) -> str:
-    _, counts, starts, ends = cut_words(text)
-    change = np.zeros(int(counts[0]) + 1, np.int64)
-    for run in runs:
-        change[run["start"] + run["period"]] += 1
-        change[run["start"] + run["length"]] -= 1
+def _collapsed(texts: pa.Array, runs: pa.ListArray) -> pa.Array:
+    """The words of each text that no run drops, joined by one space."""
+    data, rows = _bytes_of(texts)
+    starts, sizes, _ = _words_in(data, rows)
+    places = np.searchsorted(starts, rows)
+    # a run drops the words from the end of its first period to its own end
+    start, period, length = (np.asarray(column, np.int64) for column in runs.flatten().flatten())
+    base = np.repeat(places[:-1], lengths(runs)) + start
+    change = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(change, base + period, 1)
+    np.add.at(change, base + length, -1)
     kept = np.flatnonzero(np.cumsum(change)[:-1] == 0)
-    data = text.cast(pa.large_string()).buffers()[2].to_pybytes()
-    return b" ".join(data[a:b] for a, b in zip(starts[kept], ends[kept])).decode()
+    row = np.searchsorted(places, kept, side="right") - 1
+    spaced = np.ones(len(kept), np.int64)
+    spaced[np.flatnonzero(np.append(row[1:] != row[:-1], True)) if len(kept) else []] = 0  # none behind a row's last word
+    wide = sizes[kept] + spaced
+    out = data[np.minimum(spread(starts[kept], wide), max(len(data) - 1, 0))] if len(kept) else data[:0]
+    out[(np.cumsum(wide) - 1)[spaced == 1]] = 0x20
+    return packed(out, offsets(wide)[np.searchsorted(row, np.arange(len(rows)))]).cast(pa.string())
 
 
 def digest(docs: DataFrame, core: int = CORE) -> DataFrame:

@@ -84,12 +84,10 @@ def test_fragments_cover_all_runs_whatever_the_tiles():
 
 
 def test_words():
-    texts = ["a  b\tc", None, "", " x", "x ", "é é y", "\x0b\x0c\r\n", "a"]
-    codes, counts, starts, ends = periodic.cut_words(pa.array(texts).slice(1))
-    assert counts.tolist() == [0, 0, 1, 1, 2, 0, 1]
-    assert codes[0] == codes[1] and len(set(codes.tolist())) == 4
-    data = pa.array(texts).cast(pa.large_string()).buffers()[2].to_pybytes()
-    assert [data[a:b].decode() for a, b in zip(starts, ends)] == ["x", "x", "é é", "y", "a"]
+    texts = ["a  b\tc", None, "", " x", "x ", "é é y", "\x0b\x0c\r\n", "a"]
+    codes, counts = periodic.cut_words(pa.array(texts).slice(1))
+    assert counts.tolist() == [0, 0, 1, 1, 3, 0, 1]
+    assert codes.tolist() == [0, 0, 1, 1, 2, 3]
 
 
 @pytest.mark.parametrize("core", [64, periodic.CORE])
