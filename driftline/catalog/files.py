@@ -10,7 +10,7 @@ from driftline.operators import listing
 from driftline.operators.logs import assemble_log_records
 from driftline.plans import copying, execute, ranges, snapshots
 from driftline.plans.options import CopyOptions
-from driftline.sources import logs, trees
+from driftline.sources import log_index, logs, trees
 from driftline.sources.files import make_parent, open_root
 from driftline.sources.scratch import scratch_path, written
 
@@ -235,11 +235,7 @@ counted AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY host ORDER BY line_no)
 SELECT CAST(host AS VARCHAR) AS host, record, string_agg(line, chr(10) ORDER BY line_no) AS text FROM counted WHERE record > 0 GROUP BY host, record""")
 def log_records_of_hosts(d):
     """Whole records from two folders with files of one name, each read in many splits."""
-    place = scratch_path(d.spark, "hosts")
-    host = F.floor(F.col("line_no") / 3) % 2
-    files = d.log_line.groupBy(host.alias("host")).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("rows"))
-    text = F.concat(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n"))
-    trees.write_files(files.select(F.concat(F.lit("/h"), F.col("host").cast("string"), F.lit("/server.log")).alias("rel_path"), text.alias("content")), place)
+    place = host_logs(d, "hosts", 1 << 62)
     key = "spark.sql.files.maxPartitionBytes"
     before = d.spark.conf.get(key)
     try:
@@ -252,6 +248,51 @@ def log_records_of_hosts(d):
     return records.select(F.regexp_extract("file", "/h([01])/", 1).alias("host"), "record", "text")
 
 
+def host_logs(d, purpose, span):
+    """The log lines of two hosts, every three lines from another one, in files ``/h<host>/server.log`` and so on, each of
+    ``span`` line numbers; every other one is packed. A file is written line by line by the task that holds its range."""
+    place = scratch_path(d.spark, purpose)
+    host, part = F.floor(F.col("line_no") / 3) % 2, F.floor(F.col("line_no") / span)
+    rows = d.log_line.select(host.alias("host"), part.alias("part"), "line_no", "line")
+
+    def write(frames):
+        fs, base = open_root(place)
+        now, out = None, None
+        for frame in frames:
+            for (host, part), lines in frame.groupby(["host", "part"], sort=False):
+                if (host, part) != now:
+                    if out:
+                        out.close()
+                    now, name = (host, part), f"{base}/h{host}/server.log" + (f".{part}" if part else "") + (".gz" if part % 2 else "")
+                    make_parent(fs, name)
+                    out = fs.open_output_stream(name, compression="gzip" if part % 2 else None)
+                out.write(("\n".join(lines["line"]) + "\n").encode())
+        if out:
+            out.close()
+        yield from ()
+
+    # a file is a stream of its lines, whatever their number
+    dealt = rows.repartition("host", "part").sortWithinPartitions("host", "part", "line_no")
+    written(dealt.mapInPandas(write, "line_no bigint"), "host-logs")
+    return place
+
+
+@query("search_logs_by_index", "log_line", r"""
+WITH marked AS (SELECT line_no, line, line_no // 3 % 2 AS host, line_no // 500 AS part, CASE WHEN regexp_matches(line, '^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}\s+\w+\s+') THEN 1 ELSE 0 END AS starts FROM log_line),
+counted AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY host, part ORDER BY line_no) AS BIGINT) AS record FROM marked),
+records AS (SELECT host, part, record, max(CASE WHEN starts = 1 THEN line END) AS first, string_agg(line, chr(10) ORDER BY line_no) AS text FROM counted WHERE record > 0 GROUP BY host, part, record)
+SELECT CAST(host AS VARCHAR) AS host, record, left(first, 23) AS time, text FROM records
+WHERE left(first, 23) >= '2024-01-03 06:00:00' AND left(first, 23) <= '2024-01-09 12:30:00' AND regexp_matches(first, 'POLICYNAME\[p7\]|POLICYID\[11\]')""")
+def search_logs_by_index(d):
+    """Two runs of the indexer, the second with nothing to do, and a search that opens the blocks that may hold a hit."""
+    place, index = host_logs(d, "indexed", 500), scratch_path(d.spark, "log-index")
+    found = written(log_index.list_logs(d.spark, f"{place}/*", "server"), "logs")
+    for _ in range(2):
+        log_index.update_index(found, index, 4096)
+    hits = log_index.search_index(found, index, {"policyname": "p7", "policyid": "11"}, datetime(2024, 1, 3, 6), datetime(2024, 1, 9, 12, 30))
+    return hits.select(F.regexp_extract("file", "/h([01])/", 1).alias("host"), "record", "time", "text")
+
+
 @query("execute_attributes", "", """
 SELECT '/' || source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS rel_path,
  CASE doc_id % 3 WHEN 0 THEN 'rw-r-----' WHEN 1 THEN 'rwxr-xr-x' ELSE 'rw-rw-r--' END AS permission, TIMESTAMP '2020-02-03 04:05:06' AS mtime, 0 AS left_to_fix FROM documents

@@ -2,12 +2,14 @@
 
 import gzip
 import json
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from driftline.operators import logs, progress
+from driftline.sources import log_index
 from driftline.sources import logs as log_files
 
 DAY = "2017-04-24"
@@ -42,6 +44,62 @@ def search(spark, folder, wanted, start, end, n):
     return [r["text"] for r in logs.search_logs(records, wanted, low, high, n).collect()]
 
 
+def by_index(spark, folder, index, wanted, start, end, block_bytes=200):
+    found = log_index.list_logs(spark, folder, "app-")
+    log_index.update_index(found, index, block_bytes)
+    return log_index.search_index(found, index, wanted, start, end)
+
+
+@pytest.mark.parametrize("block_bytes", [60, 500, 1 << 20])
+def test_index_against_brute_force(spark, tmp_path, block_bytes):
+    """Plain and packed files, several line ends, lines before the first record, records longer than a block, marks within
+    marks, keys in later lines only, files without records."""
+    rng = random.Random(block_bytes)
+    for n in range(6):
+        lines = ["left over", "2017-04-24 no record"] if n % 2 else []
+        for i in range(rng.randint(0, 60)):
+            value = rng.choice(["a", "b", "a]b", "é", "POLICYID[c]", "x" * 90])
+            lines.append(f"{DAY} {rng.randint(0, 23):02d}:00:{i % 60:02d},{i:03d} INFO POLICYNAME[{value}] POLICYID[{i}" + rng.choice(["]", "]", ""]))
+            lines += [f"  at POLICYID[late{i}]"] * rng.choice([0, 0, 1, 30])
+        text = rng.choice(["\n", "\r\n", "\r"]).join(lines) + rng.choice(["", "\n"])
+        name = f"app-{n}.log" + (".gz" if n % 3 == 0 else "")
+        with (gzip.open if n % 3 == 0 else open)(tmp_path / name, "wb") as out:
+            out.write(text.encode())
+    (tmp_path / "app-empty.log").write_text("")
+    (tmp_path / "other.log").write_text(entry("07:30:00", "a", "not ours"))
+    lines = spark.read.text(str(tmp_path)).where(F.col("_metadata.file_name").startswith("app-")).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"),
+        F.col("value").alias("line"))
+    records = logs.assemble_log_records(lines, log_files.LINE_ORDER)
+    index = str(tmp_path / "index" / "logs")
+    for wanted in ({"policyname": "a"}, {"POLICYID": "7", "policyname": "a]b"}, {"policyid": "c"}, {"policyname": "nobody"}, {"policyid": "late3"}, {"policyname": "é"}):
+        for start, end in ((datetime(2017, 4, 24), datetime(2017, 4, 25)), (datetime(2017, 4, 24, 9), datetime(2017, 4, 24, 17))):
+            whole = logs.matching_records(records, wanted, start, end).collect()
+            found = by_index(spark, str(tmp_path), index, wanted, start, end, block_bytes).collect()
+            assert sorted(map(repr, found)) == sorted(map(repr, whole))
+
+
+def test_index_opens_few_blocks_and_follows_the_files(spark, tmp_path):
+    for n in range(8):
+        (tmp_path / f"app-{n}.log").write_text("\n".join(entry(f"{n:02d}:00:00", f"p{n}-{i}", "x" * 50) for i in range(200)))
+    index, day = str(tmp_path / "index" / "logs"), (datetime(2017, 4, 24), datetime(2017, 4, 25))
+    found = log_index.list_logs(spark, str(tmp_path), "app-")
+    assert log_index.update_index(found, index, 2000) == 8 and log_index.update_index(found, index, 2000) == 0
+    blocks = log_index.blocks_to_open(found, index, {"policyname": "p3-77"}, *day)
+    assert spark.read.parquet(index).count() > 80 and 1 <= blocks.count() <= 3
+    assert blocks.agg(F.sum("size")).first()[0] < 10_000
+    assert [r["time"] for r in log_index.search_index(found, index, {"policyname": "p3-77"}, *day, 5).collect()] == [f"{DAY} 03:00:00,269"]
+    assert log_index.blocks_to_open(found, index, {"policyname": "p3-77"}, datetime(2017, 4, 24, 5), day[1]).isEmpty()
+    # a file that has grown is indexed again, and its old rows count no more
+    with open(tmp_path / "app-3.log", "a") as out:
+        out.write("\n" + entry("03:30:00", "p3-77", "more"))
+    found = log_index.list_logs(spark, str(tmp_path), "app-")
+    assert log_index.update_index(found, index, 2000) == 1
+    assert log_index.search_index(found, index, {"policyname": "p3-77"}, *day).count() == 2
+    with pytest.raises(ValueError, match="cannot search"):
+        log_index.blocks_to_open(found, index, {"host": "x"}, *day)
+
+
 def test_newest_of_the_current_file(spark, folder):
     found = search(spark, folder, {"policyname": "fspolicy"}, datetime(2017, 4, 24), None, 2)
     assert [t.split("~ ")[1] for t in found] == ["now 3", "now 1"]
