@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftline.catalog.registry import query
 from driftline.functions import paths
 from driftline.operators import ordering
-from driftline.plans import copying, snapshots
+from driftline.plans import copying, digests, snapshots
 from driftline.plans.options import CopyOptions, cluster_preset
 from driftline.sources.manifests import manifest_totals, read_manifest, write_manifest
 from driftline.sources.scratch import scratch_path
@@ -206,6 +206,21 @@ def snapshot_diff(d):
     return the_diff(d)
 
 
+@query("snapshot_diff_by_digest", SNAPS, DIFF_CTE + "SELECT type, source, target FROM diff")
+def snapshot_diff_by_digest(d):
+    """The same from stored snapshots, whose directories are listed only where their digests differ."""
+    old, new = (digests.store(s, scratch_path(d.spark, "stored")) for s in (d.snapshot_old, d.snapshot_new))
+    return digests.stored_diff(old, new)
+
+
+@query("sync_precheck_by_digest", SNAPS, """
+SELECT (SELECT count(*) FROM snapshot_old o FULL JOIN snapshot_old n ON o.file_id = n.file_id WHERE o.file_id IS NULL OR n.file_id IS NULL) = 0 AS unchanged,
+ (SELECT count(*) FROM snapshot_old o FULL JOIN snapshot_new n ON o.file_id = n.file_id WHERE o.file_id IS NULL OR n.file_id IS NULL) = 0 AS changed""")
+def sync_precheck_by_digest(d):
+    old, again, new = (digests.store(s, scratch_path(d.spark, "stored")) for s in (d.snapshot_old, d.snapshot_old, d.snapshot_new))
+    return d.spark.createDataFrame([(digests.unchanged(old, again), digests.unchanged(old, new))], "unchanged boolean, changed boolean")
+
+
 @query("translate_renames", SNAPS, DIFF_CTE + "SELECT type, source, target FROM moved")
 def translate_renames(d):
     return snapshots.translate_renames(the_diff(d))

@@ -31,10 +31,10 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
     The result is written: it is small beside the snapshots, and all that follows reads it more than once.
     """
-    return written(_compare(old, new), "diff")
+    return written(compare(old, new), "diff")
 
 
-def _compare(old: DataFrame, new: DataFrame) -> DataFrame:
+def compare(old: DataFrame, new: DataFrame) -> DataFrame:
     """The change set, not yet computed.
 
     Entries are matched by file id; a rename is a change of (parent_id, name), so the children of a renamed directory are
@@ -213,7 +213,7 @@ def sync_precheck(target_from: DataFrame, target_now: DataFrame, from_time: date
     """True if a diff can be used: the target is as it was at ``from`` and the snapshots are in time order."""
     if (from_time < to_time) if reverse else (from_time > to_time):
         raise ValueError("snapshots are in the wrong time order")
-    return _compare(target_from, target_now).isEmpty()
+    return compare(target_from, target_now).isEmpty()
 
 
 def plan_of_changes(changed: DataFrame, source: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.plans import copying, execute, ranges, snapshots
+from driftline.plans import copying, digests, execute, ranges, snapshots
 from driftline.plans.options import CopyOptions, cloud_preset, cluster_preset
 from driftline.sources import files, trees
 from driftline.sources.scratch import spread, written
@@ -194,6 +194,55 @@ def test_moves_and_copies_make_the_new_tree(spark, seed):
     assert not same & set(copied)
 
 
+@pytest.mark.parametrize("seed", [1, 3])
+def test_difference_by_digests_is_the_whole_one(spark, tmp_path, seed):
+    rng = random.Random(100 + seed)
+    old = random_tree(rng, 60)
+    new = changed(rng, old, 100)
+    whole = sorted(map(repr, snapshots.snapshot_diff(snapshot(spark, old), snapshot(spark, new)).collect()))
+    one, two = (digests.store(snapshot(spark, nodes), str(tmp_path / name), 7) for name, nodes in (("old", old), ("new", new)))
+    assert sorted(map(repr, digests.stored_diff(one, two).collect())) == whole
+    assert digests.unchanged(one, two) == (not whole)
+
+
+def test_a_difference_reads_what_changed(spark, tmp_path):
+    """Ten changes in a tree of 40 x 40 directories of 5 files: a few directories are listed, few buckets opened."""
+    rng = random.Random(1)
+    nodes = {}
+    for a in range(40):
+        nodes[1 + a] = (0, f"a{a}", True, None)
+        for b in range(40):
+            nodes[100 + 40 * a + b] = (1 + a, f"b{b}", True, None)
+            for c in range(5):
+                nodes[10_000 + 5 * (40 * a + b) + c] = (100 + 40 * a + b, f"c{c}", False, f"x{c}")
+    new = dict(nodes)
+    for n, i in enumerate(rng.sample(range(10_000, 18_000), 9)):
+        if n % 3 == 0:
+            del new[i]
+        else:
+            new[i] = (nodes[i][0], f"r{i}", False, nodes[i][3]) if n % 3 == 1 else (*nodes[i][:3], "changed")
+    new[105] = (7, "moved", True, None)  # a directory with its files goes to another one
+    before, after = snapshot(spark, nodes), snapshot(spark, new)
+    one, two = digests.store(before, str(tmp_path / "old"), 100), digests.store(after, str(tmp_path / "new"), 100)
+    rows = digests.changed_entries(one, two)
+    assert all(r.count() < 700 for r in rows)
+    found = digests.stored_diff(one, two)
+    assert found.count() == 10
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, snapshots.snapshot_diff(before, after).collect()))
+    assert not digests.unchanged(one, two) and digests.unchanged(one, digests.StoredSnapshot(spark, str(tmp_path / "old")))
+
+
+def test_digests_of_other_attributes_are_not_compared(spark, tmp_path):
+    tree = snapshot(spark, {1: (0, "a", True, None), 2: (1, "f", False, "x")})
+    xattrs = tree.withColumn("xattrs", F.create_map(F.lit("k"), F.col("name"))).withColumn("owner", F.lit("me"))
+    one, two = digests.store(tree, str(tmp_path / "old")), digests.store(xattrs, str(tmp_path / "new"))
+    assert digests.unchanged(one, two) and digests.stored_diff(one, two).isEmpty()
+    three = digests.store(xattrs.withColumn("xattrs", F.create_map(F.lit("k"), F.lit("other"))), str(tmp_path / "third"))
+    assert not digests.unchanged(two, three) and digests.stored_diff(two, three).count() == 2
+    empty = digests.store(tree.limit(0), str(tmp_path / "empty"))
+    assert sorted(r["source"] for r in digests.stored_diff(empty, one).collect()) == ["/a"]
+
+
 def test_wrong_time_order(spark):
     from datetime import datetime
 
