@@ -468,3 +468,12 @@ def next_step(d):
 @query("page", "", "SELECT s_suppkey, s_name, s_acctbal FROM supplier ORDER BY s_acctbal DESC NULLS LAST, s_suppkey LIMIT 10")
 def page(d):
     return ordering.page(d.table("supplier").select("s_suppkey", "s_name", "s_acctbal"), "s_acctbal", "desc", -4, 0, ["s_suppkey"])
+
+
+@query("page_by_cursor", "", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_nationkey DESC NULLS LAST, c_custkey LIMIT 25 OFFSET 50")
+def page_by_cursor(d):
+    """The third page of 25, each found by the cursor of the one before."""
+    rows, at = d.table("customer").select("c_custkey", "c_nationkey", "c_acctbal"), None
+    for _ in range(2):
+        at = ordering.cursor(ordering.page_after(rows, "c_nationkey", at, "desc", 25, ["c_custkey"]), "c_nationkey", ["c_custkey"], "desc")
+    return ordering.page_after(rows, "c_nationkey", at, "desc", 25, ["c_custkey"])

@@ -99,6 +99,40 @@ def page(df: DataFrame, order_by: str, sort: str = "ASC", offset: int = 0, n: in
     return df.orderBy(first, *(tie or [])).offset(max(offset, 0)).limit(page_size(n, cap))
 
 
+def page_after(df: DataFrame, order_by: str, after: tuple | None, sort: str = "ASC", n: int = 10, tie: list[str] | None = None,
+               allowed: list[str] | None = None, cap: int | None = None) -> DataFrame:
+    """The page behind a row: the same pages as :func:`page` gives by offset, without sorting what came before.
+
+    ``after`` is the cursor of the last row seen, its order value and then its ties (:func:`cursor`); None asks for the
+    first page. The condition is a filter on the columns, which reaches the files, and the rest a top-n.
+    """
+    first = page(df, order_by, sort, 0, n, tie, allowed, cap)  # checks what is asked for
+    if after is None:
+        return first
+    value, ties = after[0], list(zip(tie or [], after[1:]))
+    if not ties or len(after) != len(tie or []) + 1:
+        raise ValueError("a cursor holds the order value and a value of each tie column")
+    behind, same = F.lit(False), F.lit(True)
+    for name, held in ties:  # one tie after the other, in ascending order with nulls first
+        column = F.col(name)
+        behind = behind | (same & (column.isNotNull() if held is None else column > F.lit(held)))
+        same = same & (column.isNull() if held is None else column == F.lit(held))
+    key = F.col(order_by)
+    if sort.upper() == "ASC":  # nulls first
+        rest = (key.isNull() & behind) | key.isNotNull() if value is None else (key > F.lit(value)) | ((key == F.lit(value)) & behind)
+    else:  # nulls last
+        rest = key.isNull() & behind if value is None else (key < F.lit(value)) | key.isNull() | ((key == F.lit(value)) & behind)
+    return page(df.where(rest), order_by, sort, 0, n, tie, allowed, cap)
+
+
+def cursor(rows: DataFrame, order_by: str, tie: list[str], sort: str = "ASC") -> tuple | None:
+    """The cursor of a page's last row, None for an empty page."""
+    column = F.col(order_by)
+    last = [column.desc_nulls_last() if sort.upper() == "ASC" else column.asc_nulls_first(), *[F.col(c).desc_nulls_last() for c in tie]]
+    found = rows.select(order_by, *tie).orderBy(*last).head()
+    return None if found is None else tuple(found)
+
+
 def page_size(n: int | None, cap: int | None = None, default: int = 10) -> int:
     """Rows per page: the default for none or a non-positive number; more than the cap is an error."""
     size = n if n is not None and n > 0 else default

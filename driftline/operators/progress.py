@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.texts import progress_pair
-from driftline.operators.changes import folded_updates
 
 PROGRESS = ("total bigint, completed bigint, exportTotal bigint, exportCompleted bigint, importTotal bigint, "
             "importCompleted bigint, failed bigint, killed bigint, filesCopied bigint, dirCopied bigint, "
@@ -179,15 +178,19 @@ def tracking_update(instance: DataFrame, updates: DataFrame, order: str | None =
     alone. A run may have several updates: they apply in ``order``, so a RECOVERY before the last MAIN is gone with what it
     belonged to. Without an order MAIN goes first, and updates of one kind that differ are an error.
     """
+    def of(kind: str) -> Column:
+        counts = F.col("metric").isNotNull() if order is None else F.lit(True)
+        place = F.lit(0) if order is None else F.col(order)
+        return F.when((F.col("job_type") == kind) & counts, F.struct(place.alias("__order"), "metric"))
+
+    # one aggregation gives both kinds, and the least beside the last tells whether updates without an order agree
+    new = updates.groupBy("id").agg(F.max(of("MAIN")).alias("__main"), F.max(of("RECOVERY")).alias("__recovery"),
+                                    F.min(of("MAIN")).alias("__main_least"), F.min(of("RECOVERY")).alias("__recovery_least"))
     if order is None:
-        one = folded_updates(updates.select("id", "job_type", "metric"), ["id", "job_type"], ["metric"]).withColumn("__order", F.lit(0))
-    else:
-        one = updates.select("id", "job_type", "metric", F.col(order).alias("__order"))
-
-    def last(kind: str) -> Column:
-        return F.max(F.when(F.col("job_type") == kind, F.struct("__order", "metric")))
-
-    new = one.groupBy("id").agg(last("MAIN").alias("__main"), last("RECOVERY").alias("__recovery"))
+        clash = F.coalesce((F.col("__main") != F.col("__main_least")) | (F.col("__recovery") != F.col("__recovery_least")), F.lit(False))
+        stop = F.raise_error(F.concat(F.lit("updates contradict each other for "), F.col("id").cast("string"))).cast("boolean")
+        new = new.where(F.when(clash, stop).otherwise(F.col("__main").isNotNull() | F.col("__recovery").isNotNull()))
+    new = new.drop("__main_least", "__recovery_least")
     stands = F.col("__main").isNull() | (F.col("__recovery.__order") >= F.col("__main.__order"))
     both = instance.join(new, "id", "left")
     # named step by step: written as one expression, each use would read the text again

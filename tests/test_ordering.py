@@ -87,6 +87,23 @@ def test_balance_of_empty_files(spark):
     assert [r["part"] for r in ordering.balance_by_bytes(df, 4).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("sort", ["ASC", "DESC"])
+def test_pages_by_cursor_are_those_by_offset(spark, tmp_path, sort):
+    rng = random.Random(sort)
+    rows = [(n, rng.choice([None, None, 1, 2, 3, 7]), rng.choice([None, "a", "b"])) for n in range(60)]
+    spark.createDataFrame(rows, "id long, g long, t string").write.parquet(str(tmp_path / "rows"))
+    df, tie, at = spark.read.parquet(str(tmp_path / "rows")), ["t", "id"], None
+    for k in range(0, 63, 9):
+        by_offset = ordering.page(df, "g", sort, k, 9, tie).collect()
+        rows = ordering.page_after(df, "g", at, sort, 9, tie)
+        assert rows.collect() == by_offset
+        at = ordering.cursor(rows, "g", tie, sort) if by_offset else at
+    plan = ordering.page_after(df, "g", (3, "a", 5), sort, 9, tie)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Or(GreaterThan(g,3)" in plan.replace("LessThan", "GreaterThan")
+    with pytest.raises(ValueError, match="cursor"):
+        ordering.page_after(df, "g", (3, "a"), sort, 9, tie)
+
+
 def test_pages_do_not_overlap(spark):
     df = spark.range(50).select("id", (F.col("id") % 3).alias("g"))
     seen = [r["id"] for k in range(0, 50, 7) for r in ordering.page(df, "g", "ASC", k, 7, ["id"]).collect()]
