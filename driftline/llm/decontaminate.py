@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import shingles
-from driftline.llm.names import every
+from driftline.llm.names import every, fresh
 
 SIMILARITY = 0.8
 BITS, BYTE = 128, 8
@@ -189,7 +189,9 @@ def find(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "te
 
     ``keys`` name columns that tell documents apart; rows with equal keys are searched each on their own and give one row
     each. Null and empty texts, and items without words, give nothing; a text or item of fewer than five words is one
-    shingle, and such an item is found wherever its words stand in a row. Items are broadcast ``ITEM_BLOCK`` at a time; documents are neither shuffled nor collected.
+    shingle, and such an item is found wherever its words stand in a row. Items without an id are left out. Items are
+    broadcast ``ITEM_BLOCK`` at a time; documents are neither shuffled nor collected, and a text of any length is searched
+    whole by the task that reads it. Other columns, of any name, are left out.
     """
     spark = docs.sparkSession
     rows = docs.select(*keys, F.col(text).alias("__text"))
@@ -243,6 +245,13 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without a benchmark item; the found ones go whole."""
-    found = find(docs, spark.read.parquet(f"{folder}/benchmark.parquet"), ["doc_id"])
-    return docs.join(found.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").select(*every(docs))
+    """Documents without a benchmark item; the found ones go whole.
+
+    Rows are told apart by id and text: of several rows with one id, or without one, only those that hold an item go. Items
+    count by their text, so one without an id counts as well.
+    """
+    key = fresh(docs, "row")
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    items = spark.read.parquet(f"{folder}/benchmark.parquet").select(F.xxhash64("text").alias("item_id"), "text").distinct()
+    found = find(rows, items, [key]).select(key).distinct()
+    return rows.join(found, key, "left_anti").select(*every(docs))

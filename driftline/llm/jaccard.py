@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from driftline.llm import shingles
 from driftline.llm.bitmaps import bitmap, marked
 from driftline.llm.graph import components
-from driftline.llm.names import every
+from driftline.llm.names import every, fresh
 from driftline.sources.scratch import written
 
 PERCENT = 80
@@ -233,9 +233,15 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each component, the one with the smallest id; rows without an id stay."""
-    named = join(docs)
-    others = named.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*every(docs))
-    # a row that is there twice is one document
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """One document of each component: the one with the smallest id, then with the smallest hash of its text.
+
+    Rows are told apart by id and text, so an id may stand in several rows with different texts, or be null: such a row is
+    a document like any other, and goes only if another of its component stays (a null id is larger than all others). A
+    row that is there twice is one document. Rows without words stay.
+    """
+    key = fresh(docs, "row")
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    named = join(rows.select(F.col(key), "text"), doc_id=key).select(F.col("doc_id").alias(key), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(key).alias("k"))).alias("least")
+    kept = named.distinct().join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(least).select(F.col("least.k").alias(key))
+    return rows.join(kept, key, "left_semi").dropDuplicates([key]).select(*every(docs))

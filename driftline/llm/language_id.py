@@ -8,12 +8,14 @@ whose prototype has the largest cosine with it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from driftline.llm.names import every, fresh
 
@@ -38,12 +40,21 @@ def _letters() -> np.ndarray:
     return table
 
 
+@functools.cache
+def _table() -> np.ndarray:
+    return _letters()
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class Profiles:
     """Bundles texts to vectors."""
 
     def __init__(self, dimensions: int = DIMENSIONS, gram: int = GRAM, seed: int = SEED):
         self.dimensions, self.gram, self.seed = dimensions, gram, seed
-        self.table = _letters()
+        self.table = _table()
         self.vectors: dict[int, np.ndarray] = {}
 
     def letter(self, code: int) -> np.ndarray:
@@ -231,13 +242,68 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), prototypes).drop("text")
 
 
-#: a text whose cosine with every language is below this is in none of them
-FOREIGN = 0.02
+#: a letter is a language's if it makes up this part of the language's letters: at most 1 / USED letters for each
+USED = 1e-4
+#: a text of whose letters a smaller part is used by any learned language is in none of them
+KNOWN = 0.5
+
+
+def used_letters(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[int]:
+    """The code points of the (lower-case) letters that the learned languages use, ascending.
+
+    Counted over all rows with a text and a language; a letter counts for a language from a share of ``USED`` on, so a few
+    foreign names do not add an alphabet, and at most 1 / ``USED`` letters per language come to the driver.
+    """
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+
+    def run(batches):
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, texts in batch.groupby("lang")["text"]:
+                whole, joined = counts.setdefault(name, np.zeros(0x110000, np.int64)), "".join(texts)
+                for at in range(0, len(joined), BLOCK_CHARS):
+                    found = np.bincount(_table()[_code_points(joined[at:at + BLOCK_CHARS])])
+                    whole[:len(found)] += found
+        for name, whole in counts.items():
+            whole[SPACE] = 0
+            at = np.flatnonzero(whole)
+            yield pd.DataFrame({"lang": name, "letter": at, "times": whole[at]})
+
+    letters = rows.mapInPandas(run, "lang string, letter long, times long").groupBy("lang", "letter").agg(F.sum("times").alias("times"))
+    share = F.col("times") / F.sum("times").over(Window.partitionBy("lang"))
+    chosen = letters.select("letter", share.alias("share")).where(F.col("share") >= USED).select("letter").distinct()
+    return sorted(row.letter for row in chosen.collect())
+
+
+def known_share(text: Column, letters: list[int]) -> Column:
+    """The part of a text's letters that are in ``letters``; null where it has no letter."""
+    known = np.array(letters, np.int64)
+
+    @F.pandas_udf("double")
+    def share(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = np.zeros(0x110000, bool)
+        table[known] = True
+        for texts in parts:
+            out = np.full(len(texts), np.nan)
+            for i, one in enumerate(texts):
+                points = _table()[_code_points(one or "")]
+                points = points[points != SPACE]
+                if len(points):
+                    out[i] = table[points].mean()
+            yield pd.Series(out)
+
+    return share(text)
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents in a learned language: rejects those without letters and those that resemble no prototype."""
-    prototypes = train(docs.where(~held_out(F.col("doc_id"))))
-    name = fresh(docs, "guess")
-    guessed = docs.withColumn(name, guess(F.col("text"), prototypes))
-    return guessed.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= FOREIGN)).select(*every(docs))
+    """Documents in a learned language: rejects those without letters (``und``) and those most of whose letters no learned
+    language uses, as texts in another script.
+
+    The cosine rejects nothing: of a short text it is chance (its deviation is 1 / sqrt(dimensions)), so a limit would take
+    clean short documents along. A text in another language of a learned script stays, under the language it resembles most.
+    """
+    taught = docs.where(~held_out(F.col("doc_id")))
+    prototypes, letters = train(taught), used_letters(taught)
+    name, share = fresh(docs, "guess"), fresh(docs, "share")
+    guessed = docs.withColumn(name, guess(F.col("text"), prototypes)).withColumn(share, known_share(F.col("text"), letters))
+    return guessed.where((F.col(f"{name}.lang_pred") != "und") & (F.col(share) >= KNOWN)).select(*every(docs))

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -68,3 +69,27 @@ def test_stage_keeps_clean_documents_and_all_columns(spark):
     clean = spark.read.parquet(f"{FOLDER}/documents.parquet")
     assert language_id.stage(spark, clean, FOLDER).count() >= 0.995 * clean.count()
     assert language_id.stage(spark, documents(spark, empty=True), FOLDER).count() == 0
+
+
+def test_foreign_scripts_go_and_short_clean_texts_stay(spark):
+    make = random.Random(3)
+    clean = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang").where("length(text) > 100")
+    words = sorted({w for r in clean.limit(200).collect() for w in r.text.split() if len(w) > 3 and w.isalpha()})
+    short = [(10 ** 9 + 3 * n, " ".join(make.sample(words, n % 3 + 1)), None) for n in range(60)]
+    scripts = ["абвгдежзиклмнопрст", "αβγδεζηθικλμνξοπ", "的一是不了人我在有他这", "אבגדהוזחטיכלמנ", "कखगघचछजझ"]
+    foreign = [(2 * 10 ** 9 + n, " ".join("".join(make.choice(scripts[n % 5]) for _ in range(make.randint(2, 9))) for _ in range(make.randint(1, 80))), None)
+               for n in range(100)]
+    mixed = [(3 * 10 ** 9, "клмн the of " * 20 + " ".join(words[:60]), None)]
+    schema = "doc_id long, text string, lang string"
+    docs = clean.unionByName(spark.createDataFrame(short + foreign + mixed, schema))
+    kept = {r.doc_id for r in language_id.stage(spark, docs, FOLDER).collect()}
+    assert {i for i, _, _ in short + mixed} <= kept and not kept & {i for i, _, _ in foreign}
+    assert {r.doc_id for r in clean.collect()} <= kept
+
+
+def test_letters_in_use(spark):
+    rows = [("aBc" * 5000 + "я", "x"), ("ж" * 10 + "1 !", "y"), (None, "z"), ("q", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    assert [chr(c) for c in language_id.used_letters(docs)] == ["a", "b", "c", "ж"]
+    share = docs.select(language_id.known_share(F.col("text"), [ord("a"), ord("ж")]).alias("s")).collect()
+    assert [round(r.s, 3) for r in share[:2]] == [0.333, 1.0] and all(r.s is None or r.s != r.s or r.s == 0 for r in share[2:])
