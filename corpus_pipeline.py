@@ -3,7 +3,7 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's documents.
 
-1. language_id drops documents without letters and those that resemble no learned language.
+1. language_id drops documents without letters and those most of whose letters no learned language uses.
 2. near_duplicates keeps one document of each group linked by Jaccard similarity 0.8 of five-word shingles.
 3. decontamination drops documents that hold a benchmark item.
 4. secrets replaces secrets in the text by a mark.
