@@ -1,14 +1,17 @@
 r"""License scans by an exact set-similarity join between text blocks and license templates.
 
-The words of a template are its set. A block (a line, as a rule) holds the template when at least ``threshold`` of the
-template's words stand in it. Words are ordered by how many documents hold them, rarest first:
+The words of a template are its set. A text holds the template when somewhere, in as many words in a row as the template
+has, at least ``threshold`` of the template's set stand, whatever lines they are wrapped to. Texts are cut into blocks of
+twice the longest template's words, each beginning in the middle of the one before, so any such stretch lies in a block.
+Words are ordered by how many documents hold them, rarest first:
 
 - prefix filter: a block that holds ``need`` of a template's n words holds one of its n - need + 1 rarest;
 - length filter: it has at least ``need`` distinct words;
 - positional filter: a common word at places i and j of the two ordered sets leaves room for
   min(i, j) + 1 + min(words after i, words after j) common words, which must reach ``need``.
 
-What is left is counted exactly. All of it is DataFrame work on the JVM; the templates, a fixed list, are broadcast.
+What is left is counted exactly, stretch by stretch. All of it is DataFrame work on the JVM; the templates, a fixed list,
+are broadcast.
 """
 
 from __future__ import annotations
@@ -84,11 +87,18 @@ def base_places(docs: DataFrame, text: str = "text") -> DataFrame:
             .withColumn("n_base", F.size("found").cast("long")).drop("__spaced"))
 
 
-def blocks(docs: DataFrame, text: str, separator: str, keys: list[str]) -> DataFrame:
-    """``(keys, block, words)`` per block that has words; ``words`` are distinct."""
-    lines = docs.select(*keys, F.posexplode(F.split(lowered(F.col(text)), separator)).alias("block", "line"))
-    return (lines.select(*keys, "block", F.trim(F.regexp_replace("line", NO_WORD, " ")).alias("line")).where("line <> ''")
-            .select(*keys, "block", F.array_distinct(F.split("line", " ")).alias("words")))
+def all_words(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+
+def blocks(docs: DataFrame, text: str, keys: list[str], step: int, one_of: list[str]) -> DataFrame:
+    """``(keys, block, words)``: blocks of 2 * ``step`` words, ``step`` apart, that hold a word of ``one_of``."""
+    some = F.array(*[F.lit(w) for w in one_of])
+    words = docs.select(*keys, F.split(F.trim(spaced(lowered(F.col(text)))), " ").alias("all")).where(F.arrays_overlap("all", some))
+    last = F.greatest(F.ceil((F.size("all") - step) / F.lit(step)), F.lit(1)).cast("int") - 1
+    cut = words.select(*keys, "all", F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    return (cut.select(*keys, "block", F.slice("all", F.col("block") * step + 1, F.lit(2 * step)).alias("words"))
+            .where(F.arrays_overlap("words", some)))
 
 
 def rarest_first(docs: DataFrame, templates, text: str = "text") -> list[str]:
@@ -100,29 +110,27 @@ def rarest_first(docs: DataFrame, templates, text: str = "text") -> list[str]:
     return sorted(words, key=lambda w: (counts.get(w, 0), w))
 
 
-def matches(docs: DataFrame, keys: list[str], text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD,
-            separator: str = "\n") -> DataFrame:
-    """``(keys, block, label, template, containment)`` for every block that holds a template.
+def matches(docs: DataFrame, keys: list[str], text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """``(keys, block, label, template, containment)`` for every block that holds a template, at its best stretch.
 
     Null and empty texts have no blocks; repeated rows match each on their own and are told apart by ``keys`` only.
     """
     order = rarest_first(docs, templates, text)
     rank = {w: n for n, w in enumerate(order)}
-    prefix_rows = []
+    prefix_rows, rare = [], set()
     for number, (label, body) in enumerate(templates):
         words = sorted(template_words(body), key=rank.__getitem__)
         need = max(1, math.ceil(threshold * len(words) - 1e-9))
+        rare.update(words[:len(words) - need + 1])
         prefix_rows += [F.struct(F.lit(w).alias("word"), F.lit(i).alias("i"), F.lit(number).alias("template"), F.lit(label).alias("label"),
-                                 F.lit(need).alias("need"), F.array(*[F.lit(x) for x in words]).alias("of"))
+                                 F.lit(need).alias("need"), F.lit(len(all_words(body))).alias("long"), F.array(*[F.lit(x) for x in words]).alias("of"))
                         for i, w in enumerate(words[:len(words) - need + 1])]
     spark = docs.sparkSession
     prefixes = spark.range(1).select(F.inline(F.array(*prefix_rows)))
-    rare = sorted({w for label, body in templates for w in sorted(template_words(body), key=rank.__getitem__)[
-        :len(template_words(body)) - max(1, math.ceil(threshold * len(template_words(body)) - 1e-9)) + 1]})
-    held = (blocks(docs, text, separator, keys)
-            .where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in rare])))
+    step = max(len(all_words(body)) for _, body in templates)
+    held = (blocks(docs, text, keys, step, sorted(rare))
             # in the global order, as the first list is
-            .select(*keys, "block", F.size("words").alias("size"),
+            .select(*keys, "block", "words", F.size(F.array_distinct("words")).alias("size"),
                     F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("words")).alias("shared")))
     pairs = (held.select("*", F.posexplode("shared").alias("j", "word")).join(F.broadcast(prefixes), "word")
              .where("size >= need AND least(i, j) + 1 + least(size(of) - i, size(shared) - j) - 1 >= need"))
@@ -130,19 +138,24 @@ def matches(docs: DataFrame, keys: list[str], text: str = "text", templates=TEMP
     # a block meets a template once per shared prefix word: the least of them stands for the pair
     first = F.array_position("shared", F.col("word")) == F.array_min(F.transform(
         F.array_intersect(F.slice("of", 1, F.size("of") - F.col("need") + 1), F.col("shared")), lambda w: F.array_position("shared", w)))
-    return (pairs.where(first & (common >= F.col("need")))
-            .select(*keys, "block", "label", "template", (common / F.size("of")).alias("containment")))
+    near = pairs.where(first & (common >= F.col("need"))).select(*keys, "block", "label", "template", "need", "long", "of", F.filter(
+        F.transform("words", lambda w, at: F.struct(at.alias("at"), w.alias("w"))), lambda x: F.array_contains("of", x["w"])).alias("places"))
+    stretch = F.expr("""array_max(transform(places, p -> size(array_distinct(transform(
+        filter(places, q -> q.at >= p.at AND q.at < p.at + long), q -> q.w)))))""")
+    return (near.withColumn("most", stretch).where("most >= need")
+            .select(*keys, "block", "label", "template", (F.col("most") / F.size("of")).alias("containment")))
 
 
-def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates=TEMPLATES, threshold: float = THRESHOLD,
-         separator: str = "\n") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, the base places, ``labels`` and ``score``, the largest containment (0 if none).
 
-    A null text is empty. Rows repeated in full get equal results, one each; so do rows with a null id.
+    A null text is empty. Rows repeated in full get equal results, one each; so do rows with a null id. A text of any length
+    is scanned whole, in blocks. Other columns, of any name, are left out. ``templates`` are (label, wording), a list that
+    the driver holds and that is broadcast.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     keyed = rows.withColumn("__key", F.xxhash64("doc_id", "text"))
-    held = matches(keyed, ["__key"], "text", templates, threshold, separator)
+    held = matches(keyed, ["__key"], "text", templates, threshold)
     per_doc = held.groupBy("__key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     none = F.array().cast("array<string>")
     listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
@@ -162,10 +175,12 @@ def _sql_list(words) -> str:
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
 w AS (SELECT doc_id, low, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM d),
-t AS (SELECT unnest([{", ".join(f"{{'label': '{label}', 'words': {_sql_list(template_words(body))}}}" for label, body in TEMPLATES)}]) AS t),
-lines AS (SELECT doc_id, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
-held AS (SELECT doc_id, t.label AS label, len(list_intersect(t.words, lines.words)) * 1.0::DOUBLE / len(t.words) AS c FROM lines, t
-  WHERE len(list_intersect(t.words, lines.words)) >= ceil({THRESHOLD} * len(t.words) - 1e-9)),
+t AS (SELECT unnest([{", ".join(f"{{'label': '{label}', 'long': {len(all_words(body))}, 'words': {_sql_list(template_words(body))}}}" for label, body in TEMPLATES)}]) AS t),
+near AS (SELECT doc_id, w.words AS words, t.label AS label, t.words AS tw, t.long AS long, ceil({THRESHOLD} * len(t.words) - 1e-9) AS need FROM w, t
+  WHERE len(list_intersect(t.words, w.words)) >= ceil({THRESHOLD} * len(t.words) - 1e-9)),
+best AS (SELECT doc_id, label, need, len(tw) AS size, list_max(list_transform(list_filter(range(1, len(words) + 1), lambda i: list_contains(tw, words[i])),
+  lambda i: len(list_intersect(tw, words[i:i + long - 1])))) AS most FROM near),
+held AS (SELECT doc_id, label, most * 1.0::DOUBLE / size AS c FROM best WHERE most >= need),
 more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM held GROUP BY doc_id),
 p AS (SELECT doc_id, len(words) AS n_words,
   list_filter(range(1, len(words)), lambda i: words[i] = 'mit' AND words[i + 1] = 'license') AS mit,

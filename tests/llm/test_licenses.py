@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from cases import documents
 
@@ -14,13 +15,14 @@ def brute(text):
     places = [(i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(words))
               if words[i:i + len(phrase.split())] == phrase.split()]
     labels, best = {label for _, label in places}, 0.0
-    for line in low.split("\n"):
-        held = set(WORD.findall(line))
-        for label, body in licenses.TEMPLATES:
-            want = set(licenses.template_words(body))
-            if len(want & held) >= licenses.THRESHOLD * len(want) - 1e-9:
-                labels.add(label)
-                best = max(best, len(want & held) / len(want))
+    for label, body in licenses.TEMPLATES:
+        want, long = set(licenses.template_words(body)), len(WORD.findall(body.lower()))
+        if len(want & set(words)) < licenses.THRESHOLD * len(want) - 1e-9:
+            continue
+        most = max((len(want & set(words[i:i + long])) for i in range(len(words))), default=0)
+        if most >= licenses.THRESHOLD * len(want) - 1e-9:
+            labels.add(label)
+            best = max(best, most / len(want))
     starts = [i for i, _ in places]
     return (len(words), len(places), min(starts, default=None), max(starts, default=None),
             ",".join(sorted({label for _, label in places})), ",".join(sorted(labels)), best)
@@ -41,6 +43,22 @@ def test_against_brute_force(spark):
         "mit mit license license apache license apache", "WKX under the Mit LIcense released K"])
 
 
+def test_wrapped_and_scattered_words(spark):
+    """Notices wrapped to lines as they usually are, behind comment marks, far inside a text; the same words far apart."""
+    wrap = lambda body, width, mark: f"\n{mark}".join(textwrap.wrap(body, width))
+    bodies = [body for _, body in licenses.TEMPLATES]
+    filler = [f"word{n}" for n in range(3000)]
+    texts = [wrap(body, 40, " * ") for body in bodies]
+    texts += [" ".join(filler[:n]) + "\n" + wrap(body, 25, "# ") + "\n" + " ".join(filler[n:]) for n, body in zip(range(30, 3000, 200), bodies)]
+    texts += [" ".join(w + " " + " ".join(filler[40 * i:40 * i + 40]) for i, w in enumerate(body.split())) for body in bodies]
+    texts += [" ".join(body.split()[:-3]) for body in bodies] + [" ".join(bodies), " ".join(reversed(" ".join(bodies).split()))]
+    check(spark, texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = {r.doc_id: r.score for r in licenses.scan(docs).collect()}
+    assert all(score[i] == 1 for i in range(2 * len(bodies)))
+    assert all(score[i] == 0 for i in range(2 * len(bodies), 3 * len(bodies)))
+
+
 def test_awkward_documents(spark):
     docs = documents(spark)
     rows = licenses.scan(docs).collect()
