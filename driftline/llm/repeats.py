@@ -482,8 +482,10 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: i
     """
     rows = _keyed(docs, text, doc_id)
     cores = written(_cores(rows), "cores")
-    often = cores.groupBy("core").agg(F.count("*").alias("often")).where("often > 1")
-    twice = (cores.join(often, "core").groupBy("doc_id", "hash")
+    often = written(cores.groupBy("core").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    # most cores stand once and are left out before the shuffle
+    shared = marked(cores, bitmap(often, F.col("core")), "shared", F.col("core")).where("shared").drop("shared")
+    twice = (shared.join(often, "core").groupBy("doc_id", "hash")
              .agg(F.collect_set(F.when(F.col("often") <= hot, F.col("at"))).alias("segments"),
                   F.collect_set(F.when(F.col("often") > hot, F.col("at"))).alias("hot")))
     twice = written(twice, "twice")
