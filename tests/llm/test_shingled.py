@@ -97,7 +97,8 @@ def test_near_duplicate_stage(spark):
     kept = jaccard.stage(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 4, 5, 6, 7, 9, 10, 11, 12, 13, 14, 15]
-    assert sum(r.doc_id is None for r in kept.collect()) == 3
+    # two of the three rows without an id are copies of one another: one of them stays, as of any group
+    assert sorted(r.text is None for r in kept.collect() if r.doc_id is None) == [False, True]
     assert jaccard.stage(spark, documents(spark, empty=True), "").count() == 0
 
 
