@@ -340,8 +340,8 @@ def test_a_source_that_changes_between_ranges(spark, tmp_path):
     assert done["bytes"] == 100_000 and (dst / "big").read_bytes() == data[::-1]
     (src / "big").write_bytes(data[:50_000])
     with pytest.raises(Exception, match="ends before byte"):
-        ranges.copy_large(large, str(src), str(dst), 1000)
-    failed = ranges.copy_large(large, str(src), str(dst), 1000, ignore_failures=True).first()
+        ranges.copy_large(large, str(src), str(dst), 50_000)
+    failed = ranges.copy_large(large, str(src), str(dst), 50_000, ignore_failures=True).first()
     assert failed["action"] == "FAIL" and (dst / "big").read_bytes() == data[::-1]
 
 
