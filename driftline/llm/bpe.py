@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Spark splits the texts; a task then works on a block, the distinct words of one Arrow batch. All words of a block are
-laid out behind one another as symbols; an inverted index leads from each mergeable pair to the places where it stands.
-Merges are replayed over the whole block in rank order, and each merge touches only the two neighbours of the places it
-is applied to. Words that the worker has met before come from a memo of bounded size, so no words are shuffled.
+Spark splits the texts; a task then works on a block, the distinct words of one Arrow batch, not of the corpus. All words
+of a block are laid out behind one another as symbols. Words of more than ``STEPPED`` bytes are merged through an inverted
+index, which leads from each mergeable pair to the places where it stands: merges are replayed in rank order, and each
+touches only the two neighbours of the places it is applied to. Shorter words, nearly all, are merged in step: each round
+applies to every word that is open its pair of lowest rank. Ids are the same either way. Words that the worker has met
+before come from a memo of bounded size, so no words are shuffled.
 """
 
 from __future__ import annotations
