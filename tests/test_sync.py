@@ -2,13 +2,14 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from driftline.plans import copying, digests, execute, ranges, snapshots
 from driftline.plans.options import CopyOptions, cloud_preset, cluster_preset
 from driftline.sources import files, trees
-from driftline.sources.scratch import spread, written
+from driftline.sources.scratch import spread, spread_in_order, written
 
 MANIFEST = "rel_path string, is_dir boolean, length long, block_size int, checksum string"
 SNAPSHOT = "file_id long, parent_id long, name string, path string, is_dir boolean, checksum string"
@@ -331,6 +332,44 @@ def test_ranges_are_spread_over_tasks(spark, tmp_path):
     assert dealt.select(F.spark_partition_id()).distinct().count() >= 4
 
 
+def test_ranges_of_many_files_share_no_folder(spark, tmp_path, monkeypatch):
+    """A disk changes a folder for one task at a time, and each forced write waits for the disk: ranges are forced together."""
+    src, dst = tmp_path / "src", tmp_path / "dst"
+    src.mkdir(), dst.mkdir()
+    for n in range(60):
+        (src / f"f{n}").write_bytes(bytes([n]) * 250)
+    alone = []
+    monkeypatch.setattr(ranges.os, "fsync", alone.append)
+    batch = pd.DataFrame({"rel_path": [f"/f{n}" for n in range(60)], "nth": 1, "start": 100, "size": 100})
+    rows = pd.concat(ranges._copy_batches(str(src), str(dst), 100, False, False, None)([batch]))
+    assert rows["bytes"].tolist() == [100] * 60 and rows["message"].isna().all() and not alone
+    folders = list((dst / ranges.RANGE_FOLDER).iterdir())
+    assert 10 < len(folders) <= 60 and all(p.is_file() for f in folders for p in f.iterdir())
+    assert ranges.Places(str(src), str(dst), 100, None).parts("/f7")[2].done().keys() == {1}
+    large = written(spark.createDataFrame([(f"/f{n}", 250) for n in range(60)], "rel_path string, length long"), "large")
+    assert {r["bytes"] for r in ranges.copy_large(large, str(src), str(dst), 100).collect()} == {150}
+    assert all((dst / f"f{n}").read_bytes() == bytes([n]) * 250 for n in range(60))
+
+
+def test_a_range_that_is_broken_on_the_target_is_copied_again(spark, tmp_path, monkeypatch):
+    src, dst, data = large_file(tmp_path)
+    batch = pd.DataFrame({"rel_path": "/big", "nth": [0, 1], "start": [0, 50_000], "size": 50_000})
+    real, bad = ranges.Parts.digest, [1]
+    monkeypatch.setattr(ranges.Parts, "digest", lambda self, nth, *a: "x" * 32 if nth in bad and not bad.clear() else real(self, nth, *a))
+    rows = pd.concat(ranges._copy_batches(str(src), str(dst), 50_000, False, False, None)([batch]))
+    assert rows["bytes"].tolist() == [50_000] * 2
+    parts = ranges.Places(str(src), str(dst), 50_000, None).parts("/big")[2]
+    assert parts.done().keys() == {0, 1} and open(parts.whole, "rb").read() == data
+
+
+def test_files_are_dealt_by_folder(spark, tmp_path):
+    """Tasks that make files in the same folders would wait for each other."""
+    rows = spark.range(4000).select(F.concat(F.lit("/"), F.col("id") % 40, F.lit("/"), F.col("id")).alias("rel_path"))
+    dealt = spread_in_order(rows, "rel_path").select(F.substring_index("rel_path", "/", 2).alias("d"), F.spark_partition_id().alias("t"))
+    tasks = dealt.select("t").distinct().count()
+    assert tasks > 1 and dealt.distinct().count() < 40 + tasks
+
+
 def test_a_source_that_changes_between_ranges(spark, tmp_path):
     src, dst, data = large_file(tmp_path)
     large = written(spark.createDataFrame([("/big", len(data))], "rel_path string, length long"), "large")
