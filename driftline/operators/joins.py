@@ -16,6 +16,9 @@ def hot_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner",
     ``dim`` is repeated once per salt, so each fact row still meets each matching row exactly once. ``spread`` picks the
     salt of a fact row and should be unique per row; it defaults to the whole row. It is a value of the row, not a row
     number, so that a task that runs again deals its rows the same way. Valid for inner, left, left_semi and left_anti.
+
+    ``dim`` grows with the input too and its files are far smaller than its rows in memory, so it is never broadcast: both
+    sides are sorted and merged, which spills instead of holding ``dim`` once per salt in every executor.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
@@ -26,4 +29,4 @@ def hot_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner",
         spread = F.xxhash64(spread)
     left = fact.withColumn("__salt", F.pmod(spread, F.lit(salts)).cast("int"))
     right = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "__salt"], how).drop("__salt")
+    return left.join(right.hint("merge"), [*on, "__salt"], how).drop("__salt")

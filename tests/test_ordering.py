@@ -63,6 +63,14 @@ def test_hot_join(spark, how):
     assert sorted(map(tuple, hot_join(fact, dim, ["k"], how).collect()), key=str) == plain
 
 
+def test_hot_join_never_broadcasts(spark):
+    """The repeated side grows with the input: broadcast, every task would hold all of it."""
+    fact, dim = spark.range(100).selectExpr("id % 7 AS k", "id"), spark.range(7).selectExpr("id AS k", "id * 2 AS v")
+    joined = hot_join(fact, dim, ["k"], spread=F.col("id"))
+    assert joined.count() == 100
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hot_join_refuses_full(spark):
     df = spark.range(3)
     with pytest.raises(ValueError):
