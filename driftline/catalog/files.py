@@ -1,8 +1,10 @@
 """Jobs on real files: the documents are written as files below a scratch folder first."""
 
 import gzip
+import math
 from datetime import datetime
 
+from pyarrow.fs import FileSelector
 from pyspark.sql import functions as F
 
 from driftline.catalog.registry import query
@@ -229,17 +231,28 @@ def write_logs(lines, place):
     written(lines.mapInPandas(write, "line_no bigint"), "log-lines")
 
 
+# splits of a log, at the most about
+SPLITS = 2048
+
+
+def split_bytes(size):
+    return max(4096, math.ceil(size / SPLITS))
+
+
 @query("log_records_of_hosts", "log_line", r"""
 WITH marked AS (SELECT line_no, line, line_no // 3 % 2 AS host, CASE WHEN regexp_matches(line, '^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}\s+\w+\s+') THEN 1 ELSE 0 END AS starts FROM log_line),
 counted AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY host ORDER BY line_no) AS BIGINT) AS record FROM marked)
 SELECT CAST(host AS VARCHAR) AS host, record, string_agg(line, chr(10) ORDER BY line_no) AS text FROM counted WHERE record > 0 GROUP BY host, record""")
 def log_records_of_hosts(d):
-    """Whole records from two folders with files of one name, each read in many splits."""
+    """Whole records from two folders with files of one name, each read in many splits: of 4 KB, or of large logs about
+    SPLITS, as each split is a task that reports to the driver."""
     place = host_logs(d, "hosts", 1 << 62)
+    fs, base = open_root(place)
+    size = sum(f.size or 0 for f in fs.get_file_info(FileSelector(base, recursive=True)))
     key = "spark.sql.files.maxPartitionBytes"
     before = d.spark.conf.get(key)
     try:
-        d.spark.conf.set(key, "4096")  # the lines are placed while the records are put together
+        d.spark.conf.set(key, str(split_bytes(size)))  # the lines are placed while the records are put together
         now = datetime(2024, 3, 1)
         lines = logs.read_logs(d.spark, f"{place}/*", datetime(2024, 2, 29), now, now, "server")
         records = assemble_log_records(lines, logs.LINE_ORDER)

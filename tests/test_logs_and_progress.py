@@ -153,6 +153,13 @@ def line(event, **fields):
     return f"INFO  : REPL::{event}: {json.dumps(fields)}"
 
 
+def test_splits_do_not_grow_with_the_log():
+    from driftline.catalog.files import SPLITS, split_bytes
+
+    assert split_bytes(1000) == 4096
+    assert all(size / split_bytes(size) <= SPLITS for size in (10**7, 10**9, 10**12))
+
+
 def percent(spark, exports, imports=(), runs=None):
     rows = [("r", "EXPORT", i, t) for i, t in enumerate(exports)] + [("r", "IMPORT", i, t) for i, t in enumerate(imports)]
     log = spark.createDataFrame(rows, "run_id string, action string, seq int, line string")
