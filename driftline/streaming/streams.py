@@ -19,6 +19,13 @@ from driftline.streaming.batch_table import BatchTable
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Files in a batch of new files.
+FILES_PER_BATCH = 100_000
+#: Settings under which new files are listed.
+LISTING = {"spark.sql.files.openCostInBytes": "16384", "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
+           "spark.sql.sources.ignoreDataLocality": "true"}
+
+
 class Running:
     """Stream queries that belong together."""
 
@@ -124,9 +131,18 @@ def latest_progress(rows: DataFrame) -> DataFrame:
 
 
 def stream_new_files(spark: SparkSession, root: str, exclude: str) -> DataFrame:
-    """New files below a root as a stream of (path, length, mtime), without excluded paths. Contents are not read."""
+    """New files below a root as a stream of (path, length, mtime), without excluded paths. Contents are not read.
+
+    Every task reports to the driver, so files that are only listed share tasks by the thousand, and a batch has at most
+    FILES_PER_BATCH files. The stream has a session of its own, as its source takes these settings from there.
+    """
+    own = spark.newSession()
+    for key, value in {**spark.conf.getAll, **LISTING}.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
     schema = "path string, modificationTime timestamp, length long, content binary"
-    found = (spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
+    found = (own.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
+             .option("maxFilesPerTrigger", FILES_PER_BATCH).load(root)
              .select("path", "length", F.col("modificationTime").alias("mtime")))
     return exclude_find(found, exclude, "path")
 

@@ -157,6 +157,32 @@ def test_new_files(spark, tmp_path):
     assert run() == ["one", "three"]
 
 
+def test_new_files_share_tasks(spark, tmp_path):
+    """The driver hears from every task: files come by the batch, and many in a task."""
+    root, sink, mark = tmp_path / "root", str(tmp_path / "out"), str(tmp_path / "mark")
+    root.mkdir()
+    for n in range(300):
+        (root / f"f{n}").write_text("x")
+    found = streams.stream_new_files(spark, str(root), DEFAULT_EXCLUDE)
+    tasks, before = [], spark.conf.get("spark.sql.files.openCostInBytes")
+    (found.writeStream.foreachBatch(lambda batch, n: tasks.append(batch.rdd.getNumPartitions()))
+     .option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination())
+    assert sum(tasks) <= 2 * spark.sparkContext.defaultParallelism and spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def test_new_files_of_several_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "FILES_PER_BATCH", 4)
+    root, sink, mark = tmp_path / "root", str(tmp_path / "out"), str(tmp_path / "mark")
+    root.mkdir()
+    for n in range(10):
+        (root / f"f{n}").write_text("x" * (n + 1))
+    sizes = []
+    found = streams.stream_new_files(spark, str(root), DEFAULT_EXCLUDE)
+    (found.writeStream.foreachBatch(lambda batch, n: sizes.append(sorted(r["length"] for r in batch.collect())))
+     .option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination())
+    assert len(sizes) == 3 and sorted(sum(sizes, [])) == list(range(1, 11))
+
+
 def test_last_status(spark, tmp_path):
     schema = "policy_id string, id string, status string, end_time timestamp_ntz"
     source, table, mark = (str(tmp_path / n) for n in ("in", "table", "mark"))
