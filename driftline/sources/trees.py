@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,45 +13,36 @@ from driftline.functions import paths
 from driftline.sources import files
 from driftline.sources.scratch import spread, spread_in_order, written
 
+FOUND = "root string, root_path string, path string, is_dir boolean, length bigint, mtime_ns bigint"
+_FOUND = [part.split()[0] for part in FOUND.split(", ")]
 LISTED = ("root string, root_path string, path string, is_dir boolean, length bigint, mtime timestamp_ntz, "
           "atime timestamp_ntz, owner string, group string, permission string, block_size bigint, replication int, "
           "acl string, xattrs map<string,string>")
 _COLUMNS = [part.split()[0] for part in LISTED.split(", ")]
 _BATCH = 5000
+# the attributes of a path as they are in LISTED, with their types; atime stands before them
+_FACTS = {"owner": pa.string(), "group": pa.string(), "permission": pa.string(), "block_size": pa.int64(), "replication": pa.int32(),
+          "acl": pa.string(), "xattrs": pa.map_(pa.string(), pa.string())}
 
 
-def _row(fs: pafs.FileSystem, root: str, root_path: str, info: pafs.FileInfo) -> dict | None:
-    """None for a file that has vanished since it was listed."""
+def _found(root: str, root_path: str, info: pafs.FileInfo) -> tuple:
     is_dir = info.type == pafs.FileType.Directory
-    try:
-        known = files.retried(lambda: files.attributes(fs, info.path))
-    except FileNotFoundError:
-        return None
-    seen = known.pop("atime_ns")
-    return {"root": root, "root_path": root_path, "path": info.path, "is_dir": is_dir, "length": 0 if is_dir else info.size,
-            "mtime": pd.Timestamp(info.mtime_ns or 0, unit="ns").floor("us"),
-            "atime": pd.Timestamp(seen, unit="ns").floor("us") if seen is not None else None, **known}
-
-
-def _frame(rows: list[dict | None]) -> pd.DataFrame:
-    made = pd.DataFrame([r for r in rows if r], columns=_COLUMNS)
-    made["atime"] = pd.to_datetime(made["atime"])
-    return made
+    return root, root_path, info.path, is_dir, 0 if is_dir else info.size, info.mtime_ns or 0
 
 
 def _list_children(batches):
     for batch in batches:
-        rows: list[dict] = []
+        rows: list[tuple] = []
         for root, path in zip(batch["root"], batch["path"]):
             fs, root_path = files.open_root(root)
             # a directory that vanished since its parent was listed counts as empty
             selector = pafs.FileSelector(path, allow_not_found=True)
             for info in files.retried(lambda: fs.get_file_info(selector)):
-                rows.append(_row(fs, root, root_path, info))
+                rows.append(_found(root, root_path, info))
                 if len(rows) >= _BATCH:
-                    yield _frame(rows)
+                    yield pd.DataFrame(rows, columns=_FOUND)
                     rows = []
-        yield _frame(rows)
+        yield pd.DataFrame(rows, columns=_FOUND)
 
 
 def _list_roots(batches):
@@ -59,25 +52,50 @@ def _list_roots(batches):
             fs, path = files.open_root(root)
             info = files.retried(lambda: files.kind(fs, path))
             if info.type != pafs.FileType.NotFound:
-                rows.append(_row(fs, root, path, info))
-        yield _frame(rows)
+                rows.append(_found(root, path, info))
+        yield pd.DataFrame(rows, columns=_FOUND)
+
+
+def _describe(batches):
+    """Rows of FOUND to rows of LISTED, without files that have vanished since they were listed."""
+    for batch in batches:
+        known = []
+        for root, path in zip(batch.column("root").to_pylist(), batch.column("path").to_pylist()):
+            fs, _ = files.open_root(root)
+            try:
+                known.append(files.retried(lambda: files.attributes(fs, path)))
+            except FileNotFoundError:
+                known.append(None)
+        here = batch.filter(pa.array([k is not None for k in known], pa.bool_()))
+        known = [k for k in known if k is not None]
+        changed = np.asarray(here.column("mtime_ns"), np.int64) // 1000
+        seen = [None if k["atime_ns"] is None else k["atime_ns"] // 1000 for k in known]
+        facts = [pa.array([k[name] if name != "xattrs" or k[name] is None else list(k[name].items()) for k in known], kind)
+                 for name, kind in _FACTS.items()]
+        yield pa.RecordBatch.from_arrays([*here.columns[:-1], pa.array(changed, pa.timestamp("us")), pa.array(seen, pa.timestamp("us")), *facts],
+                                         _COLUMNS)
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    """Listing a directory is one task, whatever it holds; the attributes of its entries are read by all tasks."""
+    return written(spread(found, F.xxhash64("path")).mapInArrow(_describe, LISTED), "scan")
 
 
 def scan_tree(spark: SparkSession, roots: list[str] | DataFrame, expand_rounds: int | None = None) -> DataFrame:
     """Recursive listing of ``roots`` (a list, or a DataFrame with ``root``): one row per file and directory.
 
     Directories of one level are listed in parallel and written before the next level starts, so there are as many jobs
-    as the tree is deep. ``expand_rounds`` stops after that many levels. A missing root gives no rows.
+    as the tree is deep. Attributes are read in a step of their own, so that one large directory keeps no task busy alone. ``expand_rounds`` stops after that many levels. A missing root gives no rows.
     """
     start = spark.createDataFrame([(r,) for r in roots], "root string") if isinstance(roots, list) else roots
-    level = written(start.select("root").distinct().mapInPandas(_list_roots, LISTED), "scan")
+    level = _listed(start.select("root").distinct().mapInPandas(_list_roots, FOUND))
     found, rounds = level, 0
     while expand_rounds is None or rounds < expand_rounds:
         below = level.where("is_dir").select("root", "path")
         if below.isEmpty():
             break
         dealt = spread(below, F.xxhash64("root", "path"))
-        level = written(dealt.mapInPandas(_list_children, LISTED), "scan")
+        level = _listed(dealt.mapInPandas(_list_children, FOUND))
         found, rounds = found.unionByName(level), rounds + 1
     return found
 

@@ -1,8 +1,11 @@
 """Plans, snapshots and real copies of small trees."""
 
+import os
 import random
+from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -427,6 +430,30 @@ def test_globs(tmp_path):
     assert [f.removeprefix(str(tmp_path)) for f in found] == ["/a1/sub", "/b1/sub", "/a2"]
 
 
+def test_entries_of_one_directory_are_described_by_several_tasks(spark, tmp_path):
+    """Reading the attributes of a large directory must not be left to the task that lists it."""
+    write(spark, str(tmp_path / "t"), {f"/one/{i}": "x" * i for i in range(200)})
+    os.utime(tmp_path / "t/one/7", ns=(1_700_000_000_123_456_789, 1_600_000_000_987_654_321))
+    found = trees.scan_tree(spark, [str(tmp_path / "t")])
+    here = found.where("not is_dir").select("*", F.spark_partition_id().alias("part"), F.input_file_name().alias("file")).collect()
+    assert sorted(r["length"] for r in here) == list(range(200))
+    assert len({r["file"] for r in here}) > 1
+    seven = next(r for r in here if r["path"].endswith("/one/7"))
+    assert (seven["mtime"], seven["atime"].year) == (datetime(2020, 9, 13, 12, 26, 40, 987654), 2023)
+    facts = os.stat(tmp_path / "t/one/7")
+    assert (seven["owner"], seven["group"], seven["permission"], seven["block_size"], seven["replication"], seven["xattrs"]) == (
+        str(facts.st_uid), str(facts.st_gid), "rw-r--r--", facts.st_blksize, 1, {})
+
+
+def test_files_that_vanish_while_they_are_listed(tmp_path):
+    (tmp_path / "f").write_text("x")
+    row = (str(tmp_path), str(tmp_path), f"{tmp_path}/f", False, 1, 5_999)
+    gone = (*row[:2], f"{tmp_path}/gone", *row[3:])
+    batch = pa.RecordBatch.from_pylist([dict(zip(trees._FOUND, r)) for r in (gone, row)])
+    made = next(trees._describe([batch])).to_pylist()
+    assert [(r["path"], r["length"], r["mtime"]) for r in made] == [(f"{tmp_path}/f", 1, datetime(1970, 1, 1, 0, 0, 0, 5))]
+
+
 def test_lone_file_root(spark, tmp_path):
     path = tmp_path / "f"
     path.write_text("x")
