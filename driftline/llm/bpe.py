@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.llm.memory import give_back
 from driftline.llm.names import every, fresh, mapped
 
 #: words a worker remembers; beyond it the memo starts anew, which costs time only
-MEMO_WORDS = 500_000
-#: words or ids that are worked on at once
-PART = 250_000
+MEMO_WORDS = 200_000
+#: words or ids that are worked on at once: merging them takes about 2 KB each when all are new
+PART = 50_000
 #: words of up to so many bytes are merged in step, longer ones through the inverted index
 STEPPED = 64
 #: the rank of a pair that joins to no token
@@ -340,6 +341,7 @@ def _encoding(docs: DataFrame, kept: DataFrame, ranks: dict[bytes, int], pattern
                     other = encoder.texts([t or "" for t in rare.to_pylist()])
                     found = pa.compute.if_else(rare.is_valid(), other, found)
                 yield [*part.columns[:-2], found, *([encoder.vocabulary.decode(found)] if decoded else [])]
+            give_back()
 
     return split, run
 
@@ -374,6 +376,7 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str
         for batch in batches:
             for part in _parts(batch, batch.column(place)):
                 yield [*part.columns, vocabulary.decode(part.column(place))]
+            give_back()
 
     return mapped(docs, run, [*docs.schema.fields, T.StructField(out, T.BinaryType())])
 

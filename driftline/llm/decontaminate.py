@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import shingles
+from driftline.llm.memory import give_back
 from driftline.llm.names import every, fresh
 
 SIMILARITY = 0.8
@@ -231,6 +232,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "te
                     for n, name in enumerate(("item_id", "start_word", "n_words", "similarity"), 1):
                         out[name] = [f[n] for f in found]
                     yield out
+                give_back()
 
         parts.append(rows.mapInPandas(run, schema))
     out = parts[0]

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from driftline.llm import shingles
 from driftline.llm.bitmaps import bitmap, marked
 from driftline.llm.graph import components
+from driftline.llm.memory import give_back
 from driftline.llm.names import every, fresh
 from driftline.sources.scratch import written
 
@@ -82,6 +83,7 @@ def sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
             made["sig"] = pd.array([x[0] for x in out], dtype="Int64")
             made.insert(0, "doc_id", pd.array(batch["doc_id"], dtype="Int64") if batch["doc_id"].dtype.kind != "i" else batch["doc_id"].to_numpy())
             yield made
+            give_back()
 
     return rows.mapInPandas(run, "doc_id long, sig long, n long, t long, tokens array<long>")
 
@@ -128,6 +130,7 @@ def members(docs: DataFrame, named: DataFrame, posts: DataFrame, text: str = "te
                     p = int(prefix_length(len(tokens)))
                     out.append((signature(tokens), len(tokens), *(_first(tokens, seed, p).view(np.int64) for seed in (2, 3)), tokens.view(np.int64)))
             yield pd.DataFrame(out, columns=["sig", "n", "b", "c", "tokens"])
+            give_back()
 
     made = rows.mapInPandas(run, "sig long, n long, b array<long>, c array<long>, tokens array<long>")
     return made.join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
