@@ -1,6 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from cases import documents
@@ -52,6 +55,22 @@ def test_random_words_in_both_ways_of_merging(tokenizer, reference, monkeypatch)
         assert bpe.Encoder(*tokenizer).texts(words).to_pylist() == expected
 
 
+def test_a_batch_of_new_words_takes_bounded_memory(tokenizer):
+    """An executor's memory is shared by the JVM and all workers."""
+    make = np.random.default_rng(1).integers(97, 123, (240_000, 10), np.uint8)
+    words = [w.tobytes().decode() for w in make]
+    batch = pa.RecordBatch.from_arrays([pa.array([words[i:i + 100] for i in range(0, len(words), 100)], pa.list_(pa.string()))], ["words"])
+    encoder = bpe.Encoder(*tokenizer)
+    tracemalloc.start()
+    try:
+        for part in bpe._parts(batch, batch.column(0)):
+            rows = part.column(0)
+            encoder.encode(rows.flatten(), bpe._offsets(rows))
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_the_memo_may_be_forgotten_at_any_time(tokenizer, reference, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_WORDS", 3)
     encoder = bpe.Encoder(*tokenizer)

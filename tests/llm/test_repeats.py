@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -71,6 +72,18 @@ def test_small_blocks_and_runs(monkeypatch):
     assert len(parts) == len(data) - 399
 
 
+def test_hashing_takes_bounded_memory():
+    """An executor's memory is shared by the JVM and all workers: hashing 2 MB at once took 150 MB."""
+    data = np.random.default_rng(1).integers(97, 123, 3_000_000, np.uint8).tobytes()
+    tracemalloc.start()
+    try:
+        for _ in repeats.segments([data]):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_loser_tree_merges_and_knows_prefixes():
     make = random.Random(8)
     for k in range(1, 9):
