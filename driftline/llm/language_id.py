@@ -9,21 +9,22 @@ whose prototype has the largest cosine with it.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftline.llm.memory import give_back
 from driftline.llm.names import every, fresh
 
 DIMENSIONS = 512
 GRAM = 3
 SEED = 20240229
 #: characters and texts that are bundled at once
-BLOCK_CHARS, BLOCK_TEXTS = 400_000, 256
+BLOCK_CHARS, BLOCK_TEXTS = 200_000, 128
 #: alphabets of up to so many letters number their n-grams directly
 SMALL_ALPHABET = 128
 SPACE = 32
@@ -31,7 +32,7 @@ SPACE = 32
 
 def _letters() -> np.ndarray:
     """For each code point its lower-case letter, or a space where it is no letter."""
-    table = np.full(0x110000, SPACE, np.int64)
+    table = np.full(0x110000, SPACE, np.int32)
     for code in range(0x110000):
         char = chr(code)
         if char.isalpha():
@@ -109,7 +110,7 @@ class Profiles:
                 out *= permuted[which]
         return out
 
-    def bundles(self, texts: list[str | None], group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def bundles(self, texts: Iterable[str | None], group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """A vector per text (or per group number), and whether it holds any n-gram.
 
         Sums are whole numbers, kept exact: blocks of at most ``BLOCK_CHARS`` characters are added in float32, where
@@ -131,7 +132,7 @@ class Profiles:
         return out, seen
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
+def _blocks(texts: Iterable[str | None]) -> Iterator[tuple[list[str], list[int]]]:
     """Texts in blocks of bounded size; a longer text comes in pieces."""
     part, at, size = [], [], 0
     for i, text in enumerate(texts):
@@ -155,6 +156,12 @@ def _pieces(text: str) -> Iterator[str]:
     yield text
 
 
+def _strings(texts: pa.Array) -> Iterator[str | None]:
+    """The texts one after the other; only ``BLOCK_TEXTS`` at a time become Python's."""
+    for at in range(0, len(texts), BLOCK_TEXTS):
+        yield from texts.slice(at, BLOCK_TEXTS).to_pylist()
+
+
 _profiles: dict[tuple, Profiles] = {}
 
 
@@ -179,15 +186,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
         profile = _profile(dimensions, gram, seed)
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            group, names = pd.factorize(batch["lang"])
-            made, seen = profile.bundles(batch["text"].tolist(), group)
-            for name, vector, any_gram in zip(names, made, seen):
+            coded = batch.column(1).dictionary_encode()
+            made, seen = profile.bundles(_strings(batch.column(0)), coded.indices.to_numpy())
+            for name, vector, any_gram in zip(coded.dictionary.to_pylist(), made, seen):
                 if any_gram:
                     sums[name] = sums.get(name, 0) + vector
+            give_back()
         for name, vector in sums.items():
-            yield pd.DataFrame({"lang": name, "place": np.arange(len(vector)), "value": vector.astype(np.int64)})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(vector), pa.string()), "place": np.arange(len(vector)), "value": vector.astype(np.int64)})
 
-    parts = rows.mapInPandas(run, "lang string, place long, value long")
+    parts = rows.mapInArrow(run, "lang string, place long, value long")
     whole = (parts.groupBy("lang", "place").agg(F.sum("value").alias("value"))
              .groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("vector"))
              .select("lang", F.col("vector.value").alias("vector")))
@@ -208,29 +216,46 @@ def predict(docs: DataFrame, prototypes: list[tuple[str, np.ndarray]], text: str
 
 
 def guess(text: Column, prototypes: list[tuple[str, np.ndarray]], dimensions: int = DIMENSIONS, gram: int = GRAM,
-          seed: int = SEED) -> Column:
-    """``predict`` as a column: a struct of ``lang_pred`` and ``score``."""
+          seed: int = SEED, letters: list[int] | None = None) -> Column:
+    """``predict`` as a column: a struct of ``lang_pred`` and ``score``; with ``letters`` also ``known``, ``known_share``'s value.
+
+    One function makes all of them, since each function of its own takes a worker process of its own beside every task.
+    """
     names = [name for name, _ in prototypes]
     matrix = np.stack([v / (np.linalg.norm(v) or 1) for _, v in prototypes]) if prototypes else np.zeros((0, dimensions))
+    known = None if letters is None else np.array(letters, np.int64)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def compared(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double" + ("" if known is None else ", known double"))
+    def compared(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         profile = _profile(dimensions, gram, seed)
         for texts in parts:
-            made, seen = profile.bundles(texts.tolist())
-            langs, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
-            if names:
-                norms = np.linalg.norm(made, axis=1)
-                # rounded, so that the order of additions in a product cannot turn a tie
-                cosines = np.round(made @ matrix.T / np.where(norms > 0, norms, 1)[:, None], 12)
-                best = cosines.argmax(axis=1)
-                langs[seen] = np.array(names, object)[best[seen]]
-                scores[seen] = np.clip(cosines[np.arange(len(best)), best], 0, 1)[seen]
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            yield _compared(texts, profile, names, matrix, known)
+            give_back()
 
     return compared(text)
 
 
+def _compared(whole: pa.Array, profile: Profiles, names: list[str], matrix: np.ndarray, known: np.ndarray | None) -> pa.StructArray:
+    """``guess`` of a batch of texts. A batch may have 10,000, whose vectors would take 40 MB: ``BLOCK_TEXTS`` are done at once."""
+    langs, scores, shares = np.full(len(whole), "und", object), np.zeros(len(whole)), []
+    for at in range(0, len(whole), BLOCK_TEXTS):
+        texts = whole.slice(at, BLOCK_TEXTS).to_pylist()
+        if known is not None:
+            shares += _known(texts, known)
+        made, seen = profile.bundles(texts)
+        if names:
+            norms = np.linalg.norm(made, axis=1)
+            # rounded, so that the order of additions in a product cannot turn a tie
+            cosines = np.round(made @ matrix.T / np.where(norms > 0, norms, 1)[:, None], 12)
+            best = cosines.argmax(axis=1)
+            langs[at:at + len(texts)][seen] = np.array(names, object)[best[seen]]
+            scores[at:at + len(texts)][seen] = np.clip(cosines[np.arange(len(best)), best], 0, 1)[seen]
+    columns = {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores)}
+    if known is not None:
+        columns["known"] = pa.array(shares, pa.float64())
+    return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training; a null id is not."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
@@ -259,17 +284,21 @@ def used_letters(docs: DataFrame, text: str = "text", lang: str = "lang") -> lis
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for name, texts in batch.groupby("lang")["text"]:
-                whole, joined = counts.setdefault(name, np.zeros(0x110000, np.int64)), "".join(texts)
-                for at in range(0, len(joined), BLOCK_CHARS):
-                    found = np.bincount(_table()[_code_points(joined[at:at + BLOCK_CHARS])])
+            for name, text in zip(batch.column(1).to_pylist(), _strings(batch.column(0))):
+                for at in range(0, len(text), BLOCK_CHARS):
+                    found = np.bincount(_table()[_code_points(text[at:at + BLOCK_CHARS])])
+                    whole = counts.get(name, found[:0])
+                    if len(whole) < len(found):
+                        whole, found = found, whole
                     whole[:len(found)] += found
+                    counts[name] = whole
+            give_back()
         for name, whole in counts.items():
             whole[SPACE] = 0
             at = np.flatnonzero(whole)
-            yield pd.DataFrame({"lang": name, "letter": at, "times": whole[at]})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "letter": at, "times": whole[at]})
 
-    letters = rows.mapInPandas(run, "lang string, letter long, times long").groupBy("lang", "letter").agg(F.sum("times").alias("times"))
+    letters = rows.mapInArrow(run, "lang string, letter long, times long").groupBy("lang", "letter").agg(F.sum("times").alias("times"))
     share = F.col("times") / F.sum("times").over(Window.partitionBy("lang"))
     chosen = letters.select("letter", share.alias("share")).where(F.col("share") >= USED).select("letter").distinct()
     return sorted(row.letter for row in chosen.collect())
@@ -279,22 +308,30 @@ def known_share(text: Column, letters: list[int]) -> Column:
     """The part of a text's letters that are in ``letters``; null where it has no letter."""
     known = np.array(letters, np.int64)
 
-    @F.pandas_udf("double")
-    def share(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = np.zeros(0x110000, bool)
-        table[known] = True
+    @F.arrow_udf("double")
+    def share(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            out = np.full(len(texts), np.nan)
-            for i, one in enumerate(texts):
-                points = _table()[_code_points(one or "")]
-                points = points[points != SPACE]
-                if len(points):
-                    out[i] = table[points].mean()
-            yield pd.Series(out)
+            yield pa.array(_known(_strings(texts), known), pa.float64())
+            give_back()
 
     return share(text)
 
 
+def _known(texts: Iterable[str | None], letters: np.ndarray) -> list[float | None]:
+    """``known_share`` of each text."""
+    table = np.zeros(0x110000, bool)
+    table[letters] = True
+    out: list[float | None] = []
+    for text in texts:
+        there = of = 0
+        for at in range(0, len(text or ""), BLOCK_CHARS):
+            points = _table()[_code_points(text[at:at + BLOCK_CHARS])]
+            points = points[points != SPACE]
+            there, of = there + int(table[points].sum()), of + len(points)
+        out.append(there / of if of else None)
+    return out
+
+
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents in a learned language: rejects those without letters (``und``) and those most of whose letters no learned
     language uses, as texts in another script.
@@ -304,6 +341,6 @@ def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """
     taught = docs.where(~held_out(F.col("doc_id")))
     prototypes, letters = train(taught), used_letters(taught)
-    name, share = fresh(docs, "guess"), fresh(docs, "share")
-    guessed = docs.withColumn(name, guess(F.col("text"), prototypes)).withColumn(share, known_share(F.col("text"), letters))
-    return guessed.where((F.col(f"{name}.lang_pred") != "und") & (F.col(share) >= KNOWN)).select(*every(docs))
+    name = fresh(docs, "guess")
+    guessed = docs.withColumn(name, guess(F.col("text"), prototypes, letters=letters))
+    return guessed.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.known") >= KNOWN)).select(*every(docs))

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from cases import documents
 from pyspark.sql import functions as F
 
@@ -93,3 +95,26 @@ def test_letters_in_use(spark):
     assert [chr(c) for c in language_id.used_letters(docs)] == ["a", "b", "c", "ж"]
     share = docs.select(language_id.known_share(F.col("text"), [ord("a"), ord("ж")]).alias("s")).collect()
     assert [round(r.s, 3) for r in share[:2]] == [0.333, 1.0] and all(r.s is None or r.s != r.s or r.s == 0 for r in share[2:])
+
+
+def test_a_batch_takes_bounded_memory():
+    """An executor's memory is shared by the JVM and all workers: the vectors of 10,000 texts alone took 40 MB."""
+    make = random.Random(5)
+    words = ["".join(make.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(2_000)]
+    texts = pa.array([" ".join(make.choices(words, k=150)) for _ in range(10_000)])
+    profile, matrix = language_id.Profiles(), np.ones((2, language_id.DIMENSIONS))
+    language_id._compared(texts[:10], profile, ["a", "b"], matrix, np.array([97]))
+    tracemalloc.start()
+    try:
+        found = language_id._compared(texts, profile, ["a", "b"], matrix, np.array([97]))
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+    assert len(found) == len(texts)
+
+
+def test_a_task_of_the_stage_has_one_worker(spark):
+    """Each function over a column that stands alone takes a worker process of its own beside the task."""
+    docs = spark.createDataFrame([(3, "the cat and the dog", "en"), (6, "der hund und", "de")], "doc_id long, text string, lang string")
+    plan = language_id.stage(spark, docs, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
