@@ -1,5 +1,8 @@
+import contextlib
 import hashlib
+import io
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -57,6 +60,36 @@ def test_against_brute_force(spark, monkeypatch, hot, range_bytes):
     assert removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot=hot) == brute(rows)
 
 
+def shuffled_texts(df):
+    """The exchanges of a plan that move texts."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return [found for found in re.findall(r"\) Exchange\nInput[^:]*: \[(.*)\]", out.getvalue()) if "data#" in found]
+
+
+def test_no_text_is_shuffled_for_hot_cores(spark, monkeypatch):
+    """With hot cores, which only larger tables have, all texts with a partner went through one more shuffle."""
+    plans = {}
+    written = repeats.written
+    monkeypatch.setattr(repeats, "written", lambda df, purpose: plans.__setitem__(purpose, df) or written(df, purpose))
+    monkeypatch.setattr(repeats, "PARTS", 7)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = texts()
+        assert removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot=2) == brute(rows)
+        assert shuffled_texts(plans["hot-parts"]) == []
+        assert len(shuffled_texts(plans["repeats"])) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_cores_of_repeated_rows_and_rows_without_id(spark):
+    rows = texts()
+    rows += rows[:20] + [(None, text) for _, text in rows[10:30]] + [(0, text) for _, text in rows[5:15]]
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot=2) == brute(rows)
+
+
 def test_awkward_documents(spark):
     docs = documents(spark)
     assert removed(docs) == brute(plain(docs))
