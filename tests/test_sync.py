@@ -417,6 +417,41 @@ def test_moves_on_disk(spark, tmp_path):
     assert sorted(tree(spark, root)) == ["/a/g", "/a/new/keep", "/b/f"]
 
 
+def test_moves_of_a_tree_named_by_a_uri(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    write(spark, root, {"/a/x": "1", "/a/y": "2", "/b/z": "3"})
+    ops = spark.createDataFrame([("RENAME", "/a", "/c"), ("DELETE", "/b/z", None)], "type string, source string, target string")
+    counts = execute.execute_moves(snapshots.sync_ops(ops, root), root)
+    assert {r["type"]: r["moved"] for r in counts.collect()} == {"RENAME": 1, "DELETE": 1}
+    assert sorted(tree(spark, root)) == ["/c/x", "/c/y"]
+
+
+def test_files_of_several_roots_are_dealt_once(spark, tmp_path):
+    roots, contents = [str(tmp_path / "one"), f"file://{tmp_path}/two"], {f"/d{i % 3}/{i}": "x" * i for i in range(20)}
+    found = trees.write_files(spark.createDataFrame(list(contents.items()), "rel_path string, content string"), roots)
+    assert sorted(r["rel_path"] for r in found.collect()) == sorted(contents)
+    assert tree(spark, roots[0]) == tree(spark, roots[1]) and len(tree(spark, roots[0])) == 20
+
+
+def test_checksums_are_read_once_and_not_joined(spark, tmp_path):
+    write(spark, str(tmp_path / "t"), {"/d/a": "1", "/b": ""})
+    found = trees.with_checksums(trees.with_rel_path(trees.scan_tree(spark, [str(tmp_path / "t")]), "sync"))
+    assert "Join" not in found._jdf.queryExecution().toString()
+    (tmp_path / "t/b").unlink()  # what was read stands
+    sums = {"/d": None, "/d/a": "c4ca4238a0b923820dcc509a6f75849b", "/b": "d41d8cd98f00b204e9800998ecf8427e"}
+    assert {r["rel_path"]: r["checksum"] for r in found.collect()} == sums
+
+
+def test_a_small_copy_is_split_over_the_cores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(execute, "LEAST_TASK_BYTES", execute.FILE_COST_BYTES)
+    src, dst = str(tmp_path / "s"), str(tmp_path / "t")
+    write(spark, src, {f"/d/{i}": "x" * i for i in range(40)})
+    ours = read(spark, src)
+    done = execute.execute_copy(copying.plan_copy(ours, ours.limit(0), CopyOptions()), src, dst, CopyOptions())
+    assert len({r["f"] for r in done.select(F.input_file_name().alias("f")).collect()}) > 1
+    assert execute.verify_copy(ours, read(spark, dst)).isEmpty()
+
+
 def test_listing_a_missing_root(spark, tmp_path):
     assert trees.scan_tree(spark, [str(tmp_path / "none")]).isEmpty()
     with pytest.raises(Exception, match="no path matches"):
