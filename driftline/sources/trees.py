@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,15 +90,31 @@ def scan_tree(spark: SparkSession, roots: list[str] | DataFrame, expand_rounds:
     Directories of one level are listed in parallel and written before the next level starts, so there are as many jobs
     as the tree is deep. Attributes are read in a step of their own, so that one large directory keeps no task busy alone. ``expand_rounds`` stops after that many levels. A missing root gives no rows.
     """
+    return _levels(spark, roots, _listed, expand_rounds)
+
+
+def list_tree(spark: SparkSession, roots: list[str] | DataFrame, hidden: Column) -> DataFrame:
+    """Rows of FOUND as :func:`scan_tree` finds them, without their attributes. Below the roots, entries for whose ``name``
+    ``hidden`` holds are left out with all they contain."""
+    def shown(found: DataFrame) -> DataFrame:
+        named = found.withColumn("name", F.substring_index("path", "/", -1))
+        return written(named.where((F.col("path") == F.col("root_path")) | ~hidden).drop("name"), "list")
+
+    return _levels(spark, roots, shown)
+
+
+def _levels(spark: SparkSession, roots: list[str] | DataFrame, finish: Callable[[DataFrame], DataFrame],
+            expand_rounds: int | None = None) -> DataFrame:
+    """What ``finish`` makes, and writes, of the entries of each level."""
     start = spark.createDataFrame([(r,) for r in roots], "root string") if isinstance(roots, list) else roots
-    level = _listed(start.select("root").distinct().mapInPandas(_list_roots, FOUND))
+    level = finish(start.select("root").distinct().mapInPandas(_list_roots, FOUND))
     found, rounds = level, 0
     while expand_rounds is None or rounds < expand_rounds:
         below = level.where("is_dir").select("root", "path")
         if below.isEmpty():
             break
         dealt = spread(below, F.xxhash64("root", "path"))
-        level = _listed(dealt.mapInPandas(_list_children, FOUND))
+        level = finish(dealt.mapInPandas(_list_children, FOUND))
         found, rounds = found.unionByName(level), rounds + 1
     return found
 

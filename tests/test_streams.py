@@ -1,5 +1,7 @@
 """Streams: replayed input changes nothing, later input is merged."""
 
+import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -183,6 +185,76 @@ def test_new_files_of_several_batches(spark, tmp_path, monkeypatch):
     assert len(sizes) == 3 and sorted(sum(sizes, [])) == list(range(1, 11))
 
 
+def test_new_files_are_those_a_file_source_finds(spark, tmp_path):
+    names = ["a", "d/b", "d/_c", "d/._COPYING_", "d/e._COPYING_", "_h/f", "_k=1/g", ".i/j", "d/_metadata", "with space/ä", "d/.l", "_metadata_m/n"]
+    for number, name in enumerate(names):
+        (tmp_path / "root" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / name).write_text("x" * number)
+        os.utime(tmp_path / "root" / name, ns=(0, (1_700_000_000 - number) * 10**9 + 123_456_789))
+    expected = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path / "root"))
+    expected = sorted(map(tuple, expected.select("path", "length", "modificationTime").collect()))
+    assert len(expected) == 4
+    for turn, root in enumerate((str(tmp_path / "root"), f"file://{tmp_path}/root/", f"{tmp_path}/ro*")):
+        rows = []
+        found = streams.stream_new_files(spark, root, "^$")
+        (found.writeStream.foreachBatch(lambda batch, n: rows.extend(batch.collect()))
+         .option("checkpointLocation", str(tmp_path / f"mark{turn}")).trigger(availableNow=True).start().awaitTermination())
+        assert sorted(map(tuple, rows)) == expected
+    with pytest.raises(FileNotFoundError):
+        streams.stream_new_files(spark, str(tmp_path / "none"), "^$")
+
+
+def test_new_files_are_no_file_of_the_source(spark, tmp_path, monkeypatch):
+    """The driver keeps a record of every file of a source: there is one for a batch of paths, the oldest paths first."""
+    monkeypatch.setattr(streams, "FILES_PER_BATCH", 5)
+    mark, seen = tmp_path / "mark", []
+    (tmp_path / "root").mkdir()
+    for n in range(12):
+        (tmp_path / "root" / f"f{n}").write_text("x" * (n + 1))
+        os.utime(tmp_path / "root" / f"f{n}", ns=(0, (1_700_000_000 - n) * 10**9))
+
+    def run():
+        (streams.stream_new_files(spark, str(tmp_path / "root"), "^$").writeStream
+         .foreachBatch(lambda batch, n: seen.append({r["length"] for r in batch.collect()}))
+         .option("checkpointLocation", str(mark)).trigger(availableNow=True).start().awaitTermination())
+        logs = [log for log in (mark / "sources/0").iterdir() if log.name[0] != "."]
+        return [json.loads(line)["path"] for log in logs for line in log.read_text().splitlines() if line[0] == "{"]
+
+    known = run()
+    assert seen == [{12, 11, 10, 9, 8}, {7, 6, 5, 4, 3}, {2, 1}] and len(known) == 3
+    # the shared folder may be emptied between two starts
+    for path in known:
+        os.remove(path.removeprefix("file://"))
+    (tmp_path / "root" / "late").write_text("x" * 99)
+    run()
+    assert [s for s in seen[3:] if s] == [{99}]
+
+
+def test_new_files_that_come_while_the_query_runs(spark, tmp_path):
+    root, sink = tmp_path / "root", str(tmp_path / "out")
+    root.mkdir()
+    key = "spark.sql.streaming.noDataProgressEventInterval"
+    spark.conf.set(key, "500")
+    try:
+        found = streams.stream_new_files(spark, str(root), DEFAULT_EXCLUDE)
+    finally:
+        spark.conf.unset(key)
+    query = (found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "mark"))
+             .trigger(processingTime="200 milliseconds").start())
+    try:
+        for name in ("one", "two"):
+            (root / name).write_text(name)
+            until = datetime.now() + timedelta(seconds=60)
+            names = []
+            while datetime.now() < until and name not in names:
+                query.processAllAvailable()
+                if os.path.exists(f"{sink}/_spark_metadata/0"):
+                    names = sorted(r["path"].rsplit("/", 1)[1] for r in spark.read.parquet(sink).collect())
+            assert names == ["one", "two"][:len(names)] and name in names
+    finally:
+        query.stop()
+
+
 def test_last_status(spark, tmp_path):
     schema = "policy_id string, id string, status string, end_time timestamp_ntz"
     source, table, mark = (str(tmp_path / n) for n in ("in", "table", "mark"))
